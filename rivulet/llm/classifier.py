@@ -125,11 +125,12 @@ def scores(model: Model, col: pa.Array) -> np.ndarray:
 
 def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, score): the probability of class 1 for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.weight, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Model(*shared.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(shared.value, batch.column(1)), pa.float64())], [key, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(m, batch.column(1)), pa.float64())], [key, "score"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, score double")

@@ -107,3 +107,29 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     part = (data.astype(np.uint64) + np.uint64(1)) * power[place]
     part[blank] = 0
     return mixed(np.add.reduceat(part, starts)), np.searchsorted(starts, off)
+
+
+def key_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Rows of one key each (the first ``keys`` columns, integers), from batches sorted by them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        change = np.zeros(len(batch), bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        if held and any(held[-1].column(i)[-1].as_py() != columns[i][0] for i in range(keys)):
+            yield pa.Table.from_batches(held)
+            held = []
+        starts = np.flatnonzero(change)
+        if len(starts):
+            yield pa.Table.from_batches([*held, batch.slice(0, int(starts[0]))])
+            held = []
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                yield pa.Table.from_batches([batch.slice(int(a), int(b - a))])
+            held = [batch.slice(int(starts[-1]))]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)

@@ -95,13 +95,13 @@ def log_odds(model: Model, col: pa.Array) -> np.ndarray:
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``, the posterior probability of that language."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.prior, model.logp))
     schema = T.StructType([f for f in docs.schema.fields] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     at = docs.columns.index(text)
     lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = Model(*shared.value)
         names = np.array(m.langs, dtype=object)
         for batch in batches:
             *columns, has = batch.columns

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm import classifier, html, langid, line_dedup, mixing, packing, quality_rules
+from rivulet.llm import classifier, embed_lsh, html, langid, line_dedup, minhash, mixing, packing, quality_rules
 from rivulet.llm.common import id_mod
 
 SEQUENCE = 1024
@@ -23,6 +23,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.line_rule(table(spark, sf_dir, "documents"))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_lsh.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     part = id_mod(F.col("doc_id"), 5)
@@ -59,7 +67,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op4_quality_classifier, op5_line_dedup, op7_language_id, op8_html_extraction, op9_source_mixing, op10_best_fit_packing)
+    f.__name__: f for f in (op1_quality_rules, op2_minhash_near_dedup, op3_embedding_near_dedup, op4_quality_classifier, op5_line_dedup, op7_language_id, op8_html_extraction, op9_source_mixing, op10_best_fit_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {}
