@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm import classifier, embed_lsh, html, langid, line_dedup, minhash, mixing, packing, quality_rules
+from rivulet.llm import classifier, embed_lsh, html, langid, line_dedup, minhash, mixing, packing, quality_rules, suffix_dedup
 from rivulet.llm.common import id_mod
 
 SEQUENCE = 1024
@@ -43,6 +43,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", "n_spans", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return out.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     part = id_mod(F.col("doc_id"), 3)
@@ -67,7 +73,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_minhash_near_dedup, op3_embedding_near_dedup, op4_quality_classifier, op5_line_dedup, op7_language_id, op8_html_extraction, op9_source_mixing, op10_best_fit_packing)
+    f.__name__: f for f in (op1_quality_rules, op2_minhash_near_dedup, op3_embedding_near_dedup, op4_quality_classifier, op5_line_dedup, op6_suffix_dedup, op7_language_id, op8_html_extraction, op9_source_mixing, op10_best_fit_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {}
