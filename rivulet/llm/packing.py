@@ -17,6 +17,7 @@ import math
 import os
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from rivulet.llm.common import stored
 #: Short pieces that one task packs, on average.
 GROUP_PIECES = 50_000
 #: Distinct words whose ids a task remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 #: A space between white space, or after it at the end: the tokenizer's split doesn't then always fall before it.
 CROWDED = re.compile(r"\s \s|\s \Z")
 
@@ -43,28 +44,35 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        size = self.tokenizer.get_vocab_size()
+        self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])  # a token of a leading space
         self.most = cache_words
         self.known: dict[str, bytes] = {}
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _plain(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of distinct words with a space before each: one call, cut where a token starts with the space."""
+        ids = self._plain("".join([" " + w for w in words]))
+        at = (4 * np.append(np.flatnonzero(self.spaced[ids]), len(ids))).tolist()
+        raw = ids.tobytes()
+        new = {w: raw[i:j] for w, i, j in zip(words, at[:-1], at[1:], strict=True)}
+        if len(self.known) + len(new) > self.most:
+            self.known = dict(islice(self.known.items(), len(self.known) // 2, None))  # the older half goes
+        self.known |= new
+        return new
 
     def ids(self, text: str) -> bytes:
         """Little-endian 32-bit ids of the text."""
-        if not text:
-            return b""
         if CROWDED.search(text):
-            return self._plain([text])[0]
+            return self._plain(text).tobytes()
         head, *words = text.split(" ")
         parts = list(map(self.known.get, words))
         if None in parts:
-            fresh = list(dict.fromkeys(w for w, p in zip(words, parts, strict=True) if p is None))
-            new = dict(zip(fresh, self._plain([" " + w for w in fresh]), strict=True))
-            if len(self.known) + len(new) > self.most:
-                self.known = {}
-            self.known |= new
+            new = self._learn(list(dict.fromkeys(w for w, p in zip(words, parts, strict=True) if p is None)))
             parts = [new[w] if p is None else p for w, p in zip(words, parts, strict=True)]
-        return (self._plain([head])[0] if head else b"") + b"".join(parts)
+        return (self._plain(head).tobytes() if head else b"") + b"".join(parts)
 
 
 def cut(docs: DataFrame, tokenizer_path: str, length: int = 1024, end_id: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
