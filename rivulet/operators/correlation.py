@@ -1,0 +1,175 @@
+"""Lag, annual and between-entity correlations with a reason for every missing value."""
+
+from __future__ import annotations
+
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from rivulet.columns import ENSEMBLE, Cols
+from rivulet.functions.labels import period_label
+from rivulet.functions.numeric import finite, pair_moments, pearson
+from rivulet.operators.filters import lag_columns
+from rivulet.operators.joins import small
+from rivulet.operators.windows import lag_audit, lag_origin
+
+PAIR = ["n", "mean_x", "mean_y", "sd_x", "sd_y", "cov"]
+
+
+def lag_moments(df: DataFrame, cols: Cols = ENSEMBLE) -> DataFrame:
+    """Pair moments of the flow and each exported lag, and of the flow with itself (lag 0)."""
+    lags = lag_columns(df.columns)
+    v = finite(cols.value)
+    past = F.explode(F.array(F.struct(F.lit(0).alias("lag"), v.alias("y")), *[F.struct(F.lit(int(c.split("_")[1])).alias("lag"), finite(c).alias("y")) for c in lags]))
+    rows = df.select(*cols.group, cols.scenario, cols.node, v.alias("x"), past.alias("p"))
+    per = rows.groupBy(*cols.group, F.col("p.lag").alias("lag")).agg(F.count(F.lit(1)).alias("rows"), F.count(cols.node).alias("nodes"), *pair_moments(F.col("x"), F.col("p.y")))
+    unique = df.groupBy(*cols.group).agg(F.count_distinct(cols.scenario).alias("scenarios"))
+    return per.join(unique, cols.group)
+
+
+def lag_correlation(df: DataFrame, calendar: DataFrame, cols: Cols = ENSEMBLE) -> DataFrame:
+    """Long form of A11 with W4, W5 and the reasons: one row for each (entity, stage, lag)."""
+    per = lag_moments(df, cols)
+    rho, reason = pearson((F.col("rows") != F.col("scenarios")) | (F.col("rows") != F.col("nodes")))
+    audit = lag_audit(df, calendar, cols=cols)
+    out = per.withColumns({"rho": rho, "reason": reason}).join(audit, [*cols.group, "lag"], "left")
+    wrong = F.coalesce(F.col("mismatches"), F.lit(0))
+    out = out.withColumns({"mismatches": wrong, "rho": F.when(wrong == 0, F.col("rho")), "reason": F.when(wrong > 0, F.concat(F.lit("lag_mismatch:"), wrong.cast("string"))).otherwise(F.col("reason"))})
+    out = out.join(small(calendar.select(cols.stage, "start", "order")), cols.stage)
+    past = F.add_months("start", -F.col("lag"))
+    return out.select(*cols.group, "lag", "rows", "scenarios", *PAIR, "rho", "reason", "mismatches", lag_origin(F.col("order"), F.col("lag")).alias("origin"), period_label(F.col("start")).alias("period"), period_label(past).alias("past_period"))
+
+
+def lag_table(results: DataFrame, lags: list[int], cols: Cols = ENSEMBLE) -> DataFrame:
+    """One row for each (entity, stage) with a column for each lag."""
+    return results.groupBy(*cols.group).agg(*[F.max(F.when(F.col("lag") == k, F.col("rho"))).alias(f"lag_{k}") for k in lags])
+
+
+def complete_years(df: DataFrame, calendar: DataFrame, cols: Cols = ENSEMBLE) -> DataFrame:
+    """Years of which all twelve months, and just twelve stages, are in the data of any entity."""
+    present = df.select(cols.stage).distinct().join(small(calendar.select(cols.stage, "year", "month")), cols.stage)
+    return present.groupBy("year").agg(F.count(F.lit(1)).alias("stages"), F.count_distinct("month").alias("months")).filter("stages = 12 and months = 12").select("year")
+
+
+def annual_sums(df: DataFrame, calendar: DataFrame, cols: Cols = ENSEMBLE) -> DataFrame:
+    """Total of each (entity, scenario, year), null unless twelve distinct stages all have finite values."""
+    rows = df.select(*cols.key, finite(cols.value).alias("v")).join(small(calendar.select(cols.stage, "year")), cols.stage)
+    per = rows.groupBy(cols.entity, cols.scenario, "year").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(cols.stage).alias("stages"), F.count(cols.node).alias("nodes"), F.count("v").alias("values"), F.sum("v").alias("total"))
+    whole = (F.col("rows") == 12) & (F.col("stages") == 12) & (F.col("values") == 12) & (F.col("nodes") == 12)
+    return per.withColumn("total", F.when(whole, F.col("total")))
+
+
+def annual_correlation(df: DataFrame, calendar: DataFrame, lags: tuple[int, ...] = (1, 2), cols: Cols = ENSEMBLE) -> DataFrame:
+    """One row for each entity, complete year and lag, also where nothing can be paired."""
+    years = complete_years(df, calendar, cols)
+    sums = annual_sums(df, calendar, cols).join(small(years), "year").filter("total is not null").select(cols.entity, cols.scenario, "year", "total")
+    ahead = sums.select(cols.entity, cols.scenario, F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), (F.col("year") + k).alias("year")) for k in lags])).alias("p"), F.col("total").alias("past"))
+    ahead = ahead.select(cols.entity, cols.scenario, "p.lag", "p.year", "past")
+    pairs = sums.join(ahead, [cols.entity, cols.scenario, "year"]).groupBy(cols.entity, "year", "lag").agg(*pair_moments(F.col("total"), F.col("past")))
+    entities = df.groupBy(cols.entity).agg(F.count_distinct(cols.scenario).alias("scenarios"))
+    # the grid: entities times complete years (some dozens) times lags
+    listed = [r["year"] for r in years.orderBy("year").collect()]
+    grid = entities.withColumn("year", F.explode(F.array(*[F.lit(y) for y in listed]) if listed else F.array().cast("array<int>")))
+    grid = grid.withColumn("lag", F.explode(F.array(*[F.lit(k) for k in lags])))
+    held = sums.groupBy(cols.entity, "year").agg(F.count(F.lit(1)).alias("complete"))
+    out = grid.join(pairs, [cols.entity, "year", "lag"], "left").join(held, [cols.entity, "year"], "left")
+    before = held.select(cols.entity, F.col("year").alias("__y"), F.col("complete").alias("complete_past"))
+    out = out.join(before.withColumnRenamed(cols.entity, "__e"), (F.col("__e") == F.col(cols.entity)) & (F.col("__y") == F.col("year") - F.col("lag")), "left").drop("__e", "__y")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n", "complete", "complete_past")})
+    rho, reason = pearson()
+    known = (F.col("year") - F.col("lag")).isin(listed) if listed else F.lit(False)
+    out = out.withColumn("reason", F.when(~known, "past_year_incomplete").otherwise(reason)).withColumn("rho", F.when(F.col("reason") == "computed", rho))
+    return out.select(cols.entity, "year", "lag", "scenarios", "complete", "complete_past", *PAIR, "rho", "reason")
+
+
+def _by_stage(df: DataFrame, cols: Cols) -> DataFrame:
+    return df.select(cols.stage, cols.scenario, F.col(cols.entity).alias("e"), finite(cols.value).alias("v"))
+
+
+def _judged(pairs: DataFrame) -> DataFrame:
+    rho, reason = pearson()
+    return pairs.withColumns({"rho": rho, "reason": reason})
+
+
+def spatial_pairs(df: DataFrame, cols: Cols = ENSEMBLE) -> DataFrame:
+    """A16 by a self-join of each (stage, scenario), for few entities."""
+    rows = _by_stage(df, cols)
+    left, right = rows.withColumnsRenamed({"e": "a", "v": "x"}), rows.withColumnsRenamed({"e": "b", "v": "y"})
+    pairs = left.join(right, [cols.stage, cols.scenario]).filter("a < b")
+    return _judged(pairs.groupBy(cols.stage, "a", "b").agg(*pair_moments(F.col("x"), F.col("y")))).select(cols.stage, "a", "b", *PAIR, "rho", "reason")
+
+
+def spatial_correlation(df: DataFrame, chunk: int = 256, cols: Cols = ENSEMBLE) -> DataFrame:
+    """A16 at scale: partial sums of centred products by blocks of scenarios, added by an ordinary aggregate.
+
+    Every value is centred on its (stage, entity) mean first, so that the sums keep their digits. A task holds one block
+    of at most about ``chunk`` scenarios of a stage as a dense matrix; stages and blocks spread over the cluster.
+    """
+    rows = _by_stage(df, cols)
+    centre = rows.groupBy(cols.stage, "e").agg(F.avg("v").alias("m"), F.min("v").alias("low"), F.max("v").alias("high"))
+    sizes = df.groupBy(cols.stage).agg(F.ceil(F.approx_count_distinct(cols.scenario) / chunk).alias("blocks"))
+    block = F.pmod(F.xxhash64(cols.scenario), F.col("blocks")).cast("int")
+    dealt = rows.join(centre.select(cols.stage, "e", "m"), [cols.stage, "e"]).join(small(sizes), cols.stage).select(F.col(cols.stage).alias("stage"), block.alias("block"), F.col(cols.scenario).alias("s"), "e", (F.col("v") - F.col("m")).alias("c"), "v")
+
+    def sums(t: pa.Table) -> pa.Table:
+        stage = t["stage"][0].as_py()
+        scenarios, s = np.unique(t["s"].to_numpy(), return_inverse=True)
+        entities, e = np.unique(t["e"].to_numpy(), return_inverse=True)
+        c = np.full((len(scenarios), len(entities)), np.nan)
+        c[s, e] = t["c"].to_numpy(zero_copy_only=False)
+        ok = ~np.isnan(c)
+        c, ok = np.where(ok, c, 0.0), ok.astype(np.float64)
+        a, b = np.triu_indices(len(entities), 1)
+        both = {"n": ok.T @ ok, "sx": c.T @ ok, "sy": ok.T @ c, "sxx": (c * c).T @ ok, "syy": ok.T @ (c * c), "sxy": c.T @ c}
+        columns = [pa.array(np.full(len(a), stage), pa.int64()), pa.array(entities[a], pa.int64()), pa.array(entities[b], pa.int64()), *[pa.array(m[a, b]) for m in both.values()]]
+        return pa.table(columns, ["stage", "a", "b", *both])
+
+    parts = dealt.groupBy("stage", "block").applyInArrow(sums, "stage long, a long, b long, n double, sx double, sy double, sxx double, syy double, sxy double")
+    total = parts.groupBy("stage", "a", "b").agg(F.sum("n").cast("long").alias("n"), *[F.sum(c).alias(c) for c in ("sx", "sy", "sxx", "syy", "sxy")])
+    side = lambda p: centre.select(F.col(cols.stage).alias("stage"), F.col("e").alias(p), F.col("m").alias(f"m{p}"), F.col("low").alias(f"low{p}"), F.col("high").alias(f"high{p}"))
+    total = total.join(side("a"), ["stage", "a"]).join(side("b"), ["stage", "b"])
+    n = F.col("n")
+    mean = lambda s: F.try_divide(F.col(s), n)
+    var = lambda q, s: F.greatest(F.lit(0.0), F.try_divide(F.col(q), n) - mean(s) * mean(s))
+    # constant over the pair's scenarios: nothing left after centring but rounding
+    sd = lambda q, s, p: F.when((F.col(f"low{p}") == F.col(f"high{p}")) | (var(q, s) <= F.lit(1e-24) * F.greatest(F.lit(1.0), F.pow(F.greatest(F.abs(f"low{p}"), F.abs(f"high{p}")), 2))), F.lit(0.0)).otherwise(F.sqrt(var(q, s)))
+    out = total.select(
+        F.col("stage").alias(cols.stage), "a", "b", "n",
+        F.when(n > 0, F.col("ma") + mean("sx")).alias("mean_x"), F.when(n > 0, F.col("mb") + mean("sy")).alias("mean_y"),
+        F.when(n > 0, sd("sxx", "sx", "a")).alias("sd_x"), F.when(n > 0, sd("syy", "sy", "b")).alias("sd_y"),
+        (mean("sxy") - mean("sx") * mean("sy")).alias("cov"),
+        F.lit(0.0).alias("min_x"), F.lit(1.0).alias("max_x"), F.lit(0.0).alias("min_y"), F.lit(1.0).alias("max_y"),
+    )
+    return _judged(out).select(cols.stage, "a", "b", *PAIR, "rho", "reason")
+
+
+def against_reference(df: DataFrame, entity: int, cols: Cols = ENSEMBLE) -> DataFrame:
+    """One entity against all others in every stage."""
+    rows = _by_stage(df, cols)
+    ref = rows.filter(F.col("e") == entity).select(cols.stage, cols.scenario, F.col("v").alias("x"))
+    pairs = rows.filter(F.col("e") != entity).join(ref, [cols.stage, cols.scenario], "left")
+    per = pairs.groupBy(cols.stage, F.col("e").alias("other")).agg(*pair_moments(F.col("x"), F.col("v")))
+    return _judged(per).select(cols.stage, F.lit(entity).cast("long").alias("reference"), "other", *PAIR, "rho", "reason")
+
+
+def mirrored(pairs: DataFrame) -> DataFrame:
+    """Each pair both ways, roles swapped."""
+    swap = {"a": "b", "b": "a", "mean_x": "mean_y", "mean_y": "mean_x", "sd_x": "sd_y", "sd_y": "sd_x"}
+    return pairs.unionByName(pairs.withColumnsRenamed(swap))
+
+
+def spatial_table(pairs: DataFrame, entities: list[int], cols: Cols = ENSEMBLE) -> DataFrame:
+    """T5: a row for each (reference, stage), a column for each entity, the diagonal empty."""
+    both = mirrored(pairs)
+    return both.groupBy(F.col("a").alias("reference"), cols.stage).agg(*[F.max(F.when(F.col("b") == e, F.col("rho"))).alias(str(e)) for e in entities])
+
+
+def pair_lookup(pairs: DataFrame, a: int, b: int) -> DataFrame:
+    """The row of a pair in either order; a pair of an entity with itself is ``self_pair`` in every stage."""
+    if a == b:
+        either = pairs.filter((F.col("a") == a) | (F.col("b") == a))
+        stage = pairs.columns[0]
+        return either.select(stage).distinct().select(stage, F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b"), *[F.lit(None).cast("double").alias(c) for c in PAIR[1:]], F.lit(None).cast("double").alias("rho"), F.lit("self_pair").alias("reason"))
+    return mirrored(pairs).filter((F.col("a") == a) & (F.col("b") == b))
