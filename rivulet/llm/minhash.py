@@ -8,11 +8,12 @@ two-bit values have by chance; candidates of at least ``FILTER`` are confirmed o
 
 No bucket is capped and no bucket's pairs are all listed. First, every member is confirmed against the smallest id of
 each of its buckets. Then only buckets that still hold several components list pairs, those across components, and
-large ones in blocks. Both steps together link whatever candidates are similar enough, and components depend on that
-alone.
+large ones in blocks; the few documents in them get a longer signature, and a pair is listed under one key only and if
+both signatures put it near the limit. Both steps together link whatever candidates are similar enough, and
+components depend on that alone.
 
 A pair of similarity 0.8 shares no band with probability (1 - 0.8**ROWS)**BANDS, about 5e-8; its estimate falls below
-``FILTER`` at about five standard deviations.
+the least at five standard deviations or more.
 
 Defined cases: null text or text without words has an empty set and links with nothing; with fewer words than a shingle
 the whole sequence is the one shingle; rows that repeat an id are taken as one document by the smallest set hash; an
@@ -33,7 +34,9 @@ from rivulet.llm.graph import components
 
 BANDS, ROWS = 32, 4
 BITS = 2
+#: Least estimate of a candidate: five standard deviations or more below 0.8, for BANDS * ROWS and for FINE values.
 FILTER = 0.55
+FINE, FINE_FILTER = 1024, 0.725
 #: Members of one hub, and rows of one block of a bucket, that a task meets at a time.
 GROUP, BLOCK = 64, 1000
 
@@ -79,6 +82,28 @@ class Permutations:
         return low
 
 
+def packed(low: np.ndarray) -> np.ndarray:
+    """The low bits of minima, in 64-bit words."""
+    place = (np.arange(len(low), dtype=np.uint64) * np.uint64(BITS)) % np.uint64(64)
+    bits = (low.astype(np.uint64) & np.uint64((1 << BITS) - 1)) << place
+    return np.bitwise_or.reduce(bits.reshape(-1, 64 // BITS), axis=1)
+
+
+def fine_signatures(texts: DataFrame, width: int, values: int = FINE) -> DataFrame:
+    """(id, f0...): packed signatures of ``values`` minima."""
+    longs = values * BITS // 64
+    names = ["id", *(f"f{i}" for i in range(longs))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        draw = Permutations(values, seed=3)
+        for batch in batches:
+            sigs = [packed(draw.minima((s >> np.uint64(32)).astype(np.uint32))) for s in shingle_sets(batch.column(1), width)]
+            sig = np.array(sigs, np.uint64).reshape(-1, longs).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(sig[:, i].copy()) for i in range(longs))], names)
+
+    return texts.select("id", "text").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
 def signatures(docs: DataFrame, width: int = 4, bands: int = BANDS, rows: int = ROWS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(id, n, h1, h2, s0..., bands): set size, two set hashes, packed signature, band keys."""
     longs = bands * rows * BITS // 64
@@ -87,7 +112,6 @@ def signatures(docs: DataFrame, width: int = 4, bands: int = BANDS, rows: int =
         draw = Permutations(bands * rows)
         odd = np.random.default_rng(2).integers(1, 1 << 63, rows, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
         number = np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        place = (np.arange(bands * rows, dtype=np.uint64) * np.uint64(BITS)) % np.uint64(64)
         for batch in batches:
             sizes, h1, h2, sigs, keys = [], [], [], [], []
             for s in shingle_sets(batch.column(1), width):
@@ -95,7 +119,7 @@ def signatures(docs: DataFrame, width: int = 4, bands: int = BANDS, rows: int =
                 h1.append(int(s.sum(dtype=np.uint64)))
                 h2.append(int(np.bitwise_xor.reduce(mixed(s + np.uint64(1)))) if len(s) else 0)
                 low = draw.minima((s >> np.uint64(32)).astype(np.uint32)).astype(np.uint64)
-                sigs.append(np.bitwise_or.reduce(((low & np.uint64((1 << BITS) - 1)) << place).reshape(longs, -1), axis=1))
+                sigs.append(packed(low))
                 keys.append(mixed((low.reshape(bands, rows) * odd).sum(axis=1, dtype=np.uint64) + number))
             sig = np.array(sigs, np.uint64).reshape(-1, longs).view(np.int64)
             flat = np.array(keys, np.uint64).reshape(-1).view(np.int64)
@@ -103,8 +127,8 @@ def signatures(docs: DataFrame, width: int = 4, bands: int = BANDS, rows: int =
             columns = [batch.column(0), pa.array(sizes, pa.int64()), *(pa.array(np.array(h, np.uint64).view(np.int64)) for h in (h1, h2)), *(pa.array(sig[:, i].copy()) for i in range(longs)), band]
             yield pa.RecordBatch.from_arrays(columns, ["id", "n", "h1", "h2", *(f"s{i}" for i in range(longs)), "bands"])
 
-    packed = ", ".join(f"s{i} long" for i in range(longs))
-    return docs.select(F.col(key).cast("long"), text).mapInArrow(run, f"id long, n long, h1 long, h2 long, {packed}, bands array<long>")
+    kinds = ", ".join(f"s{i} long" for i in range(longs))
+    return docs.select(F.col(key).cast("long"), text).mapInArrow(run, f"id long, n long, h1 long, h2 long, {kinds}, bands array<long>")
 
 
 def estimate(a: list[Column], b: list[Column], n: int) -> Column:
@@ -165,12 +189,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     # buckets that hold several components: pairs across them
     known = shared.select("id", "key", "size").join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     split = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
-    open_rows = stored(known.join(split, "key", "left_semi").join(short, "id"))
+    open_keys = stored(known.join(split, "key", "left_semi"))
+    per = open_keys.groupBy("id").agg(F.collect_set("key").alias("keys"))  # BANDS keys at most
+    fine = fine_signatures(texts.join(per, "id", "left_semi"), width)
+    fines = [c for c in fine.columns if c != "id"]
+    looks = stored(per.join(short, "id").join(fine, "id"))
+    open_rows = open_keys.join(looks, "id")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    left = open_rows.select("key", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), F.col("comp").alias("acomp"), F.col("id").alias("a"), *[F.col(c).alias(f"a{c}") for c in longs])
-    right = open_rows.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("comp").alias("bcomp"), F.col("id").alias("b"), *[F.col(c).alias(f"b{c}") for c in longs])
-    across = left.join(right, (left["key"] == right["key"]) & (left["block"] == right["block"]) & (F.col("acomp") < F.col("bcomp")) & alike(None))
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    own = lambda x: [F.col("comp").alias(f"{x}comp"), F.col("id").alias(x), F.col("keys").alias(f"{x}keys"), *[F.col(c).alias(f"{x}{c}") for c in [*longs, *fines]]]
+    left = open_rows.select("key", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), *own("a"))
+    right = open_rows.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), *own("b"))
+    close = estimate([F.col(f"a{c}") for c in fines], [F.col(f"b{c}") for c in fines], FINE) >= FINE_FILTER
+    once = left["key"] == F.array_min(F.array_intersect("akeys", "bkeys"))
+    across = left.join(right, (left["key"] == right["key"]) & (left["block"] == right["block"]) & (F.col("acomp") < F.col("bcomp")) & alike(None) & close & once)
+    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(pairs, ["a", "b"], "left_anti")
     more = stored(confirmed(stored(across), texts, width, percent))
     comps = stored(components(links.unionByName(more)))
     member = signed.join(classes, ["n", "h1", "h2"], "left").select("id", "n", "rep")
