@@ -157,7 +157,7 @@ def against_reference(df: DataFrame, entity: int, cols: Cols = ENSEMBLE) -> Data
 def mirrored(pairs: DataFrame) -> DataFrame:
     """Each pair both ways, roles swapped."""
     swap = {"a": "b", "b": "a", "mean_x": "mean_y", "mean_y": "mean_x", "sd_x": "sd_y", "sd_y": "sd_x"}
-    return pairs.unionByName(pairs.withColumnsRenamed(swap))
+    return pairs.unionByName(pairs.select(*[F.col(swap.get(c, c)).alias(c) for c in pairs.columns]))
 
 
 def spatial_table(pairs: DataFrame, entities: list[int], cols: Cols = ENSEMBLE) -> DataFrame:

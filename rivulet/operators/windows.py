@@ -21,7 +21,7 @@ def _sums(df: DataFrame, by: list[str], order: str, value: Column, sizes: tuple[
         w = Window.partitionBy(*by).orderBy(order).rangeBetween(-(k - 1), 0)
         whole = (F.count("__v").over(w) == k) & (F.count(F.lit(1)).over(w) == k)
         out.append(F.struct(F.lit(k).alias("window"), F.when(whole, F.sum("__v").over(w)).alias("total")))
-    rows = rows.select(*df.columns, F.explode(F.array(*out)).alias("__s"))
+    rows = rows.withColumn("__a", F.array(*out)).select(*df.columns, F.explode("__a").alias("__s"))
     return rows.select(*df.columns, "__s.window", "__s.total").filter("total is not null")
 
 
@@ -51,7 +51,7 @@ def lag_audit(df: DataFrame, calendar: DataFrame, tolerance: float = 1e-8, cols:
         far = F.abs(given - past) > tolerance * F.greatest(F.lit(1.0), F.abs(past))
         wrong = gap.isNull() | (gap != k) | F.coalesce(far, F.lit(False))
         checks.append(F.struct(F.lit(k).alias("lag"), F.when((F.col("order") >= k) & wrong, 1).otherwise(0).alias("wrong")))
-    each = rows.select(*cols.group, F.explode(F.array(*checks)).alias("c")).select(*cols.group, "c.lag", "c.wrong")
+    each = rows.withColumn("__c", F.array(*checks)).select(*cols.group, F.explode("__c").alias("c")).select(*cols.group, "c.lag", "c.wrong")
     return each.groupBy(*cols.group, "lag").agg(F.sum("wrong").alias("mismatches"))
 
 
