@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from rivulet.llm import classifier, embed_lsh, html, langid, line_dedup, minhash, mixing, packing, quality_rules, suffix_dedup
 from rivulet.llm.common import id_mod
+from rivulet.llm.oracles import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 SEQUENCE = 1024
 END_ID = 2
@@ -75,5 +78,3 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_rules, op2_minhash_near_dedup, op3_embedding_near_dedup, op4_quality_classifier, op5_line_dedup, op6_suffix_dedup, op7_language_id, op8_html_extraction, op9_source_mixing, op10_best_fit_packing)
 }
-
-ORACLE_SQL: dict[str, str] = {}
