@@ -66,8 +66,8 @@ class Hashing:
 def _classes(vectors: DataFrame, key: str, column: str) -> tuple[DataFrame, DataFrame]:
     """(id, rep, n) for every row, rep null if it cannot link; (rep, n, vec) for every distinct vector."""
     v = F.col(column).cast("array<double>")
-    size = F.aggregate(v, F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)) + x * 0)  # null or NaN if any part is null or not finite
-    fit = F.coalesce((F.size(v) > 0) & (size > 0) & (size < float("inf")) & ~F.isnan(size), F.lit(False))
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    fit = F.coalesce((F.size(v) > 0) & ~bad & F.exists(v, lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col(key).alias("id"), F.when(fit, F.transform(v, lambda x: x + F.lit(0.0))).alias("vec"))
     classes = stored(rows.filter("vec is not null").groupBy("vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")))
     members = rows.join(classes, "vec", "left").select("id", "rep", F.coalesce("n", F.lit(1)).alias("n"))
