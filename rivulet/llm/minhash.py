@@ -13,7 +13,7 @@ both signatures put it near the limit. Both steps together link whatever candida
 components depend on that alone.
 
 A pair of similarity 0.8 shares no band with probability (1 - 0.8**ROWS)**BANDS, about 5e-8; its estimate falls below
-the least at five standard deviations or more.
+the least with probability 1e-6 or less.
 
 Defined cases: null text or text without words has an empty set and links with nothing; with fewer words than a shingle
 the whole sequence is the one shingle; rows that repeat an id are taken as one document by the smallest set hash; an
@@ -34,9 +34,9 @@ from rivulet.llm.graph import components
 
 BANDS, ROWS = 32, 4
 BITS = 2
-#: Least estimate of a candidate: five standard deviations or more below 0.8, for BANDS * ROWS and for FINE values.
+#: Least estimate of a candidate: 4.7 standard deviations or more below 0.8, for BANDS * ROWS and for FINE values.
 FILTER = 0.55
-FINE, FINE_FILTER = 1024, 0.725
+FINE, FINE_FILTER = 1536, 0.742
 #: Members of one hub, and rows of one block of a bucket, that a task meets at a time.
 GROUP, BLOCK = 64, 1000
 
