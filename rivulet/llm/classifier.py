@@ -1,7 +1,7 @@
 """Operator 4: quality classifier with supervised subword embeddings.
 
-A text is the average of the vectors of its features: hashed words and hashed byte 3- and 4-grams. A softmax layer
-over two classes sits on top; vectors and layer are learned together by mini-batch stochastic gradient descent in
+A text is the average of the vectors of its features: hashed words, hashed pairs of neighbouring words (by the exclusive
+or of their hashes, so that all repetitions of a word share one vector), and hashed byte 3- and 4-grams. A softmax layer over two classes sits on top; vectors and layer are learned together by mini-batch stochastic gradient descent in
 numpy. Since the layer is linear in the average, scoring needs one number per bucket: whole texts are scored in Spark
 tasks from a broadcast table of 2**BITS floats.
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import bounded_share, gram_hash, pieces, window_sums, word_hashes
+from rivulet.llm.common import bounded_share, gram_hash, mixed, pieces, window_sums, word_hashes
 
 BITS = 14
 GRAMS = (3, 4)
@@ -41,14 +41,26 @@ def _features(off: np.ndarray, data: np.ndarray) -> Iterator[tuple[int, np.ndarr
         yield n, gram_hash(data, n, BITS)
 
 
+def _word_features(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of words, each followed by that of the pair it ends (if any), and each text's offsets into them."""
+    words, at = word_hashes(data, off)
+    pairs = mixed(words[1:] ^ words[:-1] ^ np.uint64(0x9E3779B97F4A7C15))
+    both = np.empty(2 * len(words), np.uint64)
+    both[::2], both[3::2] = words, pairs
+    inside = np.ones(len(both), bool)
+    first = at[:-1][np.diff(at) > 0]
+    inside[2 * first + 1] = False  # a text's first word ends no pair
+    run = np.concatenate(([0], np.cumsum(inside)))
+    return (both[inside] >> np.uint64(64 - BITS)).astype(np.int64), run[2 * at]
+
+
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         label = batch.column(0).to_pylist()
         out = []
         for first, off, data in pieces(batch.column(1)):
             grams = list(_features(off, data))
-            words, word_off = word_hashes(data, off)
-            words = words >> np.uint64(64 - BITS)
+            words, word_off = _word_features(off, data)
             for i in range(len(off) - 1):
                 own = [h[off[i] : max(off[i], off[i + 1] - n + 1)] for n, h in grams] + [words[word_off[i] : word_off[i + 1]]]
                 bag = np.bincount(np.concatenate([x.astype(np.int64) for x in own]), minlength=1 << BITS)
@@ -114,8 +126,8 @@ def scores(model: Model, col: pa.Array) -> np.ndarray:
         for n, h in _features(off, data):
             total += window_sums(model.weight[h], off, n)
             count += np.maximum(0, np.diff(off) - n + 1)
-        words, word_off = word_hashes(data, off)
-        run = np.concatenate(([0.0], np.cumsum(model.weight[words >> np.uint64(64 - BITS)], dtype=np.float64)))
+        words, word_off = _word_features(off, data)
+        run = np.concatenate(([0.0], np.cumsum(model.weight[words], dtype=np.float64)))
         total += run[word_off[1:]] - run[word_off[:-1]]
         count += np.diff(word_off)
         z = model.bias + np.where(count > 0, total / np.maximum(count, 1), 0)
