@@ -44,15 +44,18 @@ def slices(df: DataFrame, by: list[str], value: str, tie: str, percents: tuple[i
     stats = grown.groupBy(*by, "percent").agg(F.max("n").alias("group_n"), F.max("k").alias("k"), *moments(F.col("v")), *picks)
     for name in ("q1", "median", "q3"):
         stats = stats.withColumn(name, F.col(f"{name}_low") + F.col(f"{name}_share") * (F.col(f"{name}_high") - F.col(f"{name}_low"))).drop(f"{name}_low", f"{name}_high", f"{name}_share")
+    # each group's statistics, one entry for each percent, meet its ranked rows again
+    stats = stats.drop("n").withColumnRenamed("group_n", "n")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    fences = stats.groupBy(*by).agg(F.collect_list(F.struct("percent", "k", (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))).alias("fences"))
-    fenced = base.join(fences, by).select(*by, "v", "rn", F.explode("fences").alias("f")).filter("rn <= f.k")
+    found = [c for c in stats.columns if c not in by]
+    fences = stats.groupBy(*by).agg(F.collect_list(F.struct((F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"), F.struct(*found).alias("stats"))).alias("fences"))
+    fenced = base.join(fences, by).select(*by, "v", "rn", F.explode("fences").alias("f")).filter("rn <= f.stats.k")
     inside = (F.col("v") >= F.col("f.low")) & (F.col("v") <= F.col("f.high"))
     second = [F.min(F.when(inside, F.col("v"))).alias("whisker_low"), F.max(F.when(inside, F.col("v"))).alias("whisker_high"), F.sum(F.when(inside, 0).otherwise(1)).alias("outliers")]
     if keep_outliers:
         second.append(F.sort_array(F.collect_list(F.when(~inside, F.col("v")))).alias("outlier_values"))
-    whiskers = fenced.groupBy(*by, F.col("f.percent").alias("percent")).agg(*second)
-    return stats.drop("n").withColumnRenamed("group_n", "n").join(whiskers, [*by, "percent"])
+    out = fenced.groupBy(*by, F.col("f.stats.percent").alias("percent")).agg(F.first("f.stats").alias("s"), *second)
+    return out.select(*by, *[f"s.{c}" for c in found], *[c for c in out.columns if c not in (*by, "percent", "s")])
 
 
 def box_plot(df: DataFrame, by: list[str], value: str, tie: str, keep_outliers: bool = False) -> DataFrame:
