@@ -56,7 +56,7 @@ def slice_report(df: DataFrame, history: DataFrame, calendar: DataFrame, sizes:
     by = ["source", "window", cols.entity, "period"]
     found = slices.slices(ours.unionByName(past), by, "x", "tie", percents)
     # groups without finite values: months of history, and stages that have rows
-    empty = history.select(cols.entity).distinct().withColumn("window", F.explode(F.array(*[F.lit(k) for k in (0, *sizes)]))).withColumn("period", F.explode(F.sequence(F.lit(1), F.lit(12))).cast("long")).withColumn("source", F.lit("history"))
+    empty = history.select(cols.entity).distinct().withColumn("window", F.explode(F.array(*[F.lit(k) for k in (0, *sizes)]))).withColumn("period", F.explode(F.sequence(F.lit(1), F.lit(12)).cast("array<long>"))).withColumn("source", F.lit("history"))
     empty = empty.unionByName(ours.select("source", "window", cols.entity, "period").distinct())
     grid = empty.withColumn("percent", F.explode(F.array(*[F.lit(p) for p in percents])))
     out = grid.join(found, [*by, "percent"], "left")

@@ -122,9 +122,9 @@ def w4(spark, d):
     return windows.lag_audit(views.with_lags(spark, d), views.calendar(spark, d))
 
 
-SLICES = """, s AS (SELECT hydro_id, stage_id, x, row_number() OVER (PARTITION BY hydro_id, stage_id ORDER BY x, scenario_id) AS rn, count(*) OVER (PARTITION BY hydro_id, stage_id) AS n FROM fin WHERE x IS NOT NULL),
+SLICES = """, s AS (SELECT {keys}, x, row_number() OVER (PARTITION BY {keys} ORDER BY x, {tie}) AS rn, count(*) OVER (PARTITION BY {keys}) AS n FROM {src} WHERE x IS NOT NULL),
 g AS (SELECT s.*, p AS percent, (n * p + 99) // 100 AS k FROM s CROSS JOIN range({range}) t(p) WHERE rn <= (n * p + 99) // 100),
-l AS (SELECT hydro_id, stage_id, percent, any_value(n) AS n, any_value(k) AS k, list(x ORDER BY rn) AS xs, avg(x) AS mean, stddev_pop(x) AS sd FROM g GROUP BY ALL),
+l AS (SELECT {keys}, percent, any_value(n) AS n, any_value(k) AS k, list(x ORDER BY rn) AS xs, avg(x) AS mean, stddev_pop(x) AS sd FROM g GROUP BY ALL),
 q AS (SELECT *, xs[1] AS minimum, xs[k] AS maximum, {quartiles} FROM l),
 f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS low, q3 + 1.5 * (q3 - q1) AS high FROM q),
 o AS (SELECT *, list_min(list_filter(xs, lambda v: v >= low AND v <= high)) AS whisker_low, list_max(list_filter(xs, lambda v: v >= low AND v <= high)) AS whisker_high, len(list_filter(xs, lambda v: v < low OR v > high)) AS outliers FROM f)"""
@@ -136,8 +136,8 @@ def _quartile_sql(name: str, q: float) -> str:
     return f"CASE WHEN {pos} <= 0 THEN xs[1] WHEN {pos} >= k - 1 THEN xs[k] ELSE xs[{low} + 1] + ({pos} - {low}) * (xs[{low} + 2] - xs[{low} + 1]) END AS {name}"
 
 
-def slices_sql(range_: str) -> str:
-    return SLICES.format(range=range_, quartiles=", ".join(_quartile_sql(n, q) for n, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))))
+def slices_sql(range_: str, src: str = "fin", keys: str = "hydro_id, stage_id", tie: str = "scenario_id") -> str:
+    return SLICES.format(range=range_, src=src, keys=keys, tie=tie, quartiles=", ".join(_quartile_sql(n, q) for n, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))))
 
 
 FIVE = r("minimum", "q1", "median", "q3", "maximum", "whisker_low", "whisker_high")
@@ -456,9 +456,75 @@ def f9(spark, d):
     return reports.report_order(filters.report_filter(report(spark, d), [1, 6], None, [1, 2], [10, 11, 12], [0, 6])).select("hydro_id", "source", "window", "stage_id", "month", "n", "mean")
 
 
-@register("slice_report")
+ALL_X = """, allx AS (SELECT 'scenarios' AS source, 0 AS win, hydro_id, stage_id AS period, scenario_id AS tie, x FROM fin UNION ALL SELECT 'scenarios', win, hydro_id, stage_id, scenario_id, total FROM roll
+  UNION ALL SELECT 'history', 0, hydro_id, month, date_diff('day', DATE '1900-01-01', start_d), x FROM hist UNION ALL SELECT 'history', win, hydro_id, month, date_diff('day', DATE '1900-01-01', start_d), total FROM rollh),
+every AS (SELECT DISTINCT source, win, hydro_id, period FROM allx WHERE source = 'scenarios' UNION ALL
+  SELECT 'history', win, hydro_id, period FROM (SELECT DISTINCT hydro_id FROM hist) CROSS JOIN (SELECT unnest([0, 6, 12]) AS win) CROSS JOIN range(1, 13) t(period))"""
+
+
+@register("slice_report", f"""{ALL_X}{slices_sql('5, 100, 5', 'allx', 'source, win, hydro_id, period', 'tie')}
+SELECT source, CAST(win AS INTEGER) AS "window", hydro_id, CAST(period AS BIGINT) AS period, CAST(percent AS INTEGER) AS percent, coalesce(n, 0) AS n, CAST(coalesce(k, 0) AS BIGINT) AS k, round(mean, 6) + 0.0 AS mean,
+  round(CASE WHEN minimum = maximum THEN 0.0 ELSE sd END, 6) + 0.0 AS sd, {FIVE}, CAST(coalesce(outliers, 0) AS BIGINT) AS outliers, 'p' || percent || '%' AS label
+FROM every CROSS JOIN (SELECT unnest(range(5, 100, 5)) AS percent) LEFT JOIN o USING (source, win, hydro_id, period, percent)""")
 def slice_report(spark, d):
-    return reports.slice_report(views.ensemble(spark, d), views.history(spark, d), views.calendar(spark, d))
+    # without the shape: sums of one window that differ in their last bits only have one, or none, by the order of adding
+    return reports.slice_report(views.ensemble(spark, d), views.history(spark, d), views.calendar(spark, d)).drop("skewness", "kurtosis")
+
+
+@register("F10_slice_filter", f"""{ALL_X}{slices_sql('5, 100, 5', 'allx', 'source, win, hydro_id, period', 'tie')}
+SELECT source, CAST(win AS INTEGER) AS "window", hydro_id, CAST(period AS BIGINT) AS period, CAST(percent AS INTEGER) AS percent, CAST(coalesce(k, 0) AS BIGINT) AS k, round(median, 6) + 0.0 AS median
+FROM every CROSS JOIN (SELECT unnest([10, 50]) AS percent) LEFT JOIN o USING (source, win, hydro_id, period, percent) WHERE win IN (0, 12)""")
+def f10(spark, d):
+    return filters.slice_filter(slice_report(spark, d), [10, 50], [0, 12]).select("source", "window", "hydro_id", "period", "percent", "k", "median")
+
+
+@register("ks_report", "SELECT hydro_id, stage_id, " + LABEL + " FROM (SELECT DISTINCT hydro_id, stage_id FROM ens) LEFT JOIN names USING (hydro_id)")
+def ks_report(spark, d):
+    return reports.ks_report(views.ensemble(spark, d), views.history(spark, d), views.calendar(spark, d), views.names(spark, d)).select(*G, "label")
+
+
+@register("T1_page_after", "SELECT scenario_id, stage_id, node_id, hydro_id, x FROM fin WHERE x > 50 OR x IS NULL OR (x = 50 AND scenario_id > 3) ORDER BY x NULLS LAST, scenario_id, stage_id, node_id, hydro_id LIMIT 50")
+def t1b(spark, d):
+    from rivulet.functions.numeric import finite
+
+    last = {V: 50.0, "scenario_id": 3, "stage_id": 10**6, "node_id": 0, "hydro_id": 0}
+    return browse.page_after(views.ensemble(spark, d).withColumn(V, finite(V)), V, last, size=50).select("scenario_id", "stage_id", "node_id", "hydro_id", F.col(V).alias("x"))
+
+
+@register("Q2_null_keys", "SELECT 'node_id' AS key, count(*) AS nulls FROM ens WHERE (stage_id + scenario_id) % 50 = 0 HAVING count(*) > 0")
+def q2(spark, d):
+    rows = views.ensemble(spark, d).withColumn("node_id", F.when((F.col("stage_id") + F.col("scenario_id")) % 50 != 0, F.col("node_id")))
+    return quality.null_keys(rows, ["scenario_id", "stage_id", "node_id", "hydro_id"])
+
+
+@register("Q11_bad_catalog", "SELECT hydro_id, CASE WHEN hydro_id = 2 THEN ' ' ELSE name END AS name, CASE WHEN hydro_id = 4 THEN 'repeated_id' ELSE 'blank_name' END AS problem FROM (SELECT * FROM names UNION ALL SELECT hydro_id, name || '2' FROM names WHERE hydro_id = 4) WHERE hydro_id IN (2, 4)")
+def q11(spark, d):
+    names = views.names(spark, d).withColumn("name", F.when(F.col("hydro_id") == 2, " ").otherwise(F.col("name")))
+    return quality.bad_catalog(names.unionByName(names.filter("hydro_id = 4").withColumn("name", F.concat("name", F.lit("2")))))
+
+
+@register("Q12_calendar_gaps", "SELECT stage_id, 'gap_or_overlap' AS problem FROM cal WHERE stage_id % 10 = 2 AND stage_id < (SELECT max(stage_id) FROM cal WHERE stage_id % 10 <> 3)")
+def q12(spark, d):
+    return quality.bad_calendar(views.calendar(spark, d).filter("stage_id % 10 <> 3")).select("stage_id", "problem")
+
+
+@register("Q15_bad_history", "SELECT hydro_id, month, CASE WHEN hydro_id = 3 THEN 'not_a_month' ELSE 'bad_date' END AS problem FROM hist WHERE hydro_id = 3 OR (hydro_id = 5 AND month = 1)")
+def q15(spark, d):
+    rows = views.history(spark, d)
+    start = F.when(F.col("hydro_id") == 3, F.date_add("start", 1).cast("string")).when((F.col("hydro_id") == 5) & (F.col("month") == 1), "unknown").otherwise(F.col("start").cast("string"))
+    return quality.bad_history(rows.select("hydro_id", "month", start.alias("start_date"), F.col("end").alias("end_date"))).select("hydro_id", "month", "problem")
+
+
+@register("F11_pairs_of_stages", f"{SPATIAL} SELECT stage_id, a, b, n, {RHO} FROM judged WHERE stage_id IN (20, 21) AND a IN (1, 2)")
+def f11(spark, d):
+    rows = views.ensemble(spark, d).filter(filters.among("stage_id", [20, 21]))
+    return correlation.spatial_pairs(rows).filter(filters.among("a", [1, 2])).select("stage_id", "a", "b", "n", "rho", "reason")
+
+
+@register("U1_distinct_keys", "SELECT scenario_id, stage_id, 'flows' AS kind FROM ens GROUP BY ALL UNION ALL SELECT scenario_id, stage_id, 'lags' FROM lagl GROUP BY ALL")
+def u1(spark, d):
+    keys = lambda df, kind: df.select("scenario_id", "stage_id").distinct().withColumn("kind", F.lit(kind))
+    return keys(views.ensemble(spark, d), "flows").unionByName(keys(views.shifted(spark, d), "lags"))
 
 
 @register("stage_profile", f"""{slices_sql('100, 101')}, ser AS (SELECT hydro_id, stage_id, count(x) AS n, avg(x) AS mean, stddev_pop(x) AS sd, avg(slack) AS mean_slack FROM fin GROUP BY ALL), past AS (SELECT hydro_id, month, count(x) AS history_n, avg(x) AS history_mean, stddev_pop(x) AS history_sd FROM hist GROUP BY ALL)
