@@ -34,6 +34,8 @@ from rivulet.llm.common import mixed, pieces, stored
 LENGTH, GRAM = 50, 20
 #: Bytes of text that a task packs at a time, that a suffix bucket covers, and that a group of documents holds.
 FLUSH_BYTES, BUCKET_BYTES, GROUP_BYTES = 8 << 20, 16 << 20, 4 << 20
+#: Bytes of text that are hashed at a time: some twenty arrays of so many 64-bit numbers.
+HASHED_BYTES = 1 << 20
 LAST = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -43,7 +45,7 @@ _powers: dict[str, np.ndarray] = {}
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("up", ())) < n:
-        m = max(n, 1 << 22)
+        m = max(n, 2 * HASHED_BYTES)
         for name, base in (("up", _BASE), ("down", _BACK)):
             x = np.full(m, base, np.uint64)
             x[0] = 1
@@ -159,7 +161,7 @@ def _first_step(buckets: int, groups: int, length: int, gram: int, flush: int):
 
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for first, off, data in pieces(batch.column(1)):
+            for first, off, data in pieces(batch.column(1), HASHED_BYTES):
                 text, g, c, _, _ = covers(data, off, length, gram)
                 num = np.arange(len(text)) - np.searchsorted(text, text)
                 held.append((ids[first + text], num, g, c))
@@ -235,7 +237,7 @@ def _documents(docs: pa.Table, length: int, gram: int) -> Iterator[tuple[int, np
     """(id, bytes, covers) of each text of a group."""
     for chunk in docs.combine_chunks().to_batches():
         ids = chunk.column("id").to_pylist()
-        for first, off, data in pieces(chunk.column("text")):
+        for first, off, data in pieces(chunk.column("text"), HASHED_BYTES):
             text, g, c, lo, hi = covers(data, off, length, gram)
             at = np.searchsorted(text, np.arange(len(off)))
             for i in range(len(off) - 1):
