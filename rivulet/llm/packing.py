@@ -18,7 +18,7 @@ import math
 import os
 import re
 from collections.abc import Iterator
-from itertools import islice
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -55,27 +55,24 @@ class WordEncoder:
     def _plain(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
+    def _learn(self, words: list[str]) -> None:
         """Ids of distinct words with a space before each: one call, cut where a token starts with the space."""
         ids = self._plain("".join([" " + w for w in words]))
         at = (4 * np.append(np.flatnonzero(self.spaced[ids]), len(ids))).tolist()
         raw = ids.tobytes()
-        new = {w: raw[i:j] for w, i, j in zip(words, at[:-1], at[1:], strict=True)}
-        if len(self.known) + len(new) > self.most:
-            self.known = dict(islice(self.known.items(), len(self.known) // 2, None))  # the older half goes
-        self.known |= new
-        return new
+        self.known.update(zip(words, [raw[i:j] for i, j in pairwise(at)], strict=True))
 
     def ids(self, text: str) -> bytes:
         """Little-endian 32-bit ids of the text."""
         if CROWDED.search(text):
             return self._plain(text).tobytes()
         head, *words = text.split(" ")
-        parts = list(map(self.known.get, words))
-        if None in parts:
-            new = self._learn(list(dict.fromkeys(w for w, p in zip(words, parts, strict=True) if p is None)))
-            parts = [new[w] if p is None else p for w, p in zip(words, parts, strict=True)]
-        return (self._plain(head).tobytes() if head else b"") + b"".join(parts)
+        if len(self.known) > self.most:
+            self.known = dict(islice(self.known.items(), len(self.known) // 2, None))  # the older half goes
+        fresh = set(words).difference(self.known)
+        if fresh:
+            self._learn(list(fresh))
+        return (self._plain(head).tobytes() if head else b"") + b"".join(map(self.known.__getitem__, words))
 
 
 def cut(docs: DataFrame, tokenizer_path: str, length: int = 1024, end_id: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
