@@ -21,6 +21,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(ls) - len(list_distinct(
   CAST(gone AS BIGINT) AS n_removed_words, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT (gone > 0 AND (total - gone < 20 OR total - gone < 0.2 * total)) AS kept FROM r
 """
 
+# The same with a limit that follows the host: more than 4 documents and more than 4 per cent of the host's.
+OFTEN = "SELECT host, l FROM held GROUP BY ALL HAVING count(*) > 20"
+SHARED = """SELECT host, l FROM (SELECT host, l, count(*) AS n FROM held GROUP BY ALL) JOIN (SELECT host, count(*) AS size FROM (SELECT DISTINCT host, doc_id FROM d) GROUP BY host) USING (host)
+  WHERE n > 4 AND 100 * n > 4 * size"""
+LINE_SHARE = QUALITY_RULES.replace(OFTEN, SHARED)
+
 MINHASH = rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS}') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS k FROM d, unnest(range(1, greatest(len(w) - 2, 2))) r(i) WHERE len(w) > 0),
@@ -68,4 +74,4 @@ y AS (SELECT x.*, words, take, CASE WHEN words > 0 THEN take // words ELSE 0 END
 SELECT doc_id, size, ss AS source_size, target, CAST(rounds * size + greatest(0, least(size, take - rounds * words - before)) AS BIGINT) AS taken FROM y
 """
 
-ORACLE_SQL = {"op1_quality_rules": QUALITY_RULES, "op2_minhash_near_dedup": MINHASH, "op3_embedding_near_dedup": EMBEDDINGS, "op5_line_dedup": LINE_DEDUP, "op9_source_mixing": MIXING}
+ORACLE_SQL = {"op1_quality_rules": QUALITY_RULES, "op1_line_share": LINE_SHARE, "op2_minhash_near_dedup": MINHASH, "op3_embedding_near_dedup": EMBEDDINGS, "op5_line_dedup": LINE_DEDUP, "op9_source_mixing": MIXING}

@@ -2,7 +2,9 @@
 
 ``base_rules`` measures each whole text in one row. ``line_rule`` hashes normalised lines (blanks collapsed, trimmed,
 lower case), counts the distinct documents that hold a line per host, removes lines in more than ``max_documents``
-documents of their host, and rejects documents of which too few words are left.
+documents of their host, and rejects documents of which too few words are left. With ``percent`` the limit follows the
+size of the host: a line goes if more than ``percent`` per cent of the host's distinct documents hold it, and more than
+``min_documents``; ``max_documents`` is not used then.
 
 Defined cases: null text is empty: no words, fails the base rules; null hosts are one host of their own; rows repeated
 with one key count as one document in line counts, and each gets a row; texts without lines above the limit lose
@@ -18,6 +20,8 @@ from rivulet.llm.common import SPACE, stored
 
 #: A line in more documents of one host than this is boilerplate.
 MAX_DOCUMENTS = 20
+#: The same as a share of the host's distinct documents, and the least number of documents that it takes.
+PERCENT, MIN_DOCUMENTS = 4, 4
 #: A document is depleted if less than this share of its words, or fewer words than MIN_WORDS, are left.
 MIN_SHARE = 0.2
 MIN_WORDS = 20
@@ -54,7 +58,17 @@ def base_rules(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     return one.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
-def boilerplate(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, text: str = "text", key: str = "doc_id", host: str = "source") -> DataFrame:
+def limited(held: DataFrame, docs: DataFrame, max_documents: int, percent: int | None, min_documents: int, key: str, host: str) -> DataFrame:
+    """(host, h): the lines of ``held`` above the limit of their host."""
+    counts = held.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"))
+    if percent is None:
+        return counts.filter(F.col("n") > max_documents).select("host", "h")
+    sizes = docs.select(F.coalesce(F.col(host), F.lit("")).alias("host"), F.col(key).alias("k")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("size"))
+    often = counts.filter(F.col("n") > min_documents).join(sizes, "host")
+    return often.filter(100 * F.col("n") > percent * F.col("size")).select("host", "h")
+
+
+def boilerplate(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, text: str = "text", key: str = "doc_id", host: str = "source", percent: int | None = None, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """(key, n_removed_words, n_line_words): words on lines above the limit, for documents that have any line."""
     body = F.coalesce(F.col(text), F.lit(""))
     lines = docs.select(F.col(key).alias("k"), F.col(host).alias("host"), F.explode(F.split(body, "\n", -1)).alias("line"))
@@ -63,16 +77,16 @@ def boilerplate(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, text: str =
     words = F.length("line") - F.length(F.translate("line", " ", "")) + 1
     # one row for each line of a document: stored, since counts and verdicts both read it
     held = stored(lines.select("k", F.coalesce("host", F.lit("")).alias("host"), F.xxhash64("line").alias("h"), words.alias("w")).groupBy("k", "host", "h").agg(F.sum("w").alias("w")))
-    common = held.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_documents).select("host", "h")
+    common = limited(held, docs, max_documents, percent, min_documents, key, host)
     removed = held.join(common, ["host", "h"]).groupBy("k").agg(F.sum("w").alias("n_removed_words"))
     total = held.groupBy("k").agg(F.sum("w").alias("n_line_words"))
     return total.join(removed, "k", "left").select(F.col("k").alias(key), F.coalesce("n_removed_words", F.lit(0)).alias("n_removed_words"), "n_line_words")
 
 
-def line_rule(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, text: str = "text", key: str = "doc_id", host: str = "source") -> DataFrame:
+def line_rule(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, text: str = "text", key: str = "doc_id", host: str = "source", percent: int | None = None, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """``base_rules`` with n_removed_words and kept: the base rules and the depletion rule both passed."""
     base = base_rules(docs, text, key)
-    found = boilerplate(docs, max_documents, text, key, host).withColumnRenamed(key, "__key")
+    found = boilerplate(docs, max_documents, text, key, host, percent, min_documents).withColumnRenamed(key, "__key")
     gone = F.coalesce("n_removed_words", F.lit(0))
     rest = F.coalesce("n_line_words", F.lit(0)) - gone
     depleted = (gone > 0) & ((rest < MIN_WORDS) | (rest < MIN_SHARE * F.col("n_line_words")))

@@ -26,6 +26,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.line_rule(table(spark, sf_dir, "documents"))
 
 
+def op1_line_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.line_rule(table(spark, sf_dir, "documents"), percent=quality_rules.PERCENT)
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -76,5 +80,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_minhash_near_dedup, op3_embedding_near_dedup, op4_quality_classifier, op5_line_dedup, op6_suffix_dedup, op7_language_id, op8_html_extraction, op9_source_mixing, op10_best_fit_packing)
+    f.__name__: f for f in (op1_quality_rules, op1_line_share, op2_minhash_near_dedup, op3_embedding_near_dedup, op4_quality_classifier, op5_line_dedup, op6_suffix_dedup, op7_language_id, op8_html_extraction, op9_source_mixing, op10_best_fit_packing)
 }

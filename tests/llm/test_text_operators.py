@@ -64,6 +64,27 @@ def test_quality_rules(spark):
     assert all(rows[i]["kept"] and rows[i]["n_removed_words"] == 30 for i in range(25)) and not rows[25]["kept"]
 
 
+def test_line_limit_follows_the_host(spark):
+    rest = lambda h, i: " ".join(f"{h}{i}x{j}" for j in range(30))
+    rows = []
+    for h, n in (("small", 50), ("large", 1000)):
+        for i in range(n):
+            often, seldom = "a line often seen\n" if i % 10 == 0 else "", "a line seldom seen\n" if i % 50 == 1 else ""
+            rows.append((len(rows), often + seldom + rest(h, i), "en", h, 0))
+    df = spark.createDataFrame(rows, DOCS)
+    out = quality_rules.line_rule(df, percent=4, min_documents=4).join(df.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("n_removed_words")).collect()
+    assert dict(map(tuple, out)) == {"small": 5 * 4, "large": 100 * 4}
+    few = df.filter("source = 'small'").limit(9)
+    assert quality_rules.line_rule(few, percent=4, min_documents=9).filter("n_removed_words > 0").count() == 0
+
+
+def test_line_share_sql(spark):
+    sf = SF.replace("0.001", "0.01")
+    df = queries.op1_line_share(spark, sf)
+    assert df.filter("n_removed_words > 0").count() > 0
+    assert_same(df, connected(sf).sql(oracles.LINE_SHARE))
+
+
 def shingles(text, width):
     words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} if len(words) >= width else ({tuple(words)} if words else set())
