@@ -10,7 +10,9 @@ period, one place in about sixteen suffices. The strings with one cover place ar
    it holds twice. Each bucket is sorted by gram and context, one bucket at a time. A context that a smaller document
    also has is removed whole. Long ties, that is equal grams with different contexts, are left to the second step.
 2. For those alone, documents send the contexts' bytes to the same buckets. Every string in them is ranked by its hash,
-   and those of which a smaller document holds the same are marked.
+   and those of which a smaller document holds the same are marked. A gram with more than ``HOT_CONTEXTS`` contexts does
+   not go to one bucket: its strings are ranked where the text is, a task marks those that a smaller document of its own
+   has, and the rest go to the buckets of their own ranks.
 3. Documents collect the marks and cut the covered bytes.
 
 All three run over packed arrays; texts are shuffled once, by a hash of the id, and both later steps read that.
@@ -36,6 +38,9 @@ LENGTH, GRAM = 50, 20
 FLUSH_BYTES, BUCKET_BYTES, GROUP_BYTES = 8 << 20, 16 << 20, 4 << 20
 #: Bytes of text that are hashed at a time: some twenty arrays of so many 64-bit numbers.
 HASHED_BYTES = 1 << 20
+#: Long ties of one gram beyond which its strings spread over the buckets, and buckets of strings for each of suffixes:
+#: a bucket's text can hold a string for each byte.
+HOT_CONTEXTS, SPREAD = 4096, 4
 LAST = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -115,7 +120,8 @@ def _group(doc: np.ndarray, groups: int) -> np.ndarray:
     return doc % groups
 
 
-#: Rows of all steps: part is the bucket, or with kind 1 the group of documents that marks are for.
+#: Rows of all steps: part is the bucket (kind 0: of contexts, 2: of single strings), or with kind 1 the group of
+#: documents that marks are for.
 _SCHEMA = "kind int, part int, ids binary, counts binary, nums binary, a binary, b binary, c binary"
 _NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
 _KINDS = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
@@ -135,11 +141,12 @@ def _by_part(kind: int, part: np.ndarray, doc: np.ndarray, num: np.ndarray, *col
 
 
 def _marks(doc: np.ndarray, num: np.ndarray, mask: np.ndarray, groups: int) -> Iterator[tuple]:
-    """Marks (which strings of a cover place go; bit 31: its context must be sent) for the groups of the documents."""
+    """Marks (which strings of a cover place go; bit 31: its context must be sent, with bit 0 as single strings) for the
+    groups of the documents."""
     return _by_part(1, _group(doc, groups), doc, num, mask.astype(np.uint32))
 
 
-ALL, ASKED = np.uint32(0x7FFFFFFF), np.uint32(0x80000000)
+ALL, ASKED, HOT = np.uint32(0x7FFFFFFF), np.uint32(0x80000000), np.uint32(0x80000001)
 
 
 def _first_step(buckets: int, groups: int, length: int, gram: int, flush: int):
@@ -181,10 +188,10 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[dict], list
     for batch in batches:
         through = []
         for row in batch.to_pylist():
-            if row["kind"]:
+            if row["kind"] == 1:
                 through.append(tuple(row.values()))
                 continue
-            if held and held[0]["part"] != row["part"]:
+            if held and (held[0]["kind"], held[0]["part"]) != (row["kind"], row["part"]):
                 yield held, []
                 held = []
             held.append(row)
@@ -199,7 +206,7 @@ def _joined(rows: list[dict], **kinds: type) -> list[np.ndarray]:
     return [doc, *(np.concatenate([np.frombuffer(r[name], kind) for r in rows]) for name, kind in kinds.items())]
 
 
-def _first_buckets(groups: int):
+def _first_buckets(groups: int, hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, through in _parts(batches):
             if through:
@@ -215,7 +222,8 @@ def _first_buckets(groups: int):
             least, most = np.minimum.reduceat(doc, heads), np.maximum.reduceat(doc, heads)
             several = (np.add.reduceat(new.astype(np.int64), heads) > 1) & (least < most)
             asked = several[np.cumsum(head) - 1] & ~known
-            mask = np.where(known, ALL, np.where(asked, ASKED, np.uint32(0)))
+            many = (np.add.reduceat(asked.astype(np.int64), heads) > hot)[np.cumsum(head) - 1]
+            mask = np.where(known, ALL, np.where(asked, np.where(many, HOT, ASKED), np.uint32(0)))
             use = mask > 0
             yield _batch(list(_marks(doc[use], num[use], mask[use], groups)))
 
@@ -245,10 +253,34 @@ def _documents(docs: pa.Table, length: int, gram: int) -> Iterator[tuple[int, np
                 yield ids[first + i], data[off[i] : off[i + 1]], (g[a:b], lo[a:b] - off[i], hi[a:b] - off[i])
 
 
-def _second_step(buckets: int, length: int, gram: int):
+def _strings(data: np.ndarray, num: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(number of the place, bit, rank) of every string of some contexts of a text."""
+    more = hi - lo + 1
+    bit = np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more)
+    at = np.repeat(lo, more) + bit
+    return np.repeat(num, more).astype(np.uint32), bit.astype(np.uint8), mixed(Rolling(data).of(at, at + length))
+
+
+def _later(doc: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which strings a smaller document has as well."""
+    order = np.lexsort((doc, rank))
+    own = doc[order]
+    new = _runs(rank[order])
+    gone = np.zeros(len(doc), bool)
+    gone[order] = own > own[np.flatnonzero(new)][np.cumsum(new) - 1]
+    return gone
+
+
+def _bits(doc: np.ndarray, num: np.ndarray, bit: np.ndarray, groups: int) -> Iterator[tuple]:
+    """Marks of single strings."""
+    return _marks(doc, num, np.uint32(1) << bit.astype(np.uint32), groups)
+
+
+def _second_step(buckets: int, groups: int, length: int, gram: int):
     def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
         found = _marked(marks)
         out: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, list[bytes]]] = []
+        single: list[tuple[np.ndarray, ...]] = []
         seen = set()
         if any((m & ASKED).any() for _, m in found.values()):
             for doc, data, (g, lo, hi) in _documents(docs, length, gram):
@@ -256,7 +288,11 @@ def _second_step(buckets: int, length: int, gram: int):
                 if num is None or doc in seen:
                     continue
                 seen.add(doc)
-                num = num[(mask & ASKED > 0) & (num < len(g))]
+                ok = num < len(g)
+                hot, num = num[(mask == HOT) & ok], num[(mask == ASKED) & ok]
+                if len(hot):
+                    found_strings = _strings(data, hot, lo[hot], hi[hot], length)
+                    single.append((np.full(len(found_strings[0]), doc, np.int64), *found_strings))
                 raw = data.tobytes()
                 out.append((doc, num, g[num], hi[num] - lo[num], [raw[a : b + length] for a, b in zip(lo[num].tolist(), hi[num].tolist(), strict=True)]))
         rows = []
@@ -271,6 +307,12 @@ def _second_step(buckets: int, length: int, gram: int):
             for a, b in zip(at[:-1], at[1:], strict=True):
                 own = order[a:b]
                 rows.append((0, int(part[a]), *_packed(doc[own]), num[own].astype(np.uint32).tobytes(), more[own].astype(np.uint8).tobytes(), b"".join(texts[i] for i in own), b""))
+        if single:
+            doc, num, bit, rank = (np.concatenate(x) for x in zip(*single, strict=True))
+            gone = _later(doc, rank)
+            rows += _bits(doc[gone], num[gone], bit[gone], groups)
+            doc, num, bit, rank = doc[~gone], num[~gone], bit[~gone], rank[~gone]
+            rows += _by_part(2, ((rank >> np.uint64(32)) % np.uint64(SPREAD * buckets)).astype(np.int64), doc, num, bit, rank)
         return pa.Table.from_batches([_batch(rows)])
 
     return run
@@ -278,7 +320,15 @@ def _second_step(buckets: int, length: int, gram: int):
 
 def _second_buckets(groups: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, _ in _parts(batches):
+        for rows, through in _parts(batches):
+            if through:
+                yield _batch(through)
+                continue
+            if rows[0]["kind"] == 2:
+                doc, num, bit, rank = _joined(rows, nums=np.uint32, a=np.uint8, b=np.uint64)
+                gone = _later(doc, rank)
+                yield _batch(list(_bits(doc[gone], num[gone], bit[gone], groups)))
+                continue
             doc, num, more = _joined(rows, nums=np.uint32, a=np.uint8)
             data = np.concatenate([np.frombuffer(r["b"], np.uint8) for r in rows])
             more = more.astype(np.int64)
@@ -308,7 +358,7 @@ def _third_step(length: int, gram: int):
             sizes.append(len(data))
             num, mask = found.get(doc, (np.zeros(0, np.int64), np.zeros(0, np.uint32)))
             ok = num < len(lo)
-            num, mask = num[ok].astype(np.int64), mask[ok] & ALL
+            num, mask = num[ok].astype(np.int64), np.where(mask[ok] & ASKED, np.uint32(0), mask[ok])
             whole = mask == ALL
             change = np.zeros(len(data) + 1, np.int32)
             np.add.at(change, lo[num[whole]], 1)
@@ -339,7 +389,7 @@ def _prime(n: int) -> int:
     return n
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "text", key: str = "doc_id") -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "text", key: str = "doc_id", hot: int = HOT_CONTEXTS) -> DataFrame:
     """(key, n_bytes, kept, spans): the remaining bytes of each text and the maximal removed runs (start, end)."""
     if not 0 < length - gram < 31:
         raise ValueError("length must exceed gram by 1 to 30")
@@ -350,10 +400,10 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "
     buckets, groups = max(1, -(-total // BUCKET_BYTES)), _prime(-(-total // GROUP_BYTES))
 
     first = rows.mapInArrow(_first_step(buckets, groups, length, gram, FLUSH_BYTES), _SCHEMA)
-    first = first.repartition(max(tasks, min(buckets, 4 * tasks)), "kind", "part").sortWithinPartitions("kind", "part").mapInArrow(_first_buckets(groups), _SCHEMA)
+    first = first.repartition(max(tasks, min(buckets, 4 * tasks)), "kind", "part").sortWithinPartitions("kind", "part").mapInArrow(_first_buckets(groups, hot), _SCHEMA)
     first = stored(first)
     dealt = rows.withColumn("part", F.pmod("id", F.lit(groups)).cast("int"))
-    second = dealt.groupBy("part").cogroup(first.groupBy("part")).applyInArrow(_second_step(buckets, length, gram), _SCHEMA)
+    second = dealt.groupBy("part").cogroup(first.groupBy("part")).applyInArrow(_second_step(buckets, groups, length, gram), _SCHEMA)
     second = second.repartition(max(tasks, min(buckets, 4 * tasks)), "kind", "part").sortWithinPartitions("kind", "part").mapInArrow(_second_buckets(groups, length), _SCHEMA)
     marks = first.unionByName(second)
     third = dealt.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(_third_step(length, gram), "id long, n_bytes long, kept binary, spans array<struct<start: long, end: long>>")

@@ -191,6 +191,41 @@ def test_suffix_dedup_against_brute_force(spark):
     assert {r[0]: tuple(r[1:]) for r in out.collect()} == removed(rows)
 
 
+def shared_passage(n):
+    rng = random.Random(8)
+    word = lambda k: "".join(rng.choice("abcdefghijklmnop ") for _ in range(k))
+    passage = word(300)
+    return [(i, word(rng.randint(60, 90)) + passage + word(rng.randint(60, 90))) for i in range(n)]
+
+
+@pytest.mark.parametrize("hot", [0, 3, 100])
+def test_suffix_dedup_of_a_frequent_gram(spark, hot):
+    rows = [*shared_passage(80), *((100 + i, t) for i, t in shared_passage(5)), (200, None), (201, "aa" * 90)]
+    df = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), hot=hot)
+    out = df.select("doc_id", "n_bytes", F.col("n_bytes") - F.octet_length("kept"), F.size("spans"), F.sha2("kept", 256))
+    assert {r[0]: tuple(r[1:]) for r in out.collect()} == removed(rows)
+
+
+def test_suffix_dedup_spreads_a_frequent_gram():
+    import pyarrow as pa
+
+    buckets = 16
+    rows = shared_passage(6000)
+    docs = pa.table({"id": pa.array([i for i, _ in rows], pa.int64()), "text": [t for _, t in rows]})
+    first = [x for b in suffix_dedup._first_step(buckets, 1, 50, 20, 1 << 16)(iter(docs.to_batches(max_chunksize=100))) for x in b.to_pylist()]
+    first = sorted(first, key=lambda r: (r["kind"], r["part"]))
+    batch = pa.RecordBatch.from_pylist(first, pa.schema(list(zip(suffix_dedup._NAMES, suffix_dedup._KINDS, strict=True))))
+    marks = pa.Table.from_batches(list(suffix_dedup._first_buckets(1, 256)(iter([batch]))))
+    marks = marks.filter(pa.compute.equal(marks["kind"], 1))
+    most = Counter()
+    for r in suffix_dedup._second_step(buckets, 1, 50, 20)(docs, marks).to_pylist():
+        if r["kind"] == 0:
+            most[0, r["part"]] += int(np.frombuffer(r["a"], np.uint8).astype(int).sum()) + len(r["a"])
+        if r["kind"] == 2:
+            most[2, r["part"]] += len(r["a"])
+    assert sum(most.values()) > 20_000 and max(most.values()) < 0.2 * sum(most.values())
+
+
 def test_suffix_dedup_null_and_repeated_ids(spark):
     text = "".join(chr(97 + i * i % 26) + str(i) for i in range(60))
     df = spark.createDataFrame([(1, text), (1, text), (None, "x" + text), (2, "short")], "doc_id long, text string")
