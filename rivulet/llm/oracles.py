@@ -26,6 +26,14 @@ OFTEN = "SELECT host, l FROM held GROUP BY ALL HAVING count(*) > 20"
 SHARED = """SELECT host, l FROM (SELECT host, l, count(*) AS n FROM held GROUP BY ALL) JOIN (SELECT host, count(*) AS size FROM (SELECT DISTINCT host, doc_id FROM d) GROUP BY host) USING (host)
   WHERE n > 4 AND 100 * n > 4 * size"""
 LINE_SHARE = QUALITY_RULES.replace(OFTEN, SHARED)
+REMAINING = f"""
+WITH v AS ({LINE_SHARE}), d AS (SELECT doc_id, coalesce(source, '') AS host, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+ln AS (SELECT doc_id, host, i, ls[i] AS x, lower(trim(regexp_replace(ls[i], '{BLANKS}', ' ', 'g'))) AS l FROM d, unnest(range(1, len(ls) + 1)) r(i)),
+held AS (SELECT DISTINCT doc_id, host, l FROM ln WHERE l <> ''),
+often AS ({SHARED}),
+rest AS (SELECT doc_id, string_agg(CASE WHEN o.l IS NULL THEN x END, chr(10) ORDER BY i) AS t FROM ln LEFT JOIN often o USING (host, l) GROUP BY doc_id)
+SELECT doc_id, n_removed_words, kept, CASE WHEN text IS NOT NULL THEN md5(coalesce(t, '')) END AS remaining_md5 FROM v JOIN d USING (doc_id) JOIN rest USING (doc_id)
+"""
 
 MINHASH = rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS}') AS w FROM documents),
@@ -74,4 +82,4 @@ y AS (SELECT x.*, words, take, CASE WHEN words > 0 THEN take // words ELSE 0 END
 SELECT doc_id, size, ss AS source_size, target, CAST(rounds * size + greatest(0, least(size, take - rounds * words - before)) AS BIGINT) AS taken FROM y
 """
 
-ORACLE_SQL = {"op1_quality_rules": QUALITY_RULES, "op1_line_share": LINE_SHARE, "op2_minhash_near_dedup": MINHASH, "op3_embedding_near_dedup": EMBEDDINGS, "op5_line_dedup": LINE_DEDUP, "op9_source_mixing": MIXING}
+ORACLE_SQL = {"op1_quality_rules": QUALITY_RULES, "op1_line_share": LINE_SHARE, "op1_remaining_text": REMAINING, "op2_minhash_near_dedup": MINHASH, "op3_embedding_near_dedup": EMBEDDINGS, "op5_line_dedup": LINE_DEDUP, "op9_source_mixing": MIXING}

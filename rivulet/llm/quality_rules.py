@@ -8,12 +8,12 @@ size of the host: a line goes if more than ``percent`` per cent of the host's di
 
 Defined cases: null text is empty: no words, fails the base rules; null hosts are one host of their own; rows repeated
 with one key count as one document in line counts, and each gets a row; texts without lines above the limit lose
-nothing; an empty table gives an empty result; further columns are ignored.
+nothing; rows with a null key count in line counts as one document and lose nothing, as in the SQL; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivulet.llm.common import SPACE, stored
@@ -32,15 +32,16 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
 
 
-def base_rules(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed) per row."""
+def base_rules(docs: DataFrame, text: str = "text", key: str = "doc_id", also: tuple[str, ...] = ()) -> DataFrame:
+    """(key, also, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed) per row."""
     body = F.coalesce(F.col(text), F.lit(""))
-    one = docs.select(F.col(key), body.alias("__t"))
+    one = docs.select(F.col(key), *also, body.alias("__t"))
     worded = F.filter(F.split("__t", "\n", -1), lambda x: F.translate(x, " \t\x0b\f\r", "") != "")
-    one = one.select(key, "__t", worded.alias("__lines"), F.transform(words_of(F.col("__t")), lambda w: F.xxhash64(w)).alias("__w"))
+    one = one.select(key, *also, "__t", worded.alias("__lines"), F.transform(words_of(F.col("__t")), lambda w: F.xxhash64(w)).alias("__w"))
     starts = F.when(F.size("__w") >= WINDOW, F.sequence(F.lit(0), F.size("__w") - WINDOW)).otherwise(F.array().cast("array<int>"))
     one = one.select(
         key,
+        *also,
         F.size("__w").cast("long").alias("n_words"),
         F.length(F.translate("__t", " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
         (F.length("__t") - F.length(F.translate("__t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
@@ -68,27 +69,37 @@ def limited(held: DataFrame, docs: DataFrame, max_documents: int, percent: int |
     return often.filter(100 * F.col("n") > percent * F.col("size")).select("host", "h")
 
 
-def boilerplate(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, text: str = "text", key: str = "doc_id", host: str = "source", percent: int | None = None, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """(key, n_removed_words, n_line_words): words on lines above the limit, for documents that have any line."""
+def normal(line: Column) -> Column:
+    return F.lower(F.btrim(F.regexp_replace(line, SPACE + "+", " ")))
+
+
+def without_boilerplate(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, text: str = "text", key: str = "doc_id", host: str = "source", percent: int | None = None, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+    """``docs`` with remaining_text, the text without the lines above the limit, and n_left_words, null if none is."""
     body = F.coalesce(F.col(text), F.lit(""))
-    lines = docs.select(F.col(key).alias("k"), F.col(host).alias("host"), F.explode(F.split(body, "\n", -1)).alias("line"))
-    normal = F.lower(F.btrim(F.regexp_replace("line", SPACE + "+", " ")))
-    lines = lines.select("k", "host", normal.alias("line")).filter("line != ''")
-    words = F.length("line") - F.length(F.translate("line", " ", "")) + 1
-    # one row for each line of a document: stored, since counts and verdicts both read it
-    held = stored(lines.select("k", F.coalesce("host", F.lit("")).alias("host"), F.xxhash64("line").alias("h"), words.alias("w")).groupBy("k", "host", "h").agg(F.sum("w").alias("w")))
+    lines = docs.select(F.col(key).alias("k"), F.coalesce(F.col(host), F.lit("")).alias("host"), F.explode(F.split(body, "\n", -1)).alias("line"))
+    # one row for each line of a document: stored, since counts and removal both read it
+    held = stored(lines.select("k", "host", normal(F.col("line")).alias("line")).filter("line != ''").select("k", "host", F.xxhash64("line").alias("h")).distinct())
     common = limited(held, docs, max_documents, percent, min_documents, key, host)
-    removed = held.join(common, ["host", "h"]).groupBy("k").agg(F.sum("w").alias("n_removed_words"))
-    total = held.groupBy("k").agg(F.sum("w").alias("n_line_words"))
-    return total.join(removed, "k", "left").select(F.col("k").alias(key), F.coalesce("n_removed_words", F.lit(0)).alias("n_removed_words"), "n_line_words")
-
-
-def line_rule(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, text: str = "text", key: str = "doc_id", host: str = "source", percent: int | None = None, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """``base_rules`` with n_removed_words and kept: the base rules and the depletion rule both passed."""
-    base = base_rules(docs, text, key)
-    found = boilerplate(docs, max_documents, text, key, host, percent, min_documents).withColumnRenamed(key, "__key")
-    gone = F.coalesce("n_removed_words", F.lit(0))
-    rest = F.coalesce("n_line_words", F.lit(0)) - gone
-    depleted = (gone > 0) & ((rest < MIN_WORDS) | (rest < MIN_SHARE * F.col("n_line_words")))
-    out = base.join(found, base[key] == found["__key"], "left")
-    return out.withColumn("n_removed_words", gone).withColumn("kept", ~F.col("base_failed") & ~depleted).drop("__key", "n_line_words")
+    gone = held.join(common, ["host", "h"]).groupBy(F.col("k").alias("__k"), F.col("host").alias("__host")).agg(F.collect_set("h").alias("__gone"))
+    out = docs.join(gone, (F.col(key) == F.col("__k")) & (F.coalesce(F.col(host), F.lit("")) == F.col("__host")), "left")
+    stays = F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains("__gone", F.xxhash64(normal(x))))
+    out = out.withColumn("remaining_text", F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(stays, "\n")))
+    left = F.when(F.col("__gone").isNotNull(), F.size(words_of(F.col("remaining_text"))))
+    return out.withColumn("n_left_words", left.cast("long")).drop("__k", "__host", "__gone")
+
+
+def line_rule(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, text: str = "text", key: str = "doc_id", host: str = "source", percent: int | None = None, min_documents: int = MIN_DOCUMENTS, also: tuple[str, ...] = ()) -> DataFrame:
+    """``base_rules`` with n_removed_words and kept, from what is left: the base rules and the depletion rule both passed.
+
+    ``also``: further columns of ``docs``, or remaining_text.
+    """
+    rows = without_boilerplate(docs, max_documents, text, key, host, percent, min_documents)
+    base = base_rules(rows, text, key, ("n_left_words", *also))
+    # words on lines that are not blank are all words; rows with one key are one document
+    every = Window.partitionBy(key)
+    rest, total = F.sum(F.coalesce("n_left_words", "n_words")).over(every), F.sum("n_words").over(every)
+    base = base.withColumns({"__rest": rest, "__total": total})
+    gone = F.when(F.col(key).isNull(), 0).otherwise(F.col("__total") - F.col("__rest"))
+    depleted = (gone > 0) & ((F.col("__rest") < MIN_WORDS) | (F.col("__rest") < MIN_SHARE * F.col("__total")))
+    out = base.withColumn("n_removed_words", gone).withColumn("kept", ~F.col("base_failed") & ~depleted)
+    return out.drop("n_left_words", "__rest", "__total")

@@ -30,6 +30,11 @@ def op1_line_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.line_rule(table(spark, sf_dir, "documents"), percent=quality_rules.PERCENT)
 
 
+def op1_remaining_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.line_rule(table(spark, sf_dir, "documents"), percent=quality_rules.PERCENT, also=("remaining_text",))
+    return out.select("doc_id", "n_removed_words", "kept", F.md5(F.col("remaining_text").cast("binary")).alias("remaining_md5"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -80,5 +85,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op1_line_share, op2_minhash_near_dedup, op3_embedding_near_dedup, op4_quality_classifier, op5_line_dedup, op6_suffix_dedup, op7_language_id, op8_html_extraction, op9_source_mixing, op10_best_fit_packing)
+    f.__name__: f for f in (op1_quality_rules, op1_line_share, op1_remaining_text, op2_minhash_near_dedup, op3_embedding_near_dedup, op4_quality_classifier, op5_line_dedup, op6_suffix_dedup, op7_language_id, op8_html_extraction, op9_source_mixing, op10_best_fit_packing)
 }

@@ -85,6 +85,23 @@ def test_line_share_sql(spark):
     assert_same(df, connected(sf).sql(oracles.LINE_SHARE))
 
 
+def test_remaining_text(spark):
+    rest = " ".join(f"x{j}" for j in range(30))
+    common = ["Share  this PAGE", f" share this page \n\n{rest}\nsecond\n", None, "", "share this page", f"{rest}\nshare this\tpage"]
+    df = documents(spark, [f"share this page\na{i} {rest}" for i in range(25)]).union(spark.createDataFrame([(100 + i, t, "en", "s", 0) for i, t in enumerate(common)], DOCS))
+    out = {r["doc_id"]: r for r in quality_rules.line_rule(df, also=("remaining_text",)).collect()}
+    assert [out[100 + i]["remaining_text"] for i in range(6)] == ["", f"\n{rest}\nsecond\n", None, "", "", rest]
+    assert [out[100 + i]["n_removed_words"] for i in range(6)] == [3, 3, 0, 0, 3, 3] and all(out[i]["remaining_text"] == f"a{i} {rest}" for i in range(25))
+    assert out[101]["kept"] and not out[104]["kept"]
+
+
+def test_remaining_text_sql(spark):
+    sf = SF.replace("0.001", "0.01")
+    df = queries.op1_remaining_text(spark, sf)
+    assert df.filter("n_removed_words > 0").count() > 0
+    assert_same(df, connected(sf).sql(oracles.REMAINING))
+
+
 def shingles(text, width):
     words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} if len(words) >= width else ({tuple(words)} if words else set())
