@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from rivulet.functions.numeric import finite
 
 LEAST_POINTS, MOST_POINTS = 1024, 16001
+#: Values that one task sums at a time.
+BLOCK_VALUES = 1 << 16
 
 
 def bandwidths(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -25,30 +27,34 @@ def bandwidths(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return per.withColumn("points", F.when(fit, F.least(F.lit(MOST_POINTS), F.greatest(F.lit(LEAST_POINTS), points))).cast("int"))
 
 
-def density(df: DataFrame, by: list[str], value: str, parts: int = 8) -> DataFrame:
+def density(df: DataFrame, by: list[str], value: str, block: int = BLOCK_VALUES) -> DataFrame:
     """(group, x, density): a curve of area one for every group that has one.
 
-    The grid is cut into ``parts`` pieces: each values-by-piece task sums kernels in blocks, so a task's memory is
-    bounded by its group's values and its grid piece; the area is taken by an aggregate over the pieces.
+    A group's distinct values, with their counts, are dealt by their hash into blocks of about ``block``. A task sums the
+    kernels of one block, so its memory does not grow with the group; an aggregate adds the blocks at each grid point.
     """
     grid = bandwidths(df, by, value).filter("h is not null")
-    rows = df.select(*by, finite(value).alias("v")).filter("v is not null").join(grid.select(*by, "h", "from", "to", "points"), by)
-    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    rows = df.select(*by, (finite(value) + 0.0).alias("v")).filter("v is not null").groupBy(*by, "v").agg(F.count(F.lit(1)).alias("times"))
+    rows = rows.join(grid.select(*by, "n", "h", "from", "to", "points"), by)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / block))).drop("n")
 
     def curve(t: pa.Table) -> pa.Table:
-        v = np.sort(t["v"].to_numpy())
-        h, a, b, m, part = (t[c][0].as_py() for c in ("h", "from", "to", "points", "part"))
-        own = np.array_split(np.arange(m), parts)[part]
-        x = np.linspace(a, b, m)[own]
-        total = np.zeros(len(x))
-        for i in range(0, len(v), 512):
-            z = (x[:, None] - v[None, i : i + 512]) / h
-            total += np.exp(-0.5 * z * z).sum(axis=1)
-        keys = [pa.array([t[c][0].as_py()] * len(x), t.schema.field(c).type) for c in by]
-        return pa.table([*keys, pa.array(own, pa.int32()), pa.array(x), pa.array(total)], [*by, "i", "x", "raw"])
+        v, times = t["v"].to_numpy(), t["times"].to_numpy().astype(float)
+        order = np.argsort(v)
+        v, times = v[order], times[order]
+        h, a, b, m = (t[c][0].as_py() for c in ("h", "from", "to", "points"))
+        x = np.linspace(a, b, m)
+        total = np.zeros(m)
+        for j in range(0, m, 2048):
+            for i in range(0, len(v), 512):
+                z = (x[j : j + 2048, None] - v[None, i : i + 512]) / h
+                total[j : j + 2048] += np.exp(-0.5 * z * z) @ times[i : i + 512]
+        keys = [pa.array([t[c][0].as_py()] * m, t.schema.field(c).type) for c in by]
+        return pa.table([*keys, pa.array(np.arange(m), pa.int32()), pa.array(x), pa.array(total)], [*by, "i", "x", "raw"])
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
-    raw = rows.groupBy(*by, "part").applyInArrow(curve, f"{kinds}, i int, x double, raw double")
+    raw = rows.groupBy(*by, "block").applyInArrow(curve, f"{kinds}, i int, x double, raw double")
+    raw = raw.groupBy(*by, "i").agg(F.first("x").alias("x"), F.sum("raw").alias("raw"))
     # trapezoid rule on an even grid: half weight at both ends
     ends = grid.select(*by, ((F.col("to") - F.col("from")) / (F.col("points") - 1)).alias("step"), (F.col("points") - 1).alias("last"))
     weighed = raw.join(ends, by)

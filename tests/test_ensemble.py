@@ -321,3 +321,20 @@ def test_order_of_rows_does_not_matter(spark):
     a = correlation.spatial_correlation(df).orderBy("stage_id", "a", "b").collect()
     b = correlation.spatial_correlation(df.orderBy(F.desc("scenario_id")).repartition(2)).orderBy("stage_id", "a", "b").collect()
     assert [(r["stage_id"], r["a"], r["b"], r["n"], r["reason"]) for r in a] == [(r["stage_id"], r["a"], r["b"], r["n"], r["reason"]) for r in b]
+
+
+def test_density_of_a_group_in_blocks(spark):
+    import numpy as np
+
+    from rivulet.operators import density as module
+
+    rng = np.random.default_rng(7)
+    v = np.concatenate([rng.standard_normal(900), np.zeros(300)])
+    df = spark.createDataFrame([("g", float(x)) for x in v] + [("h", 1.0), ("h", None), ("h", 2.0)], "g string, v double").repartition(3)
+    out = module.density(df, ["g"], "v", block=50)
+    got = sorted((r["i"], r["x"], r["density"]) for r in out.filter("g = 'g'").collect())
+    assert out.filter("g = 'h'").count() == module.LEAST_POINTS
+    x, y = np.array([r[1] for r in got]), np.array([r[2] for r in got])
+    want = np.exp(-0.5 * ((x[:, None] - v[None, :]) / (v.std() * len(v) ** -0.2)) ** 2).sum(axis=1)
+    want /= np.trapezoid(want, x)
+    assert [r[0] for r in got] == list(range(len(got))) and np.allclose(y, want, atol=1e-9)
