@@ -314,8 +314,16 @@ def test_packing(spark):
     rng = random.Random(1)
     parts = ["a", "b", "The", " ", "\n", "\t", "é", "'s", ",", "1", "!!", "<|endoftext|>", "日本", "  ", "\r\n", ".", " "]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
-    encoder = packing.WordEncoder(path, cache_words=50)
-    assert all(np.frombuffer(encoder.ids(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids for t in texts)
+    encoder = packing.TextEncoder(path)
+    texts += [" " * 5000 + "x", "a" * 3000, "\n" * 2500, *(" ".join(rng.choice(parts) for _ in range(4000)) for _ in range(3))]
+    texts += ["".join(f"a{chr(c)}1{chr(c)}! {chr(c)}b" for c in range(at, at + 0x1000) if not 0xD800 <= c < 0xE000) for at in range(0, 0x30000, 0x1000)]
+    assert encoder.ranked is not None
+    for window in (packing.WINDOW, 50):
+        packing.WINDOW, before = window, packing.WINDOW
+        assert all(np.frombuffer(encoder.ids(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids for t in texts)
+        packing.WINDOW = before
+    encoder.ranked = None  # as for a file of another kind
+    assert all(np.frombuffer(encoder.ids(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids for t in texts[:50])
     docs = [None, "", "x" * 9000, *(" ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(rng.randint(0, 700))) for _ in range(120))]
     pieces = packing.cut(documents(spark, docs), path, 128)
     rows = packing.pack(pieces, 128, group_pieces=40, open_bins=8).collect()
@@ -338,6 +346,26 @@ def test_packing(spark):
     assert len(bins) <= 1.15 * total / 128 + 4
 
 
+@pytest.mark.parametrize("most", [1, 3, 50])
+def test_bins_against_plain_lists(most):
+    rng = random.Random(most)
+    bins, opened, free = packing.Bins(64, most), 0, []  # free: (space, last change, number)
+    for step in range(3000):
+        size = rng.randint(1, 63)
+        fit = min(((f, -t, b) for f, t, b in free if f >= size), default=None)
+        if fit:
+            space, t, b = fit
+            free.remove((space, -t, b))
+        else:
+            space, b, opened = 64, opened, opened + 1
+        if space > size:
+            free.append((space - size, step, b))
+            if len(free) > most:
+                f, t, out = min((f, -t, b) for f, t, b in free)
+                free.remove((f, -t, out))
+        assert bins.place(size) == (b, 64 - space)
+
+
 def test_held_out_flags(spark):
     rows = queries.op7_language_id(spark, SF).select("doc_id", "held_out").collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
