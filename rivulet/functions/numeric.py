@@ -22,10 +22,15 @@ def to_date(v: Column | str) -> Column:
     return (F.col(v) if isinstance(v, str) else v).try_cast("date")
 
 
+#: Values whose range is at most this share of their size are constant: sums of equal terms differ in their last bits.
+LEAST_RANGE = 1e-12
+
+
 def moments(v: Column, prefix: str = "") -> list[Column]:
-    """Aggregates of the finite values: n, mean, population sd, skewness, excess kurtosis, min, max."""
+    """Aggregates of the finite values: n, mean, population sd, skewness, excess kurtosis, min, max; a group that is
+    constant, or all but rounding (``LEAST_RANGE``), has no skewness and no kurtosis."""
     sd = F.when(F.min(v) == F.max(v), F.lit(0.0)).otherwise(F.stddev_pop(v))
-    shaped = (F.count(v) >= 2) & (F.min(v) < F.max(v)) & (F.stddev_pop(v) > 0)
+    shaped = (F.count(v) >= 2) & (F.max(v) - F.min(v) > LEAST_RANGE * F.greatest(F.abs(F.min(v)), F.abs(F.max(v))))
     named = {"n": F.count(v), "mean": F.avg(v), "sd": sd, "skewness": F.when(shaped, F.skewness(v)), "kurtosis": F.when(shaped, F.kurtosis(v)), "minimum": F.min(v), "maximum": F.max(v)}
     return [c.alias(prefix + k) for k, c in named.items()]
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rivulet.columns import ENSEMBLE, Cols
 from rivulet.operators import quality
+from rivulet.operators.joins import small
 
 LAG_VALUE = "inflow_m3s"
 
@@ -21,20 +22,20 @@ def stage_values(flows: DataFrame, cols: Cols = ENSEMBLE) -> DataFrame:
         F.max(F.when(block.isNull(), v)).alias("whole"),
         F.max(F.when(block == 0, v)).alias("zero"),
         F.max(F.when(block == 0, F.col(cols.slack))).alias(cols.slack),
-        (F.count_distinct(v) + F.max(F.when(v.isNull(), 1).otherwise(0))).alias("different"),
+        ((F.min(v) != F.max(v)) | ((F.count(v) > 0) & (F.count(v) < F.count(F.lit(1))))).alias("different"),
     )
-    # the choice is made for each scenario: a scenario's flag comes from its own partial counts
-    flags = flows.groupBy(cols.scenario).agg(F.max(F.when(block.isNull(), 1).otherwise(0)).alias("has_whole"))
-    per = per.join(flags, cols.scenario)
-    return per.withColumn(cols.value, F.when(F.col("has_whole") == 1, F.col("whole")).otherwise(F.col("zero")))
+    # the choice is made for each scenario, of which there are few
+    flags = flows.filter(block.isNull()).select(cols.scenario).distinct().withColumn("has_whole", F.lit(True))
+    per = per.join(small(flags), cols.scenario, "left").withColumn("has_whole", F.coalesce("has_whole", F.lit(False)))
+    return per.withColumn(cols.value, F.when(F.col("has_whole"), F.col("whole")).otherwise(F.col("zero")))
 
 
 def block_violations(values: DataFrame, cols: Cols = ENSEMBLE) -> DataFrame:
     """Q5, Q6 over ``stage_values``."""
     problem = (
         F.when(F.col("zero_rows") != 1, "block_0_not_once")
-        .when((F.col("has_whole") == 1) & (F.col("whole_rows") != 1), "whole_row_not_once")
-        .when((F.col("has_whole") == 0) & (F.col("different") != 1), "flow_differs_between_blocks")
+        .when(F.col("has_whole") & (F.col("whole_rows") != 1), "whole_row_not_once")
+        .when(~F.col("has_whole") & F.coalesce("different", F.lit(False)), "flow_differs_between_blocks")
     )
     return values.withColumn("problem", problem).filter("problem is not null").select(*cols.key, "problem")
 

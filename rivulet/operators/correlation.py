@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivulet.columns import ENSEMBLE, Cols
@@ -62,21 +62,24 @@ def annual_sums(df: DataFrame, calendar: DataFrame, cols: Cols = ENSEMBLE) -> Da
 
 
 def annual_correlation(df: DataFrame, calendar: DataFrame, lags: tuple[int, ...] = (1, 2), cols: Cols = ENSEMBLE) -> DataFrame:
-    """One row for each entity, complete year and lag, also where nothing can be paired."""
-    years = complete_years(df, calendar, cols)
-    sums = annual_sums(df, calendar, cols).join(small(years), "year").filter("total is not null").select(cols.entity, cols.scenario, "year", "total")
-    ahead = sums.select(cols.entity, cols.scenario, F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), (F.col("year") + k).alias("year")) for k in lags])).alias("p"), F.col("total").alias("past"))
-    ahead = ahead.select(cols.entity, cols.scenario, "p.lag", "p.year", "past")
-    pairs = sums.join(ahead, [cols.entity, cols.scenario, "year"]).groupBy(cols.entity, "year", "lag").agg(*pair_moments(F.col("total"), F.col("past")))
+    """One row for each entity, complete year and lag, also where nothing can be paired.
+
+    Each annual sum is read once: as the current year of its pairs, which a window brings the earlier sums to, and as the
+    past year of others.
+    """
+    listed = [r["year"] for r in complete_years(df, calendar, cols).orderBy("year").collect()]  # some dozens
+    sums = annual_sums(df, calendar, cols).filter(F.col("total").isNotNull() & F.col("year").isin(listed))
+    w = Window.partitionBy(cols.entity, cols.scenario).orderBy("year")
+    past = [F.max("total").over(w.rangeBetween(-k, -k)) for k in lags]
+    roles = [F.struct(F.col("year").alias("year"), F.lit(k).alias("lag"), F.col("total").alias("total"), p.alias("past"), F.lit(1).alias("now"), F.lit(0).alias("before")) for k, p in zip(lags, past, strict=True)]
+    none = F.lit(None).cast("double")
+    roles += [F.struct((F.col("year") + k).alias("year"), F.lit(k).alias("lag"), none.alias("total"), none.alias("past"), F.lit(0).alias("now"), F.lit(1).alias("before")) for k in lags]
+    rows = sums.withColumn("r", F.array(*roles)).select(cols.entity, F.explode("r").alias("r")).select(cols.entity, "r.*")
+    found = rows.groupBy(cols.entity, "year", "lag").agg(F.sum("now").alias("complete"), F.sum("before").alias("complete_past"), *pair_moments(F.col("total"), F.col("past")))
     entities = df.groupBy(cols.entity).agg(F.count_distinct(cols.scenario).alias("scenarios"))
-    # the grid: entities times complete years (some dozens) times lags
-    listed = [r["year"] for r in years.orderBy("year").collect()]
     grid = entities.withColumn("year", F.explode(F.array(*[F.lit(y) for y in listed]) if listed else F.array().cast("array<int>")))
     grid = grid.withColumn("lag", F.explode(F.array(*[F.lit(k) for k in lags])))
-    held = sums.groupBy(cols.entity, "year").agg(F.count(F.lit(1)).alias("complete"))
-    out = grid.join(pairs, [cols.entity, "year", "lag"], "left").join(held, [cols.entity, "year"], "left")
-    before = held.select(cols.entity, F.col("year").alias("__y"), F.col("complete").alias("complete_past"))
-    out = out.join(before.withColumnRenamed(cols.entity, "__e"), (F.col("__e") == F.col(cols.entity)) & (F.col("__y") == F.col("year") - F.col("lag")), "left").drop("__e", "__y")
+    out = grid.join(found, [cols.entity, "year", "lag"], "left")
     out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n", "complete", "complete_past")})
     rho, reason = pearson()
     known = (F.col("year") - F.col("lag")).isin(listed) if listed else F.lit(False)
@@ -84,6 +87,11 @@ def annual_correlation(df: DataFrame, calendar: DataFrame, lags: tuple[int, ...]
     return out.select(cols.entity, "year", "lag", "scenarios", "complete", "complete_past", *PAIR, "rho", "reason")
 
 
+def annual_table(results: DataFrame, lags: tuple[int, ...] = (1, 2), cols: Cols = ENSEMBLE) -> DataFrame:
+    """One row for each (entity, year) with a column for each lag."""
+    return results.groupBy(cols.entity, "year").agg(*[F.max(F.when(F.col("lag") == k, F.col("rho"))).alias(f"lag_{k}") for k in lags])
+
+
 def _by_stage(df: DataFrame, cols: Cols) -> DataFrame:
     return df.select(cols.stage, cols.scenario, F.col(cols.entity).alias("e"), finite(cols.value).alias("v"))
 
@@ -101,32 +109,48 @@ def spatial_pairs(df: DataFrame, cols: Cols = ENSEMBLE) -> DataFrame:
     return _judged(pairs.groupBy(cols.stage, "a", "b").agg(*pair_moments(F.col("x"), F.col("y")))).select(cols.stage, "a", "b", *PAIR, "rho", "reason")
 
 
-def spatial_correlation(df: DataFrame, chunk: int = 256, cols: Cols = ENSEMBLE) -> DataFrame:
+def spatial_correlation(df: DataFrame, chunk: int = 256, tile: int = 512, cols: Cols = ENSEMBLE) -> DataFrame:
     """A16 at scale: partial sums of centred products by blocks of scenarios, added by an ordinary aggregate.
 
     Every value is centred on its (stage, entity) mean first, so that the sums keep their digits. A task holds one block
-    of at most about ``chunk`` scenarios of a stage as a dense matrix; stages and blocks spread over the cluster.
+    of at most about ``chunk`` scenarios of a stage for two tiles of about ``tile`` entities as dense matrices; stages,
+    blocks and pairs of tiles spread over the cluster. Keys must be unique (``reports.checked``): a task raises if not.
     """
     rows = _by_stage(df, cols)
     centre = rows.groupBy(cols.stage, "e").agg(F.avg("v").alias("m"), F.min("v").alias("low"), F.max("v").alias("high"))
-    sizes = df.groupBy(cols.stage).agg(F.ceil(F.approx_count_distinct(cols.scenario) / chunk).alias("blocks"))
+    distinct = df.groupBy(cols.stage).agg(F.ceil(F.approx_count_distinct(cols.scenario) / chunk).alias("blocks"), F.ceil(F.approx_count_distinct(cols.entity) / tile).alias("tiles"))
     block = F.pmod(F.xxhash64(cols.scenario), F.col("blocks")).cast("int")
-    dealt = rows.join(centre.select(cols.stage, "e", "m"), [cols.stage, "e"]).join(small(sizes), cols.stage).select(F.col(cols.stage).alias("stage"), block.alias("block"), F.col(cols.scenario).alias("s"), "e", (F.col("v") - F.col("m")).alias("c"), "v")
+    mine = F.pmod(F.xxhash64("e"), F.col("tiles")).cast("int")
+    dealt = rows.join(centre.select(cols.stage, "e", "m"), [cols.stage, "e"]).join(small(distinct), cols.stage)
+    dealt = dealt.select(F.col(cols.stage).alias("stage"), block.alias("block"), mine.alias("tile"), F.explode(F.sequence(F.lit(0), (F.col("tiles") - 1).cast("int"))).alias("other"), F.col(cols.scenario).alias("s"), "e", (F.col("v") - F.col("m")).alias("c"))
+    dealt = dealt.withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")}).drop("other")
 
     def sums(t: pa.Table) -> pa.Table:
-        stage = t["stage"][0].as_py()
+        stage, own = t["stage"][0].as_py(), t["tile"].to_numpy()
         scenarios, s = np.unique(t["s"].to_numpy(), return_inverse=True)
         entities, e = np.unique(t["e"].to_numpy(), return_inverse=True)
+        if len(np.unique(s * len(entities) + e)) < len(s):
+            raise ValueError("repeated (stage, scenario, entity)")
         c = np.full((len(scenarios), len(entities)), np.nan)
         c[s, e] = t["c"].to_numpy(zero_copy_only=False)
         ok = ~np.isnan(c)
         c, ok = np.where(ok, c, 0.0), ok.astype(np.float64)
-        a, b = np.triu_indices(len(entities), 1)
-        both = {"n": ok.T @ ok, "sx": c.T @ ok, "sy": ok.T @ c, "sxx": (c * c).T @ ok, "syy": ok.T @ (c * c), "sxy": c.T @ c}
-        columns = [pa.array(np.full(len(a), stage), pa.int64()), pa.array(entities[a], pa.int64()), pa.array(entities[b], pa.int64()), *[pa.array(m[a, b]) for m in both.values()]]
+        tiles = np.zeros(len(entities), np.int64)
+        tiles[e] = own
+        i, j = t["i"][0].as_py(), t["j"][0].as_py()
+        x, y = np.flatnonzero(tiles == i), np.flatnonzero(tiles == j)
+        cx, cy, kx, ky = c[:, x], c[:, y], ok[:, x], ok[:, y]
+        a, b = np.triu_indices(len(x), 1) if i == j else (np.repeat(np.arange(len(x)), len(y)), np.tile(np.arange(len(y)), len(x)))
+        both = {"n": kx.T @ ky, "sx": cx.T @ ky, "sy": kx.T @ cy, "sxx": (cx * cx).T @ ky, "syy": kx.T @ (cy * cy), "sxy": cx.T @ cy}
+        both = {name: m[a, b] for name, m in both.items()}
+        p, q = entities[x[a]], entities[y[b]]
+        turn = p > q  # the smaller entity comes first
+        for one, two in (("sx", "sy"), ("sxx", "syy")):
+            both[one], both[two] = np.where(turn, both[two], both[one]), np.where(turn, both[one], both[two])
+        columns = [pa.array(np.full(len(p), stage), pa.int64()), pa.array(np.minimum(p, q), pa.int64()), pa.array(np.maximum(p, q), pa.int64()), *map(pa.array, both.values())]
         return pa.table(columns, ["stage", "a", "b", *both])
 
-    parts = dealt.groupBy("stage", "block").applyInArrow(sums, "stage long, a long, b long, n double, sx double, sy double, sxx double, syy double, sxy double")
+    parts = dealt.groupBy("stage", "block", "i", "j").applyInArrow(sums, "stage long, a long, b long, n double, sx double, sy double, sxx double, syy double, sxy double")
     total = parts.groupBy("stage", "a", "b").agg(F.sum("n").cast("long").alias("n"), *[F.sum(c).alias(c) for c in ("sx", "sy", "sxx", "syy", "sxy")])
     side = lambda p: centre.select(F.col(cols.stage).alias("stage"), F.col("e").alias(p), F.col("m").alias(f"m{p}"), F.col("low").alias(f"low{p}"), F.col("high").alias(f"high{p}"))
     total = total.join(side("a"), ["stage", "a"]).join(side("b"), ["stage", "b"])

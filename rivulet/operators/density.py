@@ -63,7 +63,20 @@ def density(df: DataFrame, by: list[str], value: str, block: int = BLOCK_VALUES)
 
 
 def density_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """For every group: n, h, points, area and the peak's place and height; nulls where no curve is defined."""
-    curve = density(df, by, value)
-    peak = curve.groupBy(*by).agg(F.max_by("x", F.struct("density", -F.col("i"))).alias("peak_x"), F.max("density").alias("peak"))
-    return bandwidths(df, by, value).join(peak, by, "left")
+    """``bandwidths`` of every group with the curve's peak (place and height; the first of equal heights to 12 digits) and
+    its heights at the least and the greatest value, between grid points on a straight line; nulls where there is no curve.
+
+    The area of each curve is one, so the heights need no more scaling.
+    """
+    bands = bandwidths(df, by, value)
+    step = (F.col("to") - F.col("from")) / (F.col("points") - 1)
+    at = {"at_minimum": (F.col("minimum") - F.col("from")) / step, "at_maximum": (F.col("maximum") - F.col("from")) / step}
+    ends = bands.filter("h is not null").select(*by, *[e.alias(c) for c, e in at.items()])
+    curve = density(df, by, value).join(ends, by)
+    weight = {c: F.greatest(F.lit(0.0), 1 - F.abs(F.col("i") - F.col(c))) for c in at}
+    peak = curve.groupBy(*by).agg(
+        F.max_by("x", F.struct(F.round("density", 12), -F.col("i"))).alias("peak_x"),
+        F.max("density").alias("peak"),
+        *[F.sum(F.col("density") * w).alias(c) for c, w in weight.items()],
+    )
+    return bands.join(peak, by, "left")

@@ -62,6 +62,12 @@ def slice_filter(slices: DataFrame, percents=None, windows=None) -> DataFrame:
     return slices.filter(among("percent", percents) & among("window", windows))
 
 
+def both(table: DataFrame, detail: DataFrame, entities=None, period: str = "stage_id", periods=None, cols: Cols = ENSEMBLE) -> tuple[DataFrame, DataFrame]:
+    """the same entities and periods (stages or years) of a table and of its diagnostics; an empty list is all."""
+    keep = among(cols.entity, entities) & among(period, periods)
+    return table.filter(keep), detail.filter(keep)
+
+
 def unavailable(results: DataFrame) -> DataFrame:
     """results without a value."""
     return results.filter(F.col("reason") != "computed")

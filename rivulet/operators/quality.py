@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivulet.columns import ENSEMBLE, Cols
-from rivulet.functions.labels import month_index
 from rivulet.functions.numeric import finite, to_date, to_double
 
 
@@ -107,19 +106,29 @@ def bad_history(history: DataFrame, cols: Cols = ENSEMBLE, start: str = "start_d
     return history.withColumn("problem", problem).filter("problem is not null")
 
 
-def bad_groups(df: DataFrame, cols: Cols = ENSEMBLE) -> DataFrame:
-    """Q16: (entity, stage) where rows, distinct scenarios and non-null nodes differ."""
-    counts = df.groupBy(*cols.group).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(cols.scenario).alias("scenarios"), F.count(cols.node).alias("nodes"))
-    return counts.filter("rows <> scenarios or rows <> nodes")
+def bad_groups(df: DataFrame, cols: Cols = ENSEMBLE, calendar: DataFrame | None = None) -> DataFrame:
+    """Q16: (entity, stage) where rows, distinct scenarios and non-null nodes (if there is such a column) differ; with a
+    calendar also those of a stage that it lacks (Q13), as ``unknown``: one aggregate for both rules."""
+    from rivulet.operators.joins import small
+
+    nodes = [F.count(cols.node).alias("nodes")] if cols.node in df.columns else []
+    counts = df.groupBy(*cols.group).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(cols.scenario).alias("scenarios"), *nodes)
+    wrong = F.col("rows") != F.col("scenarios")
+    wrong = wrong | (F.col("rows") != F.col("nodes")) if nodes else wrong
+    if calendar is not None:
+        counts = counts.join(small(calendar.select(cols.stage, F.lit(False).alias("unknown"))), cols.stage, "left").withColumn("unknown", F.coalesce("unknown", F.lit(True)))
+        wrong = wrong | F.col("unknown")
+    return counts.filter(wrong)
 
 
 def bad_years(df: DataFrame, calendar: DataFrame, cols: Cols = ENSEMBLE) -> DataFrame:
-    """Q17: (entity, scenario, year) where rows, distinct stages and non-null nodes differ."""
+    """(entity, scenario, year) where rows, distinct stages and non-null nodes differ; the year is null for stages
+    that the calendar lacks, all of which are wrong."""
     from rivulet.operators.joins import small
 
-    dated = df.join(small(calendar.select(cols.stage, "year")), cols.stage)
+    dated = df.join(small(calendar.select(cols.stage, "year")), cols.stage, "left")
     counts = dated.groupBy(cols.entity, cols.scenario, "year").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(cols.stage).alias("stages"), F.count(cols.node).alias("nodes"))
-    return counts.filter("rows <> stages or rows <> nodes")
+    return counts.filter("rows <> stages or rows <> nodes or year is null")
 
 
 def scenario_counts(df: DataFrame, cols: Cols = ENSEMBLE) -> DataFrame:
@@ -141,10 +150,3 @@ def months_without_history(df: DataFrame, calendar: DataFrame, history: DataFram
     needed = df.select(*cols.group).distinct().join(small(calendar.select(cols.stage, "month")), cols.stage).select(cols.entity, "month").distinct()
     held = history.select(cols.entity, F.month("start").alias("month")).distinct()
     return needed.join(held, [cols.entity, "month"], "left_anti")
-
-
-def history_gaps(history: DataFrame, cols: Cols = ENSEMBLE) -> DataFrame:
-    """Months missing between an entity's first and last month of history."""
-    m = month_index(F.col("start"))
-    held = history.groupBy(cols.entity).agg(F.min(m).alias("first"), F.max(m).alias("last"), F.count_distinct(m).alias("months"))
-    return held.withColumn("missing", F.col("last") - F.col("first") + 1 - F.col("months")).filter("missing > 0")

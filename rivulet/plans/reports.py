@@ -7,26 +7,37 @@ from pyspark.sql import functions as F
 
 from rivulet.columns import ENSEMBLE, Cols
 from rivulet.functions.labels import month_label, percent_label, period_label
+from rivulet.functions.numeric import finite
 from rivulet.operators import browse as pages
 from rivulet.operators import correlation, filters, ks, quality, slices, summaries, windows
-from rivulet.operators.density import density
+from rivulet.operators.density import density_summary
 from rivulet.operators.joins import named, small
 
 
-def checked(df: DataFrame, calendar: DataFrame, cols: Cols = ENSEMBLE) -> DataFrame:
-    """Raises unless keys are unique, nodes are there and stages are in the calendar."""
-    quality.require(quality.bad_groups(df, cols), "repeated or incomplete (entity, stage)")
-    quality.require(quality.unknown_stages(df, calendar, cols), "stage not in the calendar")
-    quality.require(quality.bad_calendar(calendar, cols.stage), "calendar")
+def checked(df: DataFrame, calendar: DataFrame, cols: Cols = ENSEMBLE, gaps: bool = False) -> DataFrame:
+    """Raises unless keys are unique, nodes are there and stages are in the calendar: one aggregate over the data.
+
+    The calendar itself must be whole months without gaps, unless ``gaps`` are allowed.
+    """
+    quality.require(quality.bad_groups(df, cols, calendar), "repeated or incomplete (entity, stage), or stage not in the calendar")
+    wrong = quality.bad_calendar(calendar, cols.stage)
+    quality.require(wrong.filter("problem <> 'gap_or_overlap'") if gaps else wrong, "calendar")
     return df
 
 
+def checked_history(history: DataFrame, cols: Cols = ENSEMBLE) -> DataFrame:
+    """Raises unless history has whole months, each once for an entity."""
+    quality.require(quality.bad_history(history, cols, "start", "end"), "history")
+    return history
+
+
 def _stats() -> list[str]:
     return ["n", "mean", "sd", "skewness", "kurtosis", "minimum", "maximum"]
 
 
 def statistical_report(df: DataFrame, history: DataFrame, calendar: DataFrame, names: DataFrame, sizes: tuple[int, ...] = windows.SIZES, cols: Cols = ENSEMBLE) -> DataFrame:
     """Moments of flows (window 0) and rolling sums of both sources: stages of scenarios, all twelve months of history."""
+    df, history = checked(df, calendar, cols), checked_history(history, cols)
     cal = small(calendar.select(cols.stage, "order", "month", "start"))
     rolling = windows.rolling_sums(df, calendar, sizes, cols)
     ours = summaries.moment_summary(df.withColumn("window", F.lit(0)), [*cols.group, "window"], cols.value)
@@ -46,8 +57,9 @@ def report_order(report: DataFrame, cols: Cols = ENSEMBLE) -> DataFrame:
     return report.orderBy(cols.entity, F.when(F.col("source") == "history", 0).otherwise(1), "window", "position")
 
 
-def slice_report(df: DataFrame, history: DataFrame, calendar: DataFrame, sizes: tuple[int, ...] = windows.SIZES, percents: tuple[int, ...] = slices.PERCENTS, cols: Cols = ENSEMBLE) -> DataFrame:
+def slice_report(df: DataFrame, history: DataFrame, calendar: DataFrame, names: DataFrame, sizes: tuple[int, ...] = windows.SIZES, percents: tuple[int, ...] = slices.PERCENTS, cols: Cols = ENSEMBLE) -> DataFrame:
     """Lowest-percent slices of flows and rolling sums, both sources in one ranking; history has all months and percents."""
+    df, history = checked(df, calendar, cols), checked_history(history, cols)
     ours = df.select(F.lit("scenarios").alias("source"), F.lit(0).alias("window"), cols.entity, F.col(cols.stage).alias("period"), F.col(cols.scenario).alias("tie"), F.col(cols.value).alias("x"))
     ours = ours.unionByName(windows.rolling_sums(df, calendar, sizes, cols).select(F.lit("scenarios").alias("source"), "window", cols.entity, F.col(cols.stage).alias("period"), F.col(cols.scenario).alias("tie"), F.col("total").alias("x")))
     tie = F.datediff("start", F.lit("1900-01-01")).cast("long").alias("tie")
@@ -60,46 +72,58 @@ def slice_report(df: DataFrame, history: DataFrame, calendar: DataFrame, sizes:
     empty = empty.unionByName(ours.select("source", "window", cols.entity, "period").distinct())
     grid = empty.withColumn("percent", F.explode(F.array(*[F.lit(p) for p in percents])))
     out = grid.join(found, [*by, "percent"], "left")
-    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n", "k", "outliers")}).withColumn("label", percent_label(F.col("percent")))
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n", "k", "outliers")})
+    return named(out, names, cols.entity).withColumnRenamed("label", "entity_label").withColumn("label", percent_label(F.col("percent")))
 
 
-def lag_report(df: DataFrame, calendar: DataFrame, names: DataFrame, cols: Cols = ENSEMBLE) -> DataFrame:
-    return named(correlation.lag_correlation(df, calendar, cols), names, cols.entity)
+def lag_report(df: DataFrame, calendar: DataFrame, names: DataFrame, cols: Cols = ENSEMBLE) -> tuple[DataFrame, DataFrame]:
+    """(a column of correlations for each lag, the long form with every reason); wrong keys blank a correlation."""
+    quality.require(quality.unknown_stages(df, calendar, cols), "stage not in the calendar")
+    detail = named(correlation.lag_correlation(df, calendar, cols), names, cols.entity)
+    lags = [0, *(int(c.split("_")[1]) for c in filters.lag_columns(df.columns))]
+    return named(correlation.lag_table(detail, lags, cols), names, cols.entity), detail
 
 
-def spatial_report(df: DataFrame, calendar: DataFrame, cols: Cols = ENSEMBLE) -> DataFrame:
-    """Pairs of each stage with the pairs expected."""
+def spatial_report(df: DataFrame, calendar: DataFrame, names: DataFrame, cols: Cols = ENSEMBLE) -> DataFrame:
+    """Pairs of each stage with the pairs expected (A18) and the labels of both entities."""
+    df = checked(df, calendar, cols, gaps=True)
     out = correlation.spatial_correlation(df, cols=cols).join(small(summaries.pairs_expected(df, cols)), cols.stage)
+    for side in ("a", "b"):
+        out = named(out, names.withColumnRenamed(cols.entity, side), side).withColumnRenamed("label", f"label_{side}")
     return out.join(small(calendar.select(cols.stage, period_label(F.col("start")).alias("period"))), cols.stage)
 
 
-def annual_report(df: DataFrame, calendar: DataFrame, names: DataFrame, cols: Cols = ENSEMBLE) -> DataFrame:
-    quality.require(quality.bad_years(df, calendar, cols), "repeated or incomplete (entity, scenario, year)")
-    return named(correlation.annual_correlation(df, calendar, cols=cols), names, cols.entity)
+def annual_report(df: DataFrame, calendar: DataFrame, names: DataFrame, cols: Cols = ENSEMBLE) -> tuple[DataFrame, DataFrame]:
+    """(a column of correlations for each lag, the long form with every reason)."""
+    quality.require(quality.bad_years(df, calendar, cols), "repeated or incomplete (entity, scenario, year), or stage not in the calendar")
+    detail = named(correlation.annual_correlation(df, calendar, cols=cols), names, cols.entity)
+    return named(correlation.annual_table(detail, cols=cols), names, cols.entity), detail
 
 
 def ks_report(df: DataFrame, history: DataFrame, calendar: DataFrame, names: DataFrame, cols: Cols = ENSEMBLE) -> DataFrame:
-    quality.require(quality.duplicates(df, [cols.entity, cols.stage, cols.scenario]), "repeated scenario row")
-    quality.require(quality.bad_history(history.withColumnsRenamed({"start": "start_date", "end": "end_date"}), cols), "history")
+    df, history = checked(df.drop(cols.node), calendar, cols, gaps=True), checked_history(history, cols)
     return named(ks.ks_distance(df, history, calendar, cols), names, cols.entity)
 
 
 def stage_profile(df: DataFrame, history: DataFrame, calendar: DataFrame, cols: Cols = ENSEMBLE) -> DataFrame:
-    """A5, A6, A8, J7 side by side for each (entity, stage)."""
+    """A5, A6, A8, J7, A24, Q18 and Q19 side by side for each (entity, stage)."""
     cal = small(calendar.select(cols.stage, "order", "month"))
     out = summaries.stage_series(df, cols.group, cols.value)
-    box = slices.box_plot(df, cols.group, cols.value, cols.scenario).select(*cols.group, "minimum", "q1", "median", "q3", "maximum", "whisker_low", "whisker_high", "outliers")
-    slack = summaries.slack_means(df, cols).select(*cols.group, "mean_slack")
-    past = summaries.stage_series(history, [cols.entity, "month"], "value").select(cols.entity, "month", F.col("n").alias("history_n"), F.col("mean").alias("history_mean"), F.col("sd").alias("history_sd"))
-    out = out.join(box, cols.group, "left").join(slack, cols.group, "left").join(cal, cols.stage)
+    box = slices.box_plot(df, cols.group, cols.value, cols.scenario).select(*cols.group, "minimum", "q1", "median", "q3", "maximum", "whisker_low", "whisker_high", "outliers", "skewness", "kurtosis")
+    more = df.groupBy(*cols.group).agg(F.avg(finite(cols.slack)).alias("mean_slack"), F.count(F.lit(1)).alias("rows"), F.count_distinct(cols.scenario).alias("scenarios"))
+    past = [*[F.col(c).alias(f"history_{c}") for c in ("n", "mean", "sd", "skewness", "kurtosis")]]
+    past = summaries.moment_summary(history, [cols.entity, "month"], "value").select(cols.entity, "month", *past)
+    out = out.join(box, cols.group, "left").join(more, cols.group, "left").join(cal, cols.stage).withColumn("missing", F.col("rows") - F.col("n"))
     return out.join(past, [cols.entity, "month"], "left").withColumn("history_n", F.coalesce("history_n", F.lit(0))).withColumn("month_name", month_label(F.col("month")))
 
 
-def density_report(df: DataFrame, percent: int | None = None, cols: Cols = ENSEMBLE) -> DataFrame:
-    """A22, or A23 of the lowest ``percent``."""
-    if percent is None:
-        return density(df, cols.group, cols.value)
-    return density(slices.lowest(df, cols.group, cols.value, cols.scenario, percent), cols.group, "v")
+def density_report(df: DataFrame, history: DataFrame, percent: int | None = None, cols: Cols = ENSEMBLE) -> DataFrame:
+    """A22 of the stages of scenarios and the months of history, or (A23) of the lowest ``percent`` of each."""
+    ours = df.select(F.lit("scenarios").alias("source"), cols.entity, F.col(cols.stage).alias("period"), F.col(cols.scenario).alias("tie"), F.col(cols.value).alias("v"))
+    tie = F.datediff("start", F.lit("1900-01-01")).cast("long")
+    both = ours.unionByName(history.select(F.lit("history").alias("source"), cols.entity, F.col("month").cast("long").alias("period"), tie.alias("tie"), F.col("value").alias("v")))
+    by = ["source", cols.entity, "period"]
+    return density_summary(both if percent is None else slices.lowest(both, by, "v", "tie", percent), by, "v")
 
 
 def browse(df: DataFrame, order: str, descending: bool = False, number: int = 1, size: int = 100, negative: bool = False, cols: Cols = ENSEMBLE, **equal) -> tuple[DataFrame, int, int]:

@@ -48,8 +48,8 @@ def moments_sql(source: str, by: str, tag: str) -> str:
     on = " AND ".join(f"s.{k} = c.{k}" for k in keys)
     return f"""{tag}_c AS (SELECT {by}, {MOMENTS} FROM {source} GROUP BY {by}),
 {tag} AS (SELECT {", ".join("c." + k for k in keys)}, any_value(c.n) AS n, any_value(c.mean) AS mean, any_value(c.sd) AS sd,
-    CASE WHEN any_value(c.n) >= 2 AND any_value(c.sd) > 0 THEN avg(power(s.x - c.mean, 3)) / power(any_value(c.sd), 3) END AS skewness,
-    CASE WHEN any_value(c.n) >= 2 AND any_value(c.sd) > 0 THEN avg(power(s.x - c.mean, 4)) / power(any_value(c.sd), 4) - 3 END AS kurtosis,
+    CASE WHEN any_value(c.n) >= 2 AND any_value(c.maximum - c.minimum) > 1e-12 * greatest(abs(any_value(c.minimum)), abs(any_value(c.maximum))) THEN avg(power(s.x - c.mean, 3)) / power(any_value(c.sd), 3) END AS skewness,
+    CASE WHEN any_value(c.n) >= 2 AND any_value(c.maximum - c.minimum) > 1e-12 * greatest(abs(any_value(c.minimum)), abs(any_value(c.maximum))) THEN avg(power(s.x - c.mean, 4)) / power(any_value(c.sd), 4) - 3 END AS kurtosis,
     any_value(c.minimum) AS minimum, any_value(c.maximum) AS maximum
   FROM {tag}_c c LEFT JOIN {source} s ON {on} AND s.x IS NOT NULL GROUP BY ALL)"""
 
@@ -125,7 +125,9 @@ def w4(spark, d):
 SLICES = """, s AS (SELECT {keys}, x, row_number() OVER (PARTITION BY {keys} ORDER BY x, {tie}) AS rn, count(*) OVER (PARTITION BY {keys}) AS n FROM {src} WHERE x IS NOT NULL),
 g AS (SELECT s.*, p AS percent, (n * p + 99) // 100 AS k FROM s CROSS JOIN range({range}) t(p) WHERE rn <= (n * p + 99) // 100),
 l AS (SELECT {keys}, percent, any_value(n) AS n, any_value(k) AS k, list(x ORDER BY rn) AS xs, avg(x) AS mean, stddev_pop(x) AS sd FROM g GROUP BY ALL),
-q AS (SELECT *, xs[1] AS minimum, xs[k] AS maximum, {quartiles} FROM l),
+q0 AS (SELECT *, xs[1] AS minimum, xs[k] AS maximum, {quartiles} FROM l),
+q AS (SELECT *, CASE WHEN k >= 2 AND maximum - minimum > 1e-12 * greatest(abs(minimum), abs(maximum)) THEN list_avg(list_transform(xs, lambda v: power(v - mean, 3))) / power(sd, 3) END AS skewness,
+  CASE WHEN k >= 2 AND maximum - minimum > 1e-12 * greatest(abs(minimum), abs(maximum)) THEN list_avg(list_transform(xs, lambda v: power(v - mean, 4))) / power(sd, 4) - 3 END AS kurtosis FROM q0),
 f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS low, q3 + 1.5 * (q3 - q1) AS high FROM q),
 o AS (SELECT *, list_min(list_filter(xs, lambda v: v >= low AND v <= high)) AS whisker_low, list_max(list_filter(xs, lambda v: v >= low AND v <= high)) AS whisker_high, len(list_filter(xs, lambda v: v < low OR v > high)) AS outliers FROM f)"""
 
@@ -140,17 +142,18 @@ def slices_sql(range_: str, src: str = "fin", keys: str = "hydro_id, stage_id",
     return SLICES.format(range=range_, src=src, keys=keys, tie=tie, quartiles=", ".join(_quartile_sql(n, q) for n, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))))
 
 
+SHAPE = r("skewness", "kurtosis")
 FIVE = r("minimum", "q1", "median", "q3", "maximum", "whisker_low", "whisker_high")
 
 
-@register("A7_lowest_slices", f"{slices_sql('5, 100, 5')} SELECT hydro_id, stage_id, CAST(percent AS INTEGER) AS percent, n, CAST(k AS BIGINT) AS k, round(mean, 6) + 0.0 AS mean, round(CASE WHEN minimum = maximum THEN 0.0 ELSE sd END, 6) + 0.0 AS sd, {FIVE}, CAST(outliers AS BIGINT) AS outliers FROM o")
+@register("A7_lowest_slices", f"{slices_sql('5, 100, 5')} SELECT hydro_id, stage_id, CAST(percent AS INTEGER) AS percent, n, CAST(k AS BIGINT) AS k, round(mean, 6) + 0.0 AS mean, round(CASE WHEN minimum = maximum THEN 0.0 ELSE sd END, 6) + 0.0 AS sd, {SHAPE}, {FIVE}, CAST(outliers AS BIGINT) AS outliers FROM o")
 def a7(spark, d):
-    return slices.slices(views.ensemble(spark, d), G, V, "scenario_id").drop("skewness", "kurtosis")
+    return slices.slices(views.ensemble(spark, d), G, V, "scenario_id")
 
 
-@register("A8_box_plot", f"{slices_sql('100, 101')} SELECT hydro_id, stage_id, n, {FIVE}, CAST(outliers AS BIGINT) AS outliers FROM o")
+@register("A8_box_plot", f"{slices_sql('100, 101')} SELECT hydro_id, stage_id, n, round(mean, 6) + 0.0 AS mean, round(CASE WHEN minimum = maximum THEN 0.0 ELSE sd END, 6) + 0.0 AS sd, {SHAPE}, {FIVE}, CAST(outliers AS BIGINT) AS outliers FROM o")
 def a8(spark, d):
-    return slices.box_plot(views.ensemble(spark, d), G, V, "scenario_id").drop("mean", "sd", "skewness", "kurtosis")
+    return slices.box_plot(views.ensemble(spark, d), G, V, "scenario_id")
 
 
 @register("A19_slice_indicators", f"{slices_sql('5, 100, 5')} SELECT CAST(percent AS INTEGER) AS percent, 'scenarios' AS source, CAST(min(k) AS BIGINT) AS least_k, CAST(max(k) AS BIGINT) AS most_k, count(*) AS groups, min(minimum) + 0.0 AS minimum, max(maximum) + 0.0 AS maximum FROM o GROUP BY percent")
@@ -170,15 +173,18 @@ def a10(spark, d):
     return ks.ecdf(views.ensemble(spark, d), views.history(spark, d), views.calendar(spark, d))
 
 
-@register("A9_ks_distance", f"""{POINTS}, cnt AS (SELECT hydro_id, stage_id, sum(c) AS found_scenarios, sum(h) AS found_history, sum(CASE WHEN x IS NOT NULL THEN c ELSE 0 END) AS nc, sum(CASE WHEN x IS NOT NULL THEN h ELSE 0 END) AS nh FROM u GROUP BY ALL),
+KS = f"""{POINTS}, cnt AS (SELECT hydro_id, stage_id, sum(c) AS found_scenarios, sum(h) AS found_history, sum(CASE WHEN x IS NOT NULL THEN c ELSE 0 END) AS nc, sum(CASE WHEN x IS NOT NULL THEN h ELSE 0 END) AS nh FROM u GROUP BY ALL),
 far AS (SELECT hydro_id, stage_id, x, cc, ch, cc * nh - ch * nc AS num, row_number() OVER (PARTITION BY hydro_id, stage_id ORDER BY abs(cc * nh - ch * nc) DESC, x) AS rn FROM run),
 j AS (SELECT cnt.*, f.x, f.cc, f.ch, f.num, CASE WHEN nc > 0 AND nh > 0 THEN abs(f.num) / (nc * nh) END AS dist FROM cnt LEFT JOIN far f ON f.hydro_id = cnt.hydro_id AND f.stage_id = cnt.stage_id AND f.rn = 1)
-SELECT hydro_id, stage_id, CAST(found_scenarios AS BIGINT) AS found_scenarios, CAST(found_history AS BIGINT) AS found_history, CAST(nc AS BIGINT) AS valid_scenarios, CAST(nh AS BIGINT) AS valid_history,
+"""
+KS_COLUMNS = """hydro_id, stage_id, CAST(found_scenarios AS BIGINT) AS found_scenarios, CAST(found_history AS BIGINT) AS found_history, CAST(nc AS BIGINT) AS valid_scenarios, CAST(nh AS BIGINT) AS valid_history,
   CASE WHEN nc = 0 THEN 'no_scenarios' WHEN nh = 0 THEN 'no_history' WHEN least(nc, nh) = 1 THEN 'single_value' ELSE 'computed' END AS situation, round(dist, 6) + 0.0 AS distance, round(dist * 100, 6) + 0.0 AS distance_pp,
   CASE WHEN dist > 0 THEN x + 0.0 END AS at_x, CASE WHEN dist > 0 THEN CAST(cc AS BIGINT) END AS count_scenarios, CASE WHEN dist > 0 THEN CAST(ch AS BIGINT) END AS count_history,
   CASE WHEN dist > 0 AND num > 0 THEN 'more_in_scenarios' WHEN dist > 0 THEN 'more_in_history' WHEN dist = 0 THEN 'curves_coincide' END AS direction,
-  CASE WHEN dist > 0 THEN round(100 * (cc / nc), 6) + 0.0 END AS percent_scenarios, CASE WHEN dist > 0 THEN round(100 * (ch / nh), 6) + 0.0 END AS percent_history, CAST(cal.ord AS INTEGER) AS "order", strftime(cal.start_d, '%m/%Y') AS period
-FROM j JOIN cal USING (stage_id)""")
+  CASE WHEN dist > 0 THEN round(100 * (cc / nc), 6) + 0.0 END AS percent_scenarios, CASE WHEN dist > 0 THEN round(100 * (ch / nh), 6) + 0.0 END AS percent_history, CAST(cal.ord AS INTEGER) AS "order", strftime(cal.start_d, '%m/%Y') AS period"""
+
+
+@register("A9_ks_distance", f"{KS} SELECT {KS_COLUMNS} FROM j JOIN cal USING (stage_id)")
 def a9(spark, d):
     return ks.ks_distance(views.ensemble(spark, d), views.history(spark, d), views.calendar(spark, d))
 
@@ -196,12 +202,15 @@ judged AS (SELECT *, CASE WHEN n < 2 THEN 'lt2_pairs' WHEN sd_x IS NULL OR sd_y
 PAIR = r("mean_x", "mean_y", "sd_x", "sd_y", "cov")
 
 
-@register("A11_lag_correlation", f"""{LAGGED}, pr AS (SELECT hydro_id, stage_id, 0 AS lag, x, x AS y FROM fin UNION ALL SELECT hydro_id, stage_id, lag, CASE WHEN isfinite(v) THEN v END, CASE WHEN isfinite(y) THEN y END FROM wide),
-{pairs_sql('pr', 'hydro_id, stage_id, lag', ', count(*) AS rows')}
-SELECT j.hydro_id, j.stage_id, CAST(j.lag AS INTEGER) AS lag, j.rows, j.rows AS scenarios, n, {PAIR}, CASE WHEN coalesce(mismatches, 0) = 0 AND reason0 = 'computed' THEN round(rho0, 6) + 0.0 END AS rho,
+LAG = f"""{LAGGED}, pr AS (SELECT hydro_id, stage_id, 0 AS lag, x, x AS y FROM fin UNION ALL SELECT hydro_id, stage_id, lag, CASE WHEN isfinite(v) THEN v END, CASE WHEN isfinite(y) THEN y END FROM wide),
+{pairs_sql('pr', 'hydro_id, stage_id, lag', ', count(*) AS rows')},
+lagrho AS (SELECT j.hydro_id, j.stage_id, CAST(j.lag AS INTEGER) AS lag, j.rows, j.rows AS scenarios, n, {PAIR}, CASE WHEN coalesce(mismatches, 0) = 0 AND reason0 = 'computed' THEN round(rho0, 6) + 0.0 END AS rho,
   CASE WHEN coalesce(mismatches, 0) > 0 THEN 'lag_mismatch:' || CAST(mismatches AS VARCHAR) ELSE reason0 END AS reason, CAST(coalesce(mismatches, 0) AS BIGINT) AS mismatches,
   CASE WHEN j.lag = 0 THEN 'current' WHEN cal.ord >= j.lag THEN 'simulated' ELSE 'before_study' END AS origin, strftime(cal.start_d, '%m/%Y') AS period, strftime(cal.start_d - to_months(CAST(j.lag AS INTEGER)), '%m/%Y') AS past_period
-FROM judged j JOIN cal USING (stage_id) LEFT JOIN audit a ON a.hydro_id = j.hydro_id AND a.stage_id = j.stage_id AND a.lag = j.lag""")
+FROM judged j JOIN cal USING (stage_id) LEFT JOIN audit a ON a.hydro_id = j.hydro_id AND a.stage_id = j.stage_id AND a.lag = j.lag)"""
+
+
+@register("A11_lag_correlation", f"{LAG} SELECT * FROM lagrho")
 def a11(spark, d):
     return correlation.lag_correlation(views.with_lags(spark, d), views.calendar(spark, d))
 
@@ -221,12 +230,15 @@ def a13(spark, d):
     return correlation.complete_years(views.ensemble(spark, d), views.calendar(spark, d))
 
 
-@register("A14_annual_correlation", f"""{YEARS}, pr AS (SELECT c.hydro_id, c.year, k AS lag, c.total AS x, p.total AS y FROM whole c CROSS JOIN range(1, 3) t(k) JOIN whole p ON p.hydro_id = c.hydro_id AND p.scenario_id = c.scenario_id AND p.year = c.year - k),
+ANNUAL = f"""{YEARS}, pr AS (SELECT c.hydro_id, c.year, k AS lag, c.total AS x, p.total AS y FROM whole c CROSS JOIN range(1, 3) t(k) JOIN whole p ON p.hydro_id = c.hydro_id AND p.scenario_id = c.scenario_id AND p.year = c.year - k),
 {pairs_sql('pr', 'hydro_id, year, lag')}, held AS (SELECT hydro_id, year, count(*) AS complete FROM whole GROUP BY ALL),
-grid AS (SELECT hydro_id, scenarios, year, k AS lag FROM (SELECT hydro_id, count(DISTINCT scenario_id) AS scenarios FROM ens GROUP BY hydro_id) CROSS JOIN years CROSS JOIN range(1, 3) t(k))
-SELECT g.hydro_id, g.year, CAST(g.lag AS INTEGER) AS lag, g.scenarios, coalesce(a.complete, 0) AS complete, coalesce(b.complete, 0) AS complete_past, coalesce(n, 0) AS n, {PAIR}, CASE WHEN reason0 = 'computed' THEN round(rho0, 6) + 0.0 END AS rho,
+grid AS (SELECT hydro_id, scenarios, year, k AS lag FROM (SELECT hydro_id, count(DISTINCT scenario_id) AS scenarios FROM ens GROUP BY hydro_id) CROSS JOIN years CROSS JOIN range(1, 3) t(k)),
+yearrho AS (SELECT g.hydro_id, g.year, CAST(g.lag AS INTEGER) AS lag, g.scenarios, coalesce(a.complete, 0) AS complete, coalesce(b.complete, 0) AS complete_past, coalesce(n, 0) AS n, {PAIR}, CASE WHEN reason0 = 'computed' THEN round(rho0, 6) + 0.0 END AS rho,
   CASE WHEN g.year - g.lag NOT IN (SELECT year FROM years) THEN 'past_year_incomplete' ELSE coalesce(reason0, 'lt2_pairs') END AS reason
-FROM grid g LEFT JOIN judged j ON j.hydro_id = g.hydro_id AND j.year = g.year AND j.lag = g.lag LEFT JOIN held a ON a.hydro_id = g.hydro_id AND a.year = g.year LEFT JOIN held b ON b.hydro_id = g.hydro_id AND b.year = g.year - g.lag""")
+FROM grid g LEFT JOIN judged j ON j.hydro_id = g.hydro_id AND j.year = g.year AND j.lag = g.lag LEFT JOIN held a ON a.hydro_id = g.hydro_id AND a.year = g.year LEFT JOIN held b ON b.hydro_id = g.hydro_id AND b.year = g.year - g.lag)"""
+
+
+@register("A14_annual_correlation", f"{ANNUAL} SELECT * FROM yearrho")
 def a14(spark, d):
     return correlation.annual_correlation(views.ensemble(spark, d), views.calendar(spark, d))
 
@@ -235,7 +247,11 @@ SPATIAL = f""", pr AS (SELECT p.stage_id, p.hydro_id AS a, q.hydro_id AS b, p.x,
 RHO = "CASE WHEN reason0 = 'computed' THEN round(rho0, 6) + 0.0 END AS rho, reason0 AS reason"
 
 
-@register("A16_spatial_correlation", f"{SPATIAL}, every AS (SELECT s.stage_id, p.hydro_id AS a, q.hydro_id AS b FROM (SELECT DISTINCT stage_id FROM ens) s JOIN (SELECT DISTINCT stage_id, hydro_id FROM ens) p USING (stage_id) JOIN (SELECT DISTINCT stage_id, hydro_id FROM ens) q ON q.stage_id = s.stage_id AND p.hydro_id < q.hydro_id) SELECT stage_id, a, b, coalesce(n, 0) AS n, {PAIR}, CASE WHEN reason0 = 'computed' THEN round(rho0, 6) + 0.0 END AS rho, coalesce(reason0, 'lt2_pairs') AS reason FROM every LEFT JOIN judged USING (stage_id, a, b)")
+EVERY_PAIR = f"""{SPATIAL}, every AS (SELECT s.stage_id, p.hydro_id AS a, q.hydro_id AS b FROM (SELECT DISTINCT stage_id FROM ens) s JOIN (SELECT DISTINCT stage_id, hydro_id FROM ens) p USING (stage_id) JOIN (SELECT DISTINCT stage_id, hydro_id FROM ens) q ON q.stage_id = s.stage_id AND p.hydro_id < q.hydro_id),
+space AS (SELECT stage_id, a, b, coalesce(n, 0) AS n, {PAIR}, CASE WHEN reason0 = 'computed' THEN round(rho0, 6) + 0.0 END AS rho, coalesce(reason0, 'lt2_pairs') AS reason FROM every LEFT JOIN judged USING (stage_id, a, b))"""
+
+
+@register("A16_spatial_correlation", f"{EVERY_PAIR} SELECT * FROM space")
 def a16(spark, d):
     return correlation.spatial_correlation(views.ensemble(spark, d))
 
@@ -311,18 +327,48 @@ def f14(spark, d):
     return named(views.ensemble(spark, d).select("hydro_id").distinct(), views.names(spark, d))
 
 
-@register("A22_bandwidths", """SELECT hydro_id, stage_id, n, round(sd, 6) + 0.0 AS sd, minimum, maximum, round(h, 6) + 0.0 AS h, round(minimum - 6 * h, 6) + 0.0 AS "from", round(maximum + 6 * h, 6) + 0.0 AS "to",
-  CASE WHEN h IS NOT NULL THEN CAST(least(16001, greatest(1024, ceil((maximum - minimum + 12 * h) * 5 / h) + 1)) AS INTEGER) END AS points FROM (SELECT *, CASE WHEN n >= 2 AND sd > 1e-12 * greatest(1.0, abs(minimum), abs(maximum)) THEN sd * power(n, -0.2) END AS h
-  FROM (SELECT hydro_id, stage_id, count(x) AS n, stddev_pop(x) AS sd, min(x) AS minimum, max(x) AS maximum FROM fin GROUP BY ALL))""")
+def density_sql(source: str, by: str) -> str:
+    """CTE dens: bandwidths of x by the columns ``by``, with peak and ends of the curve summed point by point."""
+    keys = by.split(", ")
+    on = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in keys)
+    mine = lambda t: ", ".join(f"{t}.{k}" for k in keys)
+    return f"""band AS (SELECT *, minimum - 6 * h AS lo, maximum + 6 * h AS hi, CASE WHEN h IS NOT NULL THEN CAST(least(16001, greatest(1024, ceil((maximum - minimum + 12 * h) * 5 / h) + 1)) AS INTEGER) END AS points
+  FROM (SELECT *, CASE WHEN n >= 2 AND sd > 1e-12 * greatest(1.0, abs(minimum), abs(maximum)) THEN sd * power(n, -0.2) END AS h
+  FROM (SELECT {by}, count(x) AS n, stddev_pop(x) AS sd, min(x) AS minimum, max(x) AS maximum FROM {source} GROUP BY ALL))),
+raw AS (SELECT {mine("b")}, i, sum(exp(-0.5 * power((lo + i * (hi - lo) / (points - 1) - s.x) / h, 2))) AS raw
+  FROM (SELECT *, unnest(range(points)) AS i FROM band WHERE h IS NOT NULL) b JOIN {source} s ON {on("b", "s")} AND s.x IS NOT NULL GROUP BY ALL),
+area AS (SELECT {mine("r")}, sum(raw * CASE WHEN i = 0 OR i = points - 1 THEN 0.5 ELSE 1 END * (hi - lo) / (points - 1)) AS area FROM raw r JOIN band b ON {on("b", "r")} GROUP BY ALL),
+curve AS (SELECT {mine("r")}, i, raw / area AS d, lo + i * (hi - lo) / (points - 1) AS x, (minimum - lo) / ((hi - lo) / (points - 1)) AS p, (maximum - lo) / ((hi - lo) / (points - 1)) AS q
+  FROM raw r JOIN band b ON {on("b", "r")} JOIN area a ON {on("a", "r")}),
+tops AS (SELECT {by}, arg_max(x, (round(d, 12), -i)) AS peak_x, max(d) AS peak, sum(d * greatest(0.0, 1 - abs(i - p))) AS at_minimum, sum(d * greatest(0.0, 1 - abs(i - q))) AS at_maximum FROM curve GROUP BY ALL),
+dens AS (SELECT {mine("b")}, n, round(sd, 6) + 0.0 AS sd, minimum + 0.0 AS minimum, maximum + 0.0 AS maximum, round(h, 6) + 0.0 AS h, round(lo, 6) + 0.0 AS "from", round(hi, 6) + 0.0 AS "to", points,
+  {r("peak_x", "peak", "at_minimum", "at_maximum")} FROM band b LEFT JOIN tops t ON {on("b", "t")})"""
+
+
+@register("A22_bandwidths", f", {density_sql('fin', 'hydro_id, stage_id')} SELECT hydro_id, stage_id, n, sd, minimum, maximum, h, \"from\", \"to\", points FROM dens")
 def a22(spark, d):
     return density.bandwidths(views.ensemble(spark, d), G, V)
 
 
-@register("A22_density_peaks")
+@register("A22_density_peaks", f", {density_sql('fin', 'hydro_id, stage_id')} SELECT * FROM dens")
 def a22b(spark, d):
     return density.density_summary(views.ensemble(spark, d), G, V)
 
 
+BOTH = """, bothx AS (SELECT 'scenarios' AS source, hydro_id, stage_id AS period, scenario_id AS tie, x FROM fin UNION ALL SELECT 'history', hydro_id, month, date_diff('day', DATE '1900-01-01', start_d), x FROM hist),
+low AS (SELECT source, hydro_id, period, x FROM (SELECT *, row_number() OVER (PARTITION BY source, hydro_id, period ORDER BY x, tie) AS rn, count(*) OVER (PARTITION BY source, hydro_id, period) AS n FROM bothx WHERE x IS NOT NULL) WHERE rn <= (n * 20 + 99) // 100)"""
+
+
+@register("density_report", f"{BOTH}, {density_sql('bothx', 'source, hydro_id, period')} SELECT * FROM dens")
+def density_report(spark, d):
+    return reports.density_report(views.ensemble(spark, d), views.history(spark, d))
+
+
+@register("density_of_lowest_fifth", f"{BOTH}, {density_sql('low', 'source, hydro_id, period')} SELECT * FROM dens")
+def density_low(spark, d):
+    return reports.density_report(views.ensemble(spark, d), views.history(spark, d), 20)
+
+
 @register("A23_lowest_fifth_moments", f", s0 AS (SELECT hydro_id, stage_id, x, row_number() OVER (PARTITION BY hydro_id, stage_id ORDER BY x, scenario_id) AS rn, count(*) OVER (PARTITION BY hydro_id, stage_id) AS n FROM fin WHERE x IS NOT NULL), s AS (SELECT hydro_id, stage_id, x FROM s0 WHERE rn <= (n * 20 + 99) // 100), {moments_sql('s', 'hydro_id, stage_id', 'm')} SELECT hydro_id, stage_id, {MOMENT_COLUMNS} FROM m")
 def a23(spark, d):
     return summaries.moment_summary(slices.lowest(views.ensemble(spark, d), G, V, "scenario_id", 20), G, "v")
@@ -357,17 +403,21 @@ def q3(spark, d):
     return quality.duplicates(rows, ["scenario", "entity"])
 
 
-@register("Q4_scenarios_in_one_source", "SELECT scenario_id, 'left' AS only_in FROM (SELECT DISTINCT scenario_id FROM ens WHERE hydro_id < 7 EXCEPT SELECT scenario_id FROM ens WHERE hydro_id = 7 AND stage_id < 1) UNION ALL SELECT scenario_id, 'right' FROM (SELECT scenario_id FROM ens WHERE hydro_id = 7 AND stage_id < 1 EXCEPT SELECT scenario_id FROM ens WHERE hydro_id < 7)")
+@register("Q4_scenarios_in_one_source", "SELECT scenario_id, 'left' AS only_in FROM (SELECT DISTINCT scenario_id FROM ens WHERE v > 950 EXCEPT SELECT scenario_id FROM ens WHERE v < -6) UNION ALL SELECT scenario_id, 'right' FROM (SELECT scenario_id FROM ens WHERE v < -6 EXCEPT SELECT scenario_id FROM ens WHERE v > 950)")
 def q4(spark, d):
     rows = views.ensemble(spark, d)
-    return quality.only_in_one(rows.filter("hydro_id < 7"), rows.filter("hydro_id = 7 and stage_id < 1"), "scenario_id")
+    return quality.only_in_one(rows.filter(F.col(V) > 950), rows.filter(F.col(V) < -6), "scenario_id")
 
 
-@register("Q5_block_violations", "SELECT scenario_id, stage_id, node_id, hydro_id, 'flow_differs_between_blocks' AS problem FROM ens WHERE scenario_id % 2 = 1 AND hydro_id = 5 AND isfinite(v)")
+@register("Q5_block_violations", """SELECT scenario_id, stage_id, node_id, hydro_id, problem FROM (SELECT *, CASE WHEN stage_id % 9 = 4 OR stage_id % 9 = 5 THEN 'block_0_not_once' WHEN scenario_id % 2 = 0 AND stage_id % 9 = 6 THEN 'whole_row_not_once'
+  WHEN scenario_id % 2 = 1 AND hydro_id = 5 AND isfinite(v) THEN 'flow_differs_between_blocks' WHEN scenario_id % 2 = 1 AND stage_id % 9 = 7 AND v IS NOT NULL THEN 'flow_differs_between_blocks' END AS problem FROM ens) WHERE problem IS NOT NULL""")
 def q5(spark, d):
     rows = views.raw_flows(spark, d)
-    wrong = (F.col("hydro_id") == 5) & (F.col("block_id") == 2)
-    return consolidate.block_violations(consolidate.stage_values(rows.withColumn(V, F.when(wrong, F.col(V) + 1).otherwise(F.col(V)))))
+    stage, block = F.col("stage_id") % 9, F.col("block_id")
+    # block 0 missing, block 0 twice, whole rows twice
+    rows = rows.filter(~((stage == 4) & block.eqNullSafe(0))).unionByName(rows.filter(((stage == 5) & (block == 0)) | ((stage == 6) & block.isNull())))
+    wrong, gone = (F.col("hydro_id") == 5) & (block == 2), (stage == 7) & (block == 1)
+    return consolidate.block_violations(consolidate.stage_values(rows.withColumn(V, F.when(gone, None).when(wrong, F.col(V) + 1).otherwise(F.col(V)))))
 
 
 @register("Q8_orphan_lags", "SELECT DISTINCT scenario_id, stage_id, node_id, hydro_id FROM lagl WHERE stage_id % 7 = 0")
@@ -407,9 +457,9 @@ def q19(spark, d):
     return quality.missing_values(views.ensemble(spark, d))
 
 
-@register("Q20_months_without_history", "SELECT DISTINCT e.hydro_id, cal.month FROM ens e JOIN cal USING (stage_id) WHERE NOT EXISTS (SELECT 1 FROM hist h WHERE h.hydro_id = e.hydro_id AND h.month = cal.month AND h.x > 100)")
+@register("Q20_months_without_history", "SELECT DISTINCT e.hydro_id, cal.month FROM ens e JOIN cal USING (stage_id) WHERE NOT EXISTS (SELECT 1 FROM hist h WHERE h.hydro_id = e.hydro_id AND h.month = cal.month AND h.x > 320)")
 def q20(spark, d):
-    return quality.months_without_history(views.ensemble(spark, d), views.calendar(spark, d), views.history(spark, d).filter("value > 100"))
+    return quality.months_without_history(views.ensemble(spark, d), views.calendar(spark, d), views.history(spark, d).filter("value > 320"))
 
 
 WIDE = ", ".join(f"max(CASE WHEN lag = {k} AND isfinite(y) THEN y END) AS lag_{k}_m3s" for k in range(1, 7))
@@ -464,11 +514,10 @@ every AS (SELECT DISTINCT source, win, hydro_id, period FROM allx WHERE source =
 
 @register("slice_report", f"""{ALL_X}{slices_sql('5, 100, 5', 'allx', 'source, win, hydro_id, period', 'tie')}
 SELECT source, CAST(win AS INTEGER) AS "window", hydro_id, CAST(period AS BIGINT) AS period, CAST(percent AS INTEGER) AS percent, coalesce(n, 0) AS n, CAST(coalesce(k, 0) AS BIGINT) AS k, round(mean, 6) + 0.0 AS mean,
-  round(CASE WHEN minimum = maximum THEN 0.0 ELSE sd END, 6) + 0.0 AS sd, {FIVE}, CAST(coalesce(outliers, 0) AS BIGINT) AS outliers, 'p' || percent || '%' AS label
-FROM every CROSS JOIN (SELECT unnest(range(5, 100, 5)) AS percent) LEFT JOIN o USING (source, win, hydro_id, period, percent)""")
+  round(CASE WHEN minimum = maximum THEN 0.0 ELSE sd END, 6) + 0.0 AS sd, {SHAPE}, {FIVE}, CAST(coalesce(outliers, 0) AS BIGINT) AS outliers, 'p' || percent || '%' AS label, {LABEL.replace("AS label", "AS entity_label")}
+FROM every CROSS JOIN (SELECT unnest(range(5, 100, 5)) AS percent) LEFT JOIN o USING (source, win, hydro_id, period, percent) LEFT JOIN names USING (hydro_id)""")
 def slice_report(spark, d):
-    # without the shape: sums of one window that differ in their last bits only have one, or none, by the order of adding
-    return reports.slice_report(views.ensemble(spark, d), views.history(spark, d), views.calendar(spark, d)).drop("skewness", "kurtosis")
+    return reports.slice_report(views.ensemble(spark, d), views.history(spark, d), views.calendar(spark, d), views.names(spark, d))
 
 
 @register("F10_slice_filter", f"""{ALL_X}{slices_sql('5, 100, 5', 'allx', 'source, win, hydro_id, period', 'tie')}
@@ -478,9 +527,9 @@ def f10(spark, d):
     return filters.slice_filter(slice_report(spark, d), [10, 50], [0, 12]).select("source", "window", "hydro_id", "period", "percent", "k", "median")
 
 
-@register("ks_report", "SELECT hydro_id, stage_id, " + LABEL + " FROM (SELECT DISTINCT hydro_id, stage_id FROM ens) LEFT JOIN names USING (hydro_id)")
+@register("ks_report", f"{KS} SELECT {KS_COLUMNS}, {LABEL} FROM j JOIN cal USING (stage_id) LEFT JOIN names USING (hydro_id)")
 def ks_report(spark, d):
-    return reports.ks_report(views.ensemble(spark, d), views.history(spark, d), views.calendar(spark, d), views.names(spark, d)).select(*G, "label")
+    return reports.ks_report(views.ensemble(spark, d), views.history(spark, d), views.calendar(spark, d), views.names(spark, d))
 
 
 @register("T1_page_after", "SELECT scenario_id, stage_id, node_id, hydro_id, x FROM fin WHERE x > 50 OR x IS NULL OR (x = 50 AND scenario_id > 3) ORDER BY x NULLS LAST, scenario_id, stage_id, node_id, hydro_id LIMIT 50")
@@ -515,10 +564,46 @@ def q15(spark, d):
     return quality.bad_history(rows.select("hydro_id", "month", start.alias("start_date"), F.col("end").alias("end_date"))).select("hydro_id", "month", "problem")
 
 
-@register("F11_pairs_of_stages", f"{SPATIAL} SELECT stage_id, a, b, n, {RHO} FROM judged WHERE stage_id IN (20, 21) AND a IN (1, 2)")
+@register("F11_lag_filter", f"{LAG} SELECT hydro_id, stage_id, lag, n, rho, reason, {LABEL} FROM lagrho LEFT JOIN names USING (hydro_id) WHERE hydro_id IN (1, 2) AND stage_id IN (20, 21, 22)")
 def f11(spark, d):
-    rows = views.ensemble(spark, d).filter(filters.among("stage_id", [20, 21]))
-    return correlation.spatial_pairs(rows).filter(filters.among("a", [1, 2])).select("stage_id", "a", "b", "n", "rho", "reason")
+    table, detail = reports.lag_report(views.with_lags(spark, d), views.calendar(spark, d), views.names(spark, d))
+    return filters.both(table, detail, [1, 2], "stage_id", [20, 21, 22])[1].select(*G, "lag", "n", "rho", "reason", "label")
+
+
+@register("F11_annual_filter", f"{ANNUAL} SELECT hydro_id, year, max(CASE WHEN lag = 1 THEN rho END) AS lag_1, max(CASE WHEN lag = 2 THEN rho END) AS lag_2, {LABEL} FROM yearrho LEFT JOIN names USING (hydro_id) WHERE hydro_id IN (1, 2) GROUP BY hydro_id, year, name")
+def f11b(spark, d):
+    table, detail = reports.annual_report(views.ensemble(spark, d), views.calendar(spark, d), views.names(spark, d))
+    return filters.both(table, detail, [1, 2], "year", [])[0]
+
+
+@register("lag_report", f"{LAG} SELECT hydro_id, stage_id, " + ", ".join(f"max(CASE WHEN lag = {k} THEN rho END) AS lag_{k}" for k in range(7)) + f", {LABEL} FROM lagrho LEFT JOIN names USING (hydro_id) GROUP BY hydro_id, stage_id, name")
+def lag_report(spark, d):
+    return reports.lag_report(views.with_lags(spark, d), views.calendar(spark, d), views.names(spark, d))[0]
+
+
+@register("annual_report", f"{ANNUAL} SELECT yearrho.*, {LABEL} FROM yearrho LEFT JOIN names USING (hydro_id)")
+def annual_report(spark, d):
+    return reports.annual_report(views.ensemble(spark, d), views.calendar(spark, d), views.names(spark, d))[1]
+
+
+@register("spatial_report", f"{EVERY_PAIR} SELECT space.*, scenarios, {LABEL.replace('hydro_id', 'a').replace('name', 'p.name').replace('AS label', 'AS label_a')}, {LABEL.replace('hydro_id', 'b').replace('name', 'q.name').replace('AS label', 'AS label_b')}, strftime(start_d, '%m/%Y') AS period FROM space JOIN (SELECT stage_id, count(DISTINCT scenario_id) AS scenarios FROM ens GROUP BY stage_id) USING (stage_id) JOIN cal USING (stage_id) LEFT JOIN names p ON p.hydro_id = a LEFT JOIN names q ON q.hydro_id = b")
+def spatial_report(spark, d):
+    return reports.spatial_report(views.ensemble(spark, d), views.calendar(spark, d), views.names(spark, d))
+
+
+@register("browse", "SELECT scenario_id, stage_id, node_id, hydro_id, v, count(*) OVER () AS total FROM ens WHERE v < -0.01 ORDER BY v NULLS LAST, scenario_id, stage_id, node_id, hydro_id LIMIT 100")
+def browsed(spark, d):
+    rows, total, _ = reports.browse(views.ensemble(spark, d), V, negative=True)
+    return rows.select("scenario_id", "stage_id", "node_id", "hydro_id", F.col(V).alias("v"), F.lit(total).cast("long").alias("total"))
+
+
+@register("evidence", "SELECT 'case' AS kind, scenario_id, stage_id, node_id, hydro_id, x, slack FROM fin WHERE scenario_id = 3 AND hydro_id = 2 UNION ALL SELECT 'suspicious', scenario_id, stage_id, node_id, hydro_id, x, slack FROM fin WHERE v > 0 AND slack > 0")
+def evidence(spark, d):
+    from rivulet.functions.numeric import finite
+
+    case, odd, _ = reports.evidence(views.ensemble(spark, d), (F.col("scenario_id") == 3) & (F.col("hydro_id") == 2))
+    side = lambda df, kind: df.select(F.lit(kind).alias("kind"), "scenario_id", "stage_id", "node_id", "hydro_id", finite(V).alias("x"), F.col("inflow_nonnegativity_slack_m3s").alias("slack"))
+    return side(case, "case").unionByName(side(odd, "suspicious"))
 
 
 @register("U1_distinct_keys", "SELECT scenario_id, stage_id, 'flows' AS kind FROM ens GROUP BY ALL UNION ALL SELECT scenario_id, stage_id, 'lags' FROM lagl GROUP BY ALL")
@@ -527,9 +612,10 @@ def u1(spark, d):
     return keys(views.ensemble(spark, d), "flows").unionByName(keys(views.shifted(spark, d), "lags"))
 
 
-@register("stage_profile", f"""{slices_sql('100, 101')}, ser AS (SELECT hydro_id, stage_id, count(x) AS n, avg(x) AS mean, stddev_pop(x) AS sd, avg(slack) AS mean_slack FROM fin GROUP BY ALL), past AS (SELECT hydro_id, month, count(x) AS history_n, avg(x) AS history_mean, stddev_pop(x) AS history_sd FROM hist GROUP BY ALL)
-SELECT ser.hydro_id, ser.stage_id, ser.n, round(ser.mean, 6) + 0.0 AS mean, round(ser.sd, 6) + 0.0 AS sd, round(ser.mean - ser.sd, 6) + 0.0 AS low, round(ser.mean + ser.sd, 6) + 0.0 AS high, {FIVE}, CAST(outliers AS BIGINT) AS outliers, round(mean_slack, 6) + 0.0 AS mean_slack,
-  CAST(cal.ord AS INTEGER) AS "order", cal.month, coalesce(history_n, 0) AS history_n, round(history_mean, 6) + 0.0 AS history_mean, round(history_sd, 6) + 0.0 AS history_sd, monthname(cal.start_d) AS month_name
+@register("stage_profile", f"""{slices_sql('100, 101')}, ser AS (SELECT hydro_id, stage_id, count(x) AS n, count(*) AS rows, count(DISTINCT scenario_id) AS scenarios, avg(x) AS mean, stddev_pop(x) AS sd, avg(slack) AS mean_slack FROM fin GROUP BY ALL), {moments_sql('hist', 'hydro_id, month', 'past')}
+SELECT ser.hydro_id, ser.stage_id, ser.n, rows, scenarios, rows - ser.n AS missing, round(ser.mean, 6) + 0.0 AS mean, round(ser.sd, 6) + 0.0 AS sd, round(ser.mean - ser.sd, 6) + 0.0 AS low, round(ser.mean + ser.sd, 6) + 0.0 AS high,
+  {FIVE.replace("minimum", "o.minimum", 1).replace("AS o.minimum", "AS minimum").replace("round(maximum", "round(o.maximum")}, round(o.skewness, 6) + 0.0 AS skewness, round(o.kurtosis, 6) + 0.0 AS kurtosis, CAST(outliers AS BIGINT) AS outliers, round(mean_slack, 6) + 0.0 AS mean_slack,
+  CAST(cal.ord AS INTEGER) AS "order", cal.month, coalesce(past.n, 0) AS history_n, round(past.mean, 6) + 0.0 AS history_mean, round(past.sd, 6) + 0.0 AS history_sd, round(past.skewness, 6) + 0.0 AS history_skewness, round(past.kurtosis, 6) + 0.0 AS history_kurtosis, monthname(cal.start_d) AS month_name
 FROM ser LEFT JOIN o ON o.hydro_id = ser.hydro_id AND o.stage_id = ser.stage_id JOIN cal ON cal.stage_id = ser.stage_id LEFT JOIN past ON past.hydro_id = ser.hydro_id AND past.month = cal.month""")
 def profile(spark, d):
     return reports.stage_profile(views.ensemble(spark, d), views.history(spark, d), views.calendar(spark, d))

@@ -5,27 +5,21 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.columns import ENSEMBLE, Cols
 
 
-def publish(df: DataFrame, path: str, check: Callable[[DataFrame], None] | None = None, partitions: int | None = None, by: str = "scenario", cols: Cols = ENSEMBLE) -> None:
-    """Zstd Parquet in key order, range-partitioned by scenario or entity; the old output stays until ``check`` passes."""
-    spark = df.sparkSession
-    lead = {"scenario": [cols.scenario], "entity": [cols.entity, cols.scenario]}[by]
-    order = [*lead, *[k for k in cols.key if k not in lead]]
-    ranged = df.repartitionByRange(partitions, *lead) if partitions else df.repartitionByRange(*lead)
+def _replace(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Puts what ``write`` leaves in a new folder in the place of ``path``, which stays as it is if anything fails."""
     fresh, old = (f"{path.rstrip('/')}.{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     move = lambda a, b: fs.rename(jvm.org.apache.hadoop.fs.Path(a), jvm.org.apache.hadoop.fs.Path(b))
     try:
-        ranged.sortWithinPartitions(*order).write.option("compression", "zstd").parquet(fresh)
-        if check:
-            check(spark.read.parquet(fresh))
+        write(fresh)
     except BaseException:
         fs.delete(jvm.org.apache.hadoop.fs.Path(fresh), True)
         raise
@@ -37,12 +31,30 @@ def publish(df: DataFrame, path: str, check: Callable[[DataFrame], None] | None
     fs.delete(jvm.org.apache.hadoop.fs.Path(old), True)
 
 
+def publish(df: DataFrame, path: str, check: Callable[[DataFrame], None] | None = None, partitions: int | None = None, by: str = "scenario", cols: Cols = ENSEMBLE) -> None:
+    """Zstd Parquet in key order, range-partitioned by scenario or entity; the old output stays until ``check`` passes."""
+    lead = {"scenario": [cols.scenario], "entity": [cols.entity, cols.scenario]}[by]
+    order = [*lead, *[k for k in cols.key if k not in lead]]
+    ranged = df.repartitionByRange(partitions, *lead) if partitions else df.repartitionByRange(*lead)
+
+    def write(folder: str) -> None:
+        ranged.sortWithinPartitions(*order).write.option("compression", "zstd").parquet(folder)
+        if check:
+            check(df.sparkSession.read.parquet(folder))
+
+    _replace(df.sparkSession, path, write)
+
+
 def write_report(report: DataFrame, diagnostics: DataFrame | None, path: str, form: str = "parquet") -> None:
-    """A report and its diagnostics as two datasets with full-precision numbers."""
-    for name, df in (("report", report), ("diagnostics", diagnostics)):
-        if df is not None:
-            out = df.write.mode("overwrite").format(form)
-            (out.option("header", True) if form == "csv" else out).save(f"{path}/{name}")
+    """A report and its diagnostics as two datasets with full-precision numbers; both appear, or neither."""
+
+    def write(folder: str) -> None:
+        for name, df in (("report", report), ("diagnostics", diagnostics)):
+            if df is not None:
+                out = df.write.format(form)
+                (out.option("header", True) if form == "csv" else out).save(f"{folder}/{name}")
+
+    _replace(report.sparkSession, path, write)
 
 
 def run_summary(df: DataFrame, cols: Cols = ENSEMBLE) -> DataFrame:

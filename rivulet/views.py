@@ -1,7 +1,8 @@
-"""An ensemble, its calendar, history, names and raw trees, derived from ``lineitem`` and ``nation``.
+"""An ensemble, its calendar, history, names and raw trees, derived from all of ``lineitem``, ``supplier`` and ``nation``.
 
-Entity: line number. Scenario: part key modulo 40. Stage: month of shipping. Value: total quantity times 355/113, less
-10, with some nulls and infinities; slack: number of lines modulo 3.
+Entity: supplier key modulo a tenth of the number of suppliers, so that entities grow with the tables. Scenario: part key
+modulo 20. Stage: month of shipping. Value: total quantity times 355/113, less 10, with some nulls and infinities; slack:
+number of lines modulo 3. History: an entity's monthly total over all lines, by the number of scenarios.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from rivulet.sources.readers import with_order
 
 LAGS = 6
+SCENARIOS = 20
 BLOCKS = (None, 0, 1, 2)
 
 
@@ -19,11 +21,15 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
 
 
-def ensemble(spark: SparkSession, sf_dir: str, entities: int | None = None, scenarios: int = 40) -> DataFrame:
-    """The consolidated table; with ``entities``, a larger one whose entity is the supplier key modulo that."""
-    entity = F.col("l_linenumber") if entities is None else F.col("l_suppkey") % entities
+def entities(spark: SparkSession, sf_dir: str) -> int:
+    return max(7, spark.read.parquet(f"{sf_dir}/supplier.parquet").count() // 10)
+
+
+def ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consolidated table."""
+    entity = F.col("l_suppkey") % entities(spark, sf_dir)
     stage = F.year("l_shipdate") * 12 + F.month("l_shipdate") - 1 - 23940
-    cells = _lines(spark, sf_dir).groupBy(entity.cast("long").alias("hydro_id"), (F.col("l_partkey") % scenarios).cast("long").alias("scenario_id"), stage.cast("long").alias("stage_id"))
+    cells = _lines(spark, sf_dir).groupBy(entity.cast("long").alias("hydro_id"), (F.col("l_partkey") % SCENARIOS).cast("long").alias("scenario_id"), stage.cast("long").alias("stage_id"))
     cells = cells.agg(F.sum("l_quantity").alias("q"), F.count(F.lit(1)).alias("c"))
     value = F.when((F.col("scenario_id") * 7 + F.col("stage_id")) % 23 == 0, None).when((F.col("scenario_id") * 5 + F.col("stage_id")) % 29 == 0, float("inf")).otherwise(F.col("q") * 355 / 113 - 10)
     slack = F.when(F.col("stage_id") % 11 == 0, None).otherwise((F.col("c") % 3).cast("double"))
@@ -63,19 +69,21 @@ def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.trunc(F.col("l_shipdate").cast("date"), "MM")
-    rows = _lines(spark, sf_dir).filter("l_suppkey % 40 = 7").groupBy(F.col("l_linenumber").cast("long").alias("hydro_id"), start.alias("start")).agg((F.sum("l_quantity") * 355 / 113 - 10).alias("value"))
+    entity = (F.col("l_suppkey") % entities(spark, sf_dir)).cast("long").alias("hydro_id")
+    rows = _lines(spark, sf_dir).groupBy(entity, start.alias("start")).agg((F.sum("l_quantity") * 355 / 113 / SCENARIOS - 10).alias("value"))
     return rows.select("hydro_id", "start", F.add_months("start", 1).alias("end"), "value", F.month("start").alias("month"))
 
 
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of the first five entities; the others have none."""
-    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").filter("n_nationkey between 1 and 5")
-    return rows.select(F.col("n_nationkey").cast("long").alias("hydro_id"), F.trim("n_name").alias("name"))
+    """Names of entities of even number; the others have none."""
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    return rows.select((F.col("n_nationkey") * 2).cast("long").alias("hydro_id"), F.trim("n_name").alias("name"))
 
 
 # The same tables in SQL.
 SQL = """
-base AS (SELECT CAST(l_linenumber AS BIGINT) AS hydro_id, CAST(l_partkey % 40 AS BIGINT) AS scenario_id,
+size AS (SELECT greatest(7, count(*) // 10) AS entities FROM supplier),
+base AS (SELECT CAST(l_suppkey % (SELECT entities FROM size) AS BIGINT) AS hydro_id, CAST(l_partkey % 20 AS BIGINT) AS scenario_id,
     CAST(year(l_shipdate) * 12 + month(l_shipdate) - 1 - 23940 AS BIGINT) AS stage_id, sum(l_quantity) AS q, count(*) AS c
   FROM lineitem GROUP BY ALL),
 ens AS (SELECT scenario_id, stage_id, stage_id * 1000 + scenario_id AS node_id, hydro_id,
@@ -87,10 +95,10 @@ lagl AS (SELECT e.scenario_id, e.stage_id, e.node_id, e.hydro_id, k AS lag,
   FROM ens e CROSS JOIN range(1, 7) r(k) JOIN ens p ON p.hydro_id = e.hydro_id AND p.scenario_id = e.scenario_id AND p.stage_id = e.stage_id - k),
 cal AS (SELECT stage_id, make_date(1995 + stage_id // 12, stage_id % 12 + 1, 1) AS start_d, CAST(1995 + stage_id // 12 AS INTEGER) AS year, CAST(stage_id % 12 + 1 AS INTEGER) AS month,
     row_number() OVER (ORDER BY stage_id) - 1 AS ord FROM (SELECT DISTINCT stage_id FROM ens)),
-hist AS (SELECT CAST(l_linenumber AS BIGINT) AS hydro_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS start_d, sum(l_quantity) * 355 / 113 - 10 AS x,
+hist AS (SELECT CAST(l_suppkey % (SELECT entities FROM size) AS BIGINT) AS hydro_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS start_d, sum(l_quantity) * 355 / 113 / 20 - 10 AS x,
     CAST(any_value(month(l_shipdate)) AS INTEGER) AS month, any_value(year(l_shipdate) * 12 + month(l_shipdate)) AS m
-  FROM lineitem WHERE l_suppkey % 40 = 7 GROUP BY 1, 2),
-names AS (SELECT CAST(n_nationkey AS BIGINT) AS hydro_id, trim(n_name) AS name FROM nation WHERE n_nationkey BETWEEN 1 AND 5),
+  FROM lineitem GROUP BY 1, 2),
+names AS (SELECT CAST(n_nationkey * 2 AS BIGINT) AS hydro_id, trim(n_name) AS name FROM nation),
 roll AS (SELECT hydro_id, scenario_id, stage_id, win, total FROM (
     SELECT f.hydro_id, f.scenario_id, f.stage_id, 6 AS win, count(*) OVER w AS n, count(x) OVER w AS nx, sum(x) OVER w AS total FROM fin f JOIN cal USING (stage_id)
       WINDOW w AS (PARTITION BY hydro_id, scenario_id ORDER BY ord RANGE BETWEEN 5 PRECEDING AND CURRENT ROW)

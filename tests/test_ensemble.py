@@ -321,6 +321,83 @@ def test_order_of_rows_does_not_matter(spark):
     a = correlation.spatial_correlation(df).orderBy("stage_id", "a", "b").collect()
     b = correlation.spatial_correlation(df.orderBy(F.desc("scenario_id")).repartition(2)).orderBy("stage_id", "a", "b").collect()
     assert [(r["stage_id"], r["a"], r["b"], r["n"], r["reason"]) for r in a] == [(r["stage_id"], r["a"], r["b"], r["n"], r["reason"]) for r in b]
+    assert all((x["rho"] is None) == (y["rho"] is None) and abs((x["rho"] or 0) - (y["rho"] or 0)) < 1e-12 for x, y in zip(a, b, strict=True))
+
+
+@pytest.mark.parametrize("tile", [1, 2, 3])
+def test_spatial_tiles_add_up(spark, tile):
+    key = lambda r: (r["stage_id"], r["a"], r["b"])
+    want = sorted(correlation.spatial_pairs(spatial(spark)).collect(), key=key)
+    got = sorted(correlation.spatial_correlation(spatial(spark), chunk=2, tile=tile).collect(), key=key)
+    assert list(map(key, got)) == list(map(key, want))
+    for x, y in zip(got, want, strict=True):
+        assert x["reason"] == y["reason"] and x["n"] == y["n"]
+        assert all(abs((x[c] or 0) - (y[c] or 0)) < 1e-9 for c in ("mean_x", "mean_y", "sd_x", "sd_y", "cov", "rho"))
+
+
+def reported(spark):
+    """A small study: flows, history, calendar, names."""
+    df = flows(spark, {s: {1: 1.0 + s, 2: 4.0 - s} for s in range(14)}, entity=7)
+    cal = calendar(spark, {s: JAN26 + s for s in range(14)})
+    return df, history(spark, [(2020 * 12 + i, float(i % 5)) for i in range(30)]), cal, spark.createDataFrame([(7, "Seven")], "hydro_id long, name string")
+
+
+REPORTS = {
+    "statistics": lambda df, past, cal, names: reports.statistical_report(df, past, cal, names),
+    "slices": lambda df, past, cal, names: reports.slice_report(df, past, cal, names),
+    "ks": lambda df, past, cal, names: reports.ks_report(df, past, cal, names),
+    "spatial": lambda df, past, cal, names: reports.spatial_report(df, cal, names),
+    "annual": lambda df, past, cal, names: reports.annual_report(df, cal, names)[0],
+}
+
+
+@pytest.mark.parametrize("name", sorted(REPORTS))
+def test_reports_refuse(spark, name):
+    df, past, cal, names = reported(spark)
+    REPORTS[name](df, past, cal, names).collect()
+    with pytest.raises(quality.QualityError):  # a repeated row
+        REPORTS[name](df.unionByName(df.filter("stage_id = 3 and scenario_id = 1")), past, cal, names)
+    with pytest.raises(quality.QualityError):  # a stage that the calendar lacks
+        REPORTS[name](df, past, cal.filter("stage_id <> 13"), names)
+    if name in ("statistics", "slices", "ks"):
+        with pytest.raises(quality.QualityError):  # a month of history twice
+            REPORTS[name](df, past.unionByName(past.limit(1)), cal, names)
+    if name != "ks":
+        with pytest.raises(quality.QualityError):  # a node missing
+            REPORTS[name](df.withColumn("node_id", F.when(F.col("stage_id") != 2, F.col("node_id"))), past, cal, names)
+
+
+def test_spatial_refuses_repeated_rows_in_a_task(spark):
+    df = spatial(spark)
+    twice = df.unionByName(df.filter("stage_id = 0 and scenario_id = 1 and hydro_id = 2"))
+    with pytest.raises(Exception, match="repeated"):
+        correlation.spatial_correlation(twice).collect()
+
+
+def test_constant_but_for_rounding_has_no_shape(spark):
+    df = flows(spark, {0: {1: 0.1 + 0.2, 2: 0.3, 3: 0.3}, 1: {1: 1.0, 2: 1.0 + 1e-9, 3: 3.0}})
+    got = {r["stage_id"]: r for r in summaries.moment_summary(df, ["stage_id"], "incremental_inflow_m3s").collect()}
+    assert got[0]["skewness"] is None and got[0]["kurtosis"] is None and got[1]["skewness"] > 0.7
+
+
+def test_density_ends(spark):
+    df = flows(spark, {0: {1: 1.0, 2: 2.0, 3: 4.0}})
+    row = density.density_summary(df, ["hydro_id", "stage_id"], "incremental_inflow_m3s").first()
+    sd = math.sqrt(14 / 9)
+    h = sd * 3**-0.2
+    kernel = lambda x: sum(math.exp(-0.5 * ((x - v) / h) ** 2) for v in (1.0, 2.0, 4.0)) / (3 * h * math.sqrt(2 * math.pi))
+    assert math.isclose(row["at_minimum"], kernel(1.0), rel_tol=1e-3) and math.isclose(row["at_maximum"], kernel(4.0), rel_tol=1e-3)
+    both = reports.density_report(df, history(spark, [(24000 + 12 * i, float(i)) for i in range(4)]))
+    assert {(r["source"], r["n"]) for r in both.collect()} == {("scenarios", 3), ("history", 4)}
+
+
+def test_report_is_written_whole_or_not_at_all(spark, tmp_path):
+    path = str(tmp_path / "out")
+    writers.write_report(spark.range(3), spark.range(2), path)
+    broken = spark.range(2).select(F.raise_error(F.lit("no")).alias("x"))
+    with pytest.raises(Exception, match="no"):
+        writers.write_report(spark.range(5), broken, path)
+    assert spark.read.parquet(f"{path}/report").count() == 3 and [x.name for x in tmp_path.iterdir()] == ["out"]
 
 
 def test_density_of_a_group_in_blocks(spark):

@@ -58,9 +58,11 @@ def test_slices_rank_once(plain):
     assert exchanges(slices.slices(ensemble(plain), ["hydro_id", "stage_id"], "incremental_inflow_m3s", "scenario_id"))[0] == 1
 
 
-def test_wide_lags_and_values_join_on_their_partitions(plain):
-    lags = plain.createDataFrame([], "scenario_id long, stage_id long, node_id long, hydro_id long, lag_index int, inflow_m3s double")
-    assert exchanges(consolidate.wide_lags(lags, [0, 1, 2]))[0] == 1
+def test_consolidation_shuffles_each_tree_once(plain):
+    flows = ensemble(plain, ", block_id int, inflow_nonnegativity_slack_m3s double")
+    lags = plain.createDataFrame([(1, 1, 1, 1, 1, 1.0)], "scenario_id long, stage_id long, node_id long, hydro_id long, lag_index int, inflow_m3s double")
+    # one for each tree, of partial aggregates that the join reuses, and one of the scenarios with whole rows
+    assert exchanges(consolidate.consolidate(flows, lags, checked=False))[0] == 3
 
 
 def test_ks_shuffles_points_not_rows(plain):
@@ -72,6 +74,22 @@ def test_annual_sums_need_one_shuffle(plain):
     assert exchanges(correlation.annual_sums(ensemble(plain), calendar(plain)))[0] <= 2
 
 
+def test_annual_correlation(plain):
+    # sums and window 3 (with the distinct stages), pairs 1, scenarios of an entity 2, and the grid's join
+    assert exchanges(correlation.annual_correlation(ensemble(plain), calendar(plain)))[0] <= 6
+
+
+def test_spatial_correlation(plain):
+    n, plan = exchanges(correlation.spatial_correlation(ensemble(plain)))
+    assert n <= 8 and "CartesianProduct" not in plan
+
+
+def test_report_checks_are_one_aggregate(plain):
+    from rivulet.operators import quality
+
+    assert exchanges(quality.bad_groups(ensemble(plain), calendar=calendar(plain)))[0] == 2
+
+
 def test_scan_reads_only_needed_columns(plain):
     from rivulet import queries
 
