@@ -31,7 +31,7 @@ def month_index(date: Column) -> Column:
     return (F.year(date) * 12 + F.month(date) - 1).cast("int")
 
 
-def month_before(start: Column, k: int) -> Column:
+def month_before(start: Column, k: Column | int) -> Column:
     return F.add_months(start, -k)
 
 

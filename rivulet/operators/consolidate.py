@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.columns import ENSEMBLE, Cols
@@ -30,14 +30,17 @@ def stage_values(flows: DataFrame, cols: Cols = ENSEMBLE) -> DataFrame:
     return per.withColumn(cols.value, F.when(F.col("has_whole"), F.col("whole")).otherwise(F.col("zero")))
 
 
-def block_violations(values: DataFrame, cols: Cols = ENSEMBLE) -> DataFrame:
-    """Q5, Q6 over ``stage_values``."""
-    problem = (
+def _block_problem() -> Column:
+    return (
         F.when(F.col("zero_rows") != 1, "block_0_not_once")
         .when(F.col("has_whole") & (F.col("whole_rows") != 1), "whole_row_not_once")
         .when(~F.col("has_whole") & F.coalesce("different", F.lit(False)), "flow_differs_between_blocks")
     )
-    return values.withColumn("problem", problem).filter("problem is not null").select(*cols.key, "problem")
+
+
+def block_violations(values: DataFrame, cols: Cols = ENSEMBLE) -> DataFrame:
+    """Q5, Q6 over ``stage_values``."""
+    return values.withColumn("problem", _block_problem()).filter("problem is not null").select(*cols.key, "problem")
 
 
 def lag_indices(lags: DataFrame) -> list[int]:
@@ -48,15 +51,35 @@ def lag_indices(lags: DataFrame) -> list[int]:
     return sorted(found)
 
 
-def wide_lags(lags: DataFrame, indices: list[int], cols: Cols = ENSEMBLE) -> DataFrame:
-    """One column for each lag, numbered from 1 if any index is 0; an absent lag is null. One shuffle."""
+def wide_lags(lags: DataFrame, indices: list[int], cols: Cols = ENSEMBLE, counted: bool = False) -> DataFrame:
+    """One column for each lag, numbered from 1 if any index is 0; an absent lag is null. One shuffle.
+
+    ``counted`` adds most_rows, the rows of the lag that has most of them.
+    """
     shift = 1 if 0 in indices else 0
-    per = [F.max(F.when(F.col("lag_index") == i, F.col(LAG_VALUE))).alias(f"lag_{i + shift}_m3s") for i in indices]
+    at = lambda i: F.col("lag_index") == i
+    per = [F.max(F.when(at(i), F.col(LAG_VALUE))).alias(f"lag_{i + shift}_m3s") for i in indices]
+    if counted:
+        per.append(F.array_max(F.array(*[F.sum(F.when(at(i), 1).otherwise(0)) for i in indices])).alias("most_rows"))
     return lags.groupBy(*cols.key).agg(*per)
 
 
+def tree_violations(values: DataFrame, wide: DataFrame, cols: Cols = ENSEMBLE) -> DataFrame:
+    """Q3-Q6, Q8 over the aggregates of both trees: (scenario, problem), one problem for each scenario that has any."""
+    both = values.join(wide, cols.key, "full")
+    ours, theirs = F.col("zero_rows").isNotNull(), F.col("most_rows").isNotNull()
+    problem = F.when(~ours, "lag_without_flow").otherwise(F.coalesce(_block_problem(), F.when(F.col("most_rows") > 1, "repeated_lag")))
+    per = both.groupBy(cols.scenario).agg(F.min(problem).alias("problem"), F.max(ours).alias("in_flows"), F.max(theirs).alias("in_lags"))
+    alone = F.when(~F.col("in_flows") | ~F.col("in_lags"), "scenario_in_one_tree_only")
+    return per.select(cols.scenario, F.coalesce(alone, "problem").alias("problem")).filter("problem is not null")
+
+
 def consolidate(flows: DataFrame, lags: DataFrame, checked: bool = True, cols: Cols = ENSEMBLE) -> DataFrame:
-    """One row for each key with its flow, slack and lags; both sides are aggregated and joined on the same partitions."""
+    """One row for each key with its flow, slack and lags; each tree is shuffled once, and the join works on that.
+
+    The rules are checked before, in one aggregate over each tree's rows and one job over the joined aggregates. Both
+    sides have one row for each key, so the join keeps the number of rows (Q10).
+    """
     values = stage_values(flows, cols)
     if checked:
         for df, name in ((flows, "flows"), (lags, "lags")):
@@ -64,9 +87,7 @@ def consolidate(flows: DataFrame, lags: DataFrame, checked: bool = True, cols: C
             if "path_scenario_id" in df.columns:
                 quality.require(quality.wrong_path_ids(df, cols), f"scenario of path and row differ in {name}")
                 quality.require(quality.several_files(df), f"scenario in several folders of {name}")
-        quality.require(quality.only_in_one(flows, lags, cols.scenario), "scenario in one tree only")
-        quality.require(block_violations(values, cols), "blocks")
-        quality.require(quality.duplicates(lags, [*cols.key, "lag_index"]), "repeated lag")
-        quality.require(quality.orphans(lags, flows, cols.key), "lag without flow")
-    wide = wide_lags(lags, lag_indices(lags), cols)
-    return values.select(*cols.key, cols.value, cols.slack).join(wide, cols.key, "left")
+    indices = lag_indices(lags)
+    if checked:
+        quality.require(tree_violations(values, wide_lags(lags, indices, cols, counted=True), cols), "flows and lags")
+    return values.select(*cols.key, cols.value, cols.slack).join(wide_lags(lags, indices, cols), cols.key, "left")

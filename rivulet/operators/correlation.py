@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivulet.columns import ENSEMBLE, Cols
-from rivulet.functions.labels import period_label
+from rivulet.functions.labels import month_before, period_label
 from rivulet.functions.numeric import finite, pair_moments, pearson
 from rivulet.operators.filters import lag_columns
 from rivulet.operators.joins import small
@@ -38,7 +38,7 @@ def lag_correlation(df: DataFrame, calendar: DataFrame, cols: Cols = ENSEMBLE) -
     wrong = F.coalesce(F.col("mismatches"), F.lit(0))
     out = out.withColumns({"mismatches": wrong, "rho": F.when(wrong == 0, F.col("rho")), "reason": F.when(wrong > 0, F.concat(F.lit("lag_mismatch:"), wrong.cast("string"))).otherwise(F.col("reason"))})
     out = out.join(small(calendar.select(cols.stage, "start", "order")), cols.stage)
-    past = F.add_months("start", -F.col("lag"))
+    past = month_before(F.col("start"), F.col("lag"))
     return out.select(*cols.group, "lag", "rows", "scenarios", *PAIR, "rho", "reason", "mismatches", lag_origin(F.col("order"), F.col("lag")).alias("origin"), period_label(F.col("start")).alias("period"), period_label(past).alias("past_period"))
 
 

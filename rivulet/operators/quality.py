@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivulet.columns import ENSEMBLE, Cols
+from rivulet.functions.labels import next_month
 from rivulet.functions.numeric import finite, to_date, to_double
 
 
@@ -82,7 +83,7 @@ def bad_calendar(calendar: DataFrame, stage: str = "stage_id") -> DataFrame:
         F.when(F.col(stage).isNull(), "null_id")
         .when(n > 1, "repeated_id")
         .when(F.col("start").isNull() | F.col("end").isNull(), "bad_date")
-        .when((F.trunc("start", "MM") != F.col("start")) | (F.add_months("start", 1) != F.col("end")), "not_a_month")
+        .when((F.trunc("start", "MM") != F.col("start")) | (next_month(F.col("start")) != F.col("end")), "not_a_month")
         .when(after != F.col("end"), "gap_or_overlap")
     )
     return calendar.withColumn("problem", problem).filter("problem is not null")
@@ -102,7 +103,7 @@ def bad_history(history: DataFrame, cols: Cols = ENSEMBLE, start: str = "start_d
     """Q15: dates that cannot be read, that are not whole months, or a month twice for one entity."""
     a, b = to_date(start), to_date(end)
     n = F.count(F.lit(1)).over(Window.partitionBy(cols.entity, F.trunc(a, "MM")))
-    problem = F.when(a.isNull() | b.isNull(), "bad_date").when((F.trunc(a, "MM") != a) | (F.add_months(a, 1) != b), "not_a_month").when(n > 1, "repeated_month")
+    problem = F.when(a.isNull() | b.isNull(), "bad_date").when((F.trunc(a, "MM") != a) | (next_month(a) != b), "not_a_month").when(n > 1, "repeated_month")
     return history.withColumn("problem", problem).filter("problem is not null")
 
 
