@@ -10,8 +10,13 @@ MOST_ROWS = 100_000
 
 
 def small(dimension: DataFrame, most: int = MOST_ROWS) -> DataFrame:
-    """``dimension`` with a broadcast hint if a count shows that it has at most ``most`` rows; unchanged beyond that."""
-    return F.broadcast(dimension) if dimension.limit(most + 1).count() <= most else dimension
+    """``dimension`` with a broadcast hint if it has at most ``most`` rows, unchanged beyond that.
+
+    Up to ``most`` rows and one come to the driver for the check, and those are what is broadcast: an aggregate, such as the
+    stages of a study with their counts, is computed once, not once to count it and once to send it.
+    """
+    held = dimension.limit(most + 1).toArrow()
+    return F.broadcast(dimension.sparkSession.createDataFrame(held, dimension.schema)) if held.num_rows <= most else dimension
 
 
 def named(df: DataFrame, names: DataFrame, entity: str = "hydro_id") -> DataFrame:
