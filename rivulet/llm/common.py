@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -19,22 +22,78 @@ SPACE_BYTES[[0x20, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text that a task works on at a time; a longer text is a piece of its own.
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 19
+
+
+#: A key with more rows than ``1 / HOT_KEYS`` of all, and than ``HOT_ROWS``, is hot; so there are fewer than ``HOT_KEYS``.
+HOT_KEYS, HOT_ROWS = 10_000, 100
+#: The folder that new scratch tables go to, inside ``cleared``.
+_owner: ContextVar[str | None] = ContextVar("scratch folder", default=None)
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a local one only where that is unset (one machine)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rivulet-")
+    """A new folder under ``spark.checkpoint.dir``; a local one only where that is unset on a single machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="rivulet-")
     return f"{base.rstrip('/')}/rivulet-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, folder: str) -> None:
+    """Deletes a scratch folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables made inside are deleted at its end: write or store what is still needed of the result before."""
+    folder = scratch(spark)
+    token = _owner.set(folder)
+    try:
+        yield
+    finally:
+        _owner.reset(token)
+        discard(spark, folder)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows of ``df`` written as a shared table and read again: lineage ends here and lost executors cost nothing."""
-    path = scratch(df.sparkSession)
+    owner = _owner.get()
+    path = f"{owner}/{uuid.uuid4().hex}" if owner else scratch(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_counted(rows: DataFrame, per: DataFrame, keys: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` (``total`` of them, a stored table) joined with ``per``, one row for each key and its number of rows, ``size``.
+
+    The rows of a hot key stay in the tasks that read them: fewer than ``HOT_KEYS`` rows of ``per`` are broadcast for
+    them. All others are shuffled by key, and none of those has more than its bounded share of the rows.
+    """
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    hot = per.filter(F.col(size) > limit)
+    there = rows.join(F.broadcast(hot), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(per.filter(F.col(size) <= limit), keys, how)
+    return there.unionByName(rest)
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without columns that have one of ``names``, those of the columns that an operator adds."""
+    added = {n.lower() for n in names}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in added])
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def id_mod(key: Column, by: int) -> Column:
     """crc32 of the id as text, modulo ``by`` (null id: 0)."""
     return F.coalesce(F.crc32(key.cast("string")) % by, F.lit(0))
@@ -92,8 +151,24 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def split_words(data: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[np.ndarray]:
+    """A long text in runs of about ``limit`` bytes that end before white space."""
+    at = 0
+    while len(data) - at > limit:
+        end, step = at + limit, 1 << 12
+        while end < len(data) and not SPACE_BYTES[data[end : end + step]].any():
+            end += step
+        end = min(len(data), end + int(SPACE_BYTES[data[end : end + step]].argmax()))
+        yield data[at:end]
+        at = end
+    yield data[at:]
+
+
 def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of some texts in order, and each text's offsets into them."""
+    if len(off) == 2 and len(data) > 2 * PIECE_BYTES:
+        words = np.concatenate([word_hashes(x, np.array([0, len(x)]))[0] for x in split_words(data)])
+        return words, np.array([0, len(words)])
     blank = SPACE_BYTES[data]
     fresh = np.ones(len(data) + 1, bool)
     fresh[1:-1] = blank[:-1]
@@ -109,6 +184,12 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return mixed(np.add.reduceat(part, starts)), np.searchsorted(starts, off)
 
 
+def gram_runs(data: np.ndarray, n: int, bits: int) -> Iterator[np.ndarray]:
+    """``gram_hash`` of a long text in runs."""
+    for a in range(0, len(data), PIECE_BYTES):
+        yield gram_hash(data[a : a + PIECE_BYTES + n - 1], n, bits)
+
+
 def key_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """Rows of one key each (the first ``keys`` columns, integers), from batches sorted by them."""
     held: list[pa.RecordBatch] = []

@@ -5,24 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import stored
+from rivulet.llm.common import join_counted, stored
 
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
+def _lowest(edges: DataFrame) -> DataFrame:
+    """(u, m, degree): the smallest neighbour of each node."""
+    return edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of ``edges`` (a, b): the smallest node reachable."""
+    """(node, component) for every node of ``edges`` (a, b): the smallest node reachable. Null ends join nothing."""
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = stored(e)
     mark = _mark(e)
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = _lowest(both).withColumn("m", F.least("u", "m"))
+        large = join_counted(both, low, ["u"], "degree", 2 * mark[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = stored(large.distinct())
+        low = _lowest(large)
+        small = join_counted(large, low, ["u"], "degree", mark[0]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         now = _mark(e)
         if now == mark:
