@@ -16,8 +16,13 @@ A pair of similarity 0.8 shares no band with probability (1 - 0.8**ROWS)**BANDS,
 the least with probability 1e-6 or less.
 
 Defined cases: null text or text without words has an empty set and links with nothing; with fewer words than a shingle
-the whole sequence is the one shingle; rows that repeat an id are taken as one document by the smallest set hash; an
-empty table gives an empty result; other columns are ignored.
+the whole sequence is the one shingle; a long text is hashed in runs of words, its set held whole; of rows that repeat an
+id, the one with the smallest set (then set hash, then text hash) stands for the id, and every row gets its result; a row
+with null id links with nothing, its component is null and it is kept; an empty table gives an empty result; other
+columns are ignored, whatever their names. ``drop_duplicates`` carries them along and keeps one row of each id.
+
+Copies of one text, members of one bucket and leaves of one hub may be a third of all rows: their joins broadcast the
+rows of such hot keys, of which there is a bounded number (``join_counted``).
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import LOWER, key_runs, mixed, pieces, stored, word_hashes
+from rivulet.llm.common import LOWER, join_counted, mixed, pieces, stored, unused, word_hashes
 from rivulet.llm.graph import components
 
 BANDS, ROWS = 32, 4
@@ -37,7 +42,7 @@ BITS = 2
 #: Least estimate of a candidate: 4.7 standard deviations or more below 0.8, for BANDS * ROWS and for FINE values.
 FILTER = 0.55
 FINE, FINE_FILTER = 1536, 0.742
-#: Members of one hub, and rows of one block of a bucket, that a task meets at a time.
+#: Members of one hub that meet it in one task, and rows of one block of a bucket.
 GROUP, BLOCK = 64, 1000
 
 
@@ -105,7 +110,7 @@ def fine_signatures(texts: DataFrame, width: int, values: int = FINE) -> DataFra
 
 
 def signatures(docs: DataFrame, width: int = 4, bands: int = BANDS, rows: int = ROWS, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(id, n, h1, h2, s0..., bands): set size, two set hashes, packed signature, band keys."""
+    """(id, t, n, h1, h2, s0..., bands): text hash, set size, two set hashes, packed signature, band keys."""
     longs = bands * rows * BITS // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +119,7 @@ def signatures(docs: DataFrame, width: int = 4, bands: int = BANDS, rows: int =
         number = np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
             sizes, h1, h2, sigs, keys = [], [], [], [], []
-            for s in shingle_sets(batch.column(1), width):
+            for s in shingle_sets(batch.column(2), width):
                 sizes.append(len(s))
                 h1.append(int(s.sum(dtype=np.uint64)))
                 h2.append(int(np.bitwise_xor.reduce(mixed(s + np.uint64(1)))) if len(s) else 0)
@@ -124,11 +129,11 @@ def signatures(docs: DataFrame, width: int = 4, bands: int = BANDS, rows: int =
             sig = np.array(sigs, np.uint64).reshape(-1, longs).view(np.int64)
             flat = np.array(keys, np.uint64).reshape(-1).view(np.int64)
             band = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands, dtype=np.int32)), pa.array(flat))
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), *(pa.array(np.array(h, np.uint64).view(np.int64)) for h in (h1, h2)), *(pa.array(sig[:, i].copy()) for i in range(longs)), band]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "h1", "h2", *(f"s{i}" for i in range(longs)), "bands"])
+            columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), *(pa.array(np.array(h, np.uint64).view(np.int64)) for h in (h1, h2)), *(pa.array(sig[:, i].copy()) for i in range(longs)), band]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "t", "n", "h1", "h2", *(f"s{i}" for i in range(longs)), "bands"])
 
     kinds = ", ".join(f"s{i} long" for i in range(longs))
-    return docs.select(F.col(key).cast("long"), text).mapInArrow(run, f"id long, n long, h1 long, h2 long, {kinds}, bands array<long>")
+    return docs.select(F.col(key).cast("long"), F.xxhash64(text), text).mapInArrow(run, f"id long, t long, n long, h1 long, h2 long, {kinds}, bands array<long>")
 
 
 def estimate(a: list[Column], b: list[Column], n: int) -> Column:
@@ -142,54 +147,73 @@ def estimate(a: list[Column], b: list[Column], n: int) -> Column:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets have 100 * intersection >= percent * union."""
-    sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    part = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / GROUP)).cast("int")
-    members = pairs.join(sizes, "a").select("a", part.alias("part"), F.col("b").alias("id"))
+    """Those of ``pairs`` (a, b; a stored table) whose full sets have 100 * intersection >= percent * union."""
+    sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("size"))
+    part = F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / GROUP)).cast("int")
+    members = stored(join_counted(pairs, sizes, ["a"], "size", pairs.count()).select("a", part.alias("part"), F.col("b").alias("id")))
     work = members.unionByName(members.select("a", "part", F.col("a").alias("id")).distinct())
-    rows = work.join(texts, "id").select("a", "part", "id", "text")
+    rows = work.join(texts.select("id", "text"), "id").select("a", "part", (F.col("a") != F.col("id")).alias("leaf"), "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in key_runs(batches, 2):
-            hub, ids = group["a"][0].as_py(), group["id"].to_pylist()
-            sets = dict(zip(ids, (s for chunk in group["text"].chunks for s in shingle_sets(chunk, width)), strict=True))
-            own = sets.get(hub)
-            hits = []
-            for i, s in sets.items() if own is not None else ():
-                if i != hub:
+        # a hub comes before its leaves; only its set is held
+        hub, own = None, None
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            hubs, leaf, ids = (batch.column(i).to_pylist() for i in (0, 2, 3))
+            for i, s in enumerate(shingle_sets(batch.column(4), width)):
+                if not leaf[i]:
+                    hub, own = hubs[i], s
+                elif hub == hubs[i]:
                     common = len(np.intersect1d(own, s, assume_unique=True))
                     if 100 * common >= percent * (len(own) + len(s) - common):
-                        hits.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([hub] * len(hits), pa.int64()), pa.array(hits, pa.int64())], ["a", "b"])
+                        found.append((hub, ids[i]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ([], []))], ["a", "b"])
 
-    return rows.repartition("a", "part").sortWithinPartitions("a", "part").mapInArrow(run, "a long, b long")
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", "leaf").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_shingles, component_id, kept) for every document."""
+    out = _components(docs, width, percent, bands, rows, text, key)
+    component = F.col("component")
+    kept = F.coalesce(F.col("id") == component, F.lit(True))
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
+
+
+def _components(docs: DataFrame, width: int, percent: int, bands: int, rows: int, text: str, key: str) -> DataFrame:
+    """(id, t, n, chosen, component) for every row; chosen: the text hash of the row that stands for the id."""
     signed = stored(signatures(docs, width, bands, rows, text, key))
     longs = [c for c in signed.columns if c[0] == "s"]
-    filled = signed.filter("n > 0")
-    classes = filled.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
-    reps = filled.join(classes.select(F.col("rep").alias("id"), "n", "h1", "h2"), ["id", "n", "h1", "h2"], "left_semi").dropDuplicates(["id"])
-    reps = stored(reps.select("id", *longs, "bands"))
+    n_rows = signed.count()
+    ids = signed.filter("id is not null").groupBy("id").agg(F.min(F.struct("n", "h1", "h2", "t")).alias("c"), F.count(F.lit(1)).alias("rows"))
+    ids = stored(ids.select("id", "c.*", "rows"))
+    filled = ids.filter("n > 0")
+    classes = filled.groupBy("n", "h1", "h2").agg(F.min(F.struct("id", "t")).alias("rep"), F.count(F.lit(1)).alias("size"))
+    classes = stored(classes.select("n", "h1", "h2", "size", F.col("rep.id").alias("rep"), F.col("rep.t").alias("t")))
+    reps = signed.join(classes.select(F.col("rep").alias("id"), "t"), ["id", "t"], "left_semi").dropDuplicates(["id"])
+    reps = stored(reps.select("id", "t", *longs, "bands"))
     short = reps.select("id", *longs)
     keyed = reps.select("id", F.explode("bands").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    shared = stored(keyed.join(hubs, "key"))
+    n_keyed = bands * reps.count()
+    shared = stored(join_counted(keyed, hubs, ["key"], "size", n_keyed))
     alike = lambda p: estimate([F.col(f"a{c}") for c in longs], [F.col(f"b{c}") for c in longs], bands * rows) >= FILTER
     side = lambda x: short.select(F.col("id").alias(x), *[F.col(c).alias(f"{x}{c}") for c in longs])
-    pairs = shared.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = stored(pairs.join(side("a"), "a").join(side("b"), "b").filter(alike(None)).select("a", "b"))
+    pairs = stored(shared.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
+    leaves = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("size")).join(side("a"), "a")
+    pairs = join_counted(pairs, leaves, ["a"], "size", pairs.count()).join(side("b"), "b")
+    pairs = stored(pairs.filter(alike(None)).select("a", "b"))
     # texts of all that may still be compared
-    wanted = shared.select("id").distinct()
-    texts = stored(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi").dropDuplicates(["id"]))
+    wanted = shared.select("id").distinct().join(reps.select("id", "t"), "id")
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
+    texts = stored(texts.join(wanted, ["id", "t"], "left_semi").dropDuplicates(["id"]))
     links = stored(confirmed(pairs, texts, width, percent))
     first = stored(components(links))
     # buckets that hold several components: pairs across them
     known = shared.select("id", "key", "size").join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-    split = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
-    open_keys = stored(known.join(split, "key", "left_semi"))
+    known = stored(known)
+    split = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("members")).filter("low <> high").select("key", "members")
+    open_keys = stored(join_counted(known, split, ["key"], "members", n_keyed).drop("members"))
     per = open_keys.groupBy("id").agg(F.collect_set("key").alias("keys"))  # BANDS keys at most
     fine = fine_signatures(texts.join(per, "id", "left_semi"), width)
     fines = [c for c in fine.columns if c != "id"]
@@ -204,14 +228,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     across = left.join(right, (left["key"] == right["key"]) & (left["block"] == right["block"]) & (F.col("acomp") < F.col("bcomp")) & alike(None) & close & once)
     across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(pairs, ["a", "b"], "left_anti")
     more = stored(confirmed(stored(across), texts, width, percent))
-    comps = stored(components(links.unionByName(more)))
-    member = signed.join(classes, ["n", "h1", "h2"], "left").select("id", "n", "rep")
-    out = member.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.coalesce("component", "rep", "id")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    comps = components(links.unionByName(more))
+    # the component comes to each class, and with it to all copies of its text
+    found = classes.select("n", "h1", "h2", "size", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+    found = found.select("n", "h1", "h2", "size", F.coalesce("component", "rep").alias("component"))
+    member = join_counted(ids.drop("rows"), stored(found), ["n", "h1", "h2"], "size", n_rows, "left").drop("size")
+    member = member.select("id", F.col("n"), F.col("t").alias("chosen"), F.coalesce("component", "id").alias("component"))
+    if n_rows == ids.count():  # one row for each id
+        return member.select("id", F.col("chosen").alias("t"), "n", "chosen", "component")
+    each = signed.select("id", "t", F.col("n").alias("own_n"))
+    out = join_counted(each, member.join(ids.select("id", "rows"), "id"), ["id"], "rows", n_rows, "left")
+    return out.select("id", "t", F.coalesce("n", "own_n").alias("n"), "chosen", "component")
 
 
 def drop_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` with one document of each component."""
-    gone = near_duplicates(docs, width, percent, text=text, key=key).filter("not kept").select(F.col(key).alias("__key")).distinct()
-    return docs.join(gone, F.col(key) == F.col("__key"), "left_anti")
+    """``docs`` with one row of each component; rows with null id stay."""
+    found = stored(_components(docs, width, percent, BANDS, ROWS, text, key))
+    gone, hash_ = unused(docs, "gone"), unused(docs, "hash")
+    keep = found.filter("id is not null").groupBy("id").agg(F.max(F.col("id") == F.col("component")).alias("kept"), F.max("chosen").alias(hash_), F.count(F.lit(1)).alias("rows"))
+    keep = stored(keep)
+    own = F.col(key).cast("long")
+    # a sort-merge join whatever the sizes: the plan is the same on any input
+    rows = docs.join(keep.filter("not kept").select(F.col("id").alias(gone)).hint("merge"), own == F.col(gone), "left_anti")
+    several = keep.filter("kept and rows > 1").select(F.col("id").alias(gone), hash_)
+    if several.isEmpty():
+        return rows
+    once = rows.join(several.select(gone), own == F.col(gone), "left_anti")
+    one = rows.join(several, (own == F.col(gone)) & (F.xxhash64(text) == F.col(hash_))).dropDuplicates([gone])
+    return once.unionByName(one.select(*docs.columns))
