@@ -5,15 +5,19 @@ is rounded down, and ``hashes`` of them make a bucket in each of ``tables`` tabl
 compared by exact cosine in double precision. Equal vectors are one class with a weight, so a hot vector costs one row.
 A bucket of any size is cut into blocks and every pair of blocks is compared in a task of its own, so nothing is capped;
 a task returns one row for each vector with links (their number and its local component), never pairs. A pair that
-meets in several tables counts in the first of them only.
+meets in several tables counts in the first of them only, and of buckets with the same members only the first is looked at.
 
 At the limit (cosine 0.9) a pair is missed with probability (1 - p**hashes)**tables, p the chance of one equal value:
 about 0.014 with the defaults, and below 1e-5 from cosine 0.95. The rounded projections are integers below 2**53, so
 every task gets the same buckets for a vector.
 
+Rows of a hot vector, bucket or component are joined without being gathered (``join_counted``); rows meet their class by a
+128-bit hash of the vector, which is not shuffled with them.
+
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing and are their
 own component; vectors of different length never link; ties on the id cannot arise between distinct ids; rows that repeat
-an id and a vector are counted as vectors of their own; an empty table gives an empty result; other columns are ignored.
+an id and a vector are counted as vectors of their own; null ids link nothing but are counted; an empty table gives an
+empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import key_runs, mixed, stored
+from rivulet.llm.common import join_counted, key_runs, mixed, stored
 from rivulet.llm.graph import components
 
 TABLES, HASHES, WIDTH = 96, 16, 2.0
@@ -68,17 +72,20 @@ def _classes(vectors: DataFrame, key: str, column: str) -> tuple[DataFrame, Data
     v = F.col(column).cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     fit = F.coalesce((F.size(v) > 0) & ~bad & F.exists(v, lambda x: x != 0), F.lit(False))
-    rows = vectors.select(F.col(key).alias("id"), F.when(fit, F.transform(v, lambda x: x + F.lit(0.0))).alias("vec"))
-    classes = stored(rows.filter("vec is not null").groupBy("vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")))
-    members = rows.join(classes, "vec", "left").select("id", "rep", F.coalesce("n", F.lit(1)).alias("n"))
-    return members, classes.select("rep", "n", "vec")
+    vec = F.when(fit, F.transform(v, lambda x: x + F.lit(0.0)))
+    rows = vectors.select(F.col(key).alias("id"), vec.alias("vec")).select("id", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(1), "vec").alias("h2"), "vec")
+    linked = rows.filter("vec is not null and id is not null").groupBy("h1", "h2")
+    classes = stored(linked.agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("vec").alias("vec")))
+    fitted = F.col("vec").isNotNull() & F.col("id").isNotNull()
+    keys = stored(rows.select("id", *[F.when(fitted, F.col(c)).alias(c) for c in ("h1", "h2")]))
+    members = join_counted(keys, classes.select("h1", "h2", "rep", "n"), ["h1", "h2"], "n", keys.count(), "left")
+    return members.select("id", "rep", F.coalesce("n", F.lit(1)).alias("n")), classes.select("rep", "n", "vec")
 
 
 def _compare(hashing: Hashing, least: float, run: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rep, links, root) of the vectors of one bucket, or pair of blocks of it, that have links."""
     table, rep, n = run["table"][0].as_py(), run["rep"].to_numpy(), run["n"].to_numpy()
     unit = scaled([x.as_py() for x in run["vec"]])
-    keys = hashing.keys(unit) if table else None
     block = run["block"].to_numpy()
     first, second = run["i"][0].as_py(), run["j"][0].as_py()
     left = np.flatnonzero(block == first)
@@ -93,9 +100,12 @@ def _compare(hashing: Hashing, least: float, run: pa.Table) -> tuple[np.ndarray,
     x, y = (np.concatenate(c) for c in zip(*pairs, strict=True)) if pairs else (np.zeros(0, int), np.zeros(0, int))
     links = np.zeros(len(rep), np.int64)
     root = rep.copy()
+    hit = np.unique(np.concatenate([x, y]))
+    keys, at = hashing.keys(unit[hit])[:, :table], np.zeros(len(rep), np.int64)
+    at[hit] = np.arange(len(hit))
     for a in range(0, len(x), 4096):
         p, q = x[a : a + 4096], y[a : a + 4096]
-        new = ~(keys[p, :table] == keys[q, :table]).any(axis=1) if table else np.ones(len(p), bool)
+        new = ~(keys[at[p]] == keys[at[q]]).any(axis=1)
         np.add.at(links, p[new], n[q[new]])
         np.add.at(links, q[new], n[p[new]])
     while True:
@@ -105,7 +115,6 @@ def _compare(hashing: Hashing, least: float, run: pa.Table) -> tuple[np.ndarray,
         if (low == root).all():
             break
         root = low
-    hit = np.unique(np.concatenate([x, y]))
     return rep[hit], links[hit], root[hit]
 
 
@@ -132,10 +141,13 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, tables: int = TABLES
                     yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64).ravel()), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(k))), pa.array(np.repeat(rep[rows[a : a + 1024]], tables))], ["key", "table", "rep"])
 
     keyed = stored(classes.mapInArrow(buckets, "key long, table int, rep long"))
-    shared = keyed.groupBy("key", "table").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    set_of = [F.bit_xor(F.xxhash64(F.lit(i), "rep")).alias(f"set{i}") for i in range(2)]
+    shared = keyed.groupBy("key", "table").agg(F.count(F.lit(1)).alias("size"), *set_of).filter("size > 1")
+    # buckets with the same members: the first table has all their pairs
+    shared = shared.groupBy("size", "set0", "set1").agg(F.min(F.struct("table", "key")).alias("b")).select("b.key", "b.table", "size")
     blocks = F.ceil(F.col("size") / block).cast("int")
     mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    rows = keyed.join(shared, ["key", "table"]).withColumn("blocks", blocks).withColumn("block", mine)
+    rows = join_counted(keyed, stored(shared), ["key", "table"], "size", keyed.count()).withColumn("blocks", blocks).withColumn("block", mine)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "table", "block", "rep")
     packed = F.col("vec")
@@ -157,7 +169,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, tables: int = TABLES
     found = stored(found.groupBy("rep", "root").agg(F.sum("links").alias("links")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comps = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    per = links.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    out = members.join(per.withColumnRenamed("rep", "__rep"), F.col("rep") == F.col("__rep"), "left")
+    # links and components come to each class, and with it to all copies of its vector
+    per = stored(classes.select("rep", F.col("n").alias("copies")).join(links, "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left"))
+    members = stored(members)
+    out = join_counted(members, per, ["rep"], "copies", members.count(), "left")
     component = F.coalesce("component", "rep", "id")
-    return out.select(F.col("id").alias(key), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    kept = F.coalesce(F.col("id") == component, F.lit(True))
+    return out.select(F.col("id").alias(key), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), component.alias("component_id"), kept.alias("kept"))
