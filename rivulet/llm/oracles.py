@@ -5,7 +5,7 @@ WORDS = r"[^\x20\x09-\x0D]+"
 TRIM = "chr(32) || chr(9) || chr(11) || chr(12) || chr(13)"
 
 QUALITY_RULES = rf"""
-WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS w FROM documents),
+WITH d AS (SELECT doc_id, source AS host, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS w FROM documents),
 m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '{BLANKS}', '', 'g')) AS BIGINT) AS word_chars,
     CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORDS}')) AS ls FROM d),
@@ -15,7 +15,7 @@ cov AS (SELECT doc_id, CAST(count(DISTINCT i + o) AS BIGINT) AS n FROM rep, rang
 ln AS (SELECT doc_id, host, lower(trim(regexp_replace(l, '{BLANKS}', ' ', 'g'))) AS l FROM d, unnest(string_split(t, chr(10))) u(l)),
 held AS (SELECT doc_id, host, l, sum(length(l) - length(translate(l, ' ', '')) + 1) AS n FROM ln WHERE l <> '' GROUP BY ALL),
 often AS (SELECT host, l FROM held GROUP BY ALL HAVING count(*) > 20),
-loss AS (SELECT doc_id, sum(n) AS total, coalesce(sum(CASE WHEN o.l IS NOT NULL THEN n END), 0) AS gone FROM held LEFT JOIN often o USING (host, l) GROUP BY doc_id),
+loss AS (SELECT doc_id, sum(n) AS total, coalesce(sum(CASE WHEN o.l IS NOT NULL THEN n END), 0) AS gone FROM held LEFT JOIN often o ON o.host IS NOT DISTINCT FROM held.host AND o.l = held.l GROUP BY doc_id),
 r AS (SELECT m.*, coalesce(cov.n, 0) AS n_repeat_words, coalesce(gone, 0) AS gone, coalesce(total, 0) AS total FROM m LEFT JOIN cov USING (doc_id) LEFT JOIN loss USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
   CAST(gone AS BIGINT) AS n_removed_words, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT (gone > 0 AND (total - gone < 20 OR total - gone < 0.2 * total)) AS kept FROM r
@@ -23,15 +23,15 @@ SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(ls) - len(list_distinct(
 
 # The same with a limit that follows the host: more than 4 documents and more than 4 per cent of the host's.
 OFTEN = "SELECT host, l FROM held GROUP BY ALL HAVING count(*) > 20"
-SHARED = """SELECT host, l FROM (SELECT host, l, count(*) AS n FROM held GROUP BY ALL) JOIN (SELECT host, count(*) AS size FROM (SELECT DISTINCT host, doc_id FROM d) GROUP BY host) USING (host)
+SHARED = """SELECT c.host, l FROM (SELECT host, l, count(*) AS n FROM held GROUP BY ALL) c JOIN (SELECT host, count(*) AS size FROM (SELECT DISTINCT host, doc_id FROM d) GROUP BY host) z ON z.host IS NOT DISTINCT FROM c.host
   WHERE n > 4 AND 100 * n > 4 * size"""
 LINE_SHARE = QUALITY_RULES.replace(OFTEN, SHARED)
 REMAINING = f"""
-WITH v AS ({LINE_SHARE}), d AS (SELECT doc_id, coalesce(source, '') AS host, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+WITH v AS ({LINE_SHARE}), d AS (SELECT doc_id, source AS host, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 ln AS (SELECT doc_id, host, i, ls[i] AS x, lower(trim(regexp_replace(ls[i], '{BLANKS}', ' ', 'g'))) AS l FROM d, unnest(range(1, len(ls) + 1)) r(i)),
 held AS (SELECT DISTINCT doc_id, host, l FROM ln WHERE l <> ''),
 often AS ({SHARED}),
-rest AS (SELECT doc_id, string_agg(CASE WHEN o.l IS NULL THEN x END, chr(10) ORDER BY i) AS t FROM ln LEFT JOIN often o USING (host, l) GROUP BY doc_id)
+rest AS (SELECT doc_id, string_agg(CASE WHEN o.l IS NULL THEN x END, chr(10) ORDER BY i) AS t FROM ln LEFT JOIN often o ON o.host IS NOT DISTINCT FROM ln.host AND o.l = ln.l GROUP BY doc_id)
 SELECT doc_id, n_removed_words, kept, CASE WHEN text IS NOT NULL THEN md5(coalesce(t, '')) END AS remaining_md5 FROM v JOIN d USING (doc_id) JOIN rest USING (doc_id)
 """
 
@@ -82,4 +82,4 @@ y AS (SELECT x.*, words, take, CASE WHEN words > 0 THEN take // words ELSE 0 END
 SELECT doc_id, size, ss AS source_size, target, CAST(rounds * size + greatest(0, least(size, take - rounds * words - before)) AS BIGINT) AS taken FROM y
 """
 
-ORACLE_SQL = {"op1_quality_rules": QUALITY_RULES, "op1_line_share": LINE_SHARE, "op1_remaining_text": REMAINING, "op2_minhash_near_dedup": MINHASH, "op3_embedding_near_dedup": EMBEDDINGS, "op5_line_dedup": LINE_DEDUP, "op9_source_mixing": MIXING}
+ORACLE_SQL = {"op1_quality_rules": LINE_SHARE, "op1_line_limit": QUALITY_RULES, "op1_line_share": LINE_SHARE, "op1_remaining_text": REMAINING, "op2_minhash_near_dedup": MINHASH, "op3_embedding_near_dedup": EMBEDDINGS, "op5_line_dedup": LINE_DEDUP, "op9_source_mixing": MIXING}

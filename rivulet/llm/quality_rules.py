@@ -6,9 +6,13 @@ documents of their host, and rejects documents of which too few words are left.
 size of the host: a line goes if more than ``percent`` per cent of the host's distinct documents hold it, and more than
 ``min_documents``; ``max_documents`` is not used then.
 
-Defined cases: null text is empty: no words, fails the base rules; null hosts are one host of their own; rows repeated
-with one key count as one document in line counts, and each gets a row; texts without lines above the limit lose
-nothing; rows with a null key count in line counts as one document and lose nothing, as in the SQL; an empty table gives an empty result; further columns are ignored.
+A line that a third of all documents hold is met in the tasks that read its rows (``join_counted``).
+
+Defined cases: null text is empty: no words, fails the base rules; null hosts are one host of their own, apart from the
+empty name; rows repeated with one key count as one document in line counts, and each gets a row; texts without lines
+above the limit lose nothing; rows with a null key count in line counts as one document and lose nothing, as in the SQL;
+a line at the limit stays; an empty table gives an empty result; further columns are ignored by the rules, whatever their
+names, and carried along by ``without_boilerplate``, but those named remaining_text or n_left_words are replaced.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import SPACE, stored
+from rivulet.llm.common import SPACE, join_counted, stored, unused, without
 
 #: A line in more documents of one host than this is boilerplate.
 MAX_DOCUMENTS = 20
@@ -59,14 +63,19 @@ def base_rules(docs: DataFrame, text: str = "text", key: str = "doc_id", also: t
     return one.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
+def _host(host: str) -> list[Column]:
+    """A host as columns that equal themselves: null is a host of its own."""
+    return [F.col(host).isNull().alias("no_host"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host")]
+
+
 def limited(held: DataFrame, docs: DataFrame, max_documents: int, percent: int | None, min_documents: int, key: str, host: str) -> DataFrame:
-    """(host, h): the lines of ``held`` above the limit of their host."""
-    counts = held.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"))
+    """(no_host, host, h, n): the lines of ``held`` above the limit of their host, and their documents."""
+    counts = held.groupBy("no_host", "host", "h").agg(F.count(F.lit(1)).alias("n"))
     if percent is None:
-        return counts.filter(F.col("n") > max_documents).select("host", "h")
-    sizes = docs.select(F.coalesce(F.col(host), F.lit("")).alias("host"), F.col(key).alias("k")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("size"))
-    often = counts.filter(F.col("n") > min_documents).join(sizes, "host")
-    return often.filter(100 * F.col("n") > percent * F.col("size")).select("host", "h")
+        return counts.filter(F.col("n") > max_documents)
+    sizes = docs.select(*_host(host), F.col(key).alias("k")).distinct().groupBy("no_host", "host").agg(F.count(F.lit(1)).alias("size"))
+    often = counts.filter(F.col("n") > min_documents).join(sizes, ["no_host", "host"])
+    return often.filter(100 * F.col("n") > percent * F.col("size")).drop("size")
 
 
 def normal(line: Column) -> Column:
@@ -75,17 +84,22 @@ def normal(line: Column) -> Column:
 
 def without_boilerplate(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, text: str = "text", key: str = "doc_id", host: str = "source", percent: int | None = None, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """``docs`` with remaining_text, the text without the lines above the limit, and n_left_words, null if none is."""
+    docs = without(docs, "remaining_text", "n_left_words")
     body = F.coalesce(F.col(text), F.lit(""))
-    lines = docs.select(F.col(key).alias("k"), F.coalesce(F.col(host), F.lit("")).alias("host"), F.explode(F.split(body, "\n", -1)).alias("line"))
+    lines = docs.select(F.col(key).alias("k"), *_host(host), F.explode(F.split(body, "\n", -1)).alias("line"))
     # one row for each line of a document: stored, since counts and removal both read it
-    held = stored(lines.select("k", "host", normal(F.col("line")).alias("line")).filter("line != ''").select("k", "host", F.xxhash64("line").alias("h")).distinct())
-    common = limited(held, docs, max_documents, percent, min_documents, key, host)
-    gone = held.join(common, ["host", "h"]).groupBy(F.col("k").alias("__k"), F.col("host").alias("__host")).agg(F.collect_set("h").alias("__gone"))
-    out = docs.join(gone, (F.col(key) == F.col("__k")) & (F.coalesce(F.col(host), F.lit("")) == F.col("__host")), "left")
-    stays = F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains("__gone", F.xxhash64(normal(x))))
-    out = out.withColumn("remaining_text", F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(stays, "\n")))
-    left = F.when(F.col("__gone").isNotNull(), F.size(words_of(F.col("remaining_text"))))
-    return out.withColumn("n_left_words", left.cast("long")).drop("__k", "__host", "__gone")
+    lines = lines.select("k", "no_host", "host", normal(F.col("line")).alias("line")).filter("line != ''")
+    held = stored(lines.select("k", "no_host", "host", F.xxhash64("line").alias("h")).distinct())
+    common = stored(limited(held, docs, max_documents, percent, min_documents, key, host))
+    id_, nameless, name, gone = (unused(docs, c) for c in ("id", "nameless", "name", "gone"))
+    lost = join_counted(held, common, ["no_host", "host", "h"], "n", held.count())
+    lost = lost.groupBy("k", "no_host", "host").agg(F.collect_set("h")).toDF(id_, nameless, name, gone)
+    own = _host(host)
+    out = docs.join(lost, (F.col(key) == F.col(id_)) & (own[0] == F.col(nameless)) & (own[1] == F.col(name)), "left")
+    stays = F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains(gone, F.xxhash64(normal(x))))
+    out = out.withColumn("remaining_text", F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(stays, "\n")))
+    left = F.when(F.col(gone).isNotNull(), F.size(words_of(F.col("remaining_text"))))
+    return out.withColumn("n_left_words", left.cast("long")).drop(id_, nameless, name, gone)
 
 
 def line_rule(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, text: str = "text", key: str = "doc_id", host: str = "source", percent: int | None = None, min_documents: int = MIN_DOCUMENTS, also: tuple[str, ...] = ()) -> DataFrame:

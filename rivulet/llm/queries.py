@@ -23,7 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.line_rule(table(spark, sf_dir, "documents"))
+    return quality_rules.line_rule(table(spark, sf_dir, "documents"), percent=quality_rules.PERCENT)
+
+
+def op1_line_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.line_rule(table(spark, sf_dir, "documents"), max_documents=quality_rules.MAX_DOCUMENTS)
 
 
 def op1_line_share(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,5 +89,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op1_line_share, op1_remaining_text, op2_minhash_near_dedup, op3_embedding_near_dedup, op4_quality_classifier, op5_line_dedup, op6_suffix_dedup, op7_language_id, op8_html_extraction, op9_source_mixing, op10_best_fit_packing)
+    f.__name__: f for f in (op1_quality_rules, op1_line_limit, op1_line_share, op1_remaining_text, op2_minhash_near_dedup, op3_embedding_near_dedup, op4_quality_classifier, op5_line_dedup, op6_suffix_dedup, op7_language_id, op8_html_extraction, op9_source_mixing, op10_best_fit_packing)
 }
