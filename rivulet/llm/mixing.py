@@ -6,9 +6,12 @@ of ``block`` words, which go to sources by the highest quotients target / (2 j +
 shards, of bounded size, by the same rule. Selection: a shard's documents, in a seeded order, form a stream of blocks; a
 shard's quota takes whole rounds of the stream and then blocks from its start.
 
-Defined cases: null text has size 0 and is never taken; a source of size 0 has target 0; a table without words has
-targets 0; equal quotients go to the source or shard that sorts first; repeated rows count as documents of their own;
-further columns are ignored by ``mix`` and carried along by ``apply_mix``. Rounding to blocks and the limit of
+Targets and the sources' own blocks are ranked in windows over one row, and about four quotients, for each source.
+
+Defined cases: null text has size 0 and is never taken; a source of size 0 has target 0; a table without words, or
+without rows, has targets 0; equal quotients go to the source or shard that sorts first; repeated rows and rows with a
+null key count as documents of their own, in the order of key (null first), size and text; further columns are ignored by
+``mix`` and carried along by ``apply_mix``, whatever their names, where equal rows share what they are taken. Rounding to blocks and the limit of
 ``max_repeat`` can leave a source short of its target by one block for each of its shards at most.
 """
 
@@ -17,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import SPACE, stored
+from rivulet.llm.common import SPACE, stored, unused
 
 WEIGHTS = (5, 2, 1)
 BLOCK = 16
@@ -68,7 +71,13 @@ def sainte_lague(parties: DataFrame, group: list[str], party: str, votes: str, s
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = 3, block: int = BLOCK, shard_words: int = SHARD_WORDS, seed: int = 1, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
     """(key, source, size, source_size, target, taken) for every row."""
-    sized = stored(docs.select(F.col(key).alias("k"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")))
+    out = _mixed(docs, weights, max_repeat, block, shard_words, seed, text, key, source)
+    return out.select(F.col("k").alias(key), F.col("source").alias(source), "size", "source_size", "target", "taken")
+
+
+def _mixed(docs: DataFrame, weights: tuple[int, ...], max_repeat: int, block: int, shard_words: int, seed: int, text: str, key: str, source: str) -> DataFrame:
+    """(k, source, size, t, source_size, target, taken); t: hash of the text."""
+    sized = stored(docs.select(F.col(key).alias("k"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(text).alias("t")))
     per = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeat)
     per = per.withColumn("seats", F.floor(F.col("total") / block))
     quotas = sainte_lague(per, ["seats"], "source", "target", "seats").select("source", "source_size", "target", F.least("quota", F.floor(F.col("source_size") * max_repeat / block)).alias("source_quota"))
@@ -81,15 +90,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = 3
     dealt = sainte_lague(sums, ["source", "source_quota"], "shard", "shard_size", "source_quota")
     dealt = dealt.select(F.col("source").alias("__source"), F.col("shard").alias("__shard"), "shard_size", (F.least("quota", F.floor(F.col("shard_size") * max_repeat / block)) * block).alias("words"))
     rows = rows.join(dealt, F.col("source").eqNullSafe(F.col("__source")) & (F.col("shard") == F.col("__shard")))
-    before = F.coalesce(F.sum("size").over(Window.partitionBy("source", "shard").orderBy("order", "k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("source", "shard").orderBy("order", "k", "size", "t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rounds = F.when(F.col("shard_size") > 0, F.floor(F.col("words") / F.col("shard_size"))).otherwise(0)
     rest = F.col("words") - rounds * F.col("shard_size")
     taken = rounds * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - before))
-    return rows.select(F.col("k").alias(key), F.col("source").alias(source), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return rows.select("k", "source", "size", "t", "source_size", "target", taken.cast("long").alias("taken"))
 
 
-def apply_mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", **options) -> DataFrame:
+def apply_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = 3, block: int = BLOCK, shard_words: int = SHARD_WORDS, seed: int = 1, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
     """``docs`` as mixed: a row for each time that its document is taken, the last if at least half of it is."""
-    found = mix(docs, text=text, key=key, source=source, **options).groupBy(key).agg(F.max(F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0)).cast("int").alias("__times"))
-    out = docs.join(found.withColumnRenamed(key, "__key"), F.col(key) == F.col("__key")).filter("__times > 0")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    id_, hash_, home, times = (unused(docs, c) for c in ("id", "hash", "home", "times"))
+    found = _mixed(docs, weights, max_repeat, block, shard_words, seed, text, key, source)
+    share = F.floor(F.avg(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0)) + 0.5).cast("int")
+    found = found.groupBy("k", "t", "source").agg(share).toDF(id_, hash_, home, times).filter(F.col(times) > 0)
+    same = F.col(key).eqNullSafe(F.col(id_)) & (F.xxhash64(text) == F.col(hash_)) & F.col(source).eqNullSafe(F.col(home))
+    out = docs.join(found, same).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times))))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
