@@ -4,9 +4,11 @@
 probabilities (languages x 2**BITS), whose size does not depend on the corpus. ``predict`` broadcasts the matrix and
 scores batches of whole texts in numpy.
 
-Defined cases: null or letterless text is ``und`` with score 0; rows with null language teach nothing; without any
-labelled text every row is ``und``; ties go to the first language by name; repeated rows each get a row; other
-columns, whatever their names, are carried along untouched by ``predict``.
+Defined cases: null or letterless text is ``und`` with score 0; rows with null language teach nothing, nor do languages
+of fewer than ``LEAST_SHARE`` of the fitted texts (so there are few, however dirty the column); without any labelled text,
+or on an empty table, every row is ``und``; a long text is counted and scored in runs; ties go to the first language by
+name; repeated rows each get a row; other columns are carried along by ``predict``, but those with the names of its own columns are
+replaced.
 """
 
 from __future__ import annotations
@@ -20,12 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rivulet.llm.common import LOWER, bounded_share, gram_hash, pieces, window_sums
+from rivulet.llm.common import LOWER, bounded_share, gram_hash, gram_runs, pieces, unused, window_sums, without
 
 BITS = 16
 ORDERS = (2, 3, 4)
 #: Labelled texts that the model is fitted on at most (a hash of the id chooses them).
 FIT_ROWS = 20_000
+#: A language of a smaller share of them is not learned: 500 languages at most.
+LEAST_SHARE = 1 / 500
 
 
 @dataclass(frozen=True)
@@ -36,47 +40,46 @@ class Model:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[str, np.ndarray] = {}
-    rows: dict[str, int] = {}
+    """(language, bucket, n) of runs of texts."""
     for batch in batches:
-        langs = batch.column(0).to_pylist()
+        langs = batch.column(0)
         for first, off, data in pieces(batch.column(1)):
-            data = LOWER[data]
+            names = langs.slice(first, len(off) - 1).dictionary_encode()
+            code = names.indices.to_numpy().astype(np.int64) << BITS
+            counts: list[tuple[np.ndarray, np.ndarray]] = []
             for n in ORDERS:
-                h = gram_hash(data, n, BITS)
-                for i in range(len(off) - 1):
-                    lang = langs[first + i]
-                    if lang not in counts:
-                        counts[lang] = np.zeros(1 << BITS, np.int64)
-                    counts[lang] += np.bincount(h[off[i] : max(off[i], off[i + 1] - n + 1)], minlength=1 << BITS)
-        for lang in langs:
-            rows[lang] = rows.get(lang, 0) + 1
-    for lang, c in counts.items():
-        at = np.flatnonzero(c)
-        # bucket -1 carries the number of texts
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([lang] * (len(at) + 1)), pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(c[at], rows[lang]))], ["lang", "bucket", "n"]
-        )
+                if len(off) == 2:
+                    counts += [np.unique(code[0] + h.astype(np.int64), return_counts=True) for h in gram_runs(LOWER[data], n, BITS)]
+                else:
+                    h = gram_hash(LOWER[data], n, BITS)
+                    at = np.repeat(off[:-1], np.maximum(0, np.diff(off) - n + 1))
+                    at += np.arange(len(at)) - np.searchsorted(at, at)  # grams within one text
+                    owner = np.repeat(code, np.maximum(0, np.diff(off) - n + 1))
+                    counts.append(np.unique(owner + h[at].astype(np.int64), return_counts=True))
+            if not counts:  # an empty text
+                continue
+            keys, n = (np.concatenate(x) for x in zip(*counts, strict=True))
+            yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(keys >> BITS)), pa.array((keys & ((1 << BITS) - 1)).astype(np.int32)), pa.array(n.astype(np.int64))], ["lang", "bucket", "n"])
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", fit_rows: int = FIT_ROWS, alpha: float = 0.1) -> Model:
     """Fits on at most about ``fit_rows`` rows with a text and a language."""
     rows = bounded_share(labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()), key, fit_rows)
-    counts = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text")).repartition(16).mapInArrow(_count, "lang string, bucket int, n long")
-    got = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # languages x 2**BITS rows at most
-    names = np.array(got["lang"].to_pylist(), dtype=object)
-    bucket, n = got["bucket"].to_numpy(), got["n"].to_numpy()
-    langs = sorted(set(names))
+    rows = rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).repartition(16)
+    texts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # fit_rows at most
+    langs = sorted(k for k, n in texts.items() if n >= LEAST_SHARE * sum(texts.values()))
+    counts = rows.filter(F.col("lang").isin(langs)).mapInArrow(_count, "lang string, bucket int, n long")
+    got = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # len(langs) x 2**BITS rows at most
     seen = np.zeros((len(langs), 1 << BITS))
-    prior = np.zeros(len(langs))
-    for i, name in enumerate(langs):
-        mine = names == name
-        seen[i, bucket[mine & (bucket >= 0)]] = n[mine & (bucket >= 0)]
-        prior[i] = n[mine & (bucket < 0)].sum()
     if langs:
+        names = got["lang"].combine_chunks().dictionary_encode()
+        number = np.array([langs.index(x) for x in names.dictionary.to_pylist()])
+        seen[number[names.indices.to_numpy()], got["bucket"].to_numpy()] = got["n"].to_numpy()
+        prior = np.array([texts[x] for x in langs], float)
         prior = np.log(prior / prior.sum())
         seen = np.log((seen + alpha) / (seen.sum(axis=1, keepdims=True) + alpha * (1 << BITS)))
-    return Model(langs, prior, seen.astype(np.float32))
+        return Model(langs, prior, seen.astype(np.float32))
+    return Model([], np.zeros(0), seen.astype(np.float32))
 
 
 def log_odds(model: Model, col: pa.Array) -> np.ndarray:
@@ -87,20 +90,25 @@ def log_odds(model: Model, col: pa.Array) -> np.ndarray:
         part = out[first : first + len(off) - 1]
         part += model.prior
         for n in ORDERS:
+            if len(off) == 2:
+                for h in gram_runs(data, n, BITS):
+                    part[0] += [row[h].sum(dtype=np.float64) for row in model.logp]
+                continue
             h = gram_hash(data, n, BITS)
             for k in range(len(model.langs)):
                 part[:, k] += window_sums(model.logp[k][h], off, n)
     return out
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``, the posterior probability of that language."""
+def predict(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs`` with ``pred`` and ``score``, the posterior probability of that language."""
+    docs = without(docs, pred, score)
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.prior, model.logp))
-    schema = T.StructType([f for f in docs.schema.fields] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([f for f in docs.schema.fields] + [T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
     at = docs.columns.index(text)
     lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*shared.value)
         names = np.array(m.langs, dtype=object)
         for batch in batches:
@@ -115,9 +123,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 lang, p = ["und"] * len(batch), np.zeros(len(batch))
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(p, pa.float64())], names=[f.name for f in schema.fields])
 
-    return docs.select("*", lettered.alias("__lettered")).mapInArrow(score, schema)
+    return docs.select("*", lettered.alias(unused(docs, "lettered"))).mapInArrow(run, schema)
 
 
-def accepted(min_score: float = 0.5) -> Column:
+def accepted(min_score: float = 0.5, pred: str = "lang_pred", score: str = "score") -> Column:
     """The filter's verdict: a known language, and more likely than all the others together."""
-    return (F.col("lang_pred") != "und") & (F.col("score") >= min_score)
+    return (F.col(pred) != "und") & (F.col(score) >= min_score)
