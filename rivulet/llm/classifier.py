@@ -7,7 +7,8 @@ tasks from a broadcast table of 2**BITS floats.
 
 Defined cases: a null or empty text has no features and is scored by the bias alone; null labels teach nothing; several
 labels of one text count as the highest; without labels of both classes the score is the known class's rate (0.5 if
-none); repeated rows each get a row; clashing column names are kept out by selecting columns by name first.
+none); a long text is taken in runs; repeated rows each get a row; an empty table gives an empty result; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import bounded_share, gram_hash, mixed, pieces, window_sums, word_hashes
+from rivulet.llm.common import bounded_share, gram_hash, gram_runs, mixed, pieces, window_sums, word_hashes
 
 BITS = 14
 GRAMS = (3, 4)
@@ -35,12 +36,6 @@ class Model:
     bias: float
 
 
-def _features(off: np.ndarray, data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(window length, bucket) arrays: n-grams by byte, then words (length 0) by word."""
-    for n in GRAMS:
-        yield n, gram_hash(data, n, BITS)
-
-
 def _word_features(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of words, each followed by that of the pair it ends (if any), and each text's offsets into them."""
     words, at = word_hashes(data, off)
@@ -59,11 +54,14 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label = batch.column(0).to_pylist()
         out = []
         for first, off, data in pieces(batch.column(1)):
-            grams = list(_features(off, data))
+            one = len(off) == 2  # a long text is a piece of its own
+            grams = [] if one else [(n, gram_hash(data, n, BITS)) for n in GRAMS]
             words, word_off = _word_features(off, data)
             for i in range(len(off) - 1):
-                own = [h[off[i] : max(off[i], off[i + 1] - n + 1)] for n, h in grams] + [words[word_off[i] : word_off[i + 1]]]
-                bag = np.bincount(np.concatenate([x.astype(np.int64) for x in own]), minlength=1 << BITS)
+                own = (h for n in GRAMS for h in gram_runs(data, n, BITS)) if one else (h[off[i] : max(off[i], off[i + 1] - n + 1)] for n, h in grams)
+                bag = np.bincount(words[word_off[i] : word_off[i + 1]], minlength=1 << BITS)
+                for h in own:
+                    bag += np.bincount(h.astype(np.int64), minlength=1 << BITS)
                 at = np.flatnonzero(bag)
                 share = (bag[at] / max(1, bag.sum())).astype(np.float32)
                 out.append((label[first + i], at.astype(np.uint16).tobytes(), share.tobytes()))
@@ -114,7 +112,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", text: str
     # the side to broadcast has about fit_rows rows at most
     rows = docs.select(key, text).join(F.broadcast(chosen), key).select("__label", text)
     got = rows.repartition(8).mapInArrow(_bags, "label int, at binary, share binary").toArrow()
-    bags = [(y, np.frombuffer(a, np.uint16).astype(np.int64), np.frombuffer(s, np.float32)) for y, a, s in zip(got["label"].to_pylist(), got["at"].to_pylist(), got["share"].to_pylist(), strict=True)]
+    bags = [(y, np.frombuffer(a, np.uint16), np.frombuffer(s, np.float32)) for y, a, s in zip(got["label"].to_pylist(), got["at"].to_pylist(), got["share"].to_pylist(), strict=True)]
     bags.sort(key=lambda b: (b[0], b[1].tobytes(), b[2].tobytes()))  # the order of arrival must not matter
     return fit(bags)
 
@@ -123,9 +121,12 @@ def scores(model: Model, col: pa.Array) -> np.ndarray:
     out = np.zeros(len(col))
     for first, off, data in pieces(col):
         total, count = np.zeros(len(off) - 1), np.zeros(len(off) - 1)
-        for n, h in _features(off, data):
-            total += window_sums(model.weight[h], off, n)
+        for n in GRAMS:
             count += np.maximum(0, np.diff(off) - n + 1)
+            if len(off) == 2:
+                total += sum(model.weight[h].sum(dtype=np.float64) for h in gram_runs(data, n, BITS))
+            else:
+                total += window_sums(model.weight[gram_hash(data, n, BITS)], off, n)
         words, word_off = _word_features(off, data)
         run = np.concatenate(([0.0], np.cumsum(model.weight[words], dtype=np.float64)))
         total += run[word_off[1:]] - run[word_off[:-1]]
