@@ -15,11 +15,15 @@ period, one place in about sixteen suffices. The strings with one cover place ar
    has, and the rest go to the buckets of their own ranks.
 3. Documents collect the marks and cut the covered bytes.
 
-All three run over packed arrays; texts are shuffled once, by a hash of the id, and both later steps read that.
+Grams that a sample of the documents shows in many contexts skip the first step's buckets: their strings are ranked and
+dealt as those of step 2. Which grams those are changes where strings meet, not what is found.
+
+All three run over packed arrays; texts are shuffled once, by a hash of the id, and both later steps read that. A long
+text is hashed in runs of ``HASHED_BYTES``, and the number of tasks follows the number of buckets.
 
 Defined cases: null text is empty; texts under ``LENGTH`` bytes keep everything; null ids count as the largest id; rows
-that repeat an id count as one document (equal texts get equal results); an empty table gives an empty result; other
-columns are ignored.
+that repeat an id count as one document (equal texts get equal results); of equal strings those in the document of the
+least id stay; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,12 +39,16 @@ from rivulet.llm.common import mixed, pieces, stored
 
 LENGTH, GRAM = 50, 20
 #: Bytes of text that a task packs at a time, that a suffix bucket covers, and that a group of documents holds.
-FLUSH_BYTES, BUCKET_BYTES, GROUP_BYTES = 8 << 20, 16 << 20, 4 << 20
+FLUSH_BYTES, BUCKET_BYTES, GROUP_BYTES = 8 << 20, 4 << 20, 4 << 20
 #: Bytes of text that are hashed at a time: some twenty arrays of so many 64-bit numbers.
-HASHED_BYTES = 1 << 20
+HASHED_BYTES = 1 << 18
 #: Long ties of one gram beyond which its strings spread over the buckets, and buckets of strings for each of suffixes:
 #: a bucket's text can hold a string for each byte.
 HOT_CONTEXTS, SPREAD = 4096, 4
+#: Documents, of which one in ``SAMPLED`` is looked at, that make a gram frequent by its contexts there; such grams at most.
+SAMPLED, FREQUENT_CONTEXTS, FREQUENT_GRAMS = 64, 512, 4096
+#: Buckets, and groups of documents, of one task.
+TASK_BUCKETS, TASK_GROUPS = 256, 64
 LAST = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -71,7 +79,21 @@ class Rolling:
 
 
 def covers(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(text, gram hash, context hash, first and last string start) of each cover place, in order."""
+    """(text, gram hash, context hash, first and last string start) of each cover place, in order.
+
+    A long text is taken in runs of strings; a context that two of them share is two contexts, in every step alike.
+    """
+    if len(off) == 2 and len(data) > 2 * HASHED_BYTES:
+        parts = []
+        for a in range(0, len(data) - length + 1, HASHED_BYTES):
+            part = data[a : a + HASHED_BYTES + length - 1]
+            text, g, c, lo, hi = _covers(part, np.array([0, len(part)]), length, gram)
+            parts.append((text, g, c, lo + a, hi + a))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    return _covers(data, off, length, gram)
+
+
+def _covers(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     none = tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64))
     if len(data) < length:
         return none
@@ -149,7 +171,27 @@ def _marks(doc: np.ndarray, num: np.ndarray, mask: np.ndarray, groups: int) -> I
 ALL, ASKED, HOT = np.uint32(0x7FFFFFFF), np.uint32(0x80000000), np.uint32(0x80000001)
 
 
-def _first_step(buckets: int, groups: int, length: int, gram: int, flush: int):
+def _seen(length: int, gram: int):
+    """(gram, context) hashes of some documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, off, data in pieces(batch.column(0), HASHED_BYTES):
+                _, g, c, _, _ = covers(data, off, length, gram)
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c.view(np.int64))], ["g", "c"])
+
+    return run
+
+
+def frequent_grams(rows: DataFrame, length: int, gram: int, least: int) -> np.ndarray:
+    """Hashes of the grams with the most contexts in a sample of documents, ``FREQUENT_GRAMS`` at most."""
+    some = rows.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).select("text")
+    per = some.mapInArrow(_seen(length, gram), "g long, c long").groupBy("g", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("g").agg(F.count(F.lit(1)).alias("contexts"))
+    many = per.filter(F.col("contexts") >= least).orderBy(F.desc("contexts"), "g").limit(FREQUENT_GRAMS)
+    return np.sort(np.array([r["g"] for r in many.collect()], np.int64).view(np.uint64))
+
+
+def _first_step(buckets: int, groups: int, length: int, gram: int, flush: int, frequent: np.ndarray = np.zeros(0, np.uint64)):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
@@ -160,8 +202,11 @@ def _first_step(buckets: int, groups: int, length: int, gram: int, flush: int):
             doc, num, g, c = doc[order], num[order], g[order], c[order]
             new = _runs(g, c)
             known = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(doc) else np.zeros(0, bool)
-            rows = list(_marks(doc[known], num[known], np.full(int(known.sum()), ALL), groups))
-            doc, num, g, c = doc[~known], num[~known], g[~known], c[~known]
+            often = ~known & np.isin(g, frequent)
+            rows = list(_marks(doc[often], num[often], np.full(int(often.sum()), HOT), groups))
+            rows += list(_marks(doc[known], num[known], np.full(int(known.sum()), ALL), groups))
+            rest = ~known & ~often
+            doc, num, g, c = doc[rest], num[rest], g[rest], c[rest]
             part = ((g >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
             rows += _by_part(0, part, doc, num, g.astype(np.uint32), c.astype(np.uint32), (c >> np.uint64(32)).astype(np.uint16))
             return _batch(rows)
@@ -254,11 +299,16 @@ def _documents(docs: pa.Table, length: int, gram: int) -> Iterator[tuple[int, np
 
 
 def _strings(data: np.ndarray, num: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(number of the place, bit, rank) of every string of some contexts of a text."""
-    more = hi - lo + 1
-    bit = np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more)
-    at = np.repeat(lo, more) + bit
-    return np.repeat(num, more).astype(np.uint32), bit.astype(np.uint8), mixed(Rolling(data).of(at, at + length))
+    """(number of the place, bit, rank) of every string of some contexts of a text, in runs of its bytes."""
+    parts, i = [], 0
+    while i < len(num):
+        j = max(i + 1, int(np.searchsorted(lo, lo[i] + HASHED_BYTES)))
+        more = hi[i:j] - lo[i:j] + 1
+        bit = np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more)
+        at = np.repeat(lo[i:j] - lo[i], more) + bit
+        parts.append((np.repeat(num[i:j], more).astype(np.uint32), bit.astype(np.uint8), mixed(Rolling(data[lo[i] : hi[j - 1] + length]).of(at, at + length))))
+        i = j
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def _later(doc: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -289,7 +339,7 @@ def _second_step(buckets: int, groups: int, length: int, gram: int):
                     continue
                 seen.add(doc)
                 ok = num < len(g)
-                hot, num = num[(mask == HOT) & ok], num[(mask == ASKED) & ok]
+                hot, num = np.sort(num[(mask == HOT) & ok]), num[(mask == ASKED) & ok]
                 if len(hot):
                     found_strings = _strings(data, hot, lo[hot], hi[hot], length)
                     single.append((np.full(len(found_strings[0]), doc, np.int64), *found_strings))
@@ -349,6 +399,15 @@ def _second_buckets(groups: int, length: int):
     return run
 
 
+def _union(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The maximal runs that some ranges cover; ranges that touch are one run."""
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], np.maximum.accumulate(end[order]) if len(end) else end
+    new = np.append(True, start[1:] > end[:-1]) if len(start) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    return start[first], end[np.append(first[1:], len(start)) - 1] if len(first) else end
+
+
 def _third_step(length: int, gram: int):
     def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
         found = _marked(marks)
@@ -360,18 +419,12 @@ def _third_step(length: int, gram: int):
             ok = num < len(lo)
             num, mask = num[ok].astype(np.int64), np.where(mask[ok] & ASKED, np.uint32(0), mask[ok])
             whole = mask == ALL
-            change = np.zeros(len(data) + 1, np.int32)
-            np.add.at(change, lo[num[whole]], 1)
-            np.add.at(change, hi[num[whole]] + length, -1)
             row, bit = np.nonzero((mask[~whole, None] >> np.arange(31, dtype=np.uint32)) & np.uint32(1))
             at = lo[num[~whole]][row] + bit
             at = at[at + length <= len(data)]
-            np.add.at(change, at, 1)
-            np.add.at(change, at + length, -1)
-            cover = np.cumsum(change[:-1]) > 0
-            edge = np.diff(np.concatenate(([False], cover, [False])).astype(np.int8))
-            a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-            kept.append(data[~cover].tobytes() if len(a) else data.tobytes())
+            a, b = _union(np.concatenate((lo[num[whole]], at)), np.concatenate((hi[num[whole]], at)) + length)
+            raw = memoryview(np.ascontiguousarray(data))
+            kept.append(b"".join([raw[i:j] for i, j in zip([0, *b.tolist()], [*a.tolist(), len(data)], strict=True)]))
             starts.append(a)
             ends.append(b)
             counts.append(len(a))
@@ -389,7 +442,7 @@ def _prime(n: int) -> int:
     return n
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "text", key: str = "doc_id", hot: int = HOT_CONTEXTS) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "text", key: str = "doc_id", hot: int = HOT_CONTEXTS, frequent_contexts: int = FREQUENT_CONTEXTS) -> DataFrame:
     """(key, n_bytes, kept, spans): the remaining bytes of each text and the maximal removed runs (start, end)."""
     if not 0 < length - gram < 31:
         raise ValueError("length must exceed gram by 1 to 30")
@@ -398,13 +451,15 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets, groups = max(1, -(-total // BUCKET_BYTES)), _prime(-(-total // GROUP_BYTES))
+    many = max(tasks, -(-SPREAD * buckets // TASK_BUCKETS))
+    frequent = frequent_grams(rows, length, gram, frequent_contexts)
 
-    first = rows.mapInArrow(_first_step(buckets, groups, length, gram, FLUSH_BYTES), _SCHEMA)
-    first = first.repartition(max(tasks, min(buckets, 4 * tasks)), "kind", "part").sortWithinPartitions("kind", "part").mapInArrow(_first_buckets(groups, hot), _SCHEMA)
+    first = rows.mapInArrow(_first_step(buckets, groups, length, gram, FLUSH_BYTES, frequent), _SCHEMA)
+    first = first.repartition(many, "kind", "part").sortWithinPartitions("kind", "part").mapInArrow(_first_buckets(groups, hot), _SCHEMA)
     first = stored(first)
-    dealt = rows.withColumn("part", F.pmod("id", F.lit(groups)).cast("int"))
-    second = dealt.groupBy("part").cogroup(first.groupBy("part")).applyInArrow(_second_step(buckets, groups, length, gram), _SCHEMA)
-    second = second.repartition(max(tasks, min(buckets, 4 * tasks)), "kind", "part").sortWithinPartitions("kind", "part").mapInArrow(_second_buckets(groups, length), _SCHEMA)
-    marks = first.unionByName(second)
-    third = dealt.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(_third_step(length, gram), "id long, n_bytes long, kept binary, spans array<struct<start: long, end: long>>")
+    by_group = lambda df: df.repartition(max(tasks, -(-groups // TASK_GROUPS)), "part").groupBy("part")
+    dealt = by_group(rows.withColumn("part", F.pmod("id", F.lit(groups)).cast("int")))
+    second = dealt.cogroup(by_group(first)).applyInArrow(_second_step(buckets, groups, length, gram), _SCHEMA)
+    second = second.repartition(many, "kind", "part").sortWithinPartitions("kind", "part").mapInArrow(_second_buckets(groups, length), _SCHEMA)
+    third = dealt.cogroup(by_group(first.unionByName(second))).applyInArrow(_third_step(length, gram), "id long, n_bytes long, kept binary, spans array<struct<start: long, end: long>>")
     return third.select(F.when(F.col("id") != LAST, F.col("id")).alias(key), "n_bytes", "kept", "spans")
