@@ -215,14 +215,27 @@ def shared_passage(n):
     return [(i, word(rng.randint(60, 90)) + passage + word(rng.randint(60, 90))) for i in range(n)]
 
 
-@pytest.mark.parametrize("hot", [0, 3, 100])
-def test_suffix_dedup_of_a_frequent_gram(spark, hot):
+@pytest.mark.parametrize("hot, contexts", [(0, 512), (3, 512), (100, 512), (100, 1), (100, 2)])
+def test_suffix_dedup_of_a_frequent_gram(spark, hot, contexts, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SAMPLED", 2)
     rows = [*shared_passage(80), *((100 + i, t) for i, t in shared_passage(5)), (200, None), (201, "aa" * 90)]
-    df = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), hot=hot)
+    df = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), hot=hot, frequent_contexts=contexts)
     out = df.select("doc_id", "n_bytes", F.col("n_bytes") - F.octet_length("kept"), F.size("spans"), F.sha2("kept", 256))
     assert {r[0]: tuple(r[1:]) for r in out.collect()} == removed(rows)
 
 
+def test_suffix_dedup_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HASHED_BYTES", 300)  # by value, so tasks see it
+    rng = random.Random(11)
+    base = "".join(rng.choice("abcdef ") for _ in range(4000))
+    rows = [(1, base), (2, base[700:2500] + "x" + base[100:3000]), (3, "ab" * 900), (4, "ba" * 700), (5, base[1:]), (6, "q" + base[:1000])]
+    df = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), hot=0)
+    out = df.select("doc_id", "n_bytes", F.col("n_bytes") - F.octet_length("kept"), F.size("spans"), F.sha2("kept", 256))
+    assert {r[0]: tuple(r[1:]) for r in out.collect()} == removed(rows)
+    data = np.frombuffer(base.encode(), np.uint8)
+    assert len(suffix_dedup.covers(data, np.array([0, len(data)]), 50, 20)[0]) > len(suffix_dedup._covers(data, np.array([0, len(data)]), 50, 20)[0])
+
+
 def test_suffix_dedup_spreads_a_frequent_gram():
     import pyarrow as pa
 
@@ -369,7 +382,34 @@ def test_held_out_flags(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
 
 
+def plainly_accepted(rows):
+    """Ids that the language stage keeps, by plain counting of byte n-grams."""
+    from tests.llm.test_defined_cases import grams
+
+    own = {i: Counter(grams(r["text"] or "", langid.ORDERS, langid.BITS, True)) for i, r in rows.items()}
+    learn = [i for i in rows if zlib.crc32(str(i).encode()) % 3 != 1 and rows[i]["lang"] and rows[i]["text"] is not None]
+    texts = Counter(rows[i]["lang"] for i in learn)
+    counts: dict = {lang: Counter() for lang in texts}
+    for i in learn:
+        counts[rows[i]["lang"]].update(own[i])
+    kept = set()
+    for i, r in rows.items():
+        if not any(c.isalpha() for c in r["text"] or ""):
+            continue
+        z = {}
+        for lang, seen in counts.items():
+            total = np.log(sum(seen.values()) + 0.1 * 65536)
+            z[lang] = np.log(texts[lang] / sum(texts.values())) + sum(n * (np.log(seen[g] + 0.1) - total) for g, n in own[i].items())
+        best = max(z.values())
+        if 1 / sum(np.exp(v - best) for v in z.values()) >= 0.5:
+            kept.add(i)
+    return kept
+
+
 def test_pipeline(spark):
+    """Each stage on what the one before leaves: plain counting, the SQL of its operator, or plain sets."""
+    import duckdb
+
     import corpus_pipeline
     from rivulet.llm.common import stored
 
@@ -379,11 +419,62 @@ def test_pipeline(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         after = stored(stage(spark, before, SF))
         assert after.columns == columns and after.count() > 0
+        con = duckdb.connect()
+        con.register("documents", before.toPandas())
+        sql = lambda q: con.sql(q).fetchall()  # noqa: E731, B023
+        if name == "language_id":
+            assert {r["doc_id"] for r in after.collect()} == plainly_accepted({r["doc_id"]: r for r in before.collect()})
+        if name == "line_dedup":
+            want = dict(sql(f"SELECT doc_id, kept_md5 FROM ({oracles.LINE_DEDUP})"))
+            assert {r["doc_id"]: hashlib.md5(r["text"].encode()).hexdigest() for r in after.collect()} == want
+            assert all(r["n_chars"] == len(r["text"]) for r in after.collect())
         if name == "near_dedup":
             sets = {r["doc_id"]: shingles(r["text"], 5) for r in before.collect()}
             links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
             root = union_find(sets, links)
             assert {r["doc_id"] for r in after.collect()} == {i for i in sets if root[i] == i}
+        if name == "source_mixing":
+            want = {i: int(taken / size + 0.5) for i, size, taken in sql(f"SELECT doc_id, size, taken FROM ({oracles.MIXING})") if size}
+            assert Counter(r["doc_id"] for r in after.collect()) == {i: n for i, n in want.items() if n}
         before = after
-    out = corpus_pipeline.STAGES[-1][1](spark, before, SF)
-    assert out.select("doc_id").distinct().count() == before.select("doc_id").distinct().count()
+    rows = before.collect()
+    check_packing(corpus_pipeline.STAGES[-1][1](spark, before, SF).collect(), [(r["doc_id"], r["text"]) for r in rows])
+
+
+def check_packing(pieces, docs, length=1024):
+    """Whole texts in order, gapless sequences, and nearly as few of them as can be."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path(queries.TOKENIZER))
+    want = Counter()
+    for key, text in docs:
+        ids = [*plain.encode(text or "", add_special_tokens=False).ids, 2]
+        at, piece = 0, 0
+        while at < len(ids):
+            size = (len(ids) - at) % length or length
+            want[key, piece, at, size, zlib.crc32(np.array(ids[at : at + size], "<u4").tobytes())] += 1
+            at, piece = at + size, piece + 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in pieces) == want
+    sequences: dict = {}
+    for r in pieces:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in sequences.values():
+        end = 0
+        for offset, size in sorted(places):
+            assert offset == end
+            end += size
+        assert end <= length
+    # all pieces at hand at once, the long ones first, each into the fullest bin that takes it
+    free: list[int] = []
+    for size in sorted((k[3] for k, n in want.items() for _ in range(n)), reverse=True):
+        fits = [f for f in free if f >= size]
+        if fits:
+            free.remove(min(fits))
+        free.append((min(fits) if fits else length) - size)
+    assert len(sequences) <= 1.02 * len(free) + 1
+
+
+def test_packing_query(spark):
+    docs = queries.table(spark, SF, "documents").collect()
+    check_packing(queries.op10_best_fit_packing(spark, SF).collect(), [(r["doc_id"], r["text"]) for r in docs])
