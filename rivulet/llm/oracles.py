@@ -1,5 +1,7 @@
 """SQL that returns the rows of this subpackage's queries, for those that SQL can express."""
 
+from rivulet.llm.oracles_more import MERKLE, SEARCH, WARC
+
 BLANKS = r"[\x20\x09-\x0D]+"
 WORDS = r"[^\x20\x09-\x0D]+"
 TRIM = "chr(32) || chr(9) || chr(11) || chr(12) || chr(13)"
@@ -82,4 +84,4 @@ y AS (SELECT x.*, words, take, CASE WHEN words > 0 THEN take // words ELSE 0 END
 SELECT doc_id, size, ss AS source_size, target, CAST(rounds * size + greatest(0, least(size, take - rounds * words - before)) AS BIGINT) AS taken FROM y
 """
 
-ORACLE_SQL = {"op1_quality_rules": LINE_SHARE, "op1_line_limit": QUALITY_RULES, "op1_line_share": LINE_SHARE, "op1_remaining_text": REMAINING, "op2_minhash_near_dedup": MINHASH, "op3_embedding_near_dedup": EMBEDDINGS, "op5_line_dedup": LINE_DEDUP, "op9_source_mixing": MIXING}
+ORACLE_SQL = {"op1_quality_rules": LINE_SHARE, "op1_line_limit": QUALITY_RULES, "op1_line_share": LINE_SHARE, "op1_remaining_text": REMAINING, "op2_minhash_near_dedup": MINHASH, "op3_embedding_near_dedup": EMBEDDINGS, "op5_line_dedup": LINE_DEDUP, "op9_source_mixing": MIXING, "op11_warc_packages": WARC, "op12_ranked_search": SEARCH, "op13_merkle_manifest": MERKLE}

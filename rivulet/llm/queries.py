@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.llm import classifier, embed_lsh, html, langid, line_dedup, minhash, mixing, packing, quality_rules, suffix_dedup
+from rivulet.llm import classifier, embed_lsh, html, langid, line_dedup, merkle, minhash, mixing, packing, quality_rules, search, suffix_dedup, warc
 from rivulet.llm.common import id_mod
 from rivulet.llm.oracles import ORACLE_SQL
 
@@ -88,6 +88,19 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), SEQUENCE)
 
 
+def op11_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return merkle.verified(merkle.proofs(table(spark, sf_dir, "documents"), tampered=tampered))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op1_line_limit, op1_line_share, op1_remaining_text, op2_minhash_near_dedup, op3_embedding_near_dedup, op4_quality_classifier, op5_line_dedup, op6_suffix_dedup, op7_language_id, op8_html_extraction, op9_source_mixing, op10_best_fit_packing)
+    f.__name__: f for f in (op1_quality_rules, op1_line_limit, op1_line_share, op1_remaining_text, op2_minhash_near_dedup, op3_embedding_near_dedup, op4_quality_classifier, op5_line_dedup, op6_suffix_dedup, op7_language_id, op8_html_extraction, op9_source_mixing, op10_best_fit_packing, op11_warc_packages, op12_ranked_search, op13_merkle_manifest)
 }

@@ -48,7 +48,7 @@ def test_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_empty_table(spark, tmp_path, name):
-    for t in ("documents", "embeddings", "pages", "labels"):
+    for t in ("documents", "embeddings", "pages", "labels", "benchmark"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
 
