@@ -24,6 +24,7 @@ import base64
 import gzip
 import hashlib
 import json
+import math
 import struct
 import uuid
 import zipfile
@@ -46,6 +47,8 @@ from rivulet.llm.common import join_counted, scratch, stored
 PACKAGE_BYTES, RUN_BYTES = 256 << 20, 4 << 20
 #: Bytes that a reader asks for at a time, and rows or bytes of a batch of results.
 BLOCK, BATCH_BYTES, BATCH_ROWS = 1 << 20, 8 << 20, 10_000
+#: Packages whose ends one task reads, and ranges that one task reads, about.
+TASK_PACKAGES, TASK_RANGES = 16, 32
 #: The date of records whose pages have none.
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -173,6 +176,12 @@ def members(packages: DataFrame, path: str = "path") -> DataFrame:
     return packages.select(path).mapInArrow(run, "package string, kind string, name string, start long, size long")
 
 
+def _dealt(rows: DataFrame, per_task: int, *by: str) -> DataFrame:
+    """Few small rows that stand for much work, ``per_task`` in a task, and in as many tasks as run at a time if they reach."""
+    n = rows.count()
+    return rows.repartition(max(1, math.ceil(n / per_task), min(n, rows.sparkSession.sparkContext.defaultParallelism)), *by)
+
+
 def _batch(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in fields]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
@@ -315,7 +324,7 @@ def runs(packages: DataFrame, path: str = "path") -> DataFrame:
                     rows = [(package, *x) for x in _package_runs(file, file.size())]
                 yield _batch(rows, [("package", pa.string()), ("name", pa.string()), ("start", pa.int64()), ("size", pa.int64())])
 
-    return packages.select(path).mapInArrow(run, "package string, name string, start long, size long")
+    return _dealt(packages.select(path), TASK_PACKAGES, path).mapInArrow(run, "package string, name string, start long, size long")
 
 
 # --- records ---
@@ -386,7 +395,7 @@ def records(ranges: DataFrame, payload: bool = True) -> DataFrame:
         yield _batch(rows, columns)
 
     # ranges of one package go to many tasks
-    dealt = ranges.select("package", "name", "start", "size").repartition(F.col("package"), F.col("start"))
+    dealt = _dealt(stored(ranges.select("package", "name", "start", "size")), TASK_RANGES, "package", "start")
     return dealt.mapInArrow(run, ", ".join(f"{n} {kinds[k]}" for n, k in columns))
 
 
