@@ -5,8 +5,8 @@ or of their hashes, so that all repetitions of a word share one vector), and has
 numpy. Since the layer is linear in the average, scoring needs one number per bucket: whole texts are scored in Spark
 tasks from a broadcast table of 2**BITS floats.
 
-Defined cases: a null or empty text has no features and is scored by the bias alone; null labels teach nothing; several
-labels of one text count as the highest; without labels of both classes the score is the known class's rate (0.5 if
+Defined cases: a null or empty text has no features and is scored by the bias alone; null labels and null ids teach
+nothing; several labels of one id count as the highest, and every row that repeats the id has it; without labels of both classes the score is the known class's rate (0.5 if
 none); a long text is taken in runs; repeated rows each get a row; an empty table gives an empty result; other columns are
 ignored, whatever their names.
 """
@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import bounded_share, gram_hash, gram_runs, mixed, pieces, window_sums, word_hashes
+from rivulet.llm.common import bounded_texts, gram_hash, gram_runs, join_counted, mixed, pieces, stored, window_sums, word_hashes
 
 BITS = 14
 GRAMS = (3, 4)
 DIM = 8
-#: Labelled texts that the model is fitted on at most (a hash of the id chooses them).
+#: Labelled texts that the model is fitted on at most (see ``bounded_texts``).
 FIT_ROWS = 6_000
 
 
@@ -51,7 +51,7 @@ def _word_features(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        label = batch.column(0).to_pylist()
+        label, times = batch.column(0).to_pylist(), batch.column(2).to_pylist()
         out = []
         for first, off, data in pieces(batch.column(1)):
             one = len(off) == 2  # a long text is a piece of its own
@@ -64,8 +64,9 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     bag += np.bincount(h.astype(np.int64), minlength=1 << BITS)
                 at = np.flatnonzero(bag)
                 share = (bag[at] / max(1, bag.sum())).astype(np.float32)
-                out.append((label[first + i], at.astype(np.uint16).tobytes(), share.tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], ["label", "at", "share"])
+                out.append((label[first + i], times[first + i], at.astype(np.uint16).tobytes(), share.tobytes()))
+        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["label", "times", "at", "share"])
 
 
 def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 12, rate: float = 60.0, batch: int = 32, seed: int = 1) -> Model:
@@ -107,12 +108,14 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 12, rate:
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "quality", text: str = "text", key: str = "doc_id", fit_rows: int = FIT_ROWS) -> Model:
-    """Fits on at most about ``fit_rows`` of the labelled texts."""
-    chosen = bounded_share(labels.filter(F.col(target).isNotNull()).groupBy(key).agg(F.max(target).cast("int").alias("__label")), key, fit_rows)
-    # the side to broadcast has about fit_rows rows at most
-    rows = docs.select(key, text).join(F.broadcast(chosen), key).select("__label", text)
-    got = rows.repartition(8).mapInArrow(_bags, "label int, at binary, share binary").toArrow()
-    bags = [(y, np.frombuffer(a, np.uint16), np.frombuffer(s, np.float32)) for y, a, s in zip(got["label"].to_pylist(), got["at"].to_pylist(), got["share"].to_pylist(), strict=True)]
+    """Fits on at most ``fit_rows`` of the labelled texts, whatever the number of rows with one id."""
+    own = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("text"))
+    slim = stored(own.select("k", F.xxhash64("text").alias("h")))
+    labelled = labels.filter(F.col(target).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(target).cast("int").alias("label"))
+    per = stored(slim.groupBy("k").agg(F.count(F.lit(1)).alias("n")).join(labelled, "k"))
+    rows = bounded_texts(join_counted(slim, per, ["k"], "n", slim.count()).select("label", "h"), own, "text", "label", fit_rows)
+    got = rows.repartition(8).mapInArrow(_bags, "label int, times long, at binary, share binary").toArrow()
+    bags = [(y, np.frombuffer(a, np.uint16), np.frombuffer(s, np.float32)) for y, m, a, s in zip(*(got[c].to_pylist() for c in ("label", "times", "at", "share")), strict=True) for _ in range(m)]
     bags.sort(key=lambda b: (b[0], b[1].tobytes(), b[2].tobytes()))  # the order of arrival must not matter
     return fit(bags)
 

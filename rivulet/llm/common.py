@@ -11,7 +11,7 @@ from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of the word rule ``[^\x20\x09-\x0D]+``, as Java and RE2 patterns take it.
@@ -99,12 +99,25 @@ def id_mod(key: Column, by: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % by, F.lit(0))
 
 
-def bounded_share(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """All of ``df`` if it has at most ``rows`` rows, else about that many, chosen by a hash of ``key``."""
-    parts = 1 << 24
-    n = df.count()
-    take = parts if n <= rows else max(1, int(parts * rows / n))
-    return df.filter(F.pmod(F.xxhash64(F.lit("share"), F.col(key)), F.lit(parts)) < take)
+def bounded_texts(slim: DataFrame, docs: DataFrame, text: str, label: str, rows: int) -> DataFrame:
+    """(label, text, times): at most ``rows`` labelled texts, all if there are no more, for a model to be fitted on.
+
+    ``slim`` has (label, h), a row for each labelled text, h its xxhash64; ``docs`` has the texts. What is chosen depends
+    on labels and texts alone, not on ids or on where rows lie: equal pairs count together and get their share of ``rows``,
+    the rest of it by a hash, so that repeated rows are neither all taken nor all left. Only chosen texts are shuffled.
+    """
+    pairs = stored(slim.groupBy(label, "h").agg(F.count(F.lit(1)).alias("m")))
+    total = pairs.agg(F.sum("m")).first()[0] or 0
+    share = min(1.0, rows / max(1, total))
+    whole, chance = F.floor(F.col("m") * share), F.pmod(F.xxhash64(F.lit("share"), label, "h"), F.lit(1 << 24)) / (1 << 24)
+    times = whole + F.when(F.col("m") * share - whole > chance, 1).otherwise(0)
+    order = F.xxhash64(F.lit("order"), label, "h")
+    some = pairs.select(label, "h", times.cast("long").alias("times"), order.alias("o")).filter("times > 0").orderBy("o", label, "h").limit(rows)
+    run = F.sum("times").over(Window.orderBy("o", label, "h"))  # over ``rows`` rows at most
+    times = F.least(F.col("times"), F.lit(rows) - (run - F.col("times")))
+    chosen = stored(some.withColumn("times", times).filter("times > 0").select(label, "h", "times"))
+    found = docs.select(F.xxhash64(text).alias("h"), F.col(text).alias("text")).join(F.broadcast(chosen.select("h").distinct()), "h").dropDuplicates(["h"])
+    return found.join(F.broadcast(chosen), "h").select(label, "text", "times")
 
 
 def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

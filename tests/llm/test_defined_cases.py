@@ -20,7 +20,8 @@ CLASHING = "n_words kept base_failed id t n h1 h2 k key rep component_id n_lines
 
 def model():
     rng = np.random.default_rng(1)
-    return langid.Model(["de", "en"], np.log([0.5, 0.5]), np.log(rng.uniform(0.1, 1, (2, 1 << langid.BITS))).astype(np.float32))
+    size = 1 << langid.BITS
+    return langid.Model(["de", "en"], np.log([0.5, 0.5]), np.zeros(2, np.float32), np.array([0, size, 2 * size]), np.tile(np.arange(size, dtype=np.int32), 2), np.log(rng.uniform(0.1, 1, 2 * size)).astype(np.float32))
 
 
 def quality():
@@ -220,16 +221,104 @@ def test_language_against_a_plain_version(spark, monkeypatch):
         for k, lang in enumerate(got.langs):
             total = sum(counts[lang].values()) + 0.5 * 65536
             want = np.log((np.array([counts[lang].get(b, 0) for b in range(65536)]) + 0.5) / total)
-            assert np.allclose(got.logp[k], want, atol=1e-5) and np.isclose(got.prior[k], np.log(0.5))
-        z = langid.log_odds(got, pa.array(TEXTS))
+            assert np.allclose(got.dense(k, k + 1)[0], want, atol=1e-5) and np.isclose(got.prior[k], np.log(0.5))
+        logp = got.dense(0, 2)
+        z = langid.log_odds(got.prior, logp, pa.array(TEXTS))
         for row, text in zip(z, TEXTS, strict=True):
-            want = [got.prior[k] + sum(float(got.logp[k][g]) for g in grams(text, langid.ORDERS, langid.BITS, True)) for k in range(2)]
+            want = [got.prior[k] + sum(float(logp[k][g]) for g in grams(text, langid.ORDERS, langid.BITS, True)) for k in range(2)]
             assert np.allclose(row, want, atol=1e-3)
 
 
-def test_few_texts_of_a_language_teach_nothing(spark):
-    data = [(i, "some text here", "en", "s", 0) for i in range(1200)] + [(5000 + i, "x", f"dirty{i}", "s", 0) for i in range(300)]
-    assert langid.train(rows_of(spark, data)).langs == ["en"]
+def test_few_texts_of_a_language_are_learned(spark):
+    """However many languages and rows there are, and in blocks of languages as in one."""
+    odd = "zzyzx qwrtp vlkshn"
+    data = [(i, f"some text here {i}", "en", "s", 0) for i in range(3000)] + [(5000 + i, odd, "xx", "s", 0) for i in range(5)]
+    data += [(6000 + i, f"{chr(0x4E00 + i) * 9} dirty", f"d{i:02d}", "s", 0) for i in range(40)]
+    got = langid.train(rows_of(spark, data))
+    assert got.langs == sorted({r[2] for r in data})
+    found = {r["doc_id"]: r for r in langid.predict(rows_of(spark, data), got).collect()}
+    assert all(found[r[0]]["lang_pred"] == r[2] and found[r[0]]["score"] > 0.5 for r in data)
+    texts = pa.array([r[1] for r in data[-60:]])
+    z = langid.log_odds(got.prior, got.dense(0, len(got.langs)), texts)
+    best, score = langid.judged(got, None, texts)
+    assert best.tolist() == z.argmax(axis=1).tolist() and np.allclose(score, 1 / np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1))
+
+
+def bounded(spark, data, rows):
+    df = rows_of(spark, data)
+    slim = df.select("lang", F.xxhash64("text").alias("h"))
+    return {(r["lang"], r["text"]): r["times"] for r in common.bounded_texts(slim, df, "text", "lang", rows).collect()}
+
+
+def test_fitted_texts_are_bounded_whatever_the_ids(spark):
+    texts = [(f"text number {i}", "de" if i % 3 else "en") for i in range(4000)]
+    own = bounded(spark, [(i, t, k, "s", 0) for i, (t, k) in enumerate(texts)], 1000)
+    assert own == bounded(spark, [(None, t, k, "s", 0) for t, k in texts], 1000) == bounded(spark, [(7 if i % 2 else i, t, k, "s", 0) for i, (t, k) in enumerate(texts)], 1000)
+    assert 850 < sum(own.values()) <= 1000 and 250 < sum(n for (k, _), n in own.items() if k == "en") < 420
+    # a third of the rows are one text: it gets a third
+    hot = bounded(spark, [(1, "the same", "de", "s", 0)] * 2000 + [(i, t, k, "s", 0) for i, (t, k) in enumerate(texts)], 900)
+    assert 299 <= hot["de", "the same"] <= 301 and 750 < sum(hot.values()) <= 900
+    few = bounded(spark, [(1, "x", "de", "s", 0)] * 3 + [(2, "x", "en", "s", 0), (3, "y", "en", "s", 0)], 5)
+    assert few == {("de", "x"): 3, ("en", "x"): 1, ("en", "y"): 1}
+
+
+def test_languages_are_learned_from_null_and_repeated_ids(spark):
+    data = [("the river runs and the wood is of oak", "en"), ("der Fluss und die Stadt sind das", "de")]
+    rows = lambda key: [(key(i), f"{data[i % 2][0]} {i}", data[i % 2][1], "s", 0) for i in range(600)]
+    models = [langid.train(rows_of(spark, rows(key)), fit_rows=200) for key in (lambda i: i, lambda i: None, lambda i: 7)]
+    for m in models[1:]:
+        assert m.langs == ["de", "en"] and all(np.array_equal(a, b) for a, b in zip(m.parts()[1:], models[0].parts()[1:], strict=True))
+
+
+def test_quality_is_learned_from_a_bounded_number_of_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(classifier, "fit", lambda bags: seen.append(len(bags)))
+    docs = rows_of(spark, [(1, f"text {i}", "en", "s", 0) for i in range(3000)] + [(2 + i, "a text", "en", "s", 0) for i in range(50)] + [(None, "no id", "en", "s", 0)])
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, None), (None, 1), (9999, 1)], "doc_id long, quality int")
+    for most in (100, 10_000):
+        classifier.train(docs, labels, fit_rows=most)
+    assert 60 < seen[0] <= 100 and seen[1] == 3001
+
+
+def test_fit_against_a_plain_descent():
+    rng = np.random.default_rng(4)
+    bags = []
+    for i in range(21):
+        at = np.sort(rng.choice(40, 6, replace=False)).astype(np.uint16)
+        share = rng.uniform(0.1, 1, 6)
+        bags.append((int(i % 3 == 0), at, (share / share.sum()).astype(np.float32)))
+    epochs, rate, batch, seed, d = 3, 60.0, 4, 1, classifier.DIM
+    got = classifier.fit(bags, epochs=epochs, rate=rate, batch=batch, seed=seed)
+    draw = np.random.default_rng(seed)
+    vectors = draw.uniform(-1 / d, 1 / d, (1 << classifier.BITS, d)).astype(np.float32).astype(float)
+    layer = draw.uniform(-1, 1, (d, 2)).astype(np.float32).astype(float)
+    ones = sum(b[0] for b in bags)
+    bias = [float(np.log((len(bags) - ones) / len(bags))), float(np.log(ones / len(bags)))]
+    step, steps = 0, epochs * 6
+    for _ in range(epochs):
+        order = draw.permutation(len(bags))
+        for i in range(0, len(order), batch):
+            rows = [bags[r] for r in order[i : i + batch]]
+            now = rate * (1 - step / steps)
+            dv, dl, db = {}, np.zeros((d, 2)), np.zeros(2)
+            for label, at, share in rows:  # the gradient of one text after another
+                hidden = [sum(float(s) * vectors[a][k] for a, s in zip(at, share, strict=True)) for k in range(d)]
+                z = [sum(hidden[k] * layer[k][c] for k in range(d)) + bias[c] for c in range(2)]
+                p = [float(np.exp(x - max(z))) for x in z]
+                err = [(x / sum(p) - (c == label)) / len(rows) for c, x in enumerate(p)]
+                db += err
+                for k in range(d):
+                    for c in range(2):
+                        dl[k, c] += hidden[k] * err[c]
+                    for a, s in zip(at, share, strict=True):
+                        dv[int(a), k] = dv.get((int(a), k), 0.0) + float(s) * sum(layer[k][c] * err[c] for c in range(2))
+            layer = layer - now / 60 * dl
+            bias = [bias[c] - now / 600 * db[c] for c in range(2)]
+            for (a, k), g in dv.items():
+                vectors[a, k] -= now * g
+            step += 1
+    out = layer[:, 1] - layer[:, 0]
+    assert np.allclose(got.weight, vectors @ out, atol=2e-4) and np.isclose(got.bias, bias[1] - bias[0], atol=1e-4)
 
 
 def test_classifier_against_a_plain_version(monkeypatch):
