@@ -46,7 +46,9 @@ def dedup(docs: DataFrame, width: int = 3, text: str = "text", key: str = "doc_i
     id_, starts, lines, runs, ends = (unused(docs, c) for c in ("id", "starts", "lines", "runs", "ends"))
     found = later_windows(docs, width, text, key).toDF(id_, starts)
     at = lambda i: F.get(starts, i)
-    joined = docs.join(found, F.col(key) == F.col(id_), "left").withColumns({starts: F.coalesce(F.col(starts), F.array().cast("array<int>")), lines: _lines(F.col(text))})
+    # a null key loses nothing: its rows stay where they are
+    met = docs.filter(F.col(key).isNotNull()).join(found, F.col(key) == F.col(id_), "left")
+    joined = met.unionByName(docs.filter(F.col(key).isNull()), allowMissingColumns=True).withColumns({starts: F.coalesce(F.col(starts), F.array().cast("array<int>")), lines: _lines(F.col(text))})
     gap = lambda i: at(i) - at(i - 1)
     places = F.when(F.size(starts) > 0, F.sequence(F.lit(0), F.size(starts) - 1)).otherwise(F.array().cast("array<int>"))
     # merged runs: a window whose predecessor starts less than width lines (or just width) before it lengthens that run

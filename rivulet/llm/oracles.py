@@ -67,7 +67,7 @@ SELECT doc_id, CAST(CASE WHEN coalesce(text, '') = '' THEN 0 ELSE n END AS INTEG
 """
 
 MIXING = rf"""
-WITH z AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORDS}')), 0) AS BIGINT) AS size, md5('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+WITH z AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORDS}')), 0) AS BIGINT) AS size, md5('1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS h FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS ss, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM z GROUP BY source),
 s1 AS (SELECT *, 3 * ss AS cap, sum(ss) OVER () AS total, coalesce(sum(3 * ss) OVER o, 0) AS full_words, sum(w) OVER () - coalesce(sum(w) OVER o, 0) AS left_weight FROM s0
   WINDOW o AS (ORDER BY 3 * ss / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),

@@ -8,7 +8,7 @@ bitset keyed by free space (bit f set: some open bin has f tokens free), so the
 lowest set bits of it; when one bin too many is open, the fullest closes.
 
 Defined cases: a null text is empty and gives one piece holding the end id alone; a long text is encoded in windows of
-``WINDOW`` characters, cut where the ids can't change; repeated rows are packed as rows of their own, null keys too; an
+``WINDOW`` characters, cut where the ids can't change; repeated rows are packed as rows of their own, null keys too, and are dealt like others; an
 empty table gives no pieces; ties between bins of equal free space go to the one that reached it last; ``cut`` ignores
 other columns, ``pack`` carries them along, but replaces columns named sequence_id or offset.
 """
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rivulet.llm.common import stored
+from rivulet.llm.common import stored, unused
 
 #: Short pieces that one task packs, on average.
 GROUP_PIECES = 50_000
@@ -171,12 +171,15 @@ class Bins:
 
 def pack(pieces: DataFrame, length: int = 1024, open_bins: int = 4096, key: str = "doc_id", group_pieces: int = GROUP_PIECES, seed: int = 1) -> DataFrame:
     """``pieces`` (with piece and length) plus sequence_id and offset; every other column is carried along."""
-    pieces = stored(pieces.drop("sequence_id", "offset"))  # counted and read twice: tokenising once
-    short = pieces.filter(F.col("length") < length)
-    groups = max(1, math.ceil(short.count() / group_pieces))
-    order = F.xxhash64(F.lit(seed), F.col(key), F.col("piece"))
-    dealt = short.repartition(groups, order).sortWithinPartitions(order, key, "piece")
+    pieces = pieces.drop("sequence_id", "offset")
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    row = unused(pieces, "row")
+    # counted and read twice: tokenising once; the row's number keeps pieces of one key, or of none, apart
+    held = stored(pieces.withColumn(row, F.monotonically_increasing_id()))
+    short, pieces = held.filter(F.col("length") < length), held.drop(row)
+    groups = max(1, math.ceil(short.count() / group_pieces))
+    order = F.xxhash64(F.lit(seed), F.col(key), F.col("piece"), F.col(row))
+    dealt = short.repartition(groups, order).sortWithinPartitions(order, key, "piece").drop(row)
     at = pieces.columns.index("length")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ names, and carried along by ``without_boilerplate``, but those named remaining_t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.llm.common import SPACE, join_counted, stored, unused, without
@@ -95,7 +95,9 @@ def without_boilerplate(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, tex
     lost = join_counted(held, common, ["no_host", "host", "h"], "n", held.count())
     lost = lost.groupBy("k", "no_host", "host").agg(F.collect_set("h")).toDF(id_, nameless, name, gone)
     own = _host(host)
-    out = docs.join(lost, (F.col(key) == F.col(id_)) & (own[0] == F.col(nameless)) & (own[1] == F.col(name)), "left")
+    # rows without a key lose nothing: they stay where they are
+    joined = docs.filter(F.col(key).isNotNull()).join(lost, (F.col(key) == F.col(id_)) & (own[0] == F.col(nameless)) & (own[1] == F.col(name)), "left")
+    out = joined.unionByName(docs.filter(F.col(key).isNull()), allowMissingColumns=True)
     stays = F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains(gone, F.xxhash64(normal(x))))
     out = out.withColumn("remaining_text", F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(stays, "\n")))
     left = F.when(F.col(gone).isNotNull(), F.size(words_of(F.col("remaining_text"))))
@@ -109,10 +111,12 @@ def line_rule(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, text: str = "
     """
     rows = without_boilerplate(docs, max_documents, text, key, host, percent, min_documents)
     base = base_rules(rows, text, key, ("n_left_words", *also))
-    # words on lines that are not blank are all words; rows with one key are one document
-    every = Window.partitionBy(key)
-    rest, total = F.sum(F.coalesce("n_left_words", "n_words")).over(every), F.sum("n_words").over(every)
-    base = base.withColumns({"__rest": rest, "__total": total})
+    base = stored(base)  # rows of numbers, read twice
+    # words on lines that are not blank are all words; rows with one key are one document, which the few of several rows meet
+    rest = F.coalesce("n_left_words", "n_words")
+    per = base.filter(F.col(key).isNotNull()).groupBy(F.col(key)).agg(F.sum(rest).alias("__rest"), F.sum("n_words").alias("__total"), F.count(F.lit(1)).alias("__rows")).filter("__rows > 1")
+    base = join_counted(base, stored(per), [key], "__rows", base.count(), "left").drop("__rows")
+    base = base.withColumns({"__rest": F.coalesce("__rest", rest), "__total": F.coalesce("__total", "n_words")})
     gone = F.when(F.col(key).isNull(), 0).otherwise(F.col("__total") - F.col("__rest"))
     depleted = (gone > 0) & ((F.col("__rest") < MIN_WORDS) | (F.col("__rest") < MIN_SHARE * F.col("__total")))
     out = base.withColumn("n_removed_words", gone).withColumn("kept", ~F.col("base_failed") & ~depleted)

@@ -350,3 +350,29 @@ def test_classifier_against_a_plain_version(monkeypatch):
             features += [mix(a ^ b ^ 0x9E3779B97F4A7C15) >> (64 - classifier.BITS) for a, b in zip(own, own[1:], strict=False)]
             z = model.bias + (sum(float(model.weight[f]) for f in features) / len(features) if features else 0)
             assert np.isclose(score, 1 / (1 + np.exp(-z)), atol=1e-5)
+
+
+def hot_rows(spark, n=3000):
+    """A third with null ids, a third with one id, some rows of them alike."""
+    data = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"words of text {i % 500 if i % 2 else i} and more", "en", "s", 0) for i in range(n)]
+    return data, rows_of(spark, data)
+
+
+def test_hot_keys_spread_over_groups_and_shards(spark):
+    data, df = hot_rows(spark)
+    packed = packing.pack(packing.cut(df, tokenizer()).withColumn("crc", F.crc32("ids")).drop("ids"), group_pieces=300)
+    per = {r["g"]: r["n"] for r in packed.groupBy(F.shiftright("sequence_id", 33).alias("g")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert len(per) == 10 and max(per.values()) < 500 and sum(per.values()) == len(data)
+    shards = mixing._mixed(df, mixing.WEIGHTS, 3, 16, 1000, 1, "text", "doc_id", "source").filter("before = 0").count()
+    assert shards > 10  # each has one first row
+    mixed = mixing.mix(df, shard_words=1000).collect()
+    assert Counter((r["doc_id"], r["size"]) for r in mixed) == Counter((r[0], len(r[1].split())) for r in data)
+    assert all(0 <= r["taken"] <= 3 * r["size"] for r in mixed) and abs(sum(r["taken"] for r in mixed) - mixed[0]["target"]) < 16 * 20
+
+
+def test_copies_of_a_document_are_taken_one_after_another(spark):
+    df = rows_of(spark, [(None, "a b c d", "en", "s", 0)] * 25 + [(1, "e f", "en", "t", 0)])
+    whole = sorted(r["taken"] for r in mixing.mix(df, weights=(1, 1), block=2).collect() if r["doc_id"] is None)
+    assert sum(whole) == 96 and whole == [0] + [4] * 24  # the other source gives 6 at most
+    rows = mixing._mixed(df, (1, 1), 3, 2, 1000, 1, "text", "doc_id", "source")
+    assert mixing._copies(rows, most=4).select("copy").filter("k is null").count() == 25
