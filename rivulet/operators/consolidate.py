@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from rivulet.columns import ENSEMBLE, Cols
-from rivulet.operators import quality
+from rivulet.operators import filters, quality
 from rivulet.operators.joins import small
+from rivulet.sources.writers import replace
 
 LAG_VALUE = "inflow_m3s"
 
@@ -64,12 +65,18 @@ def wide_lags(lags: DataFrame, indices: list[int], cols: Cols = ENSEMBLE, counte
     return lags.groupBy(*cols.key).agg(*per)
 
 
-def tree_violations(values: DataFrame, wide: DataFrame, cols: Cols = ENSEMBLE) -> DataFrame:
-    """Q3-Q6, Q8 over the aggregates of both trees: (scenario, problem), one problem for each scenario that has any."""
+def _matched(values: DataFrame, wide: DataFrame, cols: Cols) -> DataFrame:
+    """Both trees' aggregates by key, with whether each has the key, and its problem."""
     both = values.join(wide, cols.key, "full")
     ours, theirs = F.col("zero_rows").isNotNull(), F.col("most_rows").isNotNull()
-    problem = F.when(~ours, "lag_without_flow").otherwise(F.coalesce(_block_problem(), F.when(F.col("most_rows") > 1, "repeated_lag")))
-    per = both.groupBy(cols.scenario).agg(F.min(problem).alias("problem"), F.max(ours).alias("in_flows"), F.max(theirs).alias("in_lags"))
+    nothing = F.greatest(*[F.col(k).isNull() for k in cols.key])
+    problem = F.when(nothing, "null_key").when(~ours, "lag_without_flow").otherwise(F.coalesce(_block_problem(), F.when(F.col("most_rows") > 1, "repeated_lag")))
+    return both.withColumns({"in_flows": ours, "in_lags": theirs, "problem": problem})
+
+
+def tree_violations(values: DataFrame, wide: DataFrame, cols: Cols = ENSEMBLE) -> DataFrame:
+    """Q3-Q6, Q8 over the aggregates of both trees: (scenario, problem), one problem for each scenario that has any."""
+    per = _matched(values, wide, cols).groupBy(cols.scenario).agg(F.min("problem").alias("problem"), F.max("in_flows").alias("in_flows"), F.max("in_lags").alias("in_lags"))
     alone = F.when(~F.col("in_flows") | ~F.col("in_lags"), "scenario_in_one_tree_only")
     return per.select(cols.scenario, F.coalesce(alone, "problem").alias("problem")).filter("problem is not null")
 
@@ -91,3 +98,37 @@ def consolidate(flows: DataFrame, lags: DataFrame, checked: bool = True, cols: C
     if checked:
         quality.require(tree_violations(values, wide_lags(lags, indices, cols, counted=True), cols), "flows and lags")
     return values.select(*cols.key, cols.value, cols.slack).join(wide_lags(lags, indices, cols), cols.key, "left")
+
+
+def publish_consolidated(flows: DataFrame, lags: DataFrame, path: str, cols: Cols = ENSEMBLE) -> dict[str, int]:
+    """``consolidate`` and ``publish`` in one: the job that writes the new folder also counts the rules' violations.
+
+    The folder takes its place only if no key has a problem and it has as many rows as the flows have keys (Q10). An error
+    names up to ``quality.SHOWN`` keys, one for each part of them by a hash. Returns the counts of that job.
+    """
+    quality.require(quality.only_in_one(flows, lags, cols.scenario), "scenarios of flows and lags")
+    expected = flows.filter(F.col("block_id") == 0).count()
+    both = _matched(stage_values(flows, cols), wide_lags(lags, lag_indices(lags), cols, counted=True), cols)
+    key = F.struct("problem", *cols.key)
+    part = F.pmod(F.xxhash64(*cols.key), F.lit(quality.SHOWN))
+    wrong = F.col("problem").isNotNull()
+    shown = [F.min(F.when(wrong & (part == i), key)).alias(f"shown_{i}") for i in range(quality.SHOWN)]
+    counts = [F.count_if(wrong).alias("problems"), F.count_if("in_flows").alias("flow_keys"), F.count_if("in_lags").alias("lag_keys")]
+    told: dict[str, int] = {}
+
+    def write(folder: str) -> None:
+        rules, rows = Observation("rules"), Observation("rows")
+        # counted behind the range partitioning, which runs what stands before it twice
+        ranged = both.repartitionByRange(cols.scenario).sortWithinPartitions(*cols.key).observe(rules, *counts, *shown)
+        out = ranged.filter(~wrong).select(*cols.key, cols.value, cols.slack, *filters.lag_columns(both.columns))
+        out.observe(rows, F.count(F.lit(1)).alias("rows")).write.option("compression", "zstd").parquet(folder)
+        got = rules.get
+        if got["problems"]:
+            examples = [got[f"shown_{i}"].asDict() for i in range(quality.SHOWN) if got[f"shown_{i}"] is not None]
+            raise quality.QualityError(f"flows and lags: {got['problems']} keys, such as {', '.join(map(str, examples))}")
+        told.update({c: got[c] for c in ("flow_keys", "lag_keys")}, rows=rows.get["rows"])
+        if told["rows"] != expected:
+            raise quality.QualityError(f"{told['rows']} rows after the join, {expected} before")
+
+    replace(flows.sparkSession, path, write)
+    return told

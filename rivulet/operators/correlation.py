@@ -101,12 +101,33 @@ def _judged(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({"rho": rho, "reason": reason})
 
 
+def pair_frame(present: DataFrame, tile: str | None = None, tiles: str | None = None) -> DataFrame:
+    """(stage, a, b): every pair of entities that have rows in a stage, whatever their scenarios.
+
+    ``present`` has (stage, e), each once, and with ``tile`` the entity's tile of ``tiles``: a pair of tiles is one group,
+    which lists the pairs of its few entities; otherwise a stage is.
+    """
+    rows = present.select("stage", "e", *[F.col(c) for c in (tile, tiles) if c])
+    if tile:
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col(tiles) - 1).cast("int"))))
+        rows = rows.withColumns({"i": F.least(tile, "other"), "j": F.greatest(tile, "other")})
+    else:
+        rows = rows.withColumns({"tile": F.lit(0), "i": F.lit(0), "j": F.lit(0)})
+    own = F.col(tile or "tile")
+    lists = rows.groupBy("stage", "i", "j").agg(F.collect_list(F.when(own == F.col("i"), F.col("e"))).alias("one"), F.collect_list(F.when(own == F.col("j"), F.col("e"))).alias("two"))
+    pairs = lists.select("stage", "i", "j", F.explode("one").alias("p"), "two").select("stage", "i", "j", "p", F.explode("two").alias("q"))
+    pairs = pairs.filter((F.col("i") < F.col("j")) | (F.col("p") < F.col("q")))
+    return pairs.select("stage", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+
+
 def spatial_pairs(df: DataFrame, cols: Cols = ENSEMBLE) -> DataFrame:
-    """A16 by a self-join of each (stage, scenario), for few entities."""
+    """A16 by a self-join of each (stage, scenario), for few entities; pairs without a joint scenario have n = 0."""
     rows = _by_stage(df, cols)
+    frame = pair_frame(df.select(F.col(cols.stage).alias("stage"), F.col(cols.entity).alias("e")).distinct()).withColumnRenamed("stage", cols.stage)
     left, right = rows.withColumnsRenamed({"e": "a", "v": "x"}), rows.withColumnsRenamed({"e": "b", "v": "y"})
     pairs = left.join(right, [cols.stage, cols.scenario]).filter("a < b")
-    return _judged(pairs.groupBy(cols.stage, "a", "b").agg(*pair_moments(F.col("x"), F.col("y")))).select(cols.stage, "a", "b", *PAIR, "rho", "reason")
+    met = frame.join(pairs.groupBy(cols.stage, "a", "b").agg(*pair_moments(F.col("x"), F.col("y"))), [cols.stage, "a", "b"], "left")
+    return _judged(met.withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))).select(cols.stage, "a", "b", *PAIR, "rho", "reason")
 
 
 def spatial_correlation(df: DataFrame, chunk: int = 256, tile: int = 512, cols: Cols = ENSEMBLE) -> DataFrame:
@@ -114,7 +135,8 @@ def spatial_correlation(df: DataFrame, chunk: int = 256, tile: int = 512, cols:
 
     Every value is centred on its (stage, entity) mean first, so that the sums keep their digits. A task holds one block
     of at most about ``chunk`` scenarios of a stage for two tiles of about ``tile`` entities as dense matrices; stages,
-    blocks and pairs of tiles spread over the cluster. Keys must be unique (``reports.checked``): a task raises if not.
+    blocks and pairs of tiles spread over the cluster. The sums of a stage of several blocks are added to the frame of all
+    its pairs, so that two entities that share no block are a pair too. Keys must be unique (``reports.checked``): a task raises if not.
     """
     rows = _by_stage(df, cols)
     centre = rows.groupBy(cols.stage, "e").agg(F.avg("v").alias("m"), F.min("v").alias("low"), F.max("v").alias("high"))
@@ -151,6 +173,10 @@ def spatial_correlation(df: DataFrame, chunk: int = 256, tile: int = 512, cols:
         return pa.table(columns, ["stage", "a", "b", *both])
 
     parts = dealt.groupBy("stage", "block", "i", "j").applyInArrow(sums, "stage long, a long, b long, n double, sx double, sy double, sxx double, syy double, sxy double")
+    present = centre.select(cols.stage, "e").join(small(distinct.filter("blocks > 1")), cols.stage)  # a single block has all pairs
+    present = present.select(F.col(cols.stage).alias("stage"), "e", mine.alias("tile"), "tiles")
+    nothing = [F.lit(0.0).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]
+    parts = parts.unionByName(pair_frame(present, "tile", "tiles").select("stage", "a", "b", *nothing))
     total = parts.groupBy("stage", "a", "b").agg(F.sum("n").cast("long").alias("n"), *[F.sum(c).alias(c) for c in ("sx", "sy", "sxx", "syy", "sxy")])
     side = lambda p: centre.select(F.col(cols.stage).alias("stage"), F.col("e").alias(p), F.col("m").alias(f"m{p}"), F.col("low").alias(f"low{p}"), F.col("high").alias(f"high{p}"))
     total = total.join(side("a"), ["stage", "a"]).join(side("b"), ["stage", "b"])
@@ -164,7 +190,7 @@ def spatial_correlation(df: DataFrame, chunk: int = 256, tile: int = 512, cols:
         F.when(n > 0, F.col("ma") + mean("sx")).alias("mean_x"), F.when(n > 0, F.col("mb") + mean("sy")).alias("mean_y"),
         F.when(n > 0, sd("sxx", "sx", "a")).alias("sd_x"), F.when(n > 0, sd("syy", "sy", "b")).alias("sd_y"),
         (mean("sxy") - mean("sx") * mean("sy")).alias("cov"),
-        F.lit(0.0).alias("min_x"), F.lit(1.0).alias("max_x"), F.lit(0.0).alias("min_y"), F.lit(1.0).alias("max_y"),
+        *[F.col(f"{bound}{p}").alias(f"{name}_{side}") for p, side in (("a", "x"), ("b", "y")) for bound, name in (("low", "min"), ("high", "max"))],
     )
     return _judged(out).select(cols.stage, "a", "b", *PAIR, "rho", "reason")
 

@@ -1,4 +1,4 @@
-"""Data quality: every rule returns its violations; ``require`` raises on the first (Q1-Q20)."""
+"""Data quality: every rule returns its violations; ``require`` raises if there are any (Q1-Q20)."""
 
 from __future__ import annotations
 
@@ -12,20 +12,25 @@ from rivulet.functions.labels import next_month
 from rivulet.functions.numeric import finite, to_date, to_double
 
 
+#: Violations that an error names.
+SHOWN = 20
+
+
 class QualityError(ValueError):
     """A rule is violated."""
 
 
 def require(violations: DataFrame, rule: str) -> None:
-    """Raises with one example if there is any violation."""
-    example = violations.first()
-    if example is not None:
-        raise QualityError(f"{rule}: {example.asDict()}")
+    """Raises with ``SHOWN`` examples if there is any violation."""
+    found = [r.asDict() for r in violations.limit(SHOWN + 1).collect()]
+    if found:
+        more = ", and more" if len(found) > SHOWN else ""
+        raise QualityError(f"{rule}: {', '.join(map(str, found[:SHOWN]))}{more}")
 
 
 def wrong_path_ids(tree: DataFrame, cols: Cols = ENSEMBLE) -> DataFrame:
-    """Q1: the stored scenario differs from that of the path."""
-    return tree.filter(F.col(cols.scenario) != F.col("path_scenario_id")).select("path_scenario_id", cols.scenario).distinct()
+    """Q1: the stored scenario differs from that of the path, which is null if the path has none."""
+    return tree.filter(~F.col(cols.scenario).eqNullSafe(F.col("path_scenario_id"))).select("path_scenario_id", cols.scenario).distinct()
 
 
 def null_keys(df: DataFrame, keys: Iterable[str]) -> DataFrame:
@@ -47,6 +52,21 @@ def only_in_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return side(a, b, "left").unionByName(side(b, a, "right"))
 
 
+def bad_folders(manifest: DataFrame) -> DataFrame:
+    """Q1, Q2, Q4 over ``readers.tree_manifest``: (folder, problem)."""
+    same = F.count("scenario").over(Window.partitionBy("scenario"))
+    problem = (
+        F.when(~F.col("is_folder"), "not_a_folder")
+        .when(F.col("scenario").isNull(), "no_number")
+        .when(same > 1, "repeated_scenario")
+        .when(F.col("bytes").isNull(), "no_file")
+        .when(F.col("rows") == 0, "empty_file")
+        .when(F.col("nulls") > 0, "null_scenario")
+        .when((F.col("least") != F.col("scenario")) | (F.col("most") != F.col("scenario")), "other_scenario")
+    )
+    return manifest.select("folder", problem.alias("problem")).filter("problem is not null")
+
+
 def several_files(tree: DataFrame) -> DataFrame:
     """Q4: scenario numbers that several folders (1 and 01) stand for."""
     return tree.select("path_scenario_id", "file_path").distinct().groupBy("path_scenario_id").agg(F.count(F.lit(1)).alias("files")).filter("files > 1")

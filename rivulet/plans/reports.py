@@ -105,25 +105,34 @@ def ks_report(df: DataFrame, history: DataFrame, calendar: DataFrame, names: Dat
     return named(ks.ks_distance(df, history, calendar, cols), names, cols.entity)
 
 
-def stage_profile(df: DataFrame, history: DataFrame, calendar: DataFrame, cols: Cols = ENSEMBLE) -> DataFrame:
-    """A5, A6, A8, J7, A24, Q18 and Q19 side by side for each (entity, stage)."""
+def stage_profile(df: DataFrame, history: DataFrame, calendar: DataFrame, names: DataFrame, cols: Cols = ENSEMBLE) -> DataFrame:
+    """A5, A6, A8 of flow, slack and history, J6, J7, A24, Q18, Q19 and Q20 side by side for each (entity, stage)."""
+    df, history = checked(df, calendar, cols, gaps=True), checked_history(history, cols)
     cal = small(calendar.select(cols.stage, "order", "month"))
     out = summaries.stage_series(df, cols.group, cols.value)
     box = slices.box_plot(df, cols.group, cols.value, cols.scenario).select(*cols.group, "minimum", "q1", "median", "q3", "maximum", "whisker_low", "whisker_high", "outliers", "skewness", "kurtosis")
     more = df.groupBy(*cols.group).agg(F.avg(finite(cols.slack)).alias("mean_slack"), F.count(F.lit(1)).alias("rows"), F.count_distinct(cols.scenario).alias("scenarios"))
     past = [*[F.col(c).alias(f"history_{c}") for c in ("n", "mean", "sd", "skewness", "kurtosis")]]
     past = summaries.moment_summary(history, [cols.entity, "month"], "value").select(cols.entity, "month", *past)
+    boxes = lambda rows, by, value, tie, name: slices.box_plot(rows, by, value, tie).select(*by, *[F.col(c).alias(f"{name}_{c}") for c in ("q1", "median", "q3", "whisker_low", "whisker_high", "outliers")])
+    past = past.join(boxes(history, [cols.entity, "month"], "value", "start", "history"), [cols.entity, "month"], "left")
+    more = more.join(boxes(df, cols.group, cols.slack, cols.scenario, "slack"), cols.group, "left")
     out = out.join(box, cols.group, "left").join(more, cols.group, "left").join(cal, cols.stage).withColumn("missing", F.col("rows") - F.col("n"))
-    return out.join(past, [cols.entity, "month"], "left").withColumn("history_n", F.coalesce("history_n", F.lit(0))).withColumn("month_name", month_label(F.col("month")))
+    out = out.join(past, [cols.entity, "month"], "left").withColumn("history_n", F.coalesce("history_n", F.lit(0))).withColumn("month_name", month_label(F.col("month")))
+    held = history.select(cols.entity, "month").distinct().withColumn("in_history", F.lit(True))
+    out = out.join(held, [cols.entity, "month"], "left").withColumn("in_history", F.coalesce("in_history", F.lit(False)))
+    return named(out, names, cols.entity)
 
 
-def density_report(df: DataFrame, history: DataFrame, percent: int | None = None, cols: Cols = ENSEMBLE) -> DataFrame:
+def density_report(df: DataFrame, history: DataFrame, calendar: DataFrame, names: DataFrame, percent: int | None = None, cols: Cols = ENSEMBLE) -> DataFrame:
     """A22 of the stages of scenarios and the months of history, or (A23) of the lowest ``percent`` of each."""
+    df, history = checked(df, calendar, cols, gaps=True), checked_history(history, cols)
     ours = df.select(F.lit("scenarios").alias("source"), cols.entity, F.col(cols.stage).alias("period"), F.col(cols.scenario).alias("tie"), F.col(cols.value).alias("v"))
     tie = F.datediff("start", F.lit("1900-01-01")).cast("long")
     both = ours.unionByName(history.select(F.lit("history").alias("source"), cols.entity, F.col("month").cast("long").alias("period"), tie.alias("tie"), F.col("value").alias("v")))
     by = ["source", cols.entity, "period"]
-    return density_summary(both if percent is None else slices.lowest(both, by, "v", "tie", percent), by, "v")
+    out = density_summary(both if percent is None else slices.lowest(both, by, "v", "tie", percent), by, "v")
+    return named(out, names, cols.entity)
 
 
 def browse(df: DataFrame, order: str, descending: bool = False, number: int = 1, size: int = 100, negative: bool = False, cols: Cols = ENSEMBLE, **equal) -> tuple[DataFrame, int, int]:

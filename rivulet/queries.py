@@ -24,11 +24,11 @@ def tidy(df: DataFrame) -> DataFrame:
     return df.select(*[(F.round(c, 6) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+def register(name: str, sql: str | None = None, base: str = views.SQL) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[name] = lambda spark, sf_dir: tidy(f(spark, sf_dir))
         if sql is not None:
-            ORACLE_SQL[name] = f"WITH {views.SQL}{sql}"
+            ORACLE_SQL[name] = f"WITH {base}{sql}"
         return f
 
     return add
@@ -142,15 +142,29 @@ def slices_sql(range_: str, src: str = "fin", keys: str = "hydro_id, stage_id",
     return SLICES.format(range=range_, src=src, keys=keys, tie=tie, quartiles=", ".join(_quartile_sql(n, q) for n, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))))
 
 
+def boxed(name: str) -> str:
+    """SQL: quartiles, whiskers and outliers of a box plot as columns of ``name``."""
+    five = ", ".join(f"round({c}, 6) + 0.0 AS {name}_{c}" for c in ("q1", "median", "q3", "whisker_low", "whisker_high"))
+    return f"{five}, CAST(outliers AS BIGINT) AS {name}_outliers"
+
+
 SHAPE = r("skewness", "kurtosis")
 FIVE = r("minimum", "q1", "median", "q3", "maximum", "whisker_low", "whisker_high")
 
 
-@register("A7_lowest_slices", f"{slices_sql('5, 100, 5')} SELECT hydro_id, stage_id, CAST(percent AS INTEGER) AS percent, n, CAST(k AS BIGINT) AS k, round(mean, 6) + 0.0 AS mean, round(CASE WHEN minimum = maximum THEN 0.0 ELSE sd END, 6) + 0.0 AS sd, {SHAPE}, {FIVE}, CAST(outliers AS BIGINT) AS outliers FROM o")
+LOWEST = f"{slices_sql('5, 100, 5')} SELECT hydro_id, stage_id, CAST(percent AS INTEGER) AS percent, n, CAST(k AS BIGINT) AS k, round(mean, 6) + 0.0 AS mean, round(CASE WHEN minimum = maximum THEN 0.0 ELSE sd END, 6) + 0.0 AS sd, {SHAPE}, {FIVE}, CAST(outliers AS BIGINT) AS outliers FROM o"
+
+
+@register("A7_lowest_slices", LOWEST)
 def a7(spark, d):
     return slices.slices(views.ensemble(spark, d), G, V, "scenario_id")
 
 
+@register("A7_many_scenarios", LOWEST, views.MANY_SQL)
+def a7_many(spark, d):
+    return slices.slices(views.ensemble(spark, d, many=True), G, V, "scenario_id")
+
+
 @register("A8_box_plot", f"{slices_sql('100, 101')} SELECT hydro_id, stage_id, n, round(mean, 6) + 0.0 AS mean, round(CASE WHEN minimum = maximum THEN 0.0 ELSE sd END, 6) + 0.0 AS sd, {SHAPE}, {FIVE}, CAST(outliers AS BIGINT) AS outliers FROM o")
 def a8(spark, d):
     return slices.box_plot(views.ensemble(spark, d), G, V, "scenario_id")
@@ -189,6 +203,11 @@ def a9(spark, d):
     return ks.ks_distance(views.ensemble(spark, d), views.history(spark, d), views.calendar(spark, d))
 
 
+@register("A9_many_scenarios", f"{KS} SELECT {KS_COLUMNS} FROM j JOIN cal USING (stage_id)", views.MANY_SQL)
+def a9_many(spark, d):
+    return ks.ks_distance(views.ensemble(spark, d, many=True), views.history(spark, d), views.calendar(spark, d, many=True))
+
+
 def pairs_sql(source: str, by: str, extra: str = "") -> str:
     """CTEs pm, judged: pair moments of (x, y) by ``by`` and the reasons."""
     ok = "x IS NOT NULL AND y IS NOT NULL"
@@ -256,11 +275,21 @@ def a16(spark, d):
     return correlation.spatial_correlation(views.ensemble(spark, d))
 
 
-@register("J9_spatial_by_join", f"{SPATIAL} SELECT stage_id, a, b, n, {PAIR}, {RHO} FROM judged")
+@register("A16_many_scenarios", f"{EVERY_PAIR} SELECT * FROM space", views.MANY_SQL)
+def a16_many(spark, d):
+    return correlation.spatial_correlation(views.ensemble(spark, d, many=True))
+
+
+@register("J9_spatial_by_join", f"{EVERY_PAIR} SELECT * FROM space")
 def j9(spark, d):
     return correlation.spatial_pairs(views.ensemble(spark, d))
 
 
+@register("J9_many_scenarios", f"{EVERY_PAIR} SELECT * FROM space", views.MANY_SQL)
+def j9_many(spark, d):
+    return correlation.spatial_pairs(views.ensemble(spark, d, many=True))
+
+
 @register("A17_against_reference", f", pr AS (SELECT q.stage_id, q.hydro_id AS other, p.x, q.x AS y FROM fin q LEFT JOIN fin p ON p.stage_id = q.stage_id AND p.scenario_id = q.scenario_id AND p.hydro_id = 3 WHERE q.hydro_id <> 3), {pairs_sql('pr', 'stage_id, other')} SELECT stage_id, CAST(3 AS BIGINT) AS reference, other, n, {PAIR}, {RHO} FROM judged")
 def a17(spark, d):
     return correlation.against_reference(views.ensemble(spark, d), 3)
@@ -271,19 +300,20 @@ def a18(spark, d):
     return summaries.pairs_expected(views.ensemble(spark, d))
 
 
-@register("A20_defined_counts", f"{SPATIAL} SELECT stage_id, count(CASE WHEN reason0 = 'computed' THEN rho0 END) AS defined, count(*) AS possible, count(*) - count(CASE WHEN reason0 = 'computed' THEN rho0 END) AS undefined FROM judged GROUP BY stage_id")
+@register("A20_defined_counts", f"{EVERY_PAIR} SELECT stage_id, count(rho) AS defined, count(*) AS possible, count(*) - count(rho) AS undefined FROM space GROUP BY stage_id")
 def a20(spark, d):
     return summaries.defined_counts(correlation.spatial_pairs(views.ensemble(spark, d)), "stage_id")
 
 
-@register("F12_unavailable", f"{SPATIAL} SELECT stage_id, a, b, n, reason0 AS reason FROM judged WHERE reason0 <> 'computed'")
+@register("F12_unavailable", f"{EVERY_PAIR} SELECT stage_id, a, b, n, reason FROM space WHERE reason <> 'computed'")
 def f12(spark, d):
     return filters.unavailable(correlation.spatial_pairs(views.ensemble(spark, d))).select("stage_id", "a", "b", "n", "reason")
 
 
-@register("T5_spatial_table", f"{SPATIAL}, twice AS (SELECT stage_id, a AS reference, b AS other, CASE WHEN reason0 = 'computed' THEN rho0 END AS rho FROM judged UNION ALL SELECT stage_id, b, a, CASE WHEN reason0 = 'computed' THEN rho0 END FROM judged) SELECT reference, stage_id, " + ", ".join(f'round(max(CASE WHEN other = {e} THEN rho END), 6) + 0.0 AS "{e}"' for e in range(1, 8)) + " FROM twice GROUP BY reference, stage_id")
+# of all entities; the SQL names those of ten, as many as supplier has at sf 0.01
+@register("T5_spatial_table", f"{EVERY_PAIR}, twice AS (SELECT stage_id, a AS reference, b AS other, rho FROM space UNION ALL SELECT stage_id, b, a, rho FROM space) SELECT reference, stage_id, " + ", ".join(f'max(CASE WHEN other = {e} THEN rho END) AS "{e}"' for e in range(10)) + " FROM twice GROUP BY reference, stage_id")
 def t5(spark, d):
-    return correlation.spatial_table(correlation.spatial_pairs(views.ensemble(spark, d)), list(range(1, 8)))
+    return correlation.spatial_table(correlation.spatial_correlation(views.ensemble(spark, d)), list(range(max(10, views.entities(spark, d)))))
 
 
 @register("T6_pair_lookup", f"{SPATIAL} SELECT stage_id, CAST(5 AS BIGINT) AS a, CAST(2 AS BIGINT) AS b, n, round(mean_y, 6) + 0.0 AS mean_x, round(mean_x, 6) + 0.0 AS mean_y, round(sd_y, 6) + 0.0 AS sd_x, round(sd_x, 6) + 0.0 AS sd_y, round(cov, 6) + 0.0 AS cov, {RHO} FROM judged WHERE a = 2 AND b = 5")
@@ -359,16 +389,6 @@ BOTH = """, bothx AS (SELECT 'scenarios' AS source, hydro_id, stage_id AS period
 low AS (SELECT source, hydro_id, period, x FROM (SELECT *, row_number() OVER (PARTITION BY source, hydro_id, period ORDER BY x, tie) AS rn, count(*) OVER (PARTITION BY source, hydro_id, period) AS n FROM bothx WHERE x IS NOT NULL) WHERE rn <= (n * 20 + 99) // 100)"""
 
 
-@register("density_report", f"{BOTH}, {density_sql('bothx', 'source, hydro_id, period')} SELECT * FROM dens")
-def density_report(spark, d):
-    return reports.density_report(views.ensemble(spark, d), views.history(spark, d))
-
-
-@register("density_of_lowest_fifth", f"{BOTH}, {density_sql('low', 'source, hydro_id, period')} SELECT * FROM dens")
-def density_low(spark, d):
-    return reports.density_report(views.ensemble(spark, d), views.history(spark, d), 20)
-
-
 @register("A23_lowest_fifth_moments", f", s0 AS (SELECT hydro_id, stage_id, x, row_number() OVER (PARTITION BY hydro_id, stage_id ORDER BY x, scenario_id) AS rn, count(*) OVER (PARTITION BY hydro_id, stage_id) AS n FROM fin WHERE x IS NOT NULL), s AS (SELECT hydro_id, stage_id, x FROM s0 WHERE rn <= (n * 20 + 99) // 100), {moments_sql('s', 'hydro_id, stage_id', 'm')} SELECT hydro_id, stage_id, {MOMENT_COLUMNS} FROM m")
 def a23(spark, d):
     return summaries.moment_summary(slices.lowest(views.ensemble(spark, d), G, V, "scenario_id", 20), G, "v")
@@ -379,11 +399,11 @@ def a24(spark, d):
     return summaries.shape_by_stage(views.ensemble(spark, d), views.history(spark, d), views.calendar(spark, d))
 
 
-@register("T1_page", "SELECT scenario_id, stage_id, node_id, hydro_id, x FROM fin WHERE stage_id > 40 ORDER BY x DESC NULLS LAST, scenario_id, stage_id, node_id, hydro_id LIMIT 100 OFFSET 200")
+@register("T1_page", "SELECT scenario_id, stage_id, node_id, hydro_id, x FROM fin ORDER BY x DESC NULLS LAST, scenario_id, stage_id, node_id, hydro_id LIMIT 100 OFFSET 200")
 def t1(spark, d):
     from rivulet.functions.numeric import finite
 
-    rows = views.ensemble(spark, d).filter("stage_id > 40").withColumn(V, finite(V))
+    rows = views.ensemble(spark, d).withColumn(V, finite(V))
     return browse.page(rows, V, descending=True, number=3, size=100).select("scenario_id", "stage_id", "node_id", "hydro_id", F.col(V).alias("x"))
 
 
@@ -612,10 +632,24 @@ def u1(spark, d):
     return keys(views.ensemble(spark, d), "flows").unionByName(keys(views.shifted(spark, d), "lags"))
 
 
-@register("stage_profile", f"""{slices_sql('100, 101')}, ser AS (SELECT hydro_id, stage_id, count(x) AS n, count(*) AS rows, count(DISTINCT scenario_id) AS scenarios, avg(x) AS mean, stddev_pop(x) AS sd, avg(slack) AS mean_slack FROM fin GROUP BY ALL), {moments_sql('hist', 'hydro_id, month', 'past')}
+@register("density_report", f"{BOTH}, {density_sql('bothx', 'source, hydro_id, period')} SELECT dens.*, {LABEL} FROM dens LEFT JOIN names USING (hydro_id)")
+def density_report(spark, d):
+    return reports.density_report(views.ensemble(spark, d), views.history(spark, d), views.calendar(spark, d), views.names(spark, d))
+
+
+@register("density_of_lowest_fifth", f"{BOTH}, {density_sql('low', 'source, hydro_id, period')} SELECT dens.*, {LABEL} FROM dens LEFT JOIN names USING (hydro_id)")
+def density_low(spark, d):
+    return reports.density_report(views.ensemble(spark, d), views.history(spark, d), views.calendar(spark, d), views.names(spark, d), 20)
+
+
+@register("stage_profile", f"""{slices_sql('100, 101')}, ser AS (SELECT hydro_id, stage_id, count(x) AS n, count(*) AS rows, count(DISTINCT scenario_id) AS scenarios, avg(x) AS mean, stddev_pop(x) AS sd, avg(slack) AS mean_slack FROM fin GROUP BY ALL), {moments_sql('hist', 'hydro_id, month', 'past')},
+slackbox AS (WITH z AS (SELECT hydro_id, stage_id, scenario_id, slack AS x FROM fin){slices_sql('100, 101', 'z')} SELECT hydro_id, stage_id, {boxed('slack')} FROM o),
+pastbox AS (WITH z AS (SELECT hydro_id, month, start_d, x FROM hist){slices_sql('100, 101', 'z', 'hydro_id, month', 'start_d')} SELECT hydro_id, month, {boxed('history')} FROM o)
 SELECT ser.hydro_id, ser.stage_id, ser.n, rows, scenarios, rows - ser.n AS missing, round(ser.mean, 6) + 0.0 AS mean, round(ser.sd, 6) + 0.0 AS sd, round(ser.mean - ser.sd, 6) + 0.0 AS low, round(ser.mean + ser.sd, 6) + 0.0 AS high,
   {FIVE.replace("minimum", "o.minimum", 1).replace("AS o.minimum", "AS minimum").replace("round(maximum", "round(o.maximum")}, round(o.skewness, 6) + 0.0 AS skewness, round(o.kurtosis, 6) + 0.0 AS kurtosis, CAST(outliers AS BIGINT) AS outliers, round(mean_slack, 6) + 0.0 AS mean_slack,
-  CAST(cal.ord AS INTEGER) AS "order", cal.month, coalesce(past.n, 0) AS history_n, round(past.mean, 6) + 0.0 AS history_mean, round(past.sd, 6) + 0.0 AS history_sd, round(past.skewness, 6) + 0.0 AS history_skewness, round(past.kurtosis, 6) + 0.0 AS history_kurtosis, monthname(cal.start_d) AS month_name
-FROM ser LEFT JOIN o ON o.hydro_id = ser.hydro_id AND o.stage_id = ser.stage_id JOIN cal ON cal.stage_id = ser.stage_id LEFT JOIN past ON past.hydro_id = ser.hydro_id AND past.month = cal.month""")
+  CAST(cal.ord AS INTEGER) AS "order", cal.month, coalesce(past.n, 0) AS history_n, round(past.mean, 6) + 0.0 AS history_mean, round(past.sd, 6) + 0.0 AS history_sd, round(past.skewness, 6) + 0.0 AS history_skewness, round(past.kurtosis, 6) + 0.0 AS history_kurtosis, monthname(cal.start_d) AS month_name,
+  slackbox.* EXCLUDE (hydro_id, stage_id), pastbox.* EXCLUDE (hydro_id, month), past.n IS NOT NULL AS in_history, {LABEL.replace('hydro_id', 'ser.hydro_id')}
+FROM ser LEFT JOIN o ON o.hydro_id = ser.hydro_id AND o.stage_id = ser.stage_id JOIN cal ON cal.stage_id = ser.stage_id LEFT JOIN past ON past.hydro_id = ser.hydro_id AND past.month = cal.month
+  LEFT JOIN slackbox ON slackbox.hydro_id = ser.hydro_id AND slackbox.stage_id = ser.stage_id LEFT JOIN pastbox ON pastbox.hydro_id = ser.hydro_id AND pastbox.month = cal.month LEFT JOIN names ON names.hydro_id = ser.hydro_id""")
 def profile(spark, d):
-    return reports.stage_profile(views.ensemble(spark, d), views.history(spark, d), views.calendar(spark, d))
+    return reports.stage_profile(views.ensemble(spark, d), views.history(spark, d), views.calendar(spark, d), views.names(spark, d))

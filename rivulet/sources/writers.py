@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rivulet.columns import ENSEMBLE, Cols
 
 
-def _replace(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+def replace(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
     """Puts what ``write`` leaves in a new folder in the place of ``path``, which stays as it is if anything fails."""
     fresh, old = (f"{path.rstrip('/')}.{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
     jvm = spark.sparkContext._jvm
@@ -42,7 +42,7 @@ def publish(df: DataFrame, path: str, check: Callable[[DataFrame], None] | None
         if check:
             check(df.sparkSession.read.parquet(folder))
 
-    _replace(df.sparkSession, path, write)
+    replace(df.sparkSession, path, write)
 
 
 def write_report(report: DataFrame, diagnostics: DataFrame | None, path: str, form: str = "parquet") -> None:
@@ -54,7 +54,7 @@ def write_report(report: DataFrame, diagnostics: DataFrame | None, path: str, fo
                 out = df.write.format(form)
                 (out.option("header", True) if form == "csv" else out).save(f"{folder}/{name}")
 
-    _replace(report.sparkSession, path, write)
+    replace(report.sparkSession, path, write)
 
 
 def run_summary(df: DataFrame, cols: Cols = ENSEMBLE) -> DataFrame:

@@ -3,11 +3,14 @@
 Entity: supplier key modulo a tenth of the number of suppliers, so that entities grow with the tables. Scenario: part key
 modulo 20. Stage: month of shipping. Value: total quantity times 355/113, less 10, with some nulls and infinities; slack:
 number of lines modulo 3. History: an entity's monthly total over all lines, by the number of scenarios.
+
+A second ensemble, ``many``, has groups that grow: twelve stages, the months of a year, and hundreds of scenarios, a fifth
+of the number of parts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.sources.readers import with_order
@@ -25,11 +28,20 @@ def entities(spark: SparkSession, sf_dir: str) -> int:
     return max(7, spark.read.parquet(f"{sf_dir}/supplier.parquet").count() // 10)
 
 
-def ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The consolidated table."""
+def scenarios(spark: SparkSession, sf_dir: str) -> int:
+    """Scenarios of the second ensemble."""
+    return max(300, spark.read.parquet(f"{sf_dir}/part.parquet").count() // 5)
+
+
+def _stage(many: bool) -> Column:
+    return F.month("l_shipdate") - 1 if many else F.year("l_shipdate") * 12 + F.month("l_shipdate") - 1 - 23940
+
+
+def ensemble(spark: SparkSession, sf_dir: str, many: bool = False) -> DataFrame:
+    """The consolidated table; with ``many`` the second one."""
     entity = F.col("l_suppkey") % entities(spark, sf_dir)
-    stage = F.year("l_shipdate") * 12 + F.month("l_shipdate") - 1 - 23940
-    cells = _lines(spark, sf_dir).groupBy(entity.cast("long").alias("hydro_id"), (F.col("l_partkey") % SCENARIOS).cast("long").alias("scenario_id"), stage.cast("long").alias("stage_id"))
+    stage, number = _stage(many), scenarios(spark, sf_dir) if many else SCENARIOS
+    cells = _lines(spark, sf_dir).groupBy(entity.cast("long").alias("hydro_id"), (F.col("l_partkey") % number).cast("long").alias("scenario_id"), stage.cast("long").alias("stage_id"))
     cells = cells.agg(F.sum("l_quantity").alias("q"), F.count(F.lit(1)).alias("c"))
     value = F.when((F.col("scenario_id") * 7 + F.col("stage_id")) % 23 == 0, None).when((F.col("scenario_id") * 5 + F.col("stage_id")) % 29 == 0, float("inf")).otherwise(F.col("q") * 355 / 113 - 10)
     slack = F.when(F.col("stage_id") % 11 == 0, None).otherwise((F.col("c") % 3).cast("double"))
@@ -60,9 +72,8 @@ def raw_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter(F.col("block_id").isNotNull() | (F.col("scenario_id") % 2 == 0))
 
 
-def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stage = F.year("l_shipdate") * 12 + F.month("l_shipdate") - 1 - 23940
-    stages = _lines(spark, sf_dir).select(stage.cast("long").alias("stage_id")).distinct()
+def calendar(spark: SparkSession, sf_dir: str, many: bool = False) -> DataFrame:
+    stages = _lines(spark, sf_dir).select(_stage(many).cast("long").alias("stage_id")).distinct()
     start = F.make_date((F.lit(1995) + F.floor(F.col("stage_id") / 12)).cast("int"), (F.col("stage_id") % 12 + 1).cast("int"), F.lit(1))
     return with_order(stages.select("stage_id", start.alias("start"), F.add_months(start, 1).alias("end")))
 
@@ -110,3 +121,8 @@ rollh AS (SELECT hydro_id, start_d, month, win, total FROM (
     UNION ALL
     SELECT *, 12, count(*) OVER w, sum(x) OVER w FROM hist WINDOW w AS (PARTITION BY hydro_id ORDER BY m RANGE BETWEEN 11 PRECEDING AND CURRENT ROW)) WHERE n = win)
 """
+
+# With the second ensemble in the place of the first.
+MANY_SQL = SQL.replace(
+    "l_partkey % 20 AS", "l_partkey % (SELECT greatest(300, count(*) // 5) FROM part) AS"
+).replace("CAST(year(l_shipdate) * 12 + month(l_shipdate) - 1 - 23940 AS BIGINT) AS stage_id, sum", "CAST(month(l_shipdate) - 1 AS BIGINT) AS stage_id, sum")

@@ -2,6 +2,7 @@
 
 import datetime
 import math
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -302,6 +303,83 @@ def test_consolidate_refuses(spark, tmp_path, edit):
         consolidate.consolidate(*trees(spark, tmp_path, edit))
 
 
+def entry(tmp_path, tree, name):
+    return tmp_path / tree / f"scenario_id={name}"
+
+
+def emptied(path):
+    import pyarrow.parquet as pq
+
+    pq.write_table(pq.ParquetFile(path).read().slice(0, 0), path)
+
+
+@pytest.mark.parametrize(
+    "problem, edit",
+    [
+        ("no_number", lambda p: entry(p, "hydros", "0002").rename(entry(p, "hydros", "abc"))),
+        ("empty_file", lambda p: emptied(entry(p, "hydros", "0002") / "data.parquet")),
+        ("no_file", lambda p: entry(p, "inflow_lags", "3").mkdir()),
+        ("no_file", lambda p: (entry(p, "hydros", "0002") / "data.parquet").rename(entry(p, "hydros", "0002") / "copy.parquet")),
+        ("not_a_folder", lambda p: entry(p, "hydros", "3").write_text("")),
+        ("repeated_scenario", lambda p: shutil.copytree(entry(p, "hydros", "0001"), entry(p, "hydros", "1"))),
+        ("other_scenario", lambda p: entry(p, "hydros", "0002").rename(entry(p, "hydros", "3"))),
+        ("only_in", lambda p: shutil.rmtree(entry(p, "inflow_lags", "0002"))),
+    ],
+)
+def test_scenario_folders_are_refused(spark, tmp_path, problem, edit):
+    trees(spark, tmp_path)
+    paths = [str(tmp_path / t) for t in ("hydros", "inflow_lags")]
+    assert [t.count() for t in readers.checked_trees(spark, *paths)] == [15, 9]
+    edit(tmp_path)
+    with pytest.raises(quality.QualityError, match=problem):
+        readers.checked_trees(spark, *paths)
+
+
+def test_only_the_files_of_scenarios_are_read(spark, tmp_path):
+    trees(spark, tmp_path)
+    tree = tmp_path / "hydros"
+    for other in ("scenario_id=0001/old.parquet", "scenario_id=0001/kept/data.parquet", "old/data.parquet", "data.parquet"):
+        (tree / other).parent.mkdir(exist_ok=True)
+        shutil.copy(tree / "scenario_id=0001/data.parquet", tree / other)
+    assert readers.read_tree(spark, str(tree), readers.FLOWS).count() == 15
+    got = {r["folder"]: (r["scenario"], r["rows"], r["bytes"] > 0, r["least"], r["most"]) for r in readers.tree_manifest(spark, str(tree), readers.FLOWS).collect()}
+    assert got == {"scenario_id=0001": (1, 9, True, 1, 1), "scenario_id=0002": (2, 6, True, 2, 2)}
+    assert quality.bad_folders(readers.tree_manifest(spark, str(tree), readers.FLOWS)).isEmpty()
+    (tmp_path / "none").mkdir()
+    for missing in ("none", "nowhere"):
+        with pytest.raises(quality.QualityError):
+            readers.checked_tree(spark, str(tmp_path / missing), readers.FLOWS)
+
+
+def test_many_folders_are_listed(spark, tmp_path):
+    for i in range(300):  # more than are listed one after another
+        (tmp_path / "t" / f"scenario_id={i}").mkdir(parents=True)
+    assert readers.tree_manifest(spark, str(tmp_path / "t"), readers.FLOWS).filter("bytes is null").count() == 300
+
+
+def test_publication_waits_for_the_counts_of_its_job(spark, tmp_path):
+    flows, lags = (t.drop("path_scenario_id", "file_path") for t in trees(spark, tmp_path))
+    path = str(tmp_path / "out")
+    assert consolidate.publish_consolidated(flows, lags, path) == {"rows": 6, "flow_keys": 6, "lag_keys": 6}
+    by = sorted(consolidate.consolidate(flows, lags).columns)
+    rows = lambda df: sorted(map(str, df.select(by).collect()))
+    assert rows(spark.read.parquet(path)) == rows(consolidate.consolidate(flows, lags))
+    wrong = flows.withColumn("block_id", F.when((F.col("block_id") == 0) & (F.col("stage_id") < 2), 5).otherwise(F.col("block_id")))
+    with pytest.raises(quality.QualityError, match="4 keys.*block_0_not_once"):
+        consolidate.publish_consolidated(wrong, lags, path)
+    for broken in (lags.unionByName(lags.limit(1)), lags.unionByName(lags.limit(1).withColumn("stage_id", F.lit(77).cast("long"))), lags.filter("scenario_id = 1")):
+        with pytest.raises(quality.QualityError):
+            consolidate.publish_consolidated(flows, broken, path)
+    assert rows(spark.read.parquet(path)) == rows(consolidate.consolidate(flows, lags))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["hydros", "inflow_lags", "out"]
+
+
+def test_errors_name_a_sample_of_violations(spark):
+    with pytest.raises(quality.QualityError) as told:
+        quality.require(spark.range(50), "all")
+    assert str(told.value).count("'id'") == quality.SHOWN and "and more" in str(told.value)
+
+
 def test_calendar_catalog_history(spark, tmp_path):
     (tmp_path / "stages.json").write_text('{"stages": [{"id": 5, "start_date": "2026-02-01", "end_date": "2026-03-01"}, {"id": 9, "start_date": "2026-01-01", "end_date": "2026-02-01"}, {"id": 3, "start_date": "2026-04-01", "end_date": "2026-05-01"}, {"id": 4, "start_date": "bad", "end_date": "2026-05-15"}]}')
     cal = readers.read_calendar(spark, str(tmp_path / "stages.json"))
@@ -324,6 +402,17 @@ def test_order_of_rows_does_not_matter(spark):
     assert all((x["rho"] is None) == (y["rho"] is None) and abs((x["rho"] or 0) - (y["rho"] or 0)) < 1e-12 for x, y in zip(a, b, strict=True))
 
 
+@pytest.mark.parametrize("chunk, tile", [(8, 512), (8, 2), (256, 512), (100_000, 512)])
+def test_pairs_without_a_joint_scenario(spark, chunk, tile):
+    """All pairs of a stage, whatever blocks their scenarios fall in."""
+    rows = [(s, 0, 1, e, float(s % 7 + e)) for e in range(3) for s in range(300 * e, 300 * e + 301)]
+    rows += [(s, 1, 1, e, float(s)) for e in (4, 5) for s in range(e, 9)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {(r["stage_id"], r["a"], r["b"]): (r["n"], r["reason"]) for r in correlation.spatial_correlation(df, chunk, tile).collect()}
+    assert got == {(0, 0, 1): (1, "lt2_pairs"), (0, 0, 2): (0, "lt2_pairs"), (0, 1, 2): (1, "lt2_pairs"), (1, 4, 5): (4, "computed")}
+    assert got == {(r["stage_id"], r["a"], r["b"]): (r["n"], r["reason"]) for r in correlation.spatial_pairs(df).collect()}
+
+
 @pytest.mark.parametrize("tile", [1, 2, 3])
 def test_spatial_tiles_add_up(spark, tile):
     key = lambda r: (r["stage_id"], r["a"], r["b"])
@@ -348,6 +437,8 @@ REPORTS = {
     "ks": lambda df, past, cal, names: reports.ks_report(df, past, cal, names),
     "spatial": lambda df, past, cal, names: reports.spatial_report(df, cal, names),
     "annual": lambda df, past, cal, names: reports.annual_report(df, cal, names)[0],
+    "profile": lambda df, past, cal, names: reports.stage_profile(df.withColumn("inflow_nonnegativity_slack_m3s", F.lit(0.0)), past, cal, names),
+    "density": lambda df, past, cal, names: reports.density_report(df, past, cal, names),
 }
 
 
@@ -359,7 +450,7 @@ def test_reports_refuse(spark, name):
         REPORTS[name](df.unionByName(df.filter("stage_id = 3 and scenario_id = 1")), past, cal, names)
     with pytest.raises(quality.QualityError):  # a stage that the calendar lacks
         REPORTS[name](df, past, cal.filter("stage_id <> 13"), names)
-    if name in ("statistics", "slices", "ks"):
+    if name in ("statistics", "slices", "ks", "profile", "density"):
         with pytest.raises(quality.QualityError):  # a month of history twice
             REPORTS[name](df, past.unionByName(past.limit(1)), cal, names)
     if name != "ks":
@@ -387,7 +478,7 @@ def test_density_ends(spark):
     h = sd * 3**-0.2
     kernel = lambda x: sum(math.exp(-0.5 * ((x - v) / h) ** 2) for v in (1.0, 2.0, 4.0)) / (3 * h * math.sqrt(2 * math.pi))
     assert math.isclose(row["at_minimum"], kernel(1.0), rel_tol=1e-3) and math.isclose(row["at_maximum"], kernel(4.0), rel_tol=1e-3)
-    both = reports.density_report(df, history(spark, [(24000 + 12 * i, float(i)) for i in range(4)]))
+    both = reports.density_report(df, history(spark, [(24000 + 12 * i, float(i)) for i in range(4)]), calendar(spark, {0: JAN26}), spark.createDataFrame([], "hydro_id long, name string"))
     assert {(r["source"], r["n"]) for r in both.collect()} == {("scenarios", 3), ("history", 4)}
 
 
