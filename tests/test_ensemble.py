@@ -506,3 +506,12 @@ def test_density_of_a_group_in_blocks(spark):
     want = np.exp(-0.5 * ((x[:, None] - v[None, :]) / (v.std() * len(v) ** -0.2)) ** 2).sum(axis=1)
     want /= np.trapezoid(want, x)
     assert [r[0] for r in got] == list(range(len(got))) and np.allclose(y, want, atol=1e-9)
+    one, many = (sorted(map(tuple, module.density_summary(df, ["g"], "v", block=b).collect())) for b in (50, 1 << 16))
+    assert all(np.allclose(p[1:], q[1:], rtol=1e-9) for p, q in zip(one, many, strict=True)) and one[0][-4:] == pytest.approx([x[y.argmax()], y.max(), np.interp(v.min(), x, y), np.interp(v.max(), x, y)])
+
+
+def test_density_of_many_groups_and_null_keys(spark):
+    rows = [(None if g == 7 else f"g{g}", g % 3, float(i * i % 11 + g)) for g in range(200) for i in range(6)]
+    df = spark.createDataFrame(rows, "g string, k int, v double").repartition(5)
+    got = density.density_summary(df, ["g", "k"], "v").filter("peak is not null and g is not null")
+    assert got.count() == 199 and got.select(F.round(F.col("peak"), 9)).distinct().count() == 1
