@@ -18,11 +18,12 @@ period, one place in about sixteen suffices. The strings with one cover place ar
 Grams that a sample of the documents shows in many contexts skip the first step's buckets: their strings are ranked and
 dealt as those of step 2. Which grams those are changes where strings meet, not what is found.
 
-All three run over packed arrays; texts are shuffled once, by a hash of the id, and both later steps read that. A long
-text is hashed in runs of ``HASHED_BYTES``, and the number of tasks follows the number of buckets.
+All three run over packed arrays; texts are shuffled once, by id and a hash of the text, and both later steps read that. So
+a place is known by the id, which tells earlier documents from later ones, and by a number whose upper half is that hash:
+rows with one id, or with none, spread over the groups and keep their places apart. A long text is hashed in runs of ``HASHED_BYTES``, and the number of tasks follows the number of buckets.
 
 Defined cases: null text is empty; texts under ``LENGTH`` bytes keep everything; null ids count as the largest id; rows
-that repeat an id count as one document (equal texts get equal results); of equal strings those in the document of the
+that repeat an id are one document to each other, whatever their texts: none of them removes anything from another; of equal strings those in the document of the
 least id stay; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
@@ -138,8 +139,14 @@ def _unpacked(ids: bytes, counts: bytes) -> np.ndarray:
     return np.repeat(np.frombuffer(ids, np.int64), np.frombuffer(counts, np.uint32))
 
 
-def _group(doc: np.ndarray, groups: int) -> np.ndarray:
-    return doc % groups
+def _group(doc: np.ndarray, num: np.ndarray, groups: int) -> np.ndarray:
+    """The group of documents that a place belongs to; ``dedup`` deals rows alike."""
+    return (doc % groups + (num >> np.uint64(32)).astype(np.int64) % groups) % groups
+
+
+def _places(sub: int, num: np.ndarray) -> np.ndarray:
+    """Numbers of the places of a text whose hash is ``sub``."""
+    return num.astype(np.uint64) | np.uint64(sub) << np.uint64(32)
 
 
 #: Rows of all steps: part is the bucket (kind 0: of contexts, 2: of single strings), or with kind 1 the group of
@@ -159,13 +166,13 @@ def _by_part(kind: int, part: np.ndarray, doc: np.ndarray, num: np.ndarray, *col
     part, doc, num, columns = part[order], doc[order], num[order], [c[order] for c in columns]
     at = np.append(np.flatnonzero(_runs(part)), len(part)) if len(part) else [0]
     for a, b in zip(at[:-1], at[1:], strict=True):
-        yield kind, int(part[a]), *_packed(doc[a:b]), num[a:b].astype(np.uint32).tobytes(), *[c[a:b].tobytes() for c in columns], *[b""] * (3 - len(columns))
+        yield kind, int(part[a]), *_packed(doc[a:b]), num[a:b].astype(np.uint64).tobytes(), *[c[a:b].tobytes() for c in columns], *[b""] * (3 - len(columns))
 
 
 def _marks(doc: np.ndarray, num: np.ndarray, mask: np.ndarray, groups: int) -> Iterator[tuple]:
     """Marks (which strings of a cover place go; bit 31: its context must be sent, with bit 0 as single strings) for the
     groups of the documents."""
-    return _by_part(1, _group(doc, groups), doc, num, mask.astype(np.uint32))
+    return _by_part(1, _group(doc, num, groups), doc, num, mask.astype(np.uint32))
 
 
 ALL, ASKED, HOT = np.uint32(0x7FFFFFFF), np.uint32(0x80000000), np.uint32(0x80000001)
@@ -185,7 +192,7 @@ def _seen(length: int, gram: int):
 
 def frequent_grams(rows: DataFrame, length: int, gram: int, least: int) -> np.ndarray:
     """Hashes of the grams with the most contexts in a sample of documents, ``FREQUENT_GRAMS`` at most."""
-    some = rows.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).select("text")
+    some = rows.filter(F.pmod(F.xxhash64("id", "sub"), F.lit(SAMPLED)) == 0).select("text")
     per = some.mapInArrow(_seen(length, gram), "g long, c long").groupBy("g", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("g").agg(F.count(F.lit(1)).alias("contexts"))
     many = per.filter(F.col("contexts") >= least).orderBy(F.desc("contexts"), "g").limit(FREQUENT_GRAMS)
     return np.sort(np.array([r["g"] for r in many.collect()], np.int64).view(np.uint64))
@@ -212,10 +219,10 @@ def _first_step(buckets: int, groups: int, length: int, gram: int, flush: int, f
             return _batch(rows)
 
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids, subs = batch.column(0).to_numpy(), batch.column(2).to_numpy().astype(np.uint64)
             for first, off, data in pieces(batch.column(1), HASHED_BYTES):
                 text, g, c, _, _ = covers(data, off, length, gram)
-                num = np.arange(len(text)) - np.searchsorted(text, text)
+                num = (np.arange(len(text)) - np.searchsorted(text, text)).astype(np.uint64) | subs[first + text] << np.uint64(32)
                 held.append((ids[first + text], num, g, c))
                 size += len(data)
                 if size >= flush:
@@ -257,7 +264,7 @@ def _first_buckets(groups: int, hot: int):
             if through:
                 yield _batch(through)
                 continue
-            doc, num, g, low, high = _joined(rows, nums=np.uint32, a=np.uint32, b=np.uint32, c=np.uint16)
+            doc, num, g, low, high = _joined(rows, nums=np.uint64, a=np.uint32, b=np.uint32, c=np.uint16)
             c = (high.astype(np.uint64) << np.uint64(32)) | low
             order = np.lexsort((doc, c, g))
             doc, num, g, c = doc[order], num[order], g[order], c[order]
@@ -275,21 +282,22 @@ def _first_buckets(groups: int, hot: int):
     return run
 
 
-def _marked(marks: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """For each document, the numbers of its marked cover places and their masks."""
+def _marked(marks: pa.Table) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """For each (id, hash of the text), the numbers of the marked cover places, from 0, and their masks."""
     if not len(marks):
         return {}
-    doc, num, mask = _joined(marks.select(["ids", "counts", "nums", "a"]).to_pylist(), nums=np.uint32, a=np.uint32)
-    order = np.argsort(doc, kind="stable")
-    doc, num, mask = doc[order], num[order], mask[order]
-    at = np.append(np.flatnonzero(_runs(doc)), len(doc))
-    return {int(doc[a]): (num[a:b], mask[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)}
+    doc, num, mask = _joined(marks.select(["ids", "counts", "nums", "a"]).to_pylist(), nums=np.uint64, a=np.uint32)
+    sub, num = (num >> np.uint64(32)).astype(np.int64), (num & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    order = np.lexsort((sub, doc))
+    doc, sub, num, mask = doc[order], sub[order], num[order], mask[order]
+    at = np.append(np.flatnonzero(_runs(doc, sub)), len(doc))
+    return {(int(doc[a]), int(sub[a])): (num[a:b], mask[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)}
 
 
-def _documents(docs: pa.Table, length: int, gram: int) -> Iterator[tuple[int, np.ndarray, tuple[np.ndarray, ...]]]:
-    """(id, bytes, covers) of each text of a group."""
+def _documents(docs: pa.Table, length: int, gram: int) -> Iterator[tuple[tuple[int, int], np.ndarray, tuple[np.ndarray, ...]]]:
+    """((id, hash of the text), bytes, covers) of each text of a group."""
     for chunk in docs.combine_chunks().to_batches():
-        ids = chunk.column("id").to_pylist()
+        ids = list(zip(chunk.column("id").to_pylist(), chunk.column("sub").to_pylist(), strict=True))
         for first, off, data in pieces(chunk.column("text"), HASHED_BYTES):
             text, g, c, lo, hi = covers(data, off, length, gram)
             at = np.searchsorted(text, np.arange(len(off)))
@@ -333,18 +341,19 @@ def _second_step(buckets: int, groups: int, length: int, gram: int):
         single: list[tuple[np.ndarray, ...]] = []
         seen = set()
         if any((m & ASKED).any() for _, m in found.values()):
-            for doc, data, (g, lo, hi) in _documents(docs, length, gram):
-                num, mask = found.get(doc, (None, None))
-                if num is None or doc in seen:
+            for name, data, (g, lo, hi) in _documents(docs, length, gram):
+                num, mask = found.get(name, (None, None))
+                if num is None or name in seen:
                     continue
-                seen.add(doc)
+                seen.add(name)  # a row that repeats id and text has the same places
+                doc, sub = name
                 ok = num < len(g)
                 hot, num = np.sort(num[(mask == HOT) & ok]), num[(mask == ASKED) & ok]
                 if len(hot):
-                    found_strings = _strings(data, hot, lo[hot], hi[hot], length)
-                    single.append((np.full(len(found_strings[0]), doc, np.int64), *found_strings))
+                    at, *strings = _strings(data, hot, lo[hot], hi[hot], length)
+                    single.append((np.full(len(at), doc, np.int64), _places(sub, at), *strings))
                 raw = data.tobytes()
-                out.append((doc, num, g[num], hi[num] - lo[num], [raw[a : b + length] for a, b in zip(lo[num].tolist(), hi[num].tolist(), strict=True)]))
+                out.append((doc, _places(sub, num), g[num], hi[num] - lo[num], [raw[a : b + length] for a, b in zip(lo[num].tolist(), hi[num].tolist(), strict=True)]))
         rows = []
         if out:
             doc = np.repeat([o[0] for o in out], [len(o[1]) for o in out])
@@ -356,7 +365,7 @@ def _second_step(buckets: int, groups: int, length: int, gram: int):
             at = np.append(np.flatnonzero(_runs(part)), len(part)) if len(part) else [0]
             for a, b in zip(at[:-1], at[1:], strict=True):
                 own = order[a:b]
-                rows.append((0, int(part[a]), *_packed(doc[own]), num[own].astype(np.uint32).tobytes(), more[own].astype(np.uint8).tobytes(), b"".join(texts[i] for i in own), b""))
+                rows.append((0, int(part[a]), *_packed(doc[own]), num[own].astype(np.uint64).tobytes(), more[own].astype(np.uint8).tobytes(), b"".join(texts[i] for i in own), b""))
         if single:
             doc, num, bit, rank = (np.concatenate(x) for x in zip(*single, strict=True))
             gone = _later(doc, rank)
@@ -375,11 +384,11 @@ def _second_buckets(groups: int, length: int):
                 yield _batch(through)
                 continue
             if rows[0]["kind"] == 2:
-                doc, num, bit, rank = _joined(rows, nums=np.uint32, a=np.uint8, b=np.uint64)
+                doc, num, bit, rank = _joined(rows, nums=np.uint64, a=np.uint8, b=np.uint64)
                 gone = _later(doc, rank)
                 yield _batch(list(_bits(doc[gone], num[gone], bit[gone], groups)))
                 continue
-            doc, num, more = _joined(rows, nums=np.uint32, a=np.uint8)
+            doc, num, more = _joined(rows, nums=np.uint64, a=np.uint8)
             data = np.concatenate([np.frombuffer(r["b"], np.uint8) for r in rows])
             more = more.astype(np.int64)
             start = np.concatenate(([0], np.cumsum(more + length)[:-1]))
@@ -412,10 +421,10 @@ def _third_step(length: int, gram: int):
     def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
         found = _marked(marks)
         ids, sizes, kept, starts, ends, counts = [], [], [], [], [], []
-        for doc, data, (_, lo, hi) in _documents(docs, length, gram):
-            ids.append(doc)
+        for name, data, (_, lo, hi) in _documents(docs, length, gram):
+            ids.append(name[0])
             sizes.append(len(data))
-            num, mask = found.get(doc, (np.zeros(0, np.int64), np.zeros(0, np.uint32)))
+            num, mask = found.get(name, (np.zeros(0, np.int64), np.zeros(0, np.uint32)))
             ok = num < len(lo)
             num, mask = num[ok].astype(np.int64), np.where(mask[ok] & ASKED, np.uint32(0), mask[ok])
             whole = mask == ALL
@@ -447,7 +456,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "
     if not 0 < length - gram < 31:
         raise ValueError("length must exceed gram by 1 to 30")
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), F.col(text).alias("text"))
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), F.col(text).alias("text"), F.xxhash64(text).bitwiseAND(0xFFFFFFFF).alias("sub"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets, groups = max(1, -(-total // BUCKET_BYTES)), _prime(-(-total // GROUP_BYTES))
@@ -458,7 +467,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "
     first = first.repartition(many, "kind", "part").sortWithinPartitions("kind", "part").mapInArrow(_first_buckets(groups, hot), _SCHEMA)
     first = stored(first)
     by_group = lambda df: df.repartition(max(tasks, -(-groups // TASK_GROUPS)), "part").groupBy("part")
-    dealt = by_group(rows.withColumn("part", F.pmod("id", F.lit(groups)).cast("int")))
+    dealt = by_group(rows.withColumn("part", ((F.pmod("id", F.lit(groups)) + F.pmod("sub", F.lit(groups))) % groups).cast("int")))
     second = dealt.cogroup(by_group(first)).applyInArrow(_second_step(buckets, groups, length, gram), _SCHEMA)
     second = second.repartition(many, "kind", "part").sortWithinPartitions("kind", "part").mapInArrow(_second_buckets(groups, length), _SCHEMA)
     third = dealt.cogroup(by_group(first.unionByName(second))).applyInArrow(_third_step(length, gram), "id long, n_bytes long, kept binary, spans array<struct<start: long, end: long>>")

@@ -241,7 +241,7 @@ def test_suffix_dedup_spreads_a_frequent_gram():
 
     buckets = 16
     rows = shared_passage(6000)
-    docs = pa.table({"id": pa.array([i for i, _ in rows], pa.int64()), "text": [t for _, t in rows]})
+    docs = pa.table({"id": pa.array([i for i, _ in rows], pa.int64()), "text": [t for _, t in rows], "sub": pa.array([0] * len(rows), pa.int64())})
     first = [x for b in suffix_dedup._first_step(buckets, 1, 50, 20, 1 << 16)(iter(docs.to_batches(max_chunksize=100))) for x in b.to_pylist()]
     first = sorted(first, key=lambda r: (r["kind"], r["part"]))
     batch = pa.RecordBatch.from_pylist(first, pa.schema(list(zip(suffix_dedup._NAMES, suffix_dedup._KINDS, strict=True))))
@@ -256,6 +256,39 @@ def test_suffix_dedup_spreads_a_frequent_gram():
     assert sum(most.values()) > 20_000 and max(most.values()) < 0.2 * sum(most.values())
 
 
+@pytest.mark.parametrize("hot", [0, 4096])
+def test_suffix_dedup_of_hot_ids_against_brute_force(spark, monkeypatch, hot):
+    """A third without id, a third with one id: each row by its own text, and in many groups."""
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 2000)
+    rng = random.Random(8)
+    passages = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(60, 140))) for _ in range(12)]
+    rows = []
+    for i in range(150):
+        text = "".join(rng.choice(passages) if rng.random() < 0.5 else "".join(rng.choice("uvwxyz ") for _ in range(40)) for _ in range(4))
+        rows += [(None if i % 3 == 0 else 40 if i % 3 == 1 else i, text)] * (3 if i % 10 == 0 else 1)
+    first = {}
+    last = (1 << 63) - 1
+    for i, t in rows:
+        for p in range(len(t) - 49):
+            k = t[p : p + 50]
+            first[k] = min(first.get(k, last), last if i is None else i)
+    want = []
+    for i, t in rows:
+        gone = set()
+        for p in range(len(t) - 49):
+            if first[t[p : p + 50]] < (last if i is None else i):
+                gone.update(range(p, p + 50))
+        want.append((i or -1, "".join(c for j, c in enumerate(t) if j not in gone)))
+    out = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), hot=hot).select("doc_id", F.col("kept").cast("string").alias("kept")).collect()
+    assert sorted((r["doc_id"] or -1, r["kept"]) for r in out) == sorted(want)
+    assert sum(len(t) for _, t in want) < 0.9 * sum(len(t) for _, t in rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = suffix_dedup._prime(17)
+    name = df.select(F.coalesce("doc_id", F.lit(last)).alias("i"), F.xxhash64("text").bitwiseAND(0xFFFFFFFF).alias("s")).collect()
+    most = Counter(int(suffix_dedup._group(np.array([r["i"]]), suffix_dedup._places(r["s"], np.array([0])), groups)[0]) for r in name)
+    assert len(most) == groups and max(most.values()) < 0.2 * len(rows)
+
+
 def test_suffix_dedup_null_and_repeated_ids(spark):
     text = "".join(chr(97 + i * i % 26) + str(i) for i in range(60))
     df = spark.createDataFrame([(1, text), (1, text), (None, "x" + text), (2, "short")], "doc_id long, text string")
