@@ -316,7 +316,7 @@ def t5(spark, d):
     return correlation.spatial_table(correlation.spatial_correlation(views.ensemble(spark, d)), list(range(max(10, views.entities(spark, d)))))
 
 
-@register("T6_pair_lookup", f"{SPATIAL} SELECT stage_id, CAST(5 AS BIGINT) AS a, CAST(2 AS BIGINT) AS b, n, round(mean_y, 6) + 0.0 AS mean_x, round(mean_x, 6) + 0.0 AS mean_y, round(sd_y, 6) + 0.0 AS sd_x, round(sd_x, 6) + 0.0 AS sd_y, round(cov, 6) + 0.0 AS cov, {RHO} FROM judged WHERE a = 2 AND b = 5")
+@register("T6_pair_lookup", f"{EVERY_PAIR} SELECT stage_id, CAST(5 AS BIGINT) AS a, CAST(2 AS BIGINT) AS b, n, mean_y AS mean_x, mean_x AS mean_y, sd_y AS sd_x, sd_x AS sd_y, cov, rho, reason FROM space WHERE a = 2 AND b = 5")
 def t6(spark, d):
     return correlation.pair_lookup(correlation.spatial_pairs(views.ensemble(spark, d)), 5, 2)
 
