@@ -65,14 +65,11 @@ def slice_report(df: DataFrame, history: DataFrame, calendar: DataFrame, names:
     tie = F.datediff("start", F.lit("1900-01-01")).cast("long").alias("tie")
     past = history.select(F.lit("history").alias("source"), F.lit(0).alias("window"), cols.entity, F.col("month").cast("long").alias("period"), tie, F.col("value").alias("x"))
     past = past.unionByName(windows.rolling_history(history, sizes, cols).select(F.lit("history").alias("source"), "window", cols.entity, F.col("month").cast("long").alias("period"), tie, F.col("total").alias("x")))
-    by = ["source", "window", cols.entity, "period"]
-    found = slices.slices(ours.unionByName(past), by, "x", "tie", percents)
-    # groups without finite values: months of history, and stages that have rows
-    empty = history.select(cols.entity).distinct().withColumn("window", F.explode(F.array(*[F.lit(k) for k in (0, *sizes)]))).withColumn("period", F.explode(F.sequence(F.lit(1), F.lit(12)).cast("array<long>"))).withColumn("source", F.lit("history"))
-    empty = empty.unionByName(ours.select("source", "window", cols.entity, "period").distinct())
-    grid = empty.withColumn("percent", F.explode(F.array(*[F.lit(p) for p in percents])))
-    out = grid.join(found, [*by, "percent"], "left")
-    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n", "k", "outliers")})
+    # a row without value for every month of history, so that months without a finite one are reported too
+    months = F.explode(F.sequence(F.lit(1), F.lit(12)).cast("array<long>"))
+    grid = history.select(cols.entity).distinct().withColumn("window", F.explode(F.array(*[F.lit(k) for k in (0, *sizes)]))).withColumn("period", months)
+    past = past.unionByName(grid.withColumns({"source": F.lit("history"), "tie": F.lit(None).cast("long"), "x": F.lit(None).cast("double")}))
+    out = slices.slices(ours.unionByName(past), ["source", "window", cols.entity, "period"], "x", "tie", percents, empty=True)
     return named(out, names, cols.entity).withColumnRenamed("label", "entity_label").withColumn("label", percent_label(F.col("percent")))
 
 

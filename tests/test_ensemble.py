@@ -2,6 +2,7 @@
 
 import datetime
 import math
+import random
 import shutil
 
 import pytest
@@ -515,3 +516,44 @@ def test_density_of_many_groups_and_null_keys(spark):
     df = spark.createDataFrame(rows, "g string, k int, v double").repartition(5)
     got = density.density_summary(df, ["g", "k"], "v").filter("peak is not null and g is not null")
     assert got.count() == 199 and got.select(F.round(F.col("peak"), 9)).distinct().count() == 1
+
+
+def _plain_slice(xs, k):
+    """Statistics of the k smallest of sorted values, by the definitions."""
+    part = xs[:k]
+    mean = sum(part) / k
+    m2, m3, m4 = (sum((x - mean) ** p for x in part) / k for p in (2, 3, 4))
+    shaped = k >= 2 and part[-1] - part[0] > 1e-12 * max(abs(part[0]), abs(part[-1]))
+
+    def quartile(q):
+        at = min(max(q * k - 0.5, 0), k - 1)
+        i = math.floor(at)
+        return part[i] + (at - i) * (part[min(i + 1, k - 1)] - part[i])
+
+    q1, median, q3 = (quartile(q) for q in (0.25, 0.5, 0.75))
+    low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+    inside = [x for x in part if low <= x <= high]
+    return {"n": len(xs), "k": k, "mean": mean, "sd": math.sqrt(m2) if part[0] != part[-1] else 0.0, "skewness": m3 / m2**1.5 if shaped else None, "kurtosis": m4 / m2**2 - 3 if shaped else None, "minimum": part[0], "q1": q1, "median": median, "q3": q3, "maximum": part[-1], "whisker_low": inside[0], "whisker_high": inside[-1], "outliers": k - len(inside), "outlier_values": [x for x in part if x < low or x > high]}
+
+
+@pytest.mark.parametrize("percents", [tuple(range(5, 100, 5)), (100,), (3, 4, 50, 99, 100)])
+def test_slices_equal_their_definition(spark, percents):
+    rng = random.Random(7)
+    shapes = [lambda: rng.gauss(0, 1), lambda: float(rng.randrange(4)), lambda: rng.lognormvariate(0, 2), lambda: -10.0 if rng.random() < 0.4 else rng.gauss(50, 9), lambda: 3.5, lambda: 1e6 + rng.gauss(0, 1e-3)]
+    groups = {g: [shapes[g % len(shapes)]() for _ in range(size)] for g, size in enumerate([1, 1, 2, 2, 3, 3, 7, 19, 20, 21, 40, 99, 100, 101, 333, 500, 501, 750])}
+    rows = [(g, i, x) for g, xs in groups.items() for i, x in enumerate(xs)] + [(g, 1000 + i, x) for g in (0, 5, 99) for i, x in enumerate([None, float("nan"), float("inf"), -float("inf")])]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g int, tie int, x double")
+    for keep, empty in ((True, True), (False, False)):
+        got = {(r["g"], r["percent"]): r.asDict() for r in slices.slices(df, ["g"], "x", "tie", percents, keep, empty).collect()}
+        assert len(got) == (len(groups) + empty) * len(percents)
+        for g, xs in groups.items():
+            for p in percents:
+                want, have = _plain_slice(sorted(xs), (len(xs) * p + 99) // 100), got[g, p]
+                for name, value in want.items():
+                    if name in have and g % len(shapes) == 5 and name in ("skewness", "kurtosis"):
+                        assert (have[name] is None) == (value is None)
+                    elif name in have:
+                        assert have[name] == (value if isinstance(value, (int, list)) or value is None else pytest.approx(value, rel=1e-9, abs=1e-9)), (g, p, name)
+        for p in percents if empty else ():
+            assert {k: v for k, v in got[99, p].items() if v is not None} == {"g": 99, "percent": p, "n": 0, "k": 0, "outliers": 0, "outlier_values": []}

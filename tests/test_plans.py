@@ -97,3 +97,9 @@ def test_scan_reads_only_needed_columns(plain):
     _, plan = exchanges(queries.QUERIES["A6_slack_means"](plain, "/root/testdata/sf0.001"))
     schema = re.search(r"ReadSchema: struct<([^>]*)>", plan)[1]
     assert "l_comment" not in schema and len(schema.split(",")) <= 5
+
+
+def test_slices_repeat_no_row_before_their_first_aggregate(plain):
+    out = slices._slice_stats(slices.ranked(ensemble(plain), ["hydro_id", "stage_id"], "incremental_inflow_m3s", "scenario_id"), ["hydro_id", "stage_id"], slices.PERCENTS)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate explode") == 1 and plan.index("Generate explode") < plan.index("Window")
