@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.columns import ENSEMBLE, Cols
@@ -39,6 +39,19 @@ def page_after(df: DataFrame, column: str, last: dict, descending: bool = False,
     return df.filter(reduce(lambda x, y: x | y, steps, beyond)).orderBy(*page_order(column, descending, cols)).limit(size)
 
 
+def stored_page(spark: SparkSession, path: str, column: str, descending: bool = False, number: int = 1, size: int = 100, cols: Cols = ENSEMBLE) -> DataFrame:
+    """T1 at any depth from what ``writers.publish_pages`` wrote in the same order: reads the ranges that hold the page.
+
+    No range is empty, so a page lies in ``size`` of them at most; numbers beyond the last page give no rows.
+    """
+    start = (number - 1) * size
+    held = spark.read.parquet(f"{path}/directory").filter((F.col("first") < start + size) & (F.col("first") + F.col("rows") > start))
+    parts = {r["page_part"]: r["first"] for r in held.limit(size).collect()}
+    schema = spark.read.parquet(f"{path}/schema").schema
+    rows = spark.read.schema(schema.add("page_part", "integer")).parquet(f"{path}/rows").filter(F.col("page_part").isin(list(parts)))
+    return rows.drop("page_part").orderBy(*page_order(column, descending, cols)).offset(start - min(parts.values(), default=start)).limit(size)
+
+
 def lowest_record(df: DataFrame, cols: Cols = ENSEMBLE) -> DataFrame:
     """The row with the lowest value; ties by scenario, stage, node, entity."""
     return df.filter(F.col(cols.value).isNotNull() & ~F.isnan(cols.value)).orderBy(cols.value, *cols.key).limit(1)

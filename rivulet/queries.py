@@ -11,6 +11,7 @@ from rivulet import views
 from rivulet.operators import browse, consolidate, correlation, density, filters, ks, quality, slices, summaries, windows
 from rivulet.operators.joins import named
 from rivulet.plans import reports
+from rivulet.sources import writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -407,6 +408,15 @@ def t1(spark, d):
     return browse.page(rows, V, descending=True, number=3, size=100).select("scenario_id", "stage_id", "node_id", "hydro_id", F.col(V).alias("x"))
 
 
+@register("T1_page_directory", "SELECT scenario_id, stage_id, node_id, hydro_id, x FROM fin ORDER BY x DESC NULLS LAST, scenario_id, stage_id, node_id, hydro_id LIMIT 100 OFFSET 9900")
+def t1_directory(spark, d):
+    from rivulet.functions.numeric import finite
+
+    path = writers.new_folder(spark)
+    writers.publish_pages(views.ensemble(spark, d).withColumn(V, finite(V)), path, V, descending=True)
+    return browse.stored_page(spark, path, V, descending=True, number=100, size=100).select("scenario_id", "stage_id", "node_id", "hydro_id", F.col(V).alias("x"))
+
+
 @register("T2_lowest_record", "SELECT scenario_id, stage_id, node_id, hydro_id, v FROM ens WHERE v IS NOT NULL ORDER BY v, scenario_id, stage_id, node_id, hydro_id LIMIT 1")
 def t2(spark, d):
     return browse.lowest_record(views.ensemble(spark, d)).select("scenario_id", "stage_id", "node_id", "hydro_id", F.col(V).alias("v"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rivulet.columns import ENSEMBLE, Cols
+from rivulet.operators.browse import page_order
 
 
 def replace(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
@@ -60,3 +63,34 @@ def write_report(report: DataFrame, diagnostics: DataFrame | None, path: str, fo
 def run_summary(df: DataFrame, cols: Cols = ENSEMBLE) -> DataFrame:
     """Rows, scenarios, stages and entities of a dataset."""
     return df.agg(F.count(F.lit(1)).alias("rows"), *[F.count_distinct(c).alias(n) for c, n in ((cols.scenario, "scenarios"), (cols.stage, "stages"), (cols.entity, "entities"))])
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A path under ``spark.checkpoint.dir``; a local one only where that is unset on a single machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="rivulet-")
+    return f"{base.rstrip('/')}/rivulet-{uuid.uuid4().hex}"
+
+
+def publish_pages(df: DataFrame, path: str, column: str, descending: bool = False, partitions: int | None = None, cols: Cols = ENSEMBLE) -> None:
+    """T1 for any depth: the rows in page order as ranges, and a directory of where each range starts.
+
+    ``browse.stored_page`` then opens only the ranges that a page lies in.
+    """
+    order = page_order(column, descending, cols)
+    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+
+    def write(folder: str) -> None:
+        rows = ranged.withColumn("page_part", F.spark_partition_id()).sortWithinPartitions("page_part", *order)
+        rows.write.partitionBy("page_part").option("compression", "zstd").parquet(f"{folder}/rows")
+        df.limit(0).write.parquet(f"{folder}/schema")
+        stored = df.sparkSession.read.schema(rows.schema).parquet(f"{folder}/rows")
+        counts = stored.groupBy("page_part").agg(F.count(F.lit(1)).alias("rows"))
+        # one row for each range
+        first = F.sum("rows").over(Window.orderBy("page_part")) - F.col("rows")
+        counts.select("page_part", first.alias("first"), "rows").write.parquet(f"{folder}/directory")
+
+    replace(df.sparkSession, path, write)

@@ -557,3 +557,22 @@ def test_slices_equal_their_definition(spark, percents):
                         assert have[name] == (value if isinstance(value, (int, list)) or value is None else pytest.approx(value, rel=1e-9, abs=1e-9)), (g, p, name)
         for p in percents if empty else ():
             assert {k: v for k, v in got[99, p].items() if v is not None} == {"g": 99, "percent": p, "n": 0, "k": 0, "outliers": 0, "outlier_values": []}
+
+
+def test_stored_pages_are_the_pages_and_open_few_ranges(spark, tmp_path):
+    v, rng = "incremental_inflow_m3s", random.Random(3)
+    rows = [(c, s, s, h, rng.choice([None, NAN, 1.0, 2.0, rng.random()])) for c in range(10) for s in range(9) for h in range(5)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for down in (False, True):
+        path = f"{tmp_path}/pages-{down}"
+        writers.publish_pages(df, path, v, down, partitions=16)
+        ranges = spark.read.parquet(f"{path}/directory").orderBy("page_part").collect()
+        assert len(ranges) > 8 and [r["first"] for r in ranges] == [sum(x["rows"] for x in ranges[:i]) for i in range(len(ranges))]
+        for number in (1, 2, 15, 23, 24):
+            got = browse.stored_page(spark, path, v, down, number, 20)
+            assert str(got.collect()) == str(browse.page(df, v, down, number, 20).collect())
+        some = browse.stored_page(spark, path, v, down, 15, 20)
+        plan = some._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [page_part#" in plan and "part" not in "".join(some.columns)
+    writers.publish_pages(df.limit(0), f"{tmp_path}/none", v)
+    assert browse.stored_page(spark, f"{tmp_path}/none", v).collect() == []
