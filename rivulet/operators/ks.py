@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rivulet.columns import ENSEMBLE, Cols
 from rivulet.functions.labels import period_label
 from rivulet.functions.numeric import finite
+from rivulet.operators import ranges
 from rivulet.operators.joins import small
 
 
@@ -19,27 +20,58 @@ def _samples(df: DataFrame, history: DataFrame, calendar: DataFrame, cols: Cols)
     return ours.unionByName(past.select(*cols.group, "x", F.lit(0).alias("c"), F.lit(1).alias("h")))
 
 
-def ecdf(df: DataFrame, history: DataFrame, calendar: DataFrame, cols: Cols = ENSEMBLE) -> DataFrame:
-    """A10: for each distinct finite x of a group, cumulative counts and shares of both samples."""
-    points = _samples(df, history, calendar, cols).filter("x is not null").groupBy(*cols.group, "x").agg(F.sum("c").alias("c"), F.sum("h").alias("h"))
+def _large(df: DataFrame, history: DataFrame, calendar: DataFrame, cols: Cols, large: int | None) -> DataFrame | None:
+    """The groups with more than ``large`` rows of both samples; no group has more points than rows."""
+    if large is None:
+        return None
+    ours = ranges.group_rows(df, cols.group).join(small(calendar.select(cols.stage, "month")), cols.stage)
+    past = ranges.group_rows(history, [cols.entity, "month"]).withColumnRenamed("rows", "__past")
+    both = ours.join(past, [cols.entity, "month"], "left").withColumn("rows", F.col("rows") + F.coalesce("__past", F.lit(0)))
+    return ranges.large_groups(both, cols.group, large)
+
+
+def _points(samples: DataFrame, cols: Cols) -> DataFrame:
+    return samples.groupBy(*cols.group, "x").agg(F.sum("c").alias("c"), F.sum("h").alias("h"))
+
+
+def _running(samples: DataFrame, cols: Cols, hot: DataFrame | None) -> DataFrame:
+    """The points of each group, x null last, with running counts (cc, ch) and the finite rows of both samples (nc, nh).
+
+    Points of the groups of ``hot`` are summed by ranges over many tasks.
+    """
+    rest, rows = (samples, None) if hot is None else ranges.parted(samples, cols.group, hot)
     w = Window.partitionBy(*cols.group)
-    run = w.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    points = points.select(*cols.group, "x", F.sum("c").over(run).alias("cum_scenarios"), F.sum("h").over(run).alias("cum_history"), F.sum("c").over(w).alias("n_scenarios"), F.sum("h").over(w).alias("n_history"))
+    run = w.orderBy(F.col("x").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    valid = lambda c: F.sum(F.when(F.col("x").isNotNull(), F.col(c)).otherwise(0)).over(w)
+    out = _points(rest, cols).withColumns({"cc": F.sum("c").over(run), "ch": F.sum("h").over(run), "nc": valid("c"), "nh": valid("h")})
+    if hot is None:
+        return out
+    found = ranges.running(_points(rows.filter("x is not null"), cols), cols.group, "x", ["c", "h"], hot)
+    found = found.select(*cols.group, "x", "c", "h", F.col("c_run").alias("cc"), F.col("h_run").alias("ch"), F.col("c_all").alias("nc"), F.col("h_all").alias("nh"))
+    # rows without a finite value only count as found
+    nil = _points(rows.filter("x is null"), cols).select("*", *[F.lit(0).cast("long").alias(c) for c in ("cc", "ch", "nc", "nh")])
+    return out.unionByName(found).unionByName(nil)
+
+
+def ecdf(df: DataFrame, history: DataFrame, calendar: DataFrame, cols: Cols = ENSEMBLE, large: int | None = ranges.LARGE) -> DataFrame:
+    """A10: for each distinct finite x of a group, cumulative counts and shares of both samples.
+
+    Groups with more than ``large`` rows are held by no single task; None: the caller knows that there is none.
+    """
+    samples = _samples(df, history, calendar, cols).filter("x is not null")
+    points = _running(samples, cols, _large(df, history, calendar, cols, large))
+    points = points.select(*cols.group, "x", F.col("cc").alias("cum_scenarios"), F.col("ch").alias("cum_history"), F.col("nc").alias("n_scenarios"), F.col("nh").alias("n_history"))
     return points.withColumns({"share_scenarios": F.try_divide("cum_scenarios", "n_scenarios"), "share_history": F.try_divide("cum_history", "n_history")})
 
 
-def ks_distance(df: DataFrame, history: DataFrame, calendar: DataFrame, cols: Cols = ENSEMBLE) -> DataFrame:
+def ks_distance(df: DataFrame, history: DataFrame, calendar: DataFrame, cols: Cols = ENSEMBLE, large: int | None = ranges.LARGE) -> DataFrame:
     """One row for each (entity, stage) with a scenario row.
 
-    Distances are compared as integers, |cum_c n_h - cum_h n_c|, so ties are exact: the smallest x wins.
+    Distances are compared as integers, |cum_c n_h - cum_h n_c|, so ties are exact: the smallest x wins. ``large``: as in
+    ``ecdf``.
     """
-    samples = _samples(df, history, calendar, cols)
     # rows found and finite rows ride along with the points: x null has only the counts
-    points = samples.groupBy(*cols.group, "x").agg(F.sum("c").alias("c"), F.sum("h").alias("h"))
-    w = Window.partitionBy(*cols.group)
-    run = w.orderBy(F.col("x").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    valid = lambda c: F.sum(F.when(F.col("x").isNotNull(), F.col(c)).otherwise(0)).over(w)
-    points = points.withColumns({"cc": F.sum("c").over(run), "ch": F.sum("h").over(run), "nc": valid("c"), "nh": valid("h")})
+    points = _running(_samples(df, history, calendar, cols), cols, _large(df, history, calendar, cols, large))
     points = points.withColumn("num", F.when(F.col("x").isNotNull(), F.col("cc") * F.col("nh") - F.col("ch") * F.col("nc")))
     best = F.min_by(F.struct("x", "cc", "ch", "num"), F.when(F.col("x").isNotNull(), F.struct(-F.abs("num"), F.col("x"))))
     out = points.groupBy(*cols.group).agg(F.sum("c").alias("found_scenarios"), F.sum("h").alias("found_history"), F.max("nc").alias("valid_scenarios"), F.max("nh").alias("valid_history"), best.alias("b"))

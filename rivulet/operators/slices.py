@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivulet.functions.numeric import LEAST_RANGE, finite
+from rivulet.operators import ranges
 
 PERCENTS = tuple(range(5, 100, 5))
 #: Quartiles in quarters.
@@ -18,8 +19,29 @@ def slice_size(n: Column, percent: Column) -> Column:
     return F.floor((n * percent + 99) / 100).cast("long")
 
 
-def ranked(df: DataFrame, by: list[str], value: str, tie: str, empty: bool = False) -> DataFrame:
-    """Finite values with their rank from 1 and the size of their group; with ``empty`` the other rows too, last."""
+def _large(df: DataFrame, by: list[str], value: str, large: int | None) -> DataFrame | None:
+    return None if large is None else ranges.large_groups(ranges.group_rows(df.filter(finite(value).isNotNull()), by), by, large)
+
+
+def _ranked_ranges(df: DataFrame, by: list[str], value: str, tie: str, hot: DataFrame) -> DataFrame:
+    rows = df.select(*by, tie, finite(value).alias("v")).filter("v is not null")
+    return ranges.numbered(rows, by, ["v", tie], hot)
+
+
+def ranked(df: DataFrame, by: list[str], value: str, tie: str, empty: bool = False, large: int | None = ranges.LARGE) -> DataFrame:
+    """Finite values with their rank from 1 and the size of their group; with ``empty`` the other rows too, last.
+
+    Groups with more than ``large`` values are ranked by ranges over many tasks, without their other rows. None: the caller
+    knows that there is no such group.
+    """
+    hot = _large(df, by, value, large)
+    if hot is None:
+        return _ranked(df, by, value, tie, empty)
+    rest, rows = ranges.parted(df, by, hot)
+    return _ranked(rest, by, value, tie, empty).unionByName(_ranked_ranges(rows, by, value, tie, hot))
+
+
+def _ranked(df: DataFrame, by: list[str], value: str, tie: str, empty: bool) -> DataFrame:
     rows = df.select(*by, tie, finite(value).alias("v"))
     w = Window.partitionBy(*by)
     out = (rows if empty else rows.filter("v is not null")).withColumn("rn", F.row_number().over(w.orderBy(F.col("v").asc_nulls_last(), tie)))
@@ -96,13 +118,46 @@ def _slice_stats(base: DataFrame, by: list[str], percents: tuple[int, ...]) -> D
     return out.select(*by, "percent", "n", "k", *[c.alias(name) for name, c in found.items()])
 
 
-def slices(df: DataFrame, by: list[str], value: str, tie: str, percents: tuple[int, ...] = PERCENTS, keep_outliers: bool = False, empty: bool = False) -> DataFrame:
+def slices(df: DataFrame, by: list[str], value: str, tie: str, percents: tuple[int, ...] = PERCENTS, keep_outliers: bool = False, empty: bool = False, large: int | None = ranges.LARGE) -> DataFrame:
     """For each group and percent, statistics of its k smallest finite values; percent 100 is the box plot A8.
 
     Both passes work on the partitions of the ranking: values are shuffled once, and no row is repeated for the percents
-    that hold it. Groups without a finite value give no row, or with ``empty`` rows with n and k 0.
+    that hold it. Groups without a finite value give no row, or with ``empty`` rows with n and k 0. ``large``: as in
+    ``ranked``; no such group is held by one task.
     """
-    base = ranked(df, by, value, tie, empty)
+    hot = _large(df, by, value, large)
+    if hot is None:
+        return _slices(df, by, value, tie, percents, keep_outliers, empty)
+    rest, rows = ranges.parted(df, by, hot)
+    split = _range_slices(_ranked_ranges(rows, by, value, tie, hot), by, percents, keep_outliers)
+    return _slices(rest, by, value, tie, percents, keep_outliers, empty).unionByName(split)
+
+
+def _range_slices(base: DataFrame, by: list[str], percents: tuple[int, ...], keep_outliers: bool) -> DataFrame:
+    """``slices`` of large groups: each pass is an aggregate over the stored ranges, combined on the map side."""
+    stats = _slice_stats(base, by, percents)
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    fence = F.struct("percent", (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"), "k")
+    fences = stats.groupBy(*by).agg(F.sort_array(F.collect_list(fence)).alias("__fences"))
+    v, rn, second, entries = F.col("v"), F.col("rn"), [], []
+    for i, p in enumerate(sorted(percents)):
+        f = F.col("__fences")[i]
+        held = rn <= f["k"]
+        inside = held & (v >= f["low"]) & (v <= f["high"])
+        found = {"whisker_low": F.min(F.when(inside, v)), "whisker_high": F.max(F.when(inside, v)), "first": F.min(F.when(inside, rn)), "last": F.max(F.when(inside, rn))}
+        if keep_outliers:
+            found["outlier_values"] = F.sort_array(F.collect_list(F.when(held & ~inside, v)))
+        second += [c.alias(f"__{name}_{p}") for name, c in found.items()]
+        entries.append(F.struct(F.lit(p).alias("percent"), *[F.col(f"__{name}_{p}").alias(name) for name in found]))
+    marks = ranges.joined(base, by, fences).groupBy(*by).agg(*second).select(*by, F.explode(F.array(*entries)).alias("__m"))
+    marks = marks.select(*by, "__m.*")
+    out = ranges.joined(stats, [*by, "percent"], marks)
+    outliers = F.col("k") - (F.col("last") - F.col("first") + 1)
+    return out.select(*stats.columns, "whisker_low", "whisker_high", outliers.alias("outliers"), *(["outlier_values"] if keep_outliers else []))
+
+
+def _slices(df: DataFrame, by: list[str], value: str, tie: str, percents: tuple[int, ...], keep_outliers: bool, empty: bool) -> DataFrame:
+    base = _ranked(df, by, value, tie, empty)
     stats = _slice_stats(base, by, percents)
     found = [c for c in stats.columns if c not in by]
     reach = 1.5 * (F.col("q3") - F.col("q1"))
@@ -135,11 +190,11 @@ def slices(df: DataFrame, by: list[str], value: str, tie: str, percents: tuple[i
     return out.select(*by, *[f"s.{c}" for c in found], "whisker_low", whisker.alias("whisker_high"), outliers.cast("long").alias("outliers"), *(["outlier_values"] if keep_outliers else []))
 
 
-def box_plot(df: DataFrame, by: list[str], value: str, tie: str, keep_outliers: bool = False) -> DataFrame:
+def box_plot(df: DataFrame, by: list[str], value: str, tie: str, keep_outliers: bool = False, large: int | None = ranges.LARGE) -> DataFrame:
     """The five numbers, whiskers and outliers of all finite values of each group."""
-    return slices(df, by, value, tie, (100,), keep_outliers).drop("percent", "k")
+    return slices(df, by, value, tie, (100,), keep_outliers, large=large).drop("percent", "k")
 
 
-def lowest(df: DataFrame, by: list[str], value: str, tie: str, percent: int) -> DataFrame:
+def lowest(df: DataFrame, by: list[str], value: str, tie: str, percent: int, large: int | None = ranges.LARGE) -> DataFrame:
     """The values of one slice."""
-    return ranked(df, by, value, tie).filter(F.col("rn") <= slice_size(F.col("n"), F.lit(percent))).drop("rn", "n")
+    return ranked(df, by, value, tie, large=large).filter(F.col("rn") <= slice_size(F.col("n"), F.lit(percent))).drop("rn", "n")

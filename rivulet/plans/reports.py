@@ -9,7 +9,7 @@ from rivulet.columns import ENSEMBLE, Cols
 from rivulet.functions.labels import month_label, percent_label, period_label
 from rivulet.functions.numeric import finite
 from rivulet.operators import browse as pages
-from rivulet.operators import correlation, filters, ks, quality, slices, summaries, windows
+from rivulet.operators import correlation, filters, ks, quality, ranges, slices, summaries, windows
 from rivulet.operators.density import density_summary
 from rivulet.operators.joins import named, small
 
@@ -31,6 +31,15 @@ def checked_history(history: DataFrame, cols: Cols = ENSEMBLE) -> DataFrame:
     return history
 
 
+def _large(df: DataFrame, history: DataFrame, cols: Cols) -> int | None:
+    """``ranges.LARGE`` if an (entity, stage) or an (entity, month) has more rows, else None: counted once for a report.
+
+    Rolling sums have no more rows than the flows they end at.
+    """
+    tables = ((df, cols.group), (history, [cols.entity, "month"]))
+    return ranges.LARGE if any(ranges.large_groups(ranges.group_rows(t, by), by) is not None for t, by in tables) else None
+
+
 def _stats() -> list[str]:
     return ["n", "mean", "sd", "skewness", "kurtosis", "minimum", "maximum"]
 
@@ -69,7 +78,7 @@ def slice_report(df: DataFrame, history: DataFrame, calendar: DataFrame, names:
     months = F.explode(F.sequence(F.lit(1), F.lit(12)).cast("array<long>"))
     grid = history.select(cols.entity).distinct().withColumn("window", F.explode(F.array(*[F.lit(k) for k in (0, *sizes)]))).withColumn("period", months)
     past = past.unionByName(grid.withColumns({"source": F.lit("history"), "tie": F.lit(None).cast("long"), "x": F.lit(None).cast("double")}))
-    out = slices.slices(ours.unionByName(past), ["source", "window", cols.entity, "period"], "x", "tie", percents, empty=True)
+    out = slices.slices(ours.unionByName(past), ["source", "window", cols.entity, "period"], "x", "tie", percents, empty=True, large=_large(df, history, cols))
     return named(out, names, cols.entity).withColumnRenamed("label", "entity_label").withColumn("label", percent_label(F.col("percent")))
 
 
@@ -107,11 +116,12 @@ def stage_profile(df: DataFrame, history: DataFrame, calendar: DataFrame, names:
     df, history = checked(df, calendar, cols, gaps=True), checked_history(history, cols)
     cal = small(calendar.select(cols.stage, "order", "month"))
     out = summaries.stage_series(df, cols.group, cols.value)
-    box = slices.box_plot(df, cols.group, cols.value, cols.scenario).select(*cols.group, "minimum", "q1", "median", "q3", "maximum", "whisker_low", "whisker_high", "outliers", "skewness", "kurtosis")
+    large = _large(df, history, cols)
+    box = slices.box_plot(df, cols.group, cols.value, cols.scenario, large=large).select(*cols.group, "minimum", "q1", "median", "q3", "maximum", "whisker_low", "whisker_high", "outliers", "skewness", "kurtosis")
     more = df.groupBy(*cols.group).agg(F.avg(finite(cols.slack)).alias("mean_slack"), F.count(F.lit(1)).alias("rows"), F.count_distinct(cols.scenario).alias("scenarios"))
     past = [*[F.col(c).alias(f"history_{c}") for c in ("n", "mean", "sd", "skewness", "kurtosis")]]
     past = summaries.moment_summary(history, [cols.entity, "month"], "value").select(cols.entity, "month", *past)
-    boxes = lambda rows, by, value, tie, name: slices.box_plot(rows, by, value, tie).select(*by, *[F.col(c).alias(f"{name}_{c}") for c in ("q1", "median", "q3", "whisker_low", "whisker_high", "outliers")])
+    boxes = lambda rows, by, value, tie, name: slices.box_plot(rows, by, value, tie, large=large).select(*by, *[F.col(c).alias(f"{name}_{c}") for c in ("q1", "median", "q3", "whisker_low", "whisker_high", "outliers")])
     past = past.join(boxes(history, [cols.entity, "month"], "value", "start", "history"), [cols.entity, "month"], "left")
     more = more.join(boxes(df, cols.group, cols.slack, cols.scenario, "slack"), cols.group, "left")
     out = out.join(box, cols.group, "left").join(more, cols.group, "left").join(cal, cols.stage).withColumn("missing", F.col("rows") - F.col("n"))
