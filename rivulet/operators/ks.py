@@ -34,7 +34,7 @@ def _points(samples: DataFrame, cols: Cols) -> DataFrame:
     return samples.groupBy(*cols.group, "x").agg(F.sum("c").alias("c"), F.sum("h").alias("h"))
 
 
-def _running(samples: DataFrame, cols: Cols, hot: DataFrame | None) -> DataFrame:
+def _running(samples: DataFrame, cols: Cols, hot: DataFrame | None, large: int | None) -> DataFrame:
     """The points of each group, x null last, with running counts (cc, ch) and the finite rows of both samples (nc, nh).
 
     Points of the groups of ``hot`` are summed by ranges over many tasks.
@@ -46,7 +46,7 @@ def _running(samples: DataFrame, cols: Cols, hot: DataFrame | None) -> DataFrame
     out = _points(rest, cols).withColumns({"cc": F.sum("c").over(run), "ch": F.sum("h").over(run), "nc": valid("c"), "nh": valid("h")})
     if hot is None:
         return out
-    found = ranges.running(_points(rows.filter("x is not null"), cols), cols.group, "x", ["c", "h"], hot)
+    found = ranges.running(_points(rows.filter("x is not null"), cols), cols.group, "x", ["c", "h"], hot, large)
     found = found.select(*cols.group, "x", "c", "h", F.col("c_run").alias("cc"), F.col("h_run").alias("ch"), F.col("c_all").alias("nc"), F.col("h_all").alias("nh"))
     # rows without a finite value only count as found
     nil = _points(rows.filter("x is null"), cols).select("*", *[F.lit(0).cast("long").alias(c) for c in ("cc", "ch", "nc", "nh")])
@@ -59,7 +59,7 @@ def ecdf(df: DataFrame, history: DataFrame, calendar: DataFrame, cols: Cols = EN
     Groups with more than ``large`` rows are held by no single task; None: the caller knows that there is none.
     """
     samples = _samples(df, history, calendar, cols).filter("x is not null")
-    points = _running(samples, cols, _large(df, history, calendar, cols, large))
+    points = _running(samples, cols, _large(df, history, calendar, cols, large), large)
     points = points.select(*cols.group, "x", F.col("cc").alias("cum_scenarios"), F.col("ch").alias("cum_history"), F.col("nc").alias("n_scenarios"), F.col("nh").alias("n_history"))
     return points.withColumns({"share_scenarios": F.try_divide("cum_scenarios", "n_scenarios"), "share_history": F.try_divide("cum_history", "n_history")})
 
@@ -71,7 +71,7 @@ def ks_distance(df: DataFrame, history: DataFrame, calendar: DataFrame, cols: Co
     ``ecdf``.
     """
     # rows found and finite rows ride along with the points: x null has only the counts
-    points = _running(_samples(df, history, calendar, cols), cols, _large(df, history, calendar, cols, large))
+    points = _running(_samples(df, history, calendar, cols), cols, _large(df, history, calendar, cols, large), large)
     points = points.withColumn("num", F.when(F.col("x").isNotNull(), F.col("cc") * F.col("nh") - F.col("ch") * F.col("nc")))
     best = F.min_by(F.struct("x", "cc", "ch", "num"), F.when(F.col("x").isNotNull(), F.struct(-F.abs("num"), F.col("x"))))
     out = points.groupBy(*cols.group).agg(F.sum("c").alias("found_scenarios"), F.sum("h").alias("found_history"), F.max("nc").alias("valid_scenarios"), F.max("nh").alias("valid_history"), best.alias("b"))

@@ -16,8 +16,9 @@ from rivulet.sources.writers import new_folder
 
 #: Rows of a group that one window orders at most.
 LARGE = 1_000_000
-#: Rows that a range aims at, and the most ranges; beyond those, ranges hold more rows and are sorted with spilling.
-RANGE, MOST_RANGES = 250_000, 10_000
+#: Ranges that a group of that size falls into, and the most ranges of all groups; beyond those, ranges hold more rows and
+#: are sorted with spilling.
+RANGES, MOST_RANGES = 4, 10_000
 #: Groups that are split at most, the largest first: any other has less than one in as many of all rows.
 MOST_GROUPS = 10_000
 
@@ -51,13 +52,13 @@ def joined(df: DataFrame, by: list[str], right: DataFrame) -> DataFrame:
     return df.join(right, same).drop(*[f"__r_{k}" for k in by])
 
 
-def stored_ranges(df: DataFrame, by: list[str], order: list[str], rows: int) -> DataFrame:
-    """``df`` sorted in ranges of (by, order), with the number of the range and the place in it.
+def stored_ranges(df: DataFrame, by: list[str], order: list[str], hot: DataFrame, large: int) -> DataFrame:
+    """``df``, the rows of ``hot``, sorted in ranges of (by, order), with the number of the range and the place in it.
 
     It is written once: a second run of the range shuffle would sample other bounds.
     """
-    keys = [*by, *order]
-    ranged = df.repartitionByRange(max(1, min(MOST_RANGES, math.ceil(rows / RANGE))), *keys).sortWithinPartitions(*keys)
+    keys, rows = [*by, *order], hot.agg(F.sum("rows")).first()[0]
+    ranged = df.repartitionByRange(min(MOST_RANGES, math.ceil(rows * RANGES / max(RANGES, large))), *keys).sortWithinPartitions(*keys)
     at = F.monotonically_increasing_id()
     out = ranged.select("*", F.shiftright(at, 33).alias("__range"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("__place"))
     folder = new_folder(df.sparkSession)
@@ -72,29 +73,26 @@ def _before(parts: DataFrame, by: list[str], sums: list[str]) -> DataFrame:
     return parts.select("*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in sums], *[F.sum(c).over(whole).alias(f"{c}_all") for c in sums])
 
 
-def numbered(df: DataFrame, by: list[str], order: list[str], hot: DataFrame) -> DataFrame:
+def numbered(df: DataFrame, by: list[str], order: list[str], hot: DataFrame, large: int = LARGE) -> DataFrame:
     """W6 of large groups: ``df`` with the rank ``rn`` from 1 in its group and the size ``n`` of the group.
 
     Rows are shuffled once; ranks come from their places.
     """
-    rows = stored_ranges(df, by, order, _total(hot))
+    rows = stored_ranges(df, by, order, hot, large)
     parts = rows.groupBy(*by, "__range").agg(F.count(F.lit(1)).alias("__c"), F.min("__place").alias("__least"))
     parts = _before(parts, by, ["__c"]).select(*by, "__range", (F.col("__c_before") - F.col("__least") + 1).alias("__shift"), F.col("__c_all").alias("n"))
     out = joined(rows, [*by, "__range"], parts)
     return out.select(*df.columns, (F.col("__place") + F.col("__shift")).alias("rn"), "n")
 
 
-def running(df: DataFrame, by: list[str], order: str, sums: list[str], hot: DataFrame) -> DataFrame:
+def running(df: DataFrame, by: list[str], order: str, sums: list[str], hot: DataFrame, large: int = LARGE) -> DataFrame:
     """W7 of large groups, whose ``order`` is distinct: ``df`` with ``<c>_run``, the sum up to the row, and ``<c>_all``.
 
     Sums run inside a range, and the sums of the ranges before it are added.
     """
-    rows = stored_ranges(df, by, [order], _total(hot)).drop("__place")
+    rows = stored_ranges(df, by, [order], hot, large).drop("__place")
     parts = _before(rows.groupBy(*by, "__range").agg(*[F.sum(c).alias(c) for c in sums]), by, sums).drop(*sums)
     inside = Window.partitionBy(*by, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     out = joined(rows.select("*", *[F.sum(c).over(inside).alias(f"__{c}") for c in sums]), [*by, "__range"], parts)
     return out.select(*df.columns, *[(F.col(f"__{c}") + F.col(f"{c}_before")).alias(f"{c}_run") for c in sums], *[f"{c}_all" for c in sums])
 
-
-def _total(hot: DataFrame) -> int:
-    return hot.agg(F.sum("rows")).first()[0]

@@ -23,9 +23,9 @@ def _large(df: DataFrame, by: list[str], value: str, large: int | None) -> DataF
     return None if large is None else ranges.large_groups(ranges.group_rows(df.filter(finite(value).isNotNull()), by), by, large)
 
 
-def _ranked_ranges(df: DataFrame, by: list[str], value: str, tie: str, hot: DataFrame) -> DataFrame:
+def _ranked_ranges(df: DataFrame, by: list[str], value: str, tie: str, hot: DataFrame, large: int) -> DataFrame:
     rows = df.select(*by, tie, finite(value).alias("v")).filter("v is not null")
-    return ranges.numbered(rows, by, ["v", tie], hot)
+    return ranges.numbered(rows, by, ["v", tie], hot, large)
 
 
 def ranked(df: DataFrame, by: list[str], value: str, tie: str, empty: bool = False, large: int | None = ranges.LARGE) -> DataFrame:
@@ -38,7 +38,7 @@ def ranked(df: DataFrame, by: list[str], value: str, tie: str, empty: bool = Fal
     if hot is None:
         return _ranked(df, by, value, tie, empty)
     rest, rows = ranges.parted(df, by, hot)
-    return _ranked(rest, by, value, tie, empty).unionByName(_ranked_ranges(rows, by, value, tie, hot))
+    return _ranked(rest, by, value, tie, empty).unionByName(_ranked_ranges(rows, by, value, tie, hot, large))
 
 
 def _ranked(df: DataFrame, by: list[str], value: str, tie: str, empty: bool) -> DataFrame:
@@ -129,7 +129,7 @@ def slices(df: DataFrame, by: list[str], value: str, tie: str, percents: tuple[i
     if hot is None:
         return _slices(df, by, value, tie, percents, keep_outliers, empty)
     rest, rows = ranges.parted(df, by, hot)
-    split = _range_slices(_ranked_ranges(rows, by, value, tie, hot), by, percents, keep_outliers)
+    split = _range_slices(_ranked_ranges(rows, by, value, tie, hot, large), by, percents, keep_outliers)
     return _slices(rest, by, value, tie, percents, keep_outliers, empty).unionByName(split)
 
 

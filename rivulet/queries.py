@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -153,7 +154,8 @@ SHAPE = r("skewness", "kurtosis")
 FIVE = r("minimum", "q1", "median", "q3", "maximum", "whisker_low", "whisker_high")
 
 
-LOWEST = f"{slices_sql('5, 100, 5')} SELECT hydro_id, stage_id, CAST(percent AS INTEGER) AS percent, n, CAST(k AS BIGINT) AS k, round(mean, 6) + 0.0 AS mean, round(CASE WHEN minimum = maximum THEN 0.0 ELSE sd END, 6) + 0.0 AS sd, {SHAPE}, {FIVE}, CAST(outliers AS BIGINT) AS outliers FROM o"
+LOWEST_OF = f"{{s}} SELECT {{keys}}, CAST(percent AS INTEGER) AS percent, n, CAST(k AS BIGINT) AS k, round(mean, 6) + 0.0 AS mean, round(CASE WHEN minimum = maximum THEN 0.0 ELSE sd END, 6) + 0.0 AS sd, {SHAPE}, {FIVE}, CAST(outliers AS BIGINT) AS outliers FROM o"
+LOWEST = LOWEST_OF.format(s=slices_sql("5, 100, 5"), keys="hydro_id, stage_id")
 
 
 @register("A7_lowest_slices", LOWEST)
@@ -166,6 +168,13 @@ def a7_many(spark, d):
     return slices.slices(views.ensemble(spark, d, many=True), G, V, "scenario_id")
 
 
+# flows of all entities of a stage: groups of a twelfth of all cells, twice the size that one task may hold here
+@register("A7_split_stages", LOWEST_OF.format(s=slices_sql("5, 100, 5", keys="stage_id"), keys="stage_id"), views.MANY_SQL)
+def a7_split(spark, d):
+    cells = views.ensemble(spark, d, many=True)
+    return slices.slices(cells, ["stage_id"], V, "scenario_id", large=cells.count() // 24)
+
+
 @register("A8_box_plot", f"{slices_sql('100, 101')} SELECT hydro_id, stage_id, n, round(mean, 6) + 0.0 AS mean, round(CASE WHEN minimum = maximum THEN 0.0 ELSE sd END, 6) + 0.0 AS sd, {SHAPE}, {FIVE}, CAST(outliers AS BIGINT) AS outliers FROM o")
 def a8(spark, d):
     return slices.box_plot(views.ensemble(spark, d), G, V, "scenario_id")
@@ -209,6 +218,17 @@ def a9_many(spark, d):
     return ks.ks_distance(views.ensemble(spark, d, many=True), views.history(spark, d), views.calendar(spark, d, many=True))
 
 
+# all entities as one, with their whole history: curves of a twelfth of all cells, summed by ranges
+ONE = ", " + ", ".join(f"{t}_one AS (SELECT * REPLACE (CAST(0 AS BIGINT) AS hydro_id) FROM {t})" for t in ("ens", "fin", "hist"))
+KS_ONE = ONE + re.sub(r"\b(ens|fin|hist)\b", r"\1_one", KS)
+
+
+@register("A9_split_groups", f"{KS_ONE} SELECT {KS_COLUMNS} FROM j JOIN cal USING (stage_id)", views.MANY_SQL)
+def a9_split(spark, d):
+    cells, past = (t.withColumn("hydro_id", F.lit(0).cast("long")) for t in (views.ensemble(spark, d, many=True), views.history(spark, d)))
+    return ks.ks_distance(cells, past, views.calendar(spark, d, many=True), large=cells.count() // 24)
+
+
 def pairs_sql(source: str, by: str, extra: str = "") -> str:
     """CTEs pm, judged: pair moments of (x, y) by ``by`` and the reasons."""
     ok = "x IS NOT NULL AND y IS NOT NULL"

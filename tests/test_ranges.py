@@ -36,27 +36,21 @@ def found(df):
     return sorted((tuple(plain(r[c]) for c in df.columns) for r in df.collect()), key=repr)
 
 
-@pytest.fixture
-def fine(monkeypatch):
-    """Ranges of fifty rows."""
-    monkeypatch.setattr(ranges, "RANGE", 50)
-
-
 BY = ["hydro_id", "stage_id"]
 
 
-def test_ranks_equal_the_window(rows, fine):
+def test_ranks_equal_the_window(rows):
     split = slices.ranked(rows, BY, "v", "scenario_id", large=100)
     assert found(split) == found(slices.ranked(rows, BY, "v", "scenario_id", large=None))
 
 
 @pytest.mark.parametrize("percents, keep", [(slices.PERCENTS, False), ((100,), True), ((30, 7), True)])
-def test_slices_equal_the_window(rows, fine, percents, keep):
+def test_slices_equal_the_window(rows, percents, keep):
     split = slices.slices(rows, BY, "v", "scenario_id", percents, keep, empty=True, large=100)
     assert found(split) == found(slices.slices(rows, BY, "v", "scenario_id", percents, keep, empty=True, large=None))
 
 
-def test_lowest_slice_of_equal_values_takes_ties_in_order(spark, fine):
+def test_lowest_slice_of_equal_values_takes_ties_in_order(spark):
     df = spark.range(300).select(F.lit(1).cast("long").alias("hydro_id"), F.lit(1).cast("long").alias("stage_id"), F.col("id").alias("scenario_id"), F.lit(5.0).alias("v"))
     split = slices.lowest(df, BY, "v", "scenario_id", 10, large=100)
     assert sorted(r["scenario_id"] for r in split.collect()) == list(range(30))
@@ -70,16 +64,16 @@ def test_only_groups_beyond_the_size_are_split(rows):
     assert rest.count() == 91 and split.count() == 1600
 
 
-def test_null_keys_are_a_group_of_their_own(spark, fine):
+def test_null_keys_are_a_group_of_their_own(spark):
     df = spark.range(400).select(F.when(F.col("id") % 2 == 0, F.lit(1)).cast("long").alias("k"), "id", (F.col("id") % 7).cast("double").alias("v"))
     out = slices.ranked(df, ["k"], "v", "id", large=100)
     assert found(out) == found(slices.ranked(df, ["k"], "v", "id", large=None))
     assert {(r["k"], r["n"]) for r in out.collect()} == {(1, 200), (None, 200)}
 
 
-def test_a_large_group_lies_in_many_ranges(rows, fine):
+def test_a_large_group_lies_in_many_ranges(rows):
     hot = ranges.large_groups(ranges.group_rows(rows, BY), BY, 100)
-    stored = ranges.stored_ranges(ranges.parted(rows.filter("v is not null"), BY, hot)[1], BY, ["v", "scenario_id"], 1600)
+    stored = ranges.stored_ranges(ranges.parted(rows.filter("v is not null"), BY, hot)[1], BY, ["v", "scenario_id"], hot, 200)
     sizes = [r["count"] for r in stored.groupBy(*BY, "__range").count().collect()]
     assert len(sizes) >= 20 and max(sizes) <= 200
 
@@ -94,13 +88,13 @@ def tables(spark, rows):
 
 
 @pytest.mark.parametrize("large", [100, 45])
-def test_curves_and_distances_equal_the_window(spark, rows, fine, large):
+def test_curves_and_distances_equal_the_window(spark, rows, large):
     df, history, cal = tables(spark, rows)
     for job in (ks.ecdf, ks.ks_distance):
         assert found(job(df, history, cal, large=large)) == found(job(df, history, cal, large=None))
 
 
-def test_large_history_is_split_too(spark, fine):
+def test_large_history_is_split_too(spark):
     df, history, cal = tables(spark, spark.createDataFrame([(1, 0, 1, 20.0), (1, 0, 2, 30.0)], SCHEMA))
     past = history.filter("hydro_id = 1 and month = 1").withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(5)))).drop("again")
     assert ks._large(df, past, cal, ks.ENSEMBLE, 200).first()["rows"] == 302
