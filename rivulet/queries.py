@@ -12,7 +12,7 @@ from rivulet import views
 from rivulet.operators import browse, consolidate, correlation, density, filters, ks, quality, slices, summaries, windows
 from rivulet.operators.joins import named
 from rivulet.plans import reports
-from rivulet.sources import writers
+from rivulet.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -175,11 +175,21 @@ def a7_split(spark, d):
     return slices.slices(cells, ["stage_id"], V, "scenario_id", large=cells.count() // 24)
 
 
-@register("A8_box_plot", f"{slices_sql('100, 101')} SELECT hydro_id, stage_id, n, round(mean, 6) + 0.0 AS mean, round(CASE WHEN minimum = maximum THEN 0.0 ELSE sd END, 6) + 0.0 AS sd, {SHAPE}, {FIVE}, CAST(outliers AS BIGINT) AS outliers FROM o")
+BOX = f"{slices_sql('100, 101')} SELECT hydro_id, stage_id, n, round(mean, 6) + 0.0 AS mean, round(CASE WHEN minimum = maximum THEN 0.0 ELSE sd END, 6) + 0.0 AS sd, {SHAPE}, {FIVE}, CAST(outliers AS BIGINT) AS outliers FROM o"
+
+
+@register("A8_box_plot", BOX)
 def a8(spark, d):
     return slices.box_plot(views.ensemble(spark, d), G, V, "scenario_id")
 
 
+@register("S7_bucketed_box_plot", BOX, views.MANY_SQL)
+def s7_boxes(spark, d):
+    path = writers.new_folder(spark)
+    writers.publish_buckets(views.ensemble(spark, d, many=True), path, "stage", buckets=16)
+    return readers.over_groups(spark, path, lambda rows: slices.box_plot(rows, G, V, "scenario_id"))
+
+
 @register("A19_slice_indicators", f"{slices_sql('5, 100, 5')} SELECT CAST(percent AS INTEGER) AS percent, 'scenarios' AS source, CAST(min(k) AS BIGINT) AS least_k, CAST(max(k) AS BIGINT) AS most_k, count(*) AS groups, min(minimum) + 0.0 AS minimum, max(maximum) + 0.0 AS maximum FROM o GROUP BY percent")
 def a19(spark, d):
     return summaries.slice_indicators(slices.slices(views.ensemble(spark, d), G, V, "scenario_id").withColumn("source", F.lit("scenarios")))

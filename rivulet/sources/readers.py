@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
@@ -113,3 +115,26 @@ def read_history(spark: SparkSession, path: str, cols: Cols = ENSEMBLE) -> DataF
 
 def tidy_history(df: DataFrame, cols: Cols = ENSEMBLE) -> DataFrame:
     return df.select(cols.entity, to_date("start_date").alias("start"), to_date("end_date").alias("end"), to_double("value_m3s").alias("value"), F.month(to_date("start_date")).alias("month"))
+
+
+def read_buckets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame | None]:
+    """(rows in their buckets, rows of groups stored apart or None) of what ``writers.publish_buckets`` wrote.
+
+    Spark knows buckets by a table alone, so an external one, named after the path, is put into the current database.
+    """
+    layout, schema = spark.read.parquet(f"{path}/layout").first(), spark.read.parquet(f"{path}/schema").schema
+    name = f"rivulet_buckets_{hashlib.sha256(path.encode()).hexdigest()[:24]}"
+    quoted = lambda names: ", ".join(f"`{c}`" for c in names)
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    escaped = path.rstrip("/").replace("'", "\\'")
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    clustered = f"CLUSTERED BY ({quoted(layout['keys'])}) SORTED BY ({quoted(layout['sorted'])}) INTO {layout['buckets']} BUCKETS"
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet {clustered} LOCATION '{escaped}/rows'")
+    return spark.table(name), spark.read.schema(schema).parquet(f"{path}/large") if layout["split"] else None
+
+
+def over_groups(spark: SparkSession, path: str, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of ``job``, which works on each stored group alone, over a bucketed dataset: no shuffle where groups lie in
+    buckets, and ``job``'s own way for the groups stored apart."""
+    rows, large = read_buckets(spark, path)
+    return job(rows) if large is None else job(rows).unionByName(job(large))

@@ -94,3 +94,37 @@ def publish_pages(df: DataFrame, path: str, column: str, descending: bool = Fals
         counts.select("page_part", first.alias("first"), "rows").write.parquet(f"{folder}/directory")
 
     replace(df.sparkSession, path, write)
+
+
+def layout_keys(by: str, cols: Cols = ENSEMBLE) -> list[str]:
+    """The groups that a bucketed dataset keeps together: the samples of a stage, or the series of a scenario."""
+    return {"stage": cols.group, "scenario": [cols.entity, cols.scenario]}[by]
+
+
+def publish_buckets(df: DataFrame, path: str, by: str = "stage", buckets: int = 200, large: int | None = None, cols: Cols = ENSEMBLE) -> None:
+    """S7 for repeated reports: bucketed by (entity, stage) or (entity, scenario) and sorted, one file for each bucket.
+
+    ``readers.over_groups`` then runs jobs on those groups without a shuffle of rows. Groups with more than ``large`` rows
+    (``ranges.LARGE`` if None), which would make a bucket of one task, are stored apart, in ranges.
+    """
+    from rivulet.operators import ranges
+
+    keys = layout_keys(by, cols)
+    order = [*keys, *[k for k in cols.key if k not in keys]]
+    hot = ranges.large_groups(ranges.group_rows(df, keys), keys, ranges.LARGE if large is None else large)
+    rest, rows = (df, None) if hot is None else ranges.parted(df, keys, hot)
+    spark = df.sparkSession
+
+    def write(folder: str) -> None:
+        name = f"rivulet_{uuid.uuid4().hex}"
+        out = rest.repartition(buckets, *keys).write.option("compression", "zstd").option("path", f"{folder}/rows")
+        out.bucketBy(buckets, *keys).sortBy(*order).saveAsTable(name)
+        # an external table: its files stay, and readers name them anew where they lie in the end
+        spark.sql(f"DROP TABLE {name}")
+        if rows is not None:
+            rows.repartitionByRange(*order).sortWithinPartitions(*order).write.option("compression", "zstd").parquet(f"{folder}/large")
+        layout = spark.createDataFrame([(keys, order, buckets, rows is not None)], "keys array<string>, sorted array<string>, buckets int, split boolean")
+        layout.coalesce(1).write.parquet(f"{folder}/layout")
+        df.limit(0).write.parquet(f"{folder}/schema")
+
+    replace(spark, path, write)

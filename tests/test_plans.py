@@ -6,6 +6,7 @@ import re
 import pytest
 
 from rivulet.operators import consolidate, correlation, ks, slices, summaries, windows
+from rivulet.sources import readers, writers
 from rivulet.sources.readers import with_order
 
 FLOWS = "scenario_id long, stage_id long, node_id long, hydro_id long, incremental_inflow_m3s double"
@@ -103,3 +104,51 @@ def test_slices_repeat_no_row_before_their_first_aggregate(plain):
     out = slices._slice_stats(slices.ranked(ensemble(plain), ["hydro_id", "stage_id"], "incremental_inflow_m3s", "scenario_id"), ["hydro_id", "stage_id"], slices.PERCENTS)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Generate explode") == 1 and plan.index("Generate explode") < plan.index("Window")
+
+
+@pytest.fixture(scope="module")
+def bucketed(spark, tmp_path_factory):
+    """One dataset by stage, one by scenario, and their rows; the group (1, 0), and the series (1, 0), are stored apart."""
+    rows = [(s, t, t * 10 + s, e, float((s * 7 + t * 3 + e) % 11)) for s in range(30) for t in range(12) for e in (1, 2, 3)]
+    rows += [(s, 0, s, 1, float(s % 5)) for s in range(30, 90)]
+    df = spark.createDataFrame(rows, FLOWS)
+    folder = tmp_path_factory.mktemp("buckets")
+    for by, large in (("stage", 80), ("scenario", 1000)):
+        writers.publish_buckets(df, f"{folder}/{by}", by, 5, large)
+    return folder, df
+
+
+def months(spark):
+    return with_order(spark.createDataFrame([(i, datetime.date(2026 + i // 12, i % 12 + 1, 1), datetime.date(2026 + (i + 1) // 12, (i + 1) % 12 + 1, 1)) for i in range(12)], "stage_id long, start date, end date"))
+
+
+JOBS = {
+    "moments": ("stage", lambda df: summaries.moment_summary(df, ["hydro_id", "stage_id"], "incremental_inflow_m3s")),
+    "slices": ("stage", lambda df: slices.slices(df, ["hydro_id", "stage_id"], "incremental_inflow_m3s", "scenario_id")),
+    "windows": ("scenario", lambda df: windows.rolling_sums(df, months(df.sparkSession))),
+}
+
+
+@pytest.mark.parametrize("name", sorted(JOBS))
+def test_bucketed_groups_need_no_shuffle(plain, bucketed, name):
+    folder, df = bucketed
+    by, job = JOBS[name]
+    rows, large = readers.read_buckets(plain, f"{folder}/{by}")
+    assert exchanges(job(rows))[0] == 0 and (large is None) == (by == "scenario")
+    tidy = lambda out: sorted(str([round(x, 9) + 0.0 if isinstance(x, float) else x for x in r]) for r in out.collect())
+    assert tidy(readers.over_groups(plain, f"{folder}/{by}", job)) == tidy(job(df))
+
+
+def test_buckets_are_one_file_each_and_keep_every_row(spark, bucketed):
+    folder, df = bucketed
+    rows, large = readers.read_buckets(spark, f"{folder}/stage")
+    assert len(rows.inputFiles()) <= 5 and large.select("hydro_id", "stage_id").distinct().collect() == [(1, 0)]
+    assert sorted(rows.unionByName(large).collect()) == sorted(df.collect()) and rows.columns == df.columns
+
+
+def test_buckets_are_replaced_and_may_be_empty(spark, bucketed, tmp_path):
+    _, df = bucketed
+    for rows, buckets in ((df, 3), (df.limit(0), 4), (df.filter("hydro_id = 2"), 2)):
+        writers.publish_buckets(rows, f"{tmp_path}/b", "stage", buckets)
+        got, large = readers.read_buckets(spark, f"{tmp_path}/b")
+        assert large is None and sorted(got.collect()) == sorted(rows.collect())
