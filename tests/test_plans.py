@@ -67,9 +67,10 @@ def test_consolidation_shuffles_each_tree_once(plain):
     assert exchanges(consolidate.consolidate(flows, lags, checked=False))[0] == 2
 
 
-def test_ks_shuffles_points_not_rows(plain):
-    plan = exchanges(ks.ecdf(ensemble(plain), history(plain), calendar(plain)))[1]
-    assert "partial_sum" in plan
+def test_ks_shuffles_rows_once_and_history_as_arrays(plain):
+    n, plan = exchanges(ks.ks_distance(ensemble(plain), history(plain), calendar(plain), large=None))
+    # the rows, the values of history, and its arrays
+    assert n == 3 and plan.count("Generate inline") == 1 and plan.count("hashpartitioning(hydro_id") == 3
 
 
 def test_annual_sums_need_one_shuffle(plain):

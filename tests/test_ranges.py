@@ -94,10 +94,16 @@ def test_curves_and_distances_equal_the_window(spark, rows, large):
         assert found(job(df, history, cal, large=large)) == found(job(df, history, cal, large=None))
 
 
+def test_large_groups_beyond_the_most_that_are_split_keep_their_history(spark, rows, monkeypatch):
+    df, history, cal = tables(spark, rows)
+    monkeypatch.setattr(ranges, "MOST_GROUPS", 1)
+    assert found(ks.ks_distance(df, history, cal, large=45)) == found(ks.ks_distance(df, history, cal, large=None))
+
+
 def test_large_history_is_split_too(spark):
     df, history, cal = tables(spark, spark.createDataFrame([(1, 0, 1, 20.0), (1, 0, 2, 30.0)], SCHEMA))
     past = history.filter("hydro_id = 1 and month = 1").withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(5)))).drop("again")
-    assert ks._large(df, past, cal, ks.ENSEMBLE, 200).first()["rows"] == 302
+    assert ks._sizes(df, past, cal, ks.ENSEMBLE).first()["rows"] == 302
     assert found(ks.ks_distance(df, past, cal, large=200)) == found(ks.ks_distance(df, past, cal, large=None))
 
 
