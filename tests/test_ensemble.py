@@ -576,3 +576,31 @@ def test_stored_pages_are_the_pages_and_open_few_ranges(spark, tmp_path):
         assert "PartitionFilters: [page_part#" in plan and "part" not in "".join(some.columns)
     writers.publish_pages(df.limit(0), f"{tmp_path}/none", v)
     assert browse.stored_page(spark, f"{tmp_path}/none", v).collect() == []
+
+
+@pytest.mark.parametrize("form", [correlation.spatial_pairs, correlation.spatial_correlation, lambda df: correlation.spatial_correlation(df, chunk=2)])
+@pytest.mark.parametrize("more", [0, 400])
+def test_equal_values_of_a_pair_are_constant(spark, form, more):
+    """Equal over the pair's scenarios though not over the entity's; with ``more`` most cells are empty."""
+    rows = [(s, 0, 1, 0, 59.115044247787608 if s < 3 else 10.0 * s + 1 / 3) for s in range(6 + more)]
+    rows += [(s, 0, 1, 1, 46.195543 + s * s) for s in range(3)] + [(s + 10**6, 0, 1, 1, 1.0) for s in range(more)]
+    rows += [(s, 0, 1, 2, 5.0 * s * s) for s in range(6)] + [(s, 0, 1, 3, None) for s in range(6)]
+    got = {(r["a"], r["b"]): r for r in form(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(got) == 6 and got[0, 1]["n"] == 3 and got[0, 1]["reason"] == "constant" and got[0, 1]["sd_x"] == 0 and got[0, 1]["rho"] is None
+    assert got[0, 2]["reason"] == "computed" and got[0, 3]["n"] == 0 and got[0, 3]["mean_x"] is None
+
+
+def test_scenarios_of_one_entity_only_move_no_value(spark):
+    """Dense matrices hold joint scenarios only."""
+    rows = [(s, 0, 1, 0, float(s * s % 11)) for s in range(0, 40)] + [(s, 0, 1, 1, float(s * 7 % 5)) for s in range(0, 60, 2)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    one, two = (f.first() for f in (correlation.spatial_pairs(df), correlation.spatial_correlation(df, chunk=7)))
+    assert one["n"] == two["n"] == 20 and all(math.isclose(one[c], two[c], abs_tol=1e-12) for c in ("mean_x", "mean_y", "sd_x", "sd_y", "cov", "rho"))
+    assert math.isclose(one["mean_x"], sum(s * s % 11 for s in range(0, 40, 2)) / 20)
+
+
+def test_spatial_table_has_the_columns_of_its_sql(spark):
+    from rivulet import queries
+
+    df = queries.QUERIES["T5_spatial_table"](spark, "/root/testdata/sf0.1")
+    assert sorted(df.columns) == sorted(["reference", "stage_id", *map(str, range(10))])

@@ -87,6 +87,15 @@ def test_spatial_correlation(plain):
     assert n <= 8 and "CartesianProduct" not in plan
 
 
+@pytest.mark.parametrize("form", [correlation.spatial_correlation, correlation.spatial_pairs])
+def test_pairs_are_not_shuffled(plain, form):
+    """A task finishes its pairs: the last exchange is that of packed rows, also where each pair is taken both ways."""
+    for df in (form(ensemble(plain)), correlation.mirrored(form(ensemble(plain)))):
+        _, plan = exchanges(df)
+        assert plan.count("Exchange hashpartitioning(stage") <= 1 and plan.count("MapInArrow") == 2
+        assert plan.index("MapInArrow summed") < plan.index("Exchange")
+
+
 def test_report_checks_are_one_aggregate(plain):
     from rivulet.operators import quality
 
