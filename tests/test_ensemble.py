@@ -604,3 +604,15 @@ def test_spatial_table_has_the_columns_of_its_sql(spark):
 
     df = queries.QUERIES["T5_spatial_table"](spark, "/root/testdata/sf0.1")
     assert sorted(df.columns) == sorted(["reference", "stage_id", *map(str, range(10))])
+
+
+def test_annual_totals_do_not_depend_on_the_order_of_months(spark):
+    """Equal totals of other months, rows in other orders: constant, not constant but for rounding."""
+    rows = [(c, s, s, 10, (355 * ((s * (2 * c + 1)) % 12) / 113 - 10) * 1.1 + s // 12 * c) for c in range(1, 5) for s in range(24)]
+    cal = calendar(spark, {s: 2026 * 12 + s for s in range(24)})
+    for parts in (1, 5):
+        df = spark.createDataFrame(rows, SCHEMA).repartition(parts)
+        totals = {r["total"] for r in correlation.annual_sums(df, cal).filter("year = 2026 and scenario_id in (2, 3)").collect()}
+        assert len(totals) == 1
+        got = {(r["year"], r["lag"]): r["reason"] for r in correlation.annual_correlation(df.filter("scenario_id in (2, 3)"), cal).collect()}
+        assert got[2027, 1] == "constant"
