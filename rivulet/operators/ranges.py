@@ -16,6 +16,8 @@ from rivulet.sources.writers import new_folder
 
 #: Rows of a group that one window orders at most.
 LARGE = 1_000_000
+#: Rows of a task that ranks groups, about.
+TASK_ROWS = 250_000
 #: Ranges that a group of that size falls into, and the most ranges of all groups; beyond those, ranges hold more rows and
 #: are sorted with spilling.
 RANGES, MOST_RANGES = 4, 10_000
@@ -34,6 +36,14 @@ def group_rows(df: DataFrame, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"))
 
 
+def spread(df: DataFrame, by: list[str], rows: int | None) -> DataFrame:
+    """``df`` of about ``rows`` rows, dealt by group to tasks of about ``TASK_ROWS``; unchanged if a shuffle's usual number
+    of partitions will do, or where ``rows`` is not known."""
+    parts = math.ceil((rows or 0) / TASK_ROWS)
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(min(MOST_RANGES, parts), *by) if parts > usual else df
+
+
 def _same(right: DataFrame, by: list[str]) -> tuple[DataFrame, Column]:
     """``right`` under other names, broadcast, and the condition that its keys are those of the left side, nulls included."""
     named = right.select(*[F.col(c).alias(f"__r_{c}" if c in by else c) for c in right.columns])

@@ -118,19 +118,22 @@ def _slice_stats(base: DataFrame, by: list[str], percents: tuple[int, ...]) -> D
     return out.select(*by, "percent", "n", "k", *[c.alias(name) for name, c in found.items()])
 
 
-def slices(df: DataFrame, by: list[str], value: str, tie: str, percents: tuple[int, ...] = PERCENTS, keep_outliers: bool = False, empty: bool = False, large: int | None = ranges.LARGE) -> DataFrame:
+def slices(df: DataFrame, by: list[str], value: str, tie: str, percents: tuple[int, ...] = PERCENTS, keep_outliers: bool = False, empty: bool = False, large: int | None = ranges.LARGE, rows: int | None = None) -> DataFrame:
     """For each group and percent, statistics of its k smallest finite values; percent 100 is the box plot A8.
 
     Both passes work on the partitions of the ranking: values are shuffled once, and no row is repeated for the percents
     that hold it. Groups without a finite value give no row, or with ``empty`` rows with n and k 0. ``large``: as in
-    ``ranked``; no such group is held by one task.
+    ``ranked``; no such group is held by one task. ``rows``: about how many ``df`` has, if the caller knows, so that no task
+    gets more of them as tables grow.
     """
     hot = _large(df, by, value, large)
+    df = df if hot is not None else ranges.spread(df, by, rows)
     if hot is None:
         return _slices(df, by, value, tie, percents, keep_outliers, empty)
+    known = rows
     rest, rows = ranges.parted(df, by, hot)
     split = _range_slices(_ranked_ranges(rows, by, value, tie, hot, large), by, percents, keep_outliers)
-    return _slices(rest, by, value, tie, percents, keep_outliers, empty).unionByName(split)
+    return _slices(ranges.spread(rest, by, known), by, value, tie, percents, keep_outliers, empty).unionByName(split)
 
 
 def _range_slices(base: DataFrame, by: list[str], percents: tuple[int, ...], keep_outliers: bool) -> DataFrame:

@@ -110,3 +110,14 @@ def test_large_history_is_split_too(spark):
 def test_empty_tables(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert slices.slices(df, BY, "v", "scenario_id", large=0).count() == 0
+
+
+def test_tasks_get_no_more_rows_as_tables_grow(spark, monkeypatch):
+    """Groups are dealt to as many tasks as their rows need, and the slices stay the same."""
+    monkeypatch.setattr(ranges, "TASK_ROWS", 100)
+    df = spark.range(2000).selectExpr("id % 40 as g", "id as tie", "cast((id * 7919) % 977 as double) as v")
+    plain, dealt = (slices.slices(df, ["g"], "v", "tie", (10, 50, 100), large=None, rows=n) for n in (None, 2000))
+    assert "REPARTITION_BY_NUM" in dealt._jdf.queryExecution().executedPlan().toString() and ranges.spread(df, ["g"], 2000).rdd.getNumPartitions() == 20
+    assert ranges.spread(df, ["g"], 300) is df and ranges.spread(df, ["g"], None) is df
+    key = lambda r: (r["g"], r["percent"])
+    assert sorted(dealt.collect(), key=key) == sorted(plain.collect(), key=key)
