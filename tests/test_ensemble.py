@@ -616,3 +616,13 @@ def test_annual_totals_do_not_depend_on_the_order_of_months(spark):
         assert len(totals) == 1
         got = {(r["year"], r["lag"]): r["reason"] for r in correlation.annual_correlation(df.filter("scenario_id in (2, 3)"), cal).collect()}
         assert got[2027, 1] == "constant"
+
+
+def test_no_rounding_of_centred_sums_looks_like_a_deviation(spark):
+    """Many entities, each equal over the three scenarios of entity 1."""
+    rows = [(s, 0, 1, e, e / 7 + 90.1 if s < 3 else e * s / 3 + s) for e in range(2, 42) for s in range(9)]
+    rows += [(s, 0, 1, 1, 46.195543 + s * s) for s in range(3)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for form in (correlation.spatial_pairs, correlation.spatial_correlation):
+        got = form(df).filter("a = 1").collect()
+        assert len(got) == 40 and {(r["n"], r["reason"], r["sd_y"]) for r in got} == {(3, "constant", 0.0)}
