@@ -38,9 +38,9 @@ def group_rows(df: DataFrame, by: list[str]) -> DataFrame:
 
 def spread(df: DataFrame, by: list[str], rows: int | None) -> DataFrame:
     """``df`` of about ``rows`` rows, dealt by group to tasks of about ``TASK_ROWS``; unchanged if a shuffle's usual number
-    of partitions will do, or where ``rows`` is not known."""
+    of partitions will do, or as many as there are cores, to which re-planning may join them, or where ``rows`` is not known."""
     parts = math.ceil((rows or 0) / TASK_ROWS)
-    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    usual = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
     return df.repartition(min(MOST_RANGES, parts), *by) if parts > usual else df
 
 

@@ -38,19 +38,29 @@ def rolling_history(history: DataFrame, sizes: tuple[int, ...] = SIZES, cols: Co
     return _sums(rows, [cols.entity], "__m", finite("value"), sizes).select(cols.entity, "start", "month", "window", "total")
 
 
-def lag_audit(df: DataFrame, calendar: DataFrame, tolerance: float = 1e-8, cols: Cols = ENSEMBLE) -> DataFrame:
-    """(entity, stage, lag, mismatches): exported lags that differ from the flow that many stages before."""
-    lags = lag_columns(df.columns)
-    rows = df.select(cols.entity, cols.scenario, cols.stage, cols.value, *lags).join(small(calendar.select(cols.stage, "order")), cols.stage)
+def lag_number(name: str) -> int:
+    return int(name.split("_")[1])
+
+
+def lag_checks(lags: list[str], tolerance: float = 1e-8, cols: Cols = ENSEMBLE) -> list[Column]:
+    """1 where an exported lag differs from the flow that many stages before, else 0; rows have the stage's ``order``."""
     w = Window.partitionBy(cols.entity, cols.scenario).orderBy("order")
     checks = []
     for name in lags:
-        k = int(name.split("_")[1])
+        k = lag_number(name)
         past, gap = finite(F.lag(cols.value, k).over(w)), F.col("order") - F.lag("order", k).over(w)
         given = finite(name)
         far = F.abs(given - past) > tolerance * F.greatest(F.lit(1.0), F.abs(past))
         wrong = gap.isNull() | (gap != k) | F.coalesce(far, F.lit(False))
-        checks.append(F.struct(F.lit(k).alias("lag"), F.when((F.col("order") >= k) & wrong, 1).otherwise(0).alias("wrong")))
+        checks.append(F.when((F.col("order") >= k) & wrong, 1).otherwise(0))
+    return checks
+
+
+def lag_audit(df: DataFrame, calendar: DataFrame, tolerance: float = 1e-8, cols: Cols = ENSEMBLE) -> DataFrame:
+    """(entity, stage, lag, mismatches): exported lags that differ from the flow that many stages before."""
+    lags = lag_columns(df.columns)
+    rows = df.select(cols.entity, cols.scenario, cols.stage, cols.value, *lags).join(small(calendar.select(cols.stage, "order")), cols.stage)
+    checks = [F.struct(F.lit(lag_number(name)).alias("lag"), c.alias("wrong")) for name, c in zip(lags, lag_checks(lags, tolerance, cols), strict=True)]
     each = rows.withColumn("__c", F.array(*checks)).select(*cols.group, F.explode("__c").alias("c")).select(*cols.group, "c.lag", "c.wrong")
     return each.groupBy(*cols.group, "lag").agg(F.sum("wrong").alias("mismatches"))
 

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from rivulet.operators import consolidate, correlation, ks, slices, summaries, windows
+from rivulet.operators import consolidate, correlation, ks, ranges, slices, summaries, windows
 from rivulet.sources import readers, writers
 from rivulet.sources.readers import with_order
 
@@ -56,6 +56,28 @@ def test_audit_needs_one_shuffle_of_rows_and_one_of_counts(plain):
     assert exchanges(windows.lag_audit(ensemble(plain, lags), calendar(plain)))[0] == 2
 
 
+def test_lag_correlation_shuffles_rows_once(plain):
+    lags = "".join(f", lag_{k}_m3s double" for k in range(1, 7))
+    # moments, counts of keys and the audit are one aggregate over the rows, which an entity's task holds
+    n, plan = exchanges(correlation.lag_correlation(ensemble(plain, lags), calendar(plain)))
+    assert n == 1 and plan.count("Generate explode") == 1
+
+
+def test_lags_of_many_rows_are_dealt_to_more_tasks(plain, monkeypatch):
+    monkeypatch.setattr(ranges, "TASK_ROWS", 10)
+    rows = [(c, 0, c, e, float(c), None) for c in range(5) for e in range(4)]
+    df = plain.createDataFrame(rows, FLOWS + ", lag_1_m3s double")
+    whole = correlation.lag_correlation(df, calendar(plain))
+    # 20 rows, each of which becomes two
+    assert whole.rdd.getNumPartitions() == 4 and whole.count() == 8
+    monkeypatch.setattr(ranges, "TASK_ROWS", 5)
+    assert correlation.lag_correlation(df, calendar(plain)).rdd.getNumPartitions() == 8
+    monkeypatch.setattr(ranges, "LARGE", 4)
+    # entities beyond one task are dealt by scenario too, with the same figures
+    order = lambda t: sorted(map(str, t.collect()))
+    assert order(correlation.lag_correlation(df, calendar(plain))) == order(whole)
+
+
 def test_slices_rank_once(plain):
     assert exchanges(slices.slices(ensemble(plain), ["hydro_id", "stage_id"], "incremental_inflow_m3s", "scenario_id"))[0] == 1
 
