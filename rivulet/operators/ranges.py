@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivulet.sources.writers import new_folder
+from rivulet.sources.writers import scratch
 
 #: Rows of a group that one window orders at most.
 LARGE = 1_000_000
@@ -71,9 +71,7 @@ def stored_ranges(df: DataFrame, by: list[str], order: list[str], hot: DataFrame
     ranged = df.repartitionByRange(min(MOST_RANGES, math.ceil(rows * RANGES / max(RANGES, large))), *keys).sortWithinPartitions(*keys)
     at = F.monotonically_increasing_id()
     out = ranged.select("*", F.shiftright(at, 33).alias("__range"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("__place"))
-    folder = new_folder(df.sparkSession)
-    out.write.option("compression", "zstd").parquet(folder)
-    return df.sparkSession.read.schema(out.schema).parquet(folder)
+    return scratch(out)
 
 
 def _before(parts: DataFrame, by: list[str], sums: list[str]) -> DataFrame:

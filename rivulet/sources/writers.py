@@ -75,6 +75,13 @@ def new_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/rivulet-{uuid.uuid4().hex}"
 
 
+def scratch(df: DataFrame) -> DataFrame:
+    """``df`` written once to a folder of its own: what reads it several times computes it once."""
+    folder = new_folder(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def publish_pages(df: DataFrame, path: str, column: str, descending: bool = False, partitions: int | None = None, cols: Cols = ENSEMBLE) -> None:
     """T1 for any depth: the rows in page order as ranges, and a directory of where each range starts.
 

@@ -89,6 +89,19 @@ def test_consolidation_shuffles_each_tree_once(plain):
     assert exchanges(consolidate.consolidate(flows, lags, checked=False))[0] == 2
 
 
+def test_checked_consolidation_reads_flows_once_and_lags_twice(spark):
+    read = [spark.sparkContext.accumulator(0) for _ in range(2)]
+
+    def tree(rows, schema, seen):
+        return spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(lambda r: (seen.add(1), r)[1]), schema)
+
+    keys = "scenario_id long, stage_id long, node_id long, hydro_id long, "
+    flows = tree([(c, s, s, 1, b, 1.0 * s, 0.0) for c in range(2) for s in range(3) for b in (0, 1)], keys + "block_id int, incremental_inflow_m3s double, inflow_nonnegativity_slack_m3s double", read[0])
+    lags = tree([(c, s, s, 1, 1, 5.0) for c in range(2) for s in range(3)], keys + "lag_index int, inflow_m3s double", read[1])
+    assert consolidate.consolidate(flows, lags).count() == 6
+    assert [r.value for r in read] == [12, 12]
+
+
 def test_ks_shuffles_rows_once_and_history_as_arrays(plain):
     n, plan = exchanges(ks.ks_distance(ensemble(plain), history(plain), calendar(plain), large=None))
     # the rows, the values of history, and its arrays
