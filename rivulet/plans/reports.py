@@ -118,8 +118,10 @@ def stage_profile(df: DataFrame, history: DataFrame, calendar: DataFrame, names:
     """A5, A6, A8 of flow, slack and history, J6, J7, A24, Q18, Q19 and Q20 side by side for each (entity, stage)."""
     df, history = checked(df, calendar, cols, gaps=True), checked_history(history, cols)
     cal = small(calendar.select(cols.stage, "order", "month"))
+    large, rows = _large(df, history, cols)
+    # rows are shuffled once for flow, slack and counts, which a task holds side by side
+    df = df if large else ranges.spread(df, cols.group, 3 * rows)
     out = summaries.stage_series(df, cols.group, cols.value)
-    large, _ = _large(df, history, cols)
     box = slices.box_plot(df, cols.group, cols.value, cols.scenario, large=large).select(*cols.group, "minimum", "q1", "median", "q3", "maximum", "whisker_low", "whisker_high", "outliers", "skewness", "kurtosis")
     more = df.groupBy(*cols.group).agg(F.avg(finite(cols.slack)).alias("mean_slack"), F.count(F.lit(1)).alias("rows"), F.count_distinct(cols.scenario).alias("scenarios"))
     past = [*[F.col(c).alias(f"history_{c}") for c in ("n", "mean", "sd", "skewness", "kurtosis")]]
@@ -141,7 +143,9 @@ def density_report(df: DataFrame, history: DataFrame, calendar: DataFrame, names
     tie = F.datediff("start", F.lit("1900-01-01")).cast("long")
     both = ours.unionByName(history.select(F.lit("history").alias("source"), cols.entity, F.col("month").cast("long").alias("period"), tie.alias("tie"), F.col("value").alias("v")))
     by = ["source", cols.entity, "period"]
-    out = density_summary(both if percent is None else slices.lowest(both, by, "v", "tie", percent), by, "v")
+    large, rows = _large(df, history, cols)
+    both = both if large else ranges.spread(both, by, rows)
+    out = density_summary(both if percent is None else slices.lowest(both, by, "v", "tie", percent, large), by, "v")
     return named(out, names, cols.entity)
 
 
