@@ -674,3 +674,32 @@ def test_tiles_of_unequal_entities_keep_every_pair(spark, tile):
     got = {(r["a"], r["b"]): (r["n"], r["reason"]) for r in correlation.spatial_correlation(df, chunk=64, tile=tile).collect()}
     assert len(got) == 30 * 29 // 2 and all(a < b for a, b in got)
     assert got == {(r["a"], r["b"]): (r["n"], r["reason"]) for r in correlation.spatial_pairs(df).collect()}
+
+
+def uneven(spark, entities=37, seed=5):
+    """Two stages of entities with missing and equal values, some of them with one value or none."""
+    import random
+
+    pick, rows = random.Random(seed), []
+    for s in (0, 1):
+        for e in range(entities):
+            most = 9 if e % 5 else e % 3
+            for c in range(9):
+                v = NAN if c >= most else float(pick.randrange(3 if e % 7 else 1)) * 355 / 113
+                rows += [(c, s, 1, 3 * e - 40, v)] if pick.random() < 0.8 else []
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.mark.parametrize("tile, strip", [(4096, 1 << 18), (4096, 90), (8, 1 << 18), (3, 1)])
+@pytest.mark.parametrize("chunk", [256, None])
+def test_spatial_table_has_every_partner(spark, monkeypatch, tile, strip, chunk):
+    monkeypatch.setattr(correlation, "STRIP_PAIRS", strip)
+    df = uneven(spark)
+    want = {(r["a"], r["stage_id"], r["b"]): r["rho"] for r in correlation.mirrored(correlation.spatial_correlation(df)).collect()}
+    table = correlation.spatial_blocks(df, chunk=chunk, tile=tile).collect()
+    assert len({(r["reference"], r["stage_id"], r["first"]) for r in table}) == len(table)
+    assert {(a, s, b // 10 * 10) for a, s, b in want} == {(r["reference"], r["stage_id"], r["first"]) for r in table}
+    got = {(r["reference"], r["stage_id"], r["first"] + k): r[str(k)] for r in table for k in range(10) if r[str(k)] is not None}
+    want = {key: rho for key, rho in want.items() if rho is not None}
+    assert len({b for _, _, b in want}) > 20 and got.keys() == want.keys()
+    assert all(abs(got[key] - rho) < 1e-12 for key, rho in want.items())
