@@ -703,3 +703,50 @@ def test_spatial_table_has_every_partner(spark, monkeypatch, tile, strip, chunk)
     want = {key: rho for key, rho in want.items() if rho is not None}
     assert len({b for _, _, b in want}) > 20 and got.keys() == want.keys()
     assert all(abs(got[key] - rho) < 1e-12 for key, rho in want.items())
+
+
+HARD = [1e200, -1e200, 1e-200, 2e-200, 5e-324, 0.0, -0.0, 1.0, 1.0 + 2**-52, 1.0 + 2**-45, 1e15, 1e15 + 1, 1e308, -1e308]
+
+
+def hard(spark, entities=30, scenarios=8, seed=9):
+    """Values at both ends of the range of a double, and values that differ by rounding only."""
+    import random
+
+    pick, rows = random.Random(seed), []
+    for s in (0, 1):
+        for e in range(entities):
+            few = pick.sample(HARD, 2) if e % 3 else HARD
+            rows += [(c, s, 1, 2 * e, pick.choice(few)) for c in range(scenarios) if pick.random() < 0.7]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.mark.parametrize("data", [uneven, hard])
+@pytest.mark.parametrize("tile, strip, bits", [(16_384, 1 << 18, 1024), (16_384, 50, 1024), (4, 1 << 18, 1024), (4, 1 << 18, 3)])
+def test_pairs_that_are_not_listed_have_a_correlation(spark, monkeypatch, data, tile, strip, bits):
+    monkeypatch.setattr(correlation, "STRIP_PAIRS", strip)
+    monkeypatch.setattr(correlation, "BIT_SCENARIOS", bits)
+    monkeypatch.setattr(correlation, "LISTED_CELLS", 64)
+    df = data(spark)
+    key = lambda r: (r["stage_id"], r["a"], r["b"])
+    want = {key(r): (r["n"], r["reason"]) for r in correlation.spatial_pairs(df).collect()}
+    rows = correlation.unsure_pairs(df, None, tile).collect()
+    got = {key(r): (r["n"], r["reason"]) for r in rows if r["a"] is not None}
+    assert got.items() <= want.items() and len(got) == sum(r["a"] is not None for r in rows)
+    assert {k for k, (_, reason) in want.items() if reason != "computed"} <= got.keys()
+    assert sum(r["pairs"] for r in rows) == len(want)
+    counts = {r["stage_id"]: (r["defined"], r["possible"]) for r in summaries.defined_counts(correlation.unsure_pairs(df, None, tile), "stage_id", number="pairs").collect()}
+    assert counts == {s: (sum(k[0] == s and v[1] == "computed" for k, v in want.items()), sum(k[0] == s for k in want)) for s in (0, 1)}
+
+
+def test_most_pairs_of_a_stage_are_not_summed(spark):
+    rows = [(c, 0, 1, e, float((c * (e + 3) + e) % 101)) for e in range(60) for c in range(100) if (c + e) % 50]
+    pairs = correlation.unsure_pairs(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert [(r["a"], r["pairs"], r["reason"]) for r in pairs] == [(None, 60 * 59 // 2, "computed")]
+
+
+@pytest.mark.parametrize("name", ["A20_defined_counts", "F12_unavailable"])
+def test_counts_and_missing_pairs_do_not_sum_every_pair(spark, monkeypatch, name):
+    from rivulet import queries
+
+    monkeypatch.setattr(correlation, "spatial_correlation", None)
+    assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
