@@ -750,3 +750,21 @@ def test_counts_and_missing_pairs_do_not_sum_every_pair(spark, monkeypatch, name
 
     monkeypatch.setattr(correlation, "spatial_correlation", None)
     assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_one_pair_is_that_of_all_pairs(spark):
+    df = uneven(spark, 12).unionByName(spark.createDataFrame([(1, 2, 1, -40, 1.0), (1, 3, 1, -37, 1.0), (1, 3, 1, 99, None)], SCHEMA))
+    pairs = correlation.spatial_pairs(df)
+    for a, b in ((-40, -37), (-37, -40), (-25, -31), (-37, 99), (-40, -40), (-37, -37), (5000, 5000), (-40, 5000)):
+        want = correlation.pair_lookup(pairs, a, b)
+        got = correlation.one_pair(df, a, b)
+        assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
+
+
+def test_looking_up_a_pair_reads_its_entities_alone(spark, monkeypatch):
+    from rivulet import queries
+
+    seen, form = [], correlation.spatial_pairs
+    monkeypatch.setattr(correlation, "spatial_pairs", lambda df, *args, **named: seen.append(df) or form(df, *args, **named))
+    assert queries.QUERIES["T6_pair_lookup"](spark, "/root/testdata/sf0.001").count() > 0
+    assert {r["hydro_id"] for df in seen for r in df.select("hydro_id").distinct().collect()} == {2, 5}
